@@ -88,16 +88,16 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
-lines AS (SELECT doc_id, u.i AS at, parts[u.i] AS raw, trim(parts[u.i], ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line FROM docs, unnest(range(1, len(parts) + 1)) AS u(i)),
-solid AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY at) AS pos FROM lines WHERE line <> ''),
-win AS (SELECT doc_id, pos, at, lead(at, 2) OVER w AS last_at, [line, lead(line) OVER w, lead(line, 2) OVER w] AS body FROM solid WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+lines AS (SELECT doc_id, u.i AS ln, parts[u.i] AS raw, trim(parts[u.i], ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line FROM docs, unnest(range(1, len(parts) + 1)) AS u(i)),
+solid AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ln) AS pos FROM lines WHERE line <> ''),
+win AS (SELECT doc_id, pos, ln, lead(ln, 2) OVER w AS last_at, [line, lead(line) OVER w, lead(line, 2) OVER w] AS body FROM solid WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 later AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, pos) AS nth FROM win WHERE last_at IS NOT NULL),
-hits AS (SELECT doc_id, pos, at, last_at FROM later WHERE nth > 1),
+hits AS (SELECT doc_id, pos, ln, last_at FROM later WHERE nth > 1),
 marked AS (SELECT *, CASE WHEN pos > lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 3 OR lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) IS NULL THEN 1 ELSE 0 END AS opens FROM hits),
 grouped AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY pos) AS span FROM marked),
-spans AS (SELECT doc_id, span, min(at) AS b, max(last_at) AS e FROM grouped GROUP BY doc_id, span),
-gone AS (SELECT DISTINCT doc_id, u.i AS at FROM spans, unnest(range(b, e + 1)) AS u(i)),
-kept AS (SELECT l.doc_id, string_agg(l.raw, chr(10) ORDER BY l.at) AS text FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.at = g.at WHERE g.at IS NULL GROUP BY l.doc_id),
+spans AS (SELECT doc_id, span, min(ln) AS b, max(last_at) AS e FROM grouped GROUP BY doc_id, span),
+gone AS (SELECT DISTINCT doc_id, u.i AS ln FROM spans, unnest(range(b, e + 1)) AS u(i)),
+kept AS (SELECT l.doc_id, string_agg(l.raw, chr(10) ORDER BY l.ln) AS text FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.ln = g.ln WHERE g.ln IS NULL GROUP BY l.doc_id),
 counts AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id),
 nspans AS (SELECT doc_id, count(*) AS n FROM spans GROUP BY doc_id)
 SELECT d.doc_id, CAST(CASE WHEN d.text = '' THEN 0 ELSE len(d.parts) END AS BIGINT) AS n_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_removed, CAST(coalesce(s.n, 0) AS BIGINT) AS n_spans, sha256(coalesce(k.text, '')) AS kept_sha256
