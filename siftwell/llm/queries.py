@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import curriculum_mixing, line_dedup, token_counts
+from . import benchmark_decontamination, curriculum_mixing, line_dedup, quality_classifier, quality_rules, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality_rules": quality_rules.op3_quality_rules,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op6_benchmark_decontamination": benchmark_decontamination.op6_benchmark_decontamination,
+    "op7_quality_classifier": quality_classifier.op7_quality_classifier,
     "op8_curriculum_mixing": curriculum_mixing.op8_curriculum_mixing,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 ORACLES: dict[str, str] = {
     "op5_line_dedup": line_dedup.ORACLE,
+    "op6_benchmark_decontamination": benchmark_decontamination.ORACLE,
     "op8_curriculum_mixing": curriculum_mixing.ORACLE,
 }
