@@ -8,7 +8,8 @@ them included, and removed.  Windows are judged on the input, not on what is lef
 
 Scale: windows travel as 128-bit hashes with their place, never with text; first
 occurrences are a partial aggregate, so a window found in a third of all documents costs
-one row a task; the join back is a sort-merge join that adaptive execution can split.
+one row a task and goes to a shared table; the join back has plain exchanges on both sides,
+so adaptive execution can broadcast it or split hot windows.
 
 Defined cases: null text is an empty text with no lines; texts of fewer than three
 non-blank lines have no window and stay as they are; rows that repeat doc_id and text count
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import Shared, read
 
 OWN = ("n_lines", "n_removed", "n_spans", "kept_text")
 BLANKS = " \t\r\x0b\x0c"
@@ -48,21 +49,22 @@ def windows(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "key", F.inline(made)).select("h1", "h2", "doc_id", "key", "pos")
 
 
-def repeated(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, at): the windows of each document that occur earlier, as an array."""
+def repeated(docs: DataFrame, shared: Shared) -> DataFrame:
+    """(doc_id, key, found): the windows of each document that occur earlier, as an array."""
     rows = windows(docs)
     place = F.struct("doc_id", "key", "pos")
     firsts = rows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
-    later = rows.join(firsts.hint("merge"), ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
+    firsts = shared.save(firsts, "firsts")
+    later = rows.join(firsts, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
     return later.groupBy("doc_id", "key").agg(F.collect_set("pos").alias("found"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, shared: Shared) -> DataFrame:
     """docs with n_lines, n_removed (lines), n_spans (merged stretches) and kept_text."""
     docs = docs.drop(*OWN)
     base = keyed(docs)
-    found = repeated(base).select(F.col("doc_id").alias("_id"), F.col("key").alias("_k"), F.array_sort("found").alias("_found"))
-    out = base.join(found.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")), "left")
+    found = repeated(base, shared).select(F.col("doc_id").alias("_id"), F.col("key").alias("_k"), F.array_sort("found").alias("_found"))
+    out = base.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")), "left")
     p, n = F.coalesce("_found", F.array().cast("array<int>")), F.size(F.coalesce("_found", F.array().cast("array<int>")))
     # the first and last windows of each merged stretch: no neighbour within three lines
     begins = F.filter(p, lambda x, i: (i == 0) | (x > F.try_element_at(p, F.greatest(i, F.lit(1))) + 3))
@@ -82,7 +84,7 @@ def slice_between(lines: str, begin: Column, end: Column) -> Column:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), Shared(spark))
     return out.select("doc_id", "n_lines", "n_removed", "n_spans", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
