@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import benchmark_decontamination, curriculum_mixing, line_dedup, quality_classifier, quality_rules, token_counts
+from . import benchmark_decontamination, curriculum_mixing, line_dedup, minhash_near_dedup, quality_classifier, quality_rules, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": quality_rules.op3_quality_rules,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_benchmark_decontamination": benchmark_decontamination.op6_benchmark_decontamination,
     "op7_quality_classifier": quality_classifier.op7_quality_classifier,
     "op8_curriculum_mixing": curriculum_mixing.op8_curriculum_mixing,
+    "op9_minhash_near_dedup": minhash_near_dedup.op9_minhash_near_dedup,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 ORACLES: dict[str, str] = {
