@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import benchmark_decontamination, curriculum_mixing, line_dedup, minhash_near_dedup, quality_classifier, quality_rules, token_counts
+from . import benchmark_decontamination, chat_formatting, curriculum_mixing, line_dedup, minhash_near_dedup, quality_classifier, quality_rules, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_formatting": chat_formatting.op1_chat_formatting,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_benchmark_decontamination": benchmark_decontamination.op6_benchmark_decontamination,
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": token_counts.op10_token_counts,
 }
 ORACLES: dict[str, str] = {
+    "op1_chat_formatting": chat_formatting.ORACLE,
     "op5_line_dedup": line_dedup.ORACLE,
     "op6_benchmark_decontamination": benchmark_decontamination.ORACLE,
     "op8_curriculum_mixing": curriculum_mixing.ORACLE,
