@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import benchmark_decontamination, chat_formatting, curriculum_mixing, line_dedup, minhash_near_dedup, quality_classifier, quality_rules, token_counts
+from . import benchmark_decontamination, chat_formatting, curriculum_mixing, line_dedup, lm_scoring, minhash_near_dedup, quality_classifier, quality_rules, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": chat_formatting.op1_chat_formatting,
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op4_lm_scoring": lm_scoring.op4_lm_scoring,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_benchmark_decontamination": benchmark_decontamination.op6_benchmark_decontamination,
     "op7_quality_classifier": quality_classifier.op7_quality_classifier,
