@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import benchmark_decontamination, chat_formatting, curriculum_mixing, line_dedup, lm_scoring, minhash_near_dedup, quality_classifier, quality_rules, token_counts
+from . import benchmark_decontamination, chat_formatting, curriculum_mixing, line_dedup, lm_scoring, minhash_near_dedup, quality_classifier, quality_rules, suffix_array_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": chat_formatting.op1_chat_formatting,
+    "op2_suffix_array_dedup": suffix_array_dedup.op2_suffix_array_dedup,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_lm_scoring": lm_scoring.op4_lm_scoring,
     "op5_line_dedup": line_dedup.op5_line_dedup,
