@@ -1 +1 @@
-
+"""Diagnostic operators: each takes a DataFrame and column names and returns a DataFrame."""

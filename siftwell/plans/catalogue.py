@@ -5,6 +5,238 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from siftwell.operators import profile, relations
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    """Doubles rounded, minus zero as zero."""
+    return df.select(*[(F.round(c, places) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def labelled(spark: SparkSession, sf: str) -> DataFrame:
+    """documents with their labels, where there are any: the labels' nulls are the missing values."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
+    return docs.join(table(spark, sf, "labels"), "doc_id", "left")
+
+
+LABELLED = "labelled AS (SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"
+
+
+def sparse_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """lineitem with holes: quantities of 1 and taxes of 0 are missing."""
+    return table(spark, sf, "lineitem").select("l_extendedprice", "l_discount", F.nullif("l_quantity", F.lit(1.0)).alias("l_quantity"), F.nullif("l_tax", F.lit(0.0)).alias("l_tax"))
+
+
+SPARSE = "sparse AS (SELECT l_extendedprice, l_discount, nullif(l_quantity, 1.0) AS l_quantity, nullif(l_tax, 0.0) AS l_tax FROM lineitem)"
+LINE_NUMBERS = ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def unions(parts: list[str]) -> str:
+    return " UNION ALL ".join(parts)
+
+
+# aggregates -----------------------------------------------------------------
+
+
+@query(f"WITH {LABELLED} " + unions([f"SELECT '{c}' AS \"column\", count(*) AS n_rows, count(*) FILTER ({m}) AS n_missing, round(avg(CASE WHEN {m} THEN 1 ELSE 0 END), 6) AS missing_rate FROM labelled" for c, m in (("doc_id", "doc_id IS NULL"), ("lang", "lang IS NULL OR trim(lang) = ''"), ("source", "source IS NULL OR trim(source) = ''"), ("n_chars", "n_chars IS NULL"), ("quality", "quality IS NULL"), ("toxic", "toxic IS NULL"))]))
+def missing_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(profile.missing_rates(labelled(spark, sf)))
+
+
+@query(f"WITH {LABELLED} SELECT round((count(*) FILTER (quality IS NULL) + count(*) FILTER (toxic IS NULL)) / (6.0 * count(*)), 6) AS overall_missing_rate FROM labelled")
+def missing_overall(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(profile.overall_missing(labelled(spark, sf)))
+
+
+@query(f"WITH {SPARSE} SELECT 'l_quantity' AS a, 'l_tax' AS b, round(corr(CASE WHEN l_quantity IS NULL THEN 1.0 ELSE 0.0 END, CASE WHEN l_tax IS NULL THEN 1.0 ELSE 0.0 END), 6) AS corr FROM sparse")
+def missing_indicator_corr(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(relations.missing_indicator_corr(sparse_lines(spark, sf)))
+
+
+@query(f"WITH {SPARSE}, y AS (SELECT stddev_pop(l_extendedprice) AS s FROM sparse) " + unions([f"SELECT '{c}' AS \"column\", round(abs(avg(l_extendedprice) FILTER ({c} IS NULL) - avg(l_extendedprice) FILTER ({c} IS NOT NULL)) / any_value(s), 6) AS effect FROM sparse, y" for c in ("l_quantity", "l_tax")]))
+def missing_target_effect(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(relations.missing_target_effect(sparse_lines(spark, sf), "l_extendedprice"))
+
+
+@query(f"WITH {LABELLED}, c AS (SELECT lang, count(*) FILTER (quality IS NULL) AS mq, count(*) FILTER (quality IS NOT NULL) AS pq, count(*) FILTER (toxic IS NULL) AS mt, count(*) FILTER (toxic IS NOT NULL) AS pt FROM labelled GROUP BY lang), t AS (SELECT sum(mq) AS smq, sum(pq) AS spq, sum(mt) AS smt, sum(pt) AS spt FROM c) SELECT 'quality' AS \"column\", round(0.5 * sum(abs(mq / smq - pq / spq)), 6) AS tv FROM c, t UNION ALL SELECT 'toxic', round(0.5 * sum(abs(mt / smt - pt / spt)), 6) FROM c, t")
+def missing_target_tv(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(relations.missing_target_tv(labelled(spark, sf), "lang"))
+
+
+SIZED = (("orders", "o_totalprice", 5), ("lineitem", "l_extendedprice", 10), ("documents", "lang", 4), ("embeddings", "label", 2))
+
+
+@query(unions([f"SELECT '{t}' AS \"table\", count(*) AS n_rows, CAST({d} AS BIGINT) AS d_features, round(count(*) / {d}.0, 6) AS n_over_d, CASE WHEN count(*) / {d}.0 < 5 THEN 'low_data_high_d' WHEN count(*) / {d}.0 < 20 THEN 'moderate_data_medium_d' ELSE 'data_adequate_for_many_models' END AS regime, CASE WHEN count(*) / {d}.0 < 5 THEN 'mandatory' WHEN count(*) / {d}.0 < 20 THEN 'recommended' ELSE 'task_dependent' END AS regularization FROM {t}" for t, _, d in SIZED]))
+def sample_size_regime(spark: SparkSession, sf: str) -> DataFrame:
+    parts = [rounded(profile.sample_size(table(spark, sf, t), y)).select(F.lit(t).alias("table"), "*") for t, y, _ in SIZED]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out
+
+
+LABELS = (("orders", "o_orderstatus"), ("events", "event_type"), ("labels", "quality"), ("embeddings", "label"))
+
+
+@query(unions([f"SELECT '{t}' AS \"table\", count(*) AS classes, CAST(sum(n) AS BIGINT) AS total, round(min(n) / sum(n), 6) AS minority_rate, round(max(n) / min(n), 6) AS imbalance_ratio, min(n) / sum(n) < 0.05 AS rare_event, count(*) >= 10 AND max(n) / sum(n) < 0.5 AS long_tail FROM (SELECT {y}, count(*) AS n FROM {t} WHERE {y} IS NOT NULL GROUP BY {y})" for t, y in LABELS]))
+def label_dist_classes(spark: SparkSession, sf: str) -> DataFrame:
+    parts = [rounded(profile.class_distribution(table(spark, sf, t), y)).select(F.lit(t).alias("table"), "*") for t, y in LABELS]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out
+
+
+@query("SELECT CAST(o_orderstatus AS VARCHAR) AS label, count(*) AS n FROM orders GROUP BY 1")
+def label_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return profile.class_counts(table(spark, sf, "orders"), "o_orderstatus")
+
+
+@query("SELECT count(o_totalprice) AS count, round(avg(o_totalprice), 4) AS mean, round(stddev_pop(o_totalprice), 4) AS std, round(quantile_cont(o_totalprice, 0.01), 4) AS q01, round(quantile_cont(o_totalprice, 0.5), 4) AS q50, round(quantile_cont(o_totalprice, 0.99), 4) AS q99, round(skewness(o_totalprice), 4) AS skew FROM orders")
+def label_dist_regression(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(profile.value_distribution(table(spark, sf, "orders"), "o_totalprice"), 4)
+
+
+def iqr_oracle(source: str, columns: list[str]) -> str:
+    return "WITH " + ", ".join(f"q_{c} AS (SELECT quantile_cont({c}::DOUBLE, 0.25) AS q1, quantile_cont({c}::DOUBLE, 0.75) AS q3 FROM {source})" for c in columns) + " " + unions([f"SELECT '{c}' AS \"column\", count({c}) AS n, round(any_value(q1), 4) AS q1, round(any_value(q3), 4) AS q3, round(CASE WHEN any_value(q3) > any_value(q1) THEN avg(CASE WHEN {c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1) THEN 1 ELSE 0 END) ELSE 0 END, 4) AS outlier_rate FROM {source}, q_{c}" for c in columns])
+
+
+@query(iqr_oracle("lineitem", LINE_NUMBERS))
+def iqr_outliers(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(profile.iqr_outliers(table(spark, sf, "lineitem"), LINE_NUMBERS), 4)
+
+
+@query(iqr_oracle("events", ["value"]))
+def iqr_outliers_events(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(profile.iqr_outliers(table(spark, sf, "events"), ["value"]), 4)
+
+
+def scale_oracle(source: str, columns: list[str]) -> str:
+    made = unions([f"SELECT '{c}' AS \"column\", count({c}) AS n, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, stddev_pop({c}) AS std, quantile_cont({c}::DOUBLE, 0.05) AS q05, quantile_cont({c}::DOUBLE, 0.95) AS q95, skewness({c}) AS skew FROM {source}" for c in columns])
+    return f"WITH s AS ({made})"
+
+
+ROUNDED_SCALE = 'SELECT "column", n, round(min, 4) AS min, round(max, 4) AS max, round(std, 4) AS std, round(q05, 4) AS q05, round(q95, 4) AS q95, round(skew, 4) + 0.0 AS skew, abs(skew) > 2 AS heavy_tail, q05 > 0 AND q95 / greatest(q05, 1e-9) > 100 AND skew > 1 AS log_candidate FROM s'
+
+
+@query(f"{scale_oracle('lineitem', LINE_NUMBERS)} {ROUNDED_SCALE}")
+def feature_scale_lineitem(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(profile.feature_scale(table(spark, sf, "lineitem"), LINE_NUMBERS), 4)
+
+
+@query(f"{scale_oracle('part', ['p_size', 'p_retailprice'])} {ROUNDED_SCALE}")
+def feature_scale_part(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(profile.feature_scale(table(spark, sf, "part"), ["p_size", "p_retailprice"]), 4)
+
+
+@query(f"{scale_oracle('lineitem', LINE_NUMBERS)} SELECT count(*) AS n_features, round(max(std) / min(std), 4) AS std_scale_ratio, round(max(max - min) / min(max - min), 4) AS range_scale_ratio, round(log10(max(max - min) / min(max - min)), 4) AS orders_of_magnitude_span FROM s")
+def scale_ratios(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(profile.scale_ratios(profile.feature_scale(table(spark, sf, "lineitem"), LINE_NUMBERS)), 4)
+
+
+def corr_oracle(source: str, columns: list[str]) -> str:
+    return unions([f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS corr FROM {source}" for i, a in enumerate(columns) for b in columns[i + 1 :]])
+
+
+@query(corr_oracle("lineitem", LINE_NUMBERS))
+def corr_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(relations.corr_pairs(table(spark, sf, "lineitem"), LINE_NUMBERS))
+
+
+EMBEDDED = "WITH x AS (SELECT vec_id, u.i AS i, embedding[u.i]::DOUBLE AS v FROM embeddings, unnest(range(1, 65)) AS u(i))"
+
+
+@query(f"{EMBEDDED} SELECT concat('e', a.i - 1) AS a, concat('e', b.i - 1) AS b, round(corr(a.v, b.v), 6) AS corr FROM x a JOIN x b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY a.i, b.i")
+def corr_pairs_wide(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings").select(F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    return rounded(relations.wide_corr(rows, [f"e{i}" for i in range(64)]))
+
+
+@query("SELECT * FROM (SELECT 'l_quantity' AS a, 'twice' AS b, round(corr(l_quantity, 2 * l_quantity), 4) AS corr FROM lineitem UNION ALL SELECT 'l_quantity', 'l_extendedprice', round(corr(l_quantity, l_extendedprice), 4) FROM lineitem UNION ALL SELECT 'twice', 'l_extendedprice', round(corr(l_quantity, l_extendedprice), 4) FROM lineitem) WHERE abs(corr) >= 0.9")
+def corr_high(spark: SparkSession, sf: str) -> DataFrame:
+    lines = table(spark, sf, "lineitem").select("l_quantity", (2 * F.col("l_quantity")).alias("twice"), "l_extendedprice")
+    return relations.high_corr(relations.corr_pairs(lines))
+
+
+@query("SELECT count(*) AS n_rows, (SELECT count(*) FROM (SELECT DISTINCT text, lang, source FROM documents)) AS n_distinct, round((count(*) - (SELECT count(*) FROM (SELECT DISTINCT text, lang, source FROM documents))) / count(*), 6) AS duplicate_rate FROM documents")
+def dup_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(relations.duplicate_rows(table(spark, sf, "documents").select("text", "lang", "source")))
+
+
+@query("SELECT 'o_custkey' AS a, 'again' AS b FROM (SELECT count(*) FILTER (o_custkey <> o_custkey) AS n FROM orders) WHERE n = 0")
+def dup_columns(spark: SparkSession, sf: str) -> DataFrame:
+    return relations.duplicate_columns(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", F.col("o_custkey").alias("again")))
+
+
+@query(f"WITH {LABELLED}, g AS (SELECT lang, source, count(*) AS n, count(DISTINCT quality) AS m FROM labelled GROUP BY lang, source) SELECT count(*) FILTER (n > 1) AS repeated, count(*) FILTER (n > 1 AND m > 1) AS conflicting, round(count(*) FILTER (n > 1 AND m > 1) / greatest(count(*) FILTER (n > 1), 1), 6) AS conflict_rate FROM g")
+def conflict_rate(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(relations.conflict_rate(labelled(spark, sf), "quality", ["lang", "source"]))
+
+
+@query("WITH g AS (SELECT user_id, count(DISTINCT event_type) AS m FROM events GROUP BY user_id) SELECT count(*) AS n_groups, count(*) FILTER (m > 1) AS n_leaked, round(count(*) FILTER (m > 1) / count(*), 6) AS leakage_fraction FROM g")
+def group_leakage(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(relations.group_leakage(table(spark, sf, "events"), "event_type", "user_id"))
+
+
+def shift_oracle(source: str, split: str, columns: list[str]) -> str:
+    parts = unions([f"SELECT {split} AS s, '{c}' AS \"column\", {c}::DOUBLE AS x FROM {source}" for c in columns])
+    return f"""WITH sizes AS (SELECT {split} AS s, row_number() OVER (ORDER BY count(*) DESC, {split}) AS r FROM {source} WHERE {split} IS NOT NULL GROUP BY {split}),
+long AS ({parts}), base AS (SELECT s FROM sizes WHERE r = 1), others AS (SELECT s FROM sizes WHERE r BETWEEN 2 AND 4)
+SELECT base.s AS base, others.s AS other, "column", round(abs(avg(x) FILTER (long.s = base.s) - avg(x) FILTER (long.s = others.s)) / stddev_pop(x), 6) AS shift
+FROM base, others, long WHERE long.s = base.s OR long.s = others.s GROUP BY base.s, others.s, "column" HAVING stddev_pop(x) > 0"""
+
+
+@query(shift_oracle("orders", "o_orderstatus", ["o_orderkey", "o_custkey", "o_totalprice"]))
+def split_shift_orders(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(relations.split_shift(table(spark, sf, "orders"), "o_orderstatus"))
+
+
+@query(shift_oracle("documents", "lang", ["n_chars"]))
+def split_shift_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(relations.split_shift(table(spark, sf, "documents"), "lang", ["n_chars"]))
+
+
+def drift_oracle(source: str, time: str, tie: str, columns: list[str]) -> str:
+    return f"WITH r AS (SELECT *, row_number() OVER (ORDER BY {time}, {tie}) <= floor(count(*) OVER () / 2) AS early FROM {source}) " + unions([f"SELECT '{c}' AS \"column\", count({c}) FILTER (early) AS n_early, count({c}) FILTER (NOT early) AS n_late, round(abs(avg({c}) FILTER (early) - avg({c}) FILTER (NOT early)) / stddev_pop({c}), 6) AS shift FROM r" for c in columns])
+
+
+@query(drift_oracle("events", "ts", "event_id", ["value", "user_id"]))
+def time_drift_events(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(relations.time_drift(table(spark, sf, "events"), "ts", "event_id", ["value", "user_id"]))
+
+
+@query(drift_oracle("orders", "o_orderdate", "o_orderkey", ["o_totalprice", "o_custkey"]))
+def time_drift_orders(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(relations.time_drift(table(spark, sf, "orders"), "o_orderdate", "o_orderkey", ["o_totalprice", "o_custkey"]))
+
+
+@query(unions([f"SELECT '{t}' AS \"table\", count(*) AS classes, round(CASE WHEN count(*) >= 2 THEN min(n) / sum(n) END, 6) AS imbalance, CASE WHEN count(*) >= 2 AND min(n) / sum(n) < 0.1 THEN 'pr_auc' ELSE 'roc_auc' END AS metric FROM (SELECT {y}, count(*) AS n FROM {t} GROUP BY {y})" for t, y in LABELS[:3]]))
+def metric_choice(spark: SparkSession, sf: str) -> DataFrame:
+    parts = [profile.metric_imbalance(table(spark, sf, t), y).select(F.lit(t).alias("table"), "classes", F.round("imbalance", 6).alias("imbalance"), F.when(F.col("imbalance") < 0.1, "pr_auc").otherwise("roc_auc").alias("metric")) for t, y in LABELS[:3]]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
+@query("WITH s AS (SELECT l.quality, least(1.0, d.n_chars / 5000.0) AS score FROM labels l JOIN documents d ON l.doc_id = d.doc_id), t AS (SELECT unnest([0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])::DOUBLE AS threshold), c AS (SELECT threshold, count(*) FILTER (score >= threshold AND quality = 1) AS tp, count(*) FILTER (score >= threshold AND quality = 0) AS fp, count(*) FILTER (score < threshold AND quality = 1) AS fn FROM s, t GROUP BY threshold), p AS (SELECT *, tp / (tp + fp + 1e-12) AS p, tp / (tp + fn + 1e-12) AS r FROM c) SELECT threshold, tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / (p + r + 1e-12), 6) AS f1 FROM p")
+def threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    scored = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id").select("quality", F.least(F.lit(1.0), F.col("n_chars") / 5000.0).alias("score"))
+    return rounded(relations.threshold_sweep(scored, "quality", "score", [i / 10 for i in range(11)]))
