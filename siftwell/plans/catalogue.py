@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.operators import profile, relations
+from siftwell.operators import profile, relations, texts
+from siftwell.sources.detect import detect_column
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -240,3 +241,56 @@ def metric_choice(spark: SparkSession, sf: str) -> DataFrame:
 def threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
     scored = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id").select("quality", F.least(F.lit(1.0), F.col("n_chars") / 5000.0).alias("score"))
     return rounded(relations.threshold_sweep(scored, "quality", "score", [i / 10 for i in range(11)]))
+
+
+# texts and files ------------------------------------------------------------
+
+SPLIT = "string_split(regexp_replace(coalesce({0}, ''), '\\r\\n?', chr(10), 'g'), chr(10))"
+SOLID = "list_filter({0}, lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) <> '')"
+
+
+@query(f"WITH l AS (SELECT doc_id, {SPLIT.format('text')} AS l FROM documents), s AS (SELECT doc_id, len(l) AS n_lines, {SOLID.format('l')} AS s FROM l) SELECT doc_id, n_lines, len(s) AS n_solid, round(CASE WHEN len(s) = 0 THEN 0 ELSE list_sum(list_transform(s, lambda x: length(x))) / len(s) END, 2) AS mean_length, len(list_filter(s, lambda x: contains(x, ','))) AS commas, len(list_filter(s, lambda x: contains(x, ';'))) AS semicolons, len(list_filter(s, lambda x: contains(x, '|'))) AS pipes, len(list_filter(s, lambda x: contains(x, chr(9)))) AS tabs FROM s")
+def text_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return texts.text_stats(table(spark, sf, "documents"), "text", "doc_id")
+
+
+@query(f"""WITH l AS (SELECT doc_id, {SPLIT.format('text')} AS l FROM documents), s AS (SELECT doc_id, list_slice({SOLID.format('l')}, 1, 50) AS s FROM l),
+m AS (SELECT unnest([0, 1, 2, 3]) AS r, unnest([',', chr(9), ';', '|']) AS d), e AS (SELECT doc_id, r, d, len(string_split(u.x, d)) AS w FROM s, m, unnest(s) AS u(x)),
+c AS (SELECT doc_id, r, d, w, count(*) AS n FROM e GROUP BY doc_id, r, d, w), t AS (SELECT doc_id, r, d, sum(n) OVER (PARTITION BY doc_id, r) AS total, w, n, row_number() OVER (PARTITION BY doc_id, r ORDER BY n DESC, w DESC) AS i FROM c),
+f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w * (n / total) DESC, r) AS b FROM t WHERE i = 1 AND total >= 2 AND w >= 2 AND n / total >= 0.8) SELECT doc_id, d AS delimiter, w AS columns, round(n / total, 6) AS consistency FROM f WHERE b = 1""")
+def delimiter_sniff(spark: SparkSession, sf: str) -> DataFrame:
+    return texts.delimiter_widths(table(spark, sf, "documents"), "text", "doc_id")
+
+
+@query(r"WITH l AS (SELECT doc_id, u.i AS pos, " + SPLIT.format("text") + r"[u.i] AS line FROM documents, unnest(range(1, len(" + SPLIT.format("text") + r") + 1)) AS u(i)), p AS (SELECT doc_id, pos, regexp_extract(line, '^\s*([A-Za-z0-9_.\-]+)\s*[:=]\s*(.+?)\s*$', 1) AS name, regexp_extract(line, '^\s*([A-Za-z0-9_.\-]+)\s*[:=]\s*(.+?)\s*$', 2) AS value FROM l WHERE regexp_matches(line, '^\s*([A-Za-z0-9_.\-]+)\s*[:=]\s*(.+?)\s*$')) SELECT doc_id, name, arg_min(value, pos) AS value FROM p GROUP BY doc_id, name")
+def kv_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return texts.key_values(table(spark, sf, "documents"), "text", "doc_id")
+
+
+@query(r"SELECT page_id, len(regexp_extract_all(lower(html), '<table[\s>]')) AS n_tables, octet_length(encode(html)) AS n_bytes FROM pages")
+def html_table_count(spark: SparkSession, sf: str) -> DataFrame:
+    return texts.html_table_count(table(spark, sf, "pages"), "html", "page_id")
+
+
+@query("SELECT CASE json_type(props) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'str' WHEN 'BOOLEAN' THEN 'bool' WHEN 'NULL' THEN 'null' WHEN 'UBIGINT' THEN 'int' WHEN 'BIGINT' THEN 'int' ELSE 'float' END AS kind, count(*) AS n FROM events GROUP BY 1")
+def json_props_shape(spark: SparkSession, sf: str) -> DataFrame:
+    return texts.json_kinds(table(spark, sf, "events"), "props")
+
+
+@query("WITH k AS (SELECT props, unnest(json_keys(props)) AS key FROM events) SELECT key, CASE json_type(props, '$.' || key) WHEN 'UBIGINT' THEN 'int' WHEN 'BIGINT' THEN 'int' WHEN 'VARCHAR' THEN 'str' WHEN 'BOOLEAN' THEN 'bool' WHEN 'NULL' THEN 'null' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' ELSE 'float' END AS kind, count(*) AS n FROM k GROUP BY 1, 2")
+def record_schema_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return texts.record_schema(table(spark, sf, "events"), "props")
+
+
+@query()
+def detect_text_types(spark: SparkSession, sf: str) -> DataFrame:
+    """The format of every document's and page's text taken as a file of its own."""
+    docs = detect_column(table(spark, sf, "documents").select(F.lit("documents").alias("table"), F.col("doc_id").alias("id"), "text"), "text")
+    pages = detect_column(table(spark, sf, "pages").select(F.lit("pages").alias("table"), F.col("page_id").alias("id"), F.col("html").alias("text")), "text")
+    return docs.unionAll(pages).groupBy("table", "file_type", "confidence").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'html' AS file_type, count(*) AS n FROM pages WHERE contains(lower(left(ltrim(html), 2048)), '<html') OR contains(lower(left(ltrim(html), 2048)), '<table')")
+def detect_pages_html(spark: SparkSession, sf: str) -> DataFrame:
+    found = detect_column(table(spark, sf, "pages").select("page_id", "html"), "html")
+    return found.where("file_type = 'html'").groupBy("file_type").agg(F.count("*").alias("n"))

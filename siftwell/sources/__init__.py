@@ -1 +1 @@
-
+"""File formats: detection, structure summaries, and readers that give DataFrames."""
