@@ -7,8 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.operators import profile, relations, texts
+from siftwell.context import Options
+from siftwell.functions import probe_id
+from siftwell.operators import profile, relations, roles, texts
+from siftwell.plans import decide
+from siftwell.plans.diagnose import diagnose
 from siftwell.sources.detect import detect_column
+from siftwell.streaming import rollups
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -294,3 +299,170 @@ def detect_text_types(spark: SparkSession, sf: str) -> DataFrame:
 def detect_pages_html(spark: SparkSession, sf: str) -> DataFrame:
     found = detect_column(table(spark, sf, "pages").select("page_id", "html"), "html")
     return found.where("file_type = 'html'").groupBy("file_type").agg(F.count("*").alias("n"))
+
+
+# roles and types ------------------------------------------------------------
+
+PART_FACTS = """WITH facts AS (
+SELECT 'p_partkey' AS c, 'number' AS kind, count(p_partkey) AS n, count(DISTINCT p_partkey) AS u, true AS whole, avg(length(p_partkey::VARCHAR)) AS len, 0.0 AS sep FROM part UNION ALL
+SELECT 'p_name', 'string', count(p_name), count(DISTINCT p_name), false, avg(length(p_name)), avg(regexp_matches(p_name, '[,|;]')::INT) FROM part UNION ALL
+SELECT 'p_brand', 'string', count(p_brand), count(DISTINCT p_brand), false, avg(length(p_brand)), avg(regexp_matches(p_brand, '[,|;]')::INT) FROM part UNION ALL
+SELECT 'p_type', 'string', count(p_type), count(DISTINCT p_type), false, avg(length(p_type)), avg(regexp_matches(p_type, '[,|;]')::INT) FROM part UNION ALL
+SELECT 'p_size', 'number', count(p_size), count(DISTINCT p_size), true, avg(length(p_size::VARCHAR)), 0.0 FROM part UNION ALL
+SELECT 'p_retailprice', 'number', count(p_retailprice), count(DISTINCT p_retailprice), bool_and(p_retailprice % 1 = 0), avg(length(p_retailprice::VARCHAR)), 0.0 FROM part)"""
+
+
+@query(f"{PART_FACTS} SELECT c AS \"column\", n AS n_present, u AS n_distinct, kind, whole FROM facts")
+def column_facts(spark: SparkSession, sf: str) -> DataFrame:
+    return profile.column_facts(table(spark, sf, "part")).select("column", "n_present", "n_distinct", "kind", "whole")
+
+
+@query(f"{PART_FACTS} SELECT c AS \"column\", CASE WHEN kind = 'number' THEN 1.0 + CASE WHEN u <= 2 THEN 2.5 WHEN u <= greatest(10, floor(0.02 * n)) THEN 1.2 WHEN u >= floor(0.6 * n) THEN -2.0 ELSE 0 END ELSE CASE WHEN u <= greatest(20, floor(0.08 * n)) THEN 1.8 WHEN u >= floor(0.8 * n) THEN -2.0 ELSE 0 END END + CASE WHEN u <= 1 THEN -5 ELSE 0 END AS score FROM facts")
+def target_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(roles.target_scores(profile.column_facts(table(spark, sf, "part"))))
+
+
+@query(f"{PART_FACTS} SELECT c AS \"column\", CASE WHEN sep >= 0.6 THEN 'multilabel_classification' WHEN u <= 2 THEN 'binary_classification' WHEN kind = 'number' AND whole AND u <= greatest(20, floor(0.1 * n)) THEN 'multiclass_classification' WHEN kind = 'number' THEN 'regression' ELSE 'multiclass_classification' END AS task_type, CASE WHEN sep >= 0.6 THEN 0.65 WHEN kind = 'number' AND u <= 2 THEN 0.9 WHEN u <= 2 THEN 0.85 WHEN kind = 'number' AND whole AND u <= greatest(20, floor(0.1 * n)) THEN 0.7 WHEN kind = 'number' THEN 0.75 ELSE 0.8 END AS confidence FROM facts")
+def task_inference(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(roles.tasks(profile.column_facts(table(spark, sf, "part"))))
+
+
+@query(f"{PART_FACTS} SELECT c AS \"column\", CASE WHEN kind = 'number' AND whole AND u <= greatest(30, floor(0.05 * n)) THEN 'numeric_discrete' WHEN kind = 'number' THEN 'numeric_continuous' WHEN len > 40 OR (len > 16 AND u / n > 0.6) THEN 'text' ELSE 'categorical_nominal' END AS feature_type FROM facts")
+def feature_types(spark: SparkSession, sf: str) -> DataFrame:
+    return roles.feature_types(profile.column_facts(table(spark, sf, "part")), compat=False)
+
+
+@query(f"{PART_FACTS} SELECT c AS \"column\", CASE WHEN kind = 'number' AND n >= 5 THEN 'datetime' WHEN len > 40 OR (len > 16 AND u / n > 0.6) THEN 'text' ELSE 'categorical_nominal' END AS feature_type FROM facts")
+def feature_types_compat(spark: SparkSession, sf: str) -> DataFrame:
+    return roles.feature_types(profile.column_facts(table(spark, sf, "part")))
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_name LIKE 'p%' ORDER BY p_name")
+def snippet_prefix(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries of a registry by name prefix; the prefix reaches the scan as a filter."""
+    return table(spark, sf, "part").where(F.col("p_name").startswith("p")).select("p_partkey", "p_name").orderBy("p_name")
+
+
+# decisions ------------------------------------------------------------------
+
+
+def asked(spark: SparkSession, sf: str) -> DataFrame:
+    """A probe request for every customer, as planned probes look like."""
+    kinds = F.array(*[F.lit(k) for k in decide.METRICS])
+    rows = table(spark, sf, "customer").select(F.concat(F.lit("ds_"), F.col("c_custkey").cast("string")).alias("dataset_id"), F.element_at(kinds, (F.col("c_custkey") % 6 + 1).cast("int")).alias("probe_kind"), F.col("c_mktsegment").alias("reason"))
+    return rows.withColumn("request_id", probe_id(F.col("dataset_id"), F.col("probe_kind"), F.col("reason"))).withColumns({"candidate_family": F.lit("mlp"), "signals": F.array(F.lit("a")), "max_trials": F.lit(20), "max_runtime_minutes": F.lit(30)})
+
+
+ASKED = """kinds AS (SELECT ['supervised_baseline_probe', 'split_sensitivity_probe', 'unsupervised_structure_probe', 'missingness_impact_probe', 'feature_redundancy_probe', 'uncertainty_resolution_probe'] AS k),
+named AS (SELECT concat('ds_', c_custkey) AS dataset_id, k[c_custkey % 6 + 1] AS probe_kind, c_mktsegment AS reason FROM customer, kinds),
+hashed AS (SELECT *, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(concat_ws(':', dataset_id, probe_kind, reason))) AS h FROM named),
+asked AS (SELECT dataset_id, probe_kind, reason, concat('probe_', substr(h, 1, 12), '5', substr(h, 14, 3)) AS request_id FROM hashed)"""
+
+
+@query(f"WITH {ASKED} SELECT dataset_id, probe_kind, reason, request_id FROM asked")
+def probe_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return asked(spark, sf).select("dataset_id", "probe_kind", "reason", "request_id")
+
+
+@query(f"WITH {ASKED}, s AS (SELECT *, CAST(('0x' || substr(sha256(request_id), 1, 12)) AS BIGINT) / 281474976710655.0 AS s FROM asked) SELECT request_id, probe_kind, 'success' AS status, round(s, 6) AS seed, CAST(greatest(1, round_even(20 * (0.7 + 0.25 * s), 0)) AS INTEGER) AS trials_run, round(CASE probe_kind WHEN 'supervised_baseline_probe' THEN 0.02 + 0.04 * s WHEN 'split_sensitivity_probe' THEN 0.018 + 0.03 * (1 - (0.01 + 0.08 * (1 - s))) WHEN 'unsupervised_structure_probe' THEN 0.015 + 0.035 * abs(-0.02 + 0.42 * s) WHEN 'missingness_impact_probe' THEN 0.01 + 0.03 * abs(-0.03 + 0.12 * s) WHEN 'feature_redundancy_probe' THEN 0.008 + 0.03 * abs(-0.05 + 0.08 * s) ELSE 0.01 + 0.03 * s END, 5) AS confidence_gain FROM s")
+def probe_sim(spark: SparkSession, sf: str) -> DataFrame:
+    done = decide.simulated(asked(spark, sf))
+    return done.select("request_id", "probe_kind", "status", F.round("seed", 6).alias("seed"), "trials_run", F.round("confidence_gain", 5).alias("confidence_gain"))
+
+
+@query(f"WITH {ASKED} SELECT dataset_id, request_id FROM asked WHERE CAST(substr(dataset_id, 4) AS BIGINT) % 3 <> 0")
+def probe_anti(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests without a result yet."""
+    requests = asked(spark, sf)
+    results = requests.where(F.substring("dataset_id", 4, 20).cast("long") % 3 == 0).select("request_id")
+    return requests.join(results, "request_id", "left_anti").select("dataset_id", "request_id")
+
+
+@query(f"WITH {ASKED}, p AS (SELECT CASE WHEN probe_kind LIKE 's%' THEN 'high' WHEN probe_kind LIKE 'u%' THEN 'medium' ELSE 'low' END AS priority FROM asked) SELECT priority, count(*) AS n, CAST(20 * count(*) AS BIGINT) AS trials, CAST(30 * count(*) AS BIGINT) AS minutes FROM p GROUP BY priority")
+def probe_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    return decide.probe_totals(asked(spark, sf).withColumn("priority", F.when(F.col("probe_kind").startswith("s"), "high").when(F.col("probe_kind").startswith("u"), "medium").otherwise("low")))
+
+
+@query("WITH c AS (SELECT concat('ds_', c_nationkey) AS dataset_id, concat('f', c_custkey) AS family, round(c_acctbal / 10000, 1) AS fit_score, c_custkey AS gen_order FROM customer), r AS (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY fit_score DESC, gen_order) AS rank FROM c) SELECT dataset_id, family, fit_score, CAST(rank AS INTEGER) AS rank, concat(dataset_id, '_cand_', lpad(rank::VARCHAR, 2, '0')) AS candidate_id FROM r WHERE rank <= 3")
+def candidate_rank(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "customer").select(F.concat(F.lit("ds_"), F.col("c_nationkey").cast("string")).alias("dataset_id"), F.concat(F.lit("f"), F.col("c_custkey").cast("string")).alias("family"), F.round(F.col("c_acctbal") / 10000, 1).alias("fit_score"), F.col("c_custkey").alias("gen_order"))
+    return decide.candidate_rank(rows)
+
+
+LOOP = "SELECT o_orderkey AS id, 4 AS datasets, o_orderkey % 5 AS ready, (4 - o_orderkey % 5) % 3 AS degraded, (4 - o_orderkey % 5) - (4 - o_orderkey % 5) % 3 AS blocked, o_custkey % 14 AS results, (o_orderkey % 7) / 100.0 AS mean_gain, 1 + o_custkey % 4 AS round_index, 3 AS max_rounds, 12 AS max_results, 0.02 AS min_gain FROM orders"
+
+
+@query(f"WITH s AS ({LOOP}) SELECT id, CASE WHEN ready = datasets AND blocked = 0 AND degraded = 0 THEN 'finalize' WHEN round_index > max_rounds THEN 'stop' WHEN results >= max_results THEN 'stop' WHEN results > 0 AND blocked = 0 AND degraded > 0 AND mean_gain < min_gain THEN 'await_operator' WHEN blocked > 0 OR degraded > 0 THEN 'request_probes' ELSE 'finalize' END AS action FROM s")
+def loop_action(spark: SparkSession, sf: str) -> DataFrame:
+    k, left = F.col("o_orderkey"), 4 - F.col("o_orderkey") % 5
+    state = table(spark, sf, "orders").select(k.alias("id"), F.lit(4).alias("datasets"), (k % 5).alias("ready"), (left % 3).alias("degraded"), (left - left % 3).alias("blocked"), (F.col("o_custkey") % 14).alias("results"), ((k % 7) / 100).alias("mean_gain"), (1 + F.col("o_custkey") % 4).alias("round_index"), F.lit(3).alias("max_rounds"), F.lit(12).alias("max_results"), F.lit(0.02).alias("min_gain"))
+    return decide.loop_action(state).select("id", "action")
+
+
+def made_datasets(spark: SparkSession, sf: str) -> DataFrame:
+    """A diagnosed dataset for every customer, of varied statuses."""
+    c = F.col("c_custkey")
+    status = lambda n: F.element_at(F.array(F.lit("auto_accept"), F.lit("needs_user_verification"), F.lit("unresolved")), (F.floor(c / n) % 3 + 1).cast("int"))
+    part = lambda k, n: F.struct(F.lit(k).alias("key"), F.when(status(n) != "unresolved", F.lit("x")).alias("value"), F.lit(0.5).alias("confidence"), status(n).alias("status"), F.lit("").alias("source"), F.array().cast("array<string>").alias("evidence"), F.lit("").alias("risk_if_wrong"))
+    found = lambda k: F.struct(F.lit(k).alias("key"), F.lit("").alias("title"), F.lit("supported").alias("status"), F.lit(0.8).alias("confidence"), F.lit("").alias("summary"), F.lit('{"n_over_d": 12.0, "d_features": 6}').alias("evidence"), F.array().cast("array<string>").alias("warnings"))
+    return table(spark, sf, "customer").select(
+        F.concat(F.lit("ds_"), c.cast("string")).alias("dataset_id"), F.lit("d").alias("display_name"), F.lit("csv").alias("detected_type"), F.lit(0.9).alias("detection_confidence"), (c % 13).cast("int").alias("supported"), F.lit(12).alias("total"),
+        F.array(*[part(k, n) for k, n in (("task_type", 1), ("target_column", 3), ("split_column", 9), ("time_column", 27), ("group_column", 81), ("objective_metric", 243))]).alias("assumptions"), F.array(*[found(k) for k in ("problem_type", "target_definition", "data_splitting_structure", "evaluation_metric", "sample_size_vs_feature_dimension")]).alias("vital_findings"), F.array().cast("array<string>").alias("warnings"),
+    )
+
+
+MADE = "d AS (SELECT concat('ds_', c_custkey) AS dataset_id, c_custkey % 13 AS supported, [c_custkey % 3, (c_custkey // 3) % 3, (c_custkey // 9) % 3, (c_custkey // 27) % 3, (c_custkey // 81) % 3, (c_custkey // 243) % 3] AS s FROM customer)"
+
+
+@query(f"WITH {MADE} SELECT dataset_id, CASE WHEN s[1] = 2 OR s[2] = 2 THEN 'blocked' WHEN list_max(s) > 0 THEN 'degraded' ELSE 'ready' END AS readiness_state, round_even(0.5 * supported / 12 + 0.3 * list_sum(list_transform(s, lambda x: CASE x WHEN 0 THEN 0.5 WHEN 1 THEN 0.3 ELSE 0 END)) / 6 + 0.2 * 0.8, 3) AS confidence_score, CAST(CASE WHEN s[1] = 2 OR s[2] = 2 THEN (s[1] = 2)::INT + (s[2] = 2)::INT ELSE 0 END AS INTEGER) AS n_blocking FROM d")
+def readiness(spark: SparkSession, sf: str) -> DataFrame:
+    return decide.readiness(made_datasets(spark, sf)).select("dataset_id", "readiness_state", "confidence_score", F.size("blocking_reasons").alias("n_blocking"))
+
+
+@query(f"WITH {MADE}, r AS (SELECT *, s[1] = 2 OR s[2] = 2 AS bad FROM d) SELECT count(*) AS dataset_count, CAST(sum(len(list_filter(s, lambda x: x > 0))) AS BIGINT) AS assumptions_needing_verification, CAST(sum(supported) AS BIGINT) AS supported_vital_checks, CAST(12 * count(*) AS BIGINT) AS total_vital_checks, CASE WHEN bool_or(bad) THEN 'blocked' ELSE 'degraded' END AS readiness_state FROM r")
+def bundle_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    return decide.bundle_summary(decide.readiness(made_datasets(spark, sf))).drop("confidence_score")
+
+
+@query(f"WITH {MADE} SELECT dataset_id, CASE WHEN s[1] = 2 OR s[2] = 2 THEN 'blocked' WHEN list_max(s) > 0 OR supported / 12 < 0.6 THEN 'degraded' ELSE 'ready' END AS decision_state, CASE WHEN s[3] < 2 THEN 'predefined_split_column' WHEN s[4] < 2 THEN 'time_series_split' WHEN s[5] < 2 THEN 'group_kfold' END AS validation, CAST(CASE WHEN s[1] = 2 OR s[2] = 2 THEN 0 ELSE 1 END AS INTEGER) AS n_candidates, CASE WHEN NOT (s[1] = 2 OR s[2] = 2) THEN 0.66 END AS fit_score, CASE WHEN NOT (s[1] = 2 OR s[2] = 2) THEN 60 END AS max_trials FROM d")
+def recommendation(spark: SparkSession, sf: str) -> DataFrame:
+    out = decide.recommendation(decide.readiness(made_datasets(spark, sf)))
+    first = F.try_element_at("candidates", F.lit(1))
+    return out.select("dataset_id", "decision_state", "validation", F.size("candidates").alias("n_candidates"), first["fit_score"].alias("fit_score"), first["max_trials"].alias("max_trials"))
+
+
+@query()
+def probe_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """Probes planned for every dataset that isn't ready."""
+    return decide.planned_probes(decide.recommendation(decide.readiness(made_datasets(spark, sf)))).select("dataset_id", "plan_order", "request_id", "probe_kind", "priority")
+
+
+# whole diagnoses ------------------------------------------------------------
+
+
+def finding_rows(spark: SparkSession, df: DataFrame, options: Options) -> DataFrame:
+    import json
+
+    rows = [(f.key, f.status, round(f.confidence, 3), json.dumps(f.evidence, sort_keys=True, default=str)) for f in diagnose(df, options)]
+    return spark.createDataFrame(rows, "key string, status string, confidence double, evidence string")
+
+
+@query()
+def diagnose_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """The twelve findings of orders, with the order status as target and the date as time."""
+    return finding_rows(spark, table(spark, sf, "orders"), Options(target_column="o_orderstatus", time_column="o_orderdate"))
+
+
+@query()
+def diagnose_labelled(spark: SparkSession, sf: str) -> DataFrame:
+    """The twelve findings of documents with their labels, quality being the target and language the split."""
+    return finding_rows(spark, labelled(spark, sf), Options(target_column="quality", split_column="lang"))
+
+
+@query()
+def event_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """The streaming rollup over events, run as a batch: the same plan without a watermark."""
+    return rollups.by_window(table(spark, sf, "events"), "ts", "event_type", "value", "1 hour")
+
+
+ORACLES["event_windows"] = "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, event_type AS label, count(*) AS n, count(*) FILTER (value IS NULL OR isnan(value)) AS n_missing, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM events GROUP BY 1, 2, 3"

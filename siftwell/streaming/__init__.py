@@ -1 +1 @@
-
+"""Streaming forms of the aggregates: an extension, for tables that keep growing."""
