@@ -337,10 +337,10 @@ def feature_types_compat(spark: SparkSession, sf: str) -> DataFrame:
     return roles.feature_types(profile.column_facts(table(spark, sf, "part")))
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE p_name LIKE 'p%' ORDER BY p_name")
+@query("SELECT p_partkey, p_name FROM part WHERE p_name LIKE 'small%' ORDER BY p_name")
 def snippet_prefix(spark: SparkSession, sf: str) -> DataFrame:
     """Entries of a registry by name prefix; the prefix reaches the scan as a filter."""
-    return table(spark, sf, "part").where(F.col("p_name").startswith("p")).select("p_partkey", "p_name").orderBy("p_name")
+    return table(spark, sf, "part").where(F.col("p_name").startswith("small")).select("p_partkey", "p_name").orderBy("p_name")
 
 
 # decisions ------------------------------------------------------------------
@@ -364,10 +364,10 @@ def probe_ids(spark: SparkSession, sf: str) -> DataFrame:
     return asked(spark, sf).select("dataset_id", "probe_kind", "reason", "request_id")
 
 
-@query(f"WITH {ASKED}, s AS (SELECT *, CAST(('0x' || substr(sha256(request_id), 1, 12)) AS BIGINT) / 281474976710655.0 AS s FROM asked) SELECT request_id, probe_kind, 'success' AS status, round(s, 6) AS seed, CAST(greatest(1, round_even(20 * (0.7 + 0.25 * s), 0)) AS INTEGER) AS trials_run, round(CASE probe_kind WHEN 'supervised_baseline_probe' THEN 0.02 + 0.04 * s WHEN 'split_sensitivity_probe' THEN 0.018 + 0.03 * (1 - (0.01 + 0.08 * (1 - s))) WHEN 'unsupervised_structure_probe' THEN 0.015 + 0.035 * abs(-0.02 + 0.42 * s) WHEN 'missingness_impact_probe' THEN 0.01 + 0.03 * abs(-0.03 + 0.12 * s) WHEN 'feature_redundancy_probe' THEN 0.008 + 0.03 * abs(-0.05 + 0.08 * s) ELSE 0.01 + 0.03 * s END, 5) AS confidence_gain FROM s")
+@query(f"WITH {ASKED}, s AS (SELECT *, CAST(('0x' || substr(sha256(request_id), 1, 12)) AS BIGINT) / 281474976710655.0 AS s FROM asked) SELECT request_id, probe_kind, 'success' AS status, round(s, 6) AS seed, CAST(greatest(1, round_even(20 * (0.7 + 0.25 * s), 0)) AS INTEGER) AS trials_run, round_even(CASE probe_kind WHEN 'supervised_baseline_probe' THEN 0.02 + 0.04 * s WHEN 'split_sensitivity_probe' THEN 0.018 + 0.03 * (1 - (0.01 + 0.08 * (1 - s))) WHEN 'unsupervised_structure_probe' THEN 0.015 + 0.035 * abs(-0.02 + 0.42 * s) WHEN 'missingness_impact_probe' THEN 0.01 + 0.03 * abs(-0.03 + 0.12 * s) WHEN 'feature_redundancy_probe' THEN 0.008 + 0.03 * abs(-0.05 + 0.08 * s) ELSE 0.01 + 0.03 * s END, 6) AS confidence_gain FROM s")
 def probe_sim(spark: SparkSession, sf: str) -> DataFrame:
     done = decide.simulated(asked(spark, sf))
-    return done.select("request_id", "probe_kind", "status", F.round("seed", 6).alias("seed"), "trials_run", F.round("confidence_gain", 5).alias("confidence_gain"))
+    return done.select("request_id", "probe_kind", "status", F.round("seed", 6).alias("seed"), "trials_run", "confidence_gain")
 
 
 @query(f"WITH {ASKED} SELECT dataset_id, request_id FROM asked WHERE CAST(substr(dataset_id, 4) AS BIGINT) % 3 <> 0")
