@@ -383,9 +383,9 @@ def probe_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return decide.probe_totals(asked(spark, sf).withColumn("priority", F.when(F.col("probe_kind").startswith("s"), "high").when(F.col("probe_kind").startswith("u"), "medium").otherwise("low")))
 
 
-@query("WITH c AS (SELECT concat('ds_', c_nationkey) AS dataset_id, concat('f', c_custkey) AS family, round(c_acctbal / 10000, 1) AS fit_score, c_custkey AS gen_order FROM customer), r AS (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY fit_score DESC, gen_order) AS rank FROM c) SELECT dataset_id, family, fit_score, CAST(rank AS INTEGER) AS rank, concat(dataset_id, '_cand_', lpad(rank::VARCHAR, 2, '0')) AS candidate_id FROM r WHERE rank <= 3")
+@query("WITH c AS (SELECT concat('ds_', c_nationkey) AS dataset_id, concat('f', c_custkey) AS family, floor(c_acctbal / 1000) / 10 AS fit_score, c_custkey AS gen_order FROM customer), r AS (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY fit_score DESC, gen_order) AS rank FROM c) SELECT dataset_id, family, fit_score, CAST(rank AS INTEGER) AS rank, concat(dataset_id, '_cand_', lpad(rank::VARCHAR, 2, '0')) AS candidate_id FROM r WHERE rank <= 3")
 def candidate_rank(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "customer").select(F.concat(F.lit("ds_"), F.col("c_nationkey").cast("string")).alias("dataset_id"), F.concat(F.lit("f"), F.col("c_custkey").cast("string")).alias("family"), F.round(F.col("c_acctbal") / 10000, 1).alias("fit_score"), F.col("c_custkey").alias("gen_order"))
+    rows = table(spark, sf, "customer").select(F.concat(F.lit("ds_"), F.col("c_nationkey").cast("string")).alias("dataset_id"), F.concat(F.lit("f"), F.col("c_custkey").cast("string")).alias("family"), (F.floor(F.col("c_acctbal") / 1000) / 10).alias("fit_score"), F.col("c_custkey").alias("gen_order"))
     return decide.candidate_rank(rows)
 
 

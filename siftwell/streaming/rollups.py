@@ -12,7 +12,7 @@ from siftwell.functions import missing
 
 def by_window(df: DataFrame, time: str, label: str, value: str, width: str, late: str | None = None) -> DataFrame:
     """(window_start, window_end, label, n, n_missing, mean, std); ``late``: how late rows may come, for streams."""
-    rows = df.withWatermark(time, late) if late and df.isStreaming else df
+    rows = df.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if late and df.isStreaming else df
     kind = df.schema[value].dataType
     x = F.when(~missing(value, kind), F.col(value).cast("double"))
     out = rows.groupBy(F.window(time, width).alias("w"), F.col(label).cast("string").alias("label")).agg(F.count("*").alias("n"), F.count_if(missing(value, kind)).alias("n_missing"), F.round(F.avg(x), 6).alias("mean"), F.round(F.stddev_pop(x), 6).alias("std"))

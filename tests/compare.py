@@ -1,9 +1,12 @@
 """Order-insensitive comparison of a Spark result with a DuckDB result."""
 
+import decimal
 import math
 
 
 def cell(v):
+    if isinstance(v, decimal.Decimal):
+        v = float(v)
     if v is None or isinstance(v, float) and math.isnan(v):
         return "null"
     return f"{v:.8g}" if isinstance(v, float) else str(v)
