@@ -3,6 +3,9 @@
 import decimal
 import math
 
+#: Tables for tests.
+SMALL = "/root/testdata/sf0.001"
+
 
 def cell(v):
     if isinstance(v, decimal.Decimal):

@@ -1,6 +1,5 @@
 import pytest
-from compare import same
-from conftest import SMALL
+from compare import SMALL, same
 
 from siftwell.plans import catalogue
 

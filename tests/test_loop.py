@@ -95,7 +95,7 @@ def test_roles():
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    from conftest import SMALL
+    from compare import SMALL
 
     from siftwell.streaming import rollups
 
