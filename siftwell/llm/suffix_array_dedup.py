@@ -42,8 +42,8 @@ from .common import Shared, arrow_rows, read, utf8
 from .shingles import mixed, prefix_sums, stretch_hashes
 
 LENGTH, GRAM = 100, 32
-#: Windows of a segment at most.
-RUN = 128
+#: Windows of a segment at most, and of a piece of a long text that is worked on at once.
+RUN, PIECE = 128, 1 << 20
 MANY, MERGE_BYTES, SHARD_BYTES = 1024, 1 << 17, 1 << 15
 NULL_ID = -(1 << 63)
 
@@ -90,10 +90,12 @@ def all_segments(docs: DataFrame) -> DataFrame:
         for batch in batches:
             parts, ids = [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                made = segments(text)
-                if len(made[0]):
-                    parts.append(made)
-                    ids.append(np.full(len(made[0]), i, np.int64))
+                # keys depend on a window's bytes alone, so a long text may be cut anywhere between windows
+                for at in range(0, max(1, len(text) - LENGTH + 1), PIECE):
+                    key, code, start, size, again = segments(text[at : at + PIECE + LENGTH - 1])
+                    if len(key):
+                        parts.append((key, code, start + at, size, again))
+                        ids.append(np.full(len(key), i, np.int64))
             if parts:
                 key, code, start, size, again = (np.concatenate(x) for x in zip(*parts, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(code), pa.array(np.concatenate(ids)), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int16)), pa.array(again)], names=["key", "hash", "id", "start", "windows", "again"])
