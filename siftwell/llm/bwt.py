@@ -3,10 +3,12 @@
 A shard is a list of byte strings, each closed by an end mark that sorts before all bytes
 and differs from all other end marks.  Its transform holds, in suffix order, the symbol
 before each suffix.  To merge shards, only the interleave of their orders is sought: start
-with shard after shard and, round by round, sort the interleave stably by the symbol before
-each suffix.  After h rounds suffixes stand sorted by their first h symbols, and two
-neighbours that differ there are apart: where they first come apart is their common prefix
-length.  No suffix of one shard is ever compared with a suffix of another.
+with shard after shard, sorted stably by first symbol; then, round by round, the order of
+the suffixes one shorter refines the order of the suffixes one longer, which the transform
+leads to.  After h rounds suffixes stand sorted by their first h symbols, and two neighbours
+that differ there are apart: where they first come apart is their common prefix length.  A
+round touches only suffixes that still share a block with others.  No suffix of one shard is
+ever compared with a suffix of another, and none is sorted anew.
 """
 
 from __future__ import annotations
@@ -58,38 +60,47 @@ def transform(texts: list[bytes]) -> Shard:
 
 def merged(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The interleave after ``depth`` rounds: for each place the suffix (its number in the shards laid end to end),
-    the number of its block (suffixes with equal first ``depth`` symbols), and its common prefix with the one before (at most depth)."""
-    sizes = [len(s.symbols) for s in shards]
-    base = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    symbols = np.concatenate([s.symbols for s in shards])
-    steps = np.concatenate([np.where(s.steps >= 0, s.steps + b, -1) for s, b in zip(shards, base, strict=True)]).astype(np.int32)
-    # end marks come first, shard after shard, and stay: they all differ
-    ends = np.concatenate([b + np.arange(int((s.symbols == 0).sum())) for s, b in zip(shards, base, strict=True)]).astype(np.int32)
-    fixed, n = len(ends), len(symbols)
-    inner = np.ones(n, bool)
-    inner[ends] = False
-    now = np.concatenate([ends, np.flatnonzero(inner).astype(np.int32)])
-    blocks = np.zeros(n, np.int32)
-    prefix = np.concatenate([np.zeros(fixed, np.int32), np.full(n - fixed, -1, np.int32)])
-    if n > fixed:
-        prefix[fixed] = 0
-    small = symbols.max(initial=0) < 256
-    for h in range(depth):
-        before = symbols[now]
-        live = np.flatnonzero(before)
-        order = live[np.argsort(before[live].astype(np.uint8) if small else before[live], kind="stable")]
-        taken, held = before[order], blocks[order]
-        apart = (taken[1:] != taken[:-1]) | (held[1:] != held[:-1])
-        now[fixed:] = steps[now[order]]
-        if n > fixed:
-            blocks[fixed] = fixed
-            blocks[fixed + 1 :] = fixed + np.cumsum(apart)
-        if h == 0:
-            blocks[:fixed] = np.arange(fixed)
-        tail = prefix[fixed + 1 :]
-        tail[apart & (tail < 0)] = h
-    prefix[prefix < 0] = depth
-    return now, blocks, prefix
+    its block (the first place of the suffixes with equal first ``depth`` symbols), and its common prefix with the one before (at most depth)."""
+    base = np.concatenate([[0], np.cumsum([len(s.symbols) for s in shards])[:-1]])
+    before = np.concatenate([s.symbols for s in shards])
+    longer = np.concatenate([np.where(s.steps >= 0, s.steps + b, -1) for s, b in zip(shards, base, strict=True)])
+    n = len(before)
+    # the transform read the other way: the first symbol of each suffix, and the suffix one shorter
+    led = np.flatnonzero(longer >= 0)
+    first, shorter = np.zeros(n, before.dtype), np.full(n, -1, np.int32)
+    first[longer[led]], shorter[longer[led]] = before[led], led
+    now = np.argsort(first.astype(np.uint8) if before.max(initial=0) < 256 else first, kind="stable").astype(np.int32)
+    head = first[now]
+    # end marks all differ
+    opens = np.concatenate([[True], (head[1:] != head[:-1]) | (head[1:] == 0)])
+    prefix = np.where(opens, 0, depth).astype(np.int32)
+    place = np.maximum.accumulate(np.where(opens, np.arange(n), 0)).astype(np.int32)
+    block = np.empty(n, np.int32)
+    block[now] = place
+    active = np.flatnonzero(~(opens & np.concatenate([opens[1:], [True]])))
+    for h in range(1, depth):
+        if not len(active):
+            break
+        own = now[active]
+        mine, key = block[own], block[shorter[own]]
+        broken = (mine[1:] == mine[:-1]) & (key[1:] != key[:-1])
+        if not broken.any():
+            continue
+        flag = np.zeros(n, bool)
+        flag[mine[1:][broken]] = True
+        part = np.flatnonzero(flag[mine])
+        at, group = active[part], mine[part]
+        order = np.argsort(group.astype(np.int64) * n + key[part], kind="stable")
+        suffix, key = own[part][order], key[part][order]
+        opens = np.concatenate([[True], (group[1:] != group[:-1]) | (key[1:] != key[:-1])])
+        fresh = opens & np.concatenate([[False], group[1:] == group[:-1]])
+        prefix[at[fresh]] = h
+        now[at] = suffix
+        block[suffix] = np.maximum.accumulate(np.where(opens, at, 0))
+        keep = np.ones(len(active), bool)
+        keep[part[opens & np.concatenate([opens[1:], [True]])]] = False
+        active = active[keep]
+    return now, block[now], prefix
 
 
 def repeats(groups: list[list[bytes]], depth: int) -> list[list[tuple[int, int, int]]]:
