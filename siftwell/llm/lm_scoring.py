@@ -46,7 +46,7 @@ from .common import Shared, arrow_rows, crc_bucket, read, utf8
 HEAD, SHAPES, STATES = 4096, 1024, 8
 ROUNDS, SAMPLE, SAMPLE_ROUNDS, SEED = 2, 600, 25, 5
 #: Texts that take a step of the recursion together, and the most places (texts times longest text) of such a group.
-SLOTS, PLACES = 64, 1 << 17
+SLOTS, PLACES = 1024, 1 << 18
 END = 0
 LOG10 = float(np.log(10.0))
 
@@ -108,22 +108,26 @@ def padded(texts: list[np.ndarray], group: list[int]) -> tuple[np.ndarray, np.nd
     return obs, alive
 
 
-def forward(model: Model, obs: np.ndarray, alive: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
-    """Natural log-likelihood of each text by the scaled forward recursion; with keep, the scaled alphas and the scales."""
-    time, count = obs.shape
-    total = np.zeros(count)
-    a = model.start * model.emit[obs[0]]
-    alphas, scales = (np.zeros((time, count, len(model.start))), np.ones((time, count))) if keep else (None, None)
+def forward(model: Model, seen: np.ndarray, alive: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+    """Natural log-likelihood of each text by the scaled forward recursion; the scaled alphas (with keep) and the scales.
+
+    seen: (time, text, state), the emission probability of each token.
+    """
+    time, count, states = seen.shape
+    scales = np.ones((time, count))
+    alphas = np.zeros(seen.shape) if keep else None
+    a = model.start * seen[0]
     for t in range(time):
         n = alive[t]
         if t:
-            a = (a[:n] @ model.turn) * model.emit[obs[t, :n]]
+            a = a[:n] @ model.turn
+            a *= seen[t, :n]
         s = a.sum(1)
         a /= s[:, None]
-        total[:n] += np.log(s)
+        scales[t, :n] = s
         if keep:
-            alphas[t, :n], scales[t, :n] = a, s
-    return total, alphas, scales
+            alphas[t, :n] = a
+    return np.log(scales).sum(0), alphas, scales
 
 
 def expected(model: Model, texts: list[np.ndarray], counts: Model) -> float:
@@ -132,22 +136,24 @@ def expected(model: Model, texts: list[np.ndarray], counts: Model) -> float:
     classes, states = model.emit.shape
     for group in batches_of(texts):
         obs, alive = padded(texts, group)
-        total, alphas, scales = forward(model, obs, alive, keep=True)
+        seen = model.emit[obs]
+        total, alphas, scales = forward(model, seen, alive, keep=True)
         gained += total.sum()
         time, count = obs.shape
-        beta, gamma = np.ones((count, states)), np.zeros((time, count, states))
-        gamma[time - 1, : alive[-1]] = alphas[time - 1, : alive[-1]]
-        turns = np.zeros((states, states))
+        beta, betas, onward = np.ones((count, states)), np.zeros(seen.shape), np.zeros(seen.shape)
+        seen /= scales[:, :, None]
+        back = np.ascontiguousarray(model.turn.T)
+        betas[time - 1, : alive[-1]] = 1.0
         for t in range(time - 2, -1, -1):
             n, m = alive[t], alive[t + 1]
-            onward = model.emit[obs[t + 1, :m]] * beta[:m] / scales[t + 1, :m, None]
-            turns += alphas[t, :m].T @ onward
-            beta[:m] = onward @ model.turn.T
-            gamma[t, :n] = alphas[t, :n] * beta[:n]
-        counts.turn += turns * model.turn
-        counts.start += gamma[0].sum(0)
+            np.multiply(seen[t + 1, :m], beta[:m], out=onward[t + 1, :m])
+            np.matmul(onward[t + 1, :m], back, out=beta[:m])
+            betas[t, :n] = beta[:n]
+        counts.turn += (alphas[:-1].reshape(-1, states).T @ onward[1:].reshape(-1, states)) * model.turn
+        betas *= alphas
+        counts.start += betas[0].sum(0)
         live = np.arange(count)[None, :] < alive[:, None]
-        where, what = obs[live], gamma[live]
+        where, what = obs[live], betas[live]
         for s in range(states):
             counts.emit[:, s] += np.bincount(where, what[:, s], classes)
     return gained
@@ -267,7 +273,7 @@ def baum_welch_round(coded: DataFrame, model: Model) -> Model:
         hit = np.flatnonzero(rows.sum(1) > 0)
         yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int64()), *[pa.array(rows[hit, s]) for s in range(STATES)]], names=["row", *[f"s{s}" for s in range(STATES)]])
 
-    sums = arrow_rows(coded.where("not held_out").select("classes"), 256).mapInArrow(expect, "row long, " + ", ".join(f"s{s} double" for s in range(STATES)))
+    sums = arrow_rows(coded.where("not held_out").select("classes"), 2048).mapInArrow(expect, "row long, " + ", ".join(f"s{s} double" for s in range(STATES)))
     total = np.zeros((classes + STATES + 1, STATES))
     for r in sums.groupBy("row").agg(*[F.sum(f"s{s}").alias(f"s{s}") for s in range(STATES)]).collect():
         total[r.row] = r[1:]
@@ -316,14 +322,14 @@ def score_texts(docs: DataFrame, shared: Shared, rounds: int = ROUNDS) -> DataFr
             got = np.zeros((len(texts), 3))
             for group in batches_of(texts):
                 obs, alive = padded(texts, group)
-                got[group, 0] = forward(now, obs, alive)[0] / LOG10
+                got[group, 0] = forward(now, now.emit[obs], alive)[0] / LOG10
             for i, t in enumerate(texts):
                 got[i, 0] += each_inside[t].sum()
                 got[i, 1], got[i, 2] = each_base[t].sum(), sure[t].sum()
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(got[:, 2].astype(np.int64)), pa.array(got[:, 1]), pa.array(got[:, 0])], names=["doc_id", "key", "held_out", "n_tokens", "n_head", "base_part", "score_part"])
 
     kind = dict(coded.dtypes)["doc_id"]
-    parts = arrow_rows(coded.select("doc_id", "key", "held_out", "tokens", "classes"), 256).mapInArrow(rate, f"doc_id {kind}, key long, held_out boolean, n_tokens long, n_head long, base_part double, score_part double")
+    parts = arrow_rows(coded.select("doc_id", "key", "held_out", "tokens", "classes"), 2048).mapInArrow(rate, f"doc_id {kind}, key long, held_out boolean, n_tokens long, n_head long, base_part double, score_part double")
     slim = rare.select("hash", "doc_id", "key", "times")
     joined = slim.join(counts.select("hash", "c"), "hash", "left")
     c = F.coalesce("c", F.lit(0))
