@@ -9,13 +9,15 @@ others are confirmed on the full sets.  Links give components; the smallest doc_
 each.
 
 No group is expanded into all of its pairs.  (1) Documents with equal sets are one node.
-(2) Each node is linked to the likeliest of the least nodes of its bands.  (3) Where nodes
-of one band still belong to different components, the band's members are compared by
-signature, in blocks of at most ``BLOCK`` on either side; a spanning forest of the
-likeliest pairs between components, and for each member a few more, are confirmed.  Step 3
-repeats with the new components, without the pairs already tried, until no band has an
-untried likely pair between components.  So nothing is capped: a band of unlinked likely
-pairs takes more rounds.
+(2) Each band has a centre, its node of most company over all bands (the text that copies
+were made from meets more copies than they meet one another); each node is confirmed
+against the likeliest of its centres.  (3) Where nodes of one band still belong to
+different components, the band's members are compared, in blocks of at most ``BLOCK`` on
+either side: by size, by signature, and then by their sets of 32-bit shingle hashes, which
+miss no link; matrix products count what sets share.  Pairs between components that pass are confirmed on
+the full sets; pairs inside a component are skipped.  What leaves a group is at most one
+pair a member, and nothing is capped.  If a pair fails there (a hash collision), step 3
+repeats without it.
 
 Chance of missing a pair of similarity s by banding: (1 - s^6)^64, 3.6e-6 at 0.75 and less
 above; by the estimate: five standard deviations.
@@ -46,7 +48,7 @@ PERCENT = 75
 LANES = HASHES * 2 // 64
 #: Five standard deviations of the estimate at the threshold.
 SLACK = 0.133
-BLOCK, MORE = 1024, 16
+BLOCK = 1024
 
 _rng = np.random.default_rng(11)
 TIMES = _rng.integers(0, 1 << 31, (HASHES, 1)).astype(np.uint32) * np.uint32(2) + np.uint32(1)
@@ -151,33 +153,77 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shared: Shared, name: str) -> D
     return out
 
 
+def common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, width: int = 4096) -> np.ndarray:
+    """How many elements each set of left shares with each of right: sums of products of 0/1 matrices, ``width`` elements at a time."""
+    who = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, element, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # elements of one set only are shared by none
+    number = np.cumsum(times > 1) - 1
+    many = times[element] > 1
+    who, element = who[many], number[element[many]]
+    order = np.argsort(element, kind="stable")
+    who, element = who[order], element[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, int(element[-1]) + 1 if len(element) else 0, width):
+        a, b = np.searchsorted(element, (start, start + width))
+        held = np.zeros((len(sets), width), np.float32)
+        held[who[a:b], element[a:b] - start] = 1.0
+        out += held[left] @ held[right].T
+    return out.astype(np.int64)
+
+
+def small_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, hashes): the sorted upper halves of the shingles of these nodes, four bytes each."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), utf8("text").alias("text")).join(nodes, "node", "left_semi")
+
+    def shrink(batches):
+        for batch in batches:
+            made = [np.unique((shingle_set(t) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["node", "hashes"])
+
+    rows = arrow_rows(texts, 256).mapInArrow(shrink, "node long, hashes binary")
+    return rows.groupBy("node").agg(F.max("hashes").alias("hashes"))
+
+
 def likely_pairs(members: DataFrame) -> DataFrame:
-    """(a, b) to confirm, from members (key, node, label, signature, tried) of bands that hold several labels.
+    """(a, b): pairs of nodes with different labels in one band whose 32-bit sets are alike; a forest over labels a group.
 
-    A band of n members is dealt into ceil(n / BLOCK) blocks, and each pair of blocks is one
-    group, so a group has at most about 2 * BLOCK members and is compared in memory.
+    members: (key, node, label, size, signature, hashes, tried) of bands that hold several labels; tried: greater
+    partners already confirmed or refused.  A band of n members is dealt into ceil(n / BLOCK) blocks, and each pair
+    of blocks is one group, so a group has at most about 2 * BLOCK members and is compared in memory.
     """
     counts = members.groupBy("key").agg(F.count("*").alias("n"))
     dealt = members.join(counts, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "label", "signature", "tried")
+    dealt = dealt.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "label", "size", "signature", "hashes", "tried")
     floor = int(np.floor(HASHES * (0.25 + 0.75 * (PERCENT / 100 - SLACK))))
 
     def compare(_, rows):
-        node, label = rows.column("node").to_numpy(), rows.column("label").to_numpy()
+        node, label, size = (rows.column(c).to_numpy() for c in ("node", "label", "size"))
         lanes = np.array(rows.column("signature").to_pylist(), np.int64).view(np.uint64)
+        sets = [np.frombuffer(h, np.uint32) for h in rows.column("hashes").to_pylist()]
         block, tried = rows.column("block").to_numpy(), [set(t or ()) for t in rows.column("tried").to_pylist()]
         lo, hi = rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py()
         left = np.arange(len(node)) if lo == hi else np.flatnonzero(block == lo)
         right = left if lo == hi else np.flatnonzero(block == hi)
-        found = []
-        for i in range(0, len(left), 256):
-            part = left[i : i + 256]
+        found = [np.zeros((0, 3), np.int64)]
+        shared = None
+        for k in range(0, len(left), 256):
+            part = left[k : k + 256]
             agree = agreeing(lanes[part], lanes[right])
-            x, y = np.nonzero((agree >= floor) & (label[part][:, None] != label[right][None, :]) & ((node[part][:, None] < node[right][None, :]) | (lo != hi)))
+            small, large = np.minimum(size[part][:, None], size[right][None, :]), np.maximum(size[part][:, None], size[right][None, :])
+            fits = (agree >= floor) & (label[part][:, None] != label[right][None, :]) & (100 * small >= PERCENT * large)
+            if lo == hi:
+                fits &= node[part][:, None] < node[right][None, :]
+            if fits.any():
+                if shared is None:
+                    shared, own = common(sets, left, right), np.array([len(s) for s in sets])
+                both = shared[k : k + 256]
+                # 32-bit sets shrink by collisions; one element in a thousand is more than they lose
+                fits &= 100 * both >= (PERCENT - 0.1) * (own[part][:, None] + own[right][None, :] - both)
+            x, y = np.nonzero(fits)
             found.append(np.stack([agree[x, y], part[x], right[y]], 1))
-        pairs = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
-        pairs = pairs[np.argsort(-pairs[:, 0], kind="stable")]
+        pairs = np.concatenate(found)
         root: dict[int, int] = {}
 
         def top(x: int) -> int:
@@ -185,19 +231,13 @@ def likely_pairs(members: DataFrame) -> DataFrame:
                 root[x] = x = root.get(root[x], root[x])
             return x
 
-        out, room = [], MORE * len(node)
-        for _, i, j in pairs.tolist():
-            a, b = sorted((int(node[i]), int(node[j])))
-            if b in tried[i] or a in tried[j] or b in tried[j] or a in tried[i]:
-                continue
+        out = []
+        for _, i, j in pairs[np.argsort(-pairs[:, 0], kind="stable")].tolist():
             p, q = top(int(label[i])), top(int(label[j]))
-            if p != q:
+            a, b = sorted((int(node[i]), int(node[j])))
+            if p != q and b not in tried[i] and b not in tried[j]:
                 root[max(p, q)] = min(p, q)
-            elif room > 0:
-                room -= 1
-            else:
-                continue
-            out.append((a, b))
+                out.append((a, b))
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     return dealt.groupBy("key", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
@@ -207,21 +247,23 @@ def near_duplicates(docs: DataFrame, shared: Shared) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of docs (doc_id, text)."""
     signed = shared.save(signatures(docs), "signed")
     full = signed.where("set is not null and doc_id is not null")
-    sets = shared.save(full.groupBy("set").agg(F.min("doc_id").alias("node")), "sets")
-    nodes = full.join(sets, "set").where("doc_id = node").groupBy("node").agg(F.min_by("bands", "set").alias("bands"), F.min_by("signature", "set").alias("signature"))
+    groups = shared.save(full.groupBy("set").agg(F.min("doc_id").alias("node")), "groups")
+    nodes = full.join(groups, "set").where("doc_id = node").groupBy("node").agg(F.min_by("bands", "set").alias("bands"), F.min_by("signature", "set").alias("signature"), F.min_by("n_shingles", "set").alias("size"))
     nodes = shared.save(nodes, "nodes")
     shared.release()
     rows = nodes.select("node", F.explode("bands").alias("key"))
-    firsts = shared.save(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1").drop("n"), "firsts")
-    members = shared.save(rows.join(firsts, "key").select("key", "node", "first"), "members")
+    sizes = shared.save(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    members = shared.save(rows.join(sizes, "key").select("key", "node", "n"), "members")
     shared.release()
 
-    # each node with the likeliest of the first nodes of its bands
-    sig = nodes.select("node", "signature")
-    offers = members.where("node != first").groupBy("node", "first").agg(F.count("*").alias("shared"))
+    # each node with the likeliest of its bands' centres
+    sig = nodes.select("node", "signature", "size")
+    company = shared.save(members.groupBy("node").agg(F.sum("n").alias("met")), "company")
+    firsts = shared.save(members.join(company, "node").groupBy("key").agg(F.max_by("node", F.struct("met", -F.col("node"))).alias("first")), "firsts")
+    offers = members.join(firsts, "key").where("node != first").groupBy("node", "first").agg(F.count("*").alias("shared"))
     offers = offers.join(sig, "node").join(sig.select(F.col("node").alias("first"), F.col("signature").alias("other")), "first")
     offers = offers.select("node", "first", sql_estimate(F.col("signature"), F.col("other")).alias("estimate")).where(F.col("estimate") >= PERCENT / 100 - SLACK)
-    pairs = offers.groupBy("node").agg(F.max_by("first", F.struct("estimate", -F.col("first"))).alias("first")).select(F.col("first").alias("a"), F.col("node").alias("b"))
+    pairs = offers.groupBy("node").agg(F.max_by("first", F.struct("estimate", -F.col("first"))).alias("first")).select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b")).distinct()
     pairs = shared.save(pairs, "pairs-0")
     tried = confirmed(pairs, docs, shared, "first")
     # a document whose rows differ holds several sets: those sets' nodes are one
@@ -232,15 +274,19 @@ def near_duplicates(docs: DataFrame, shared: Shared) -> DataFrame:
         shared.release()
         labelled = members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
         mixed_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
-        mixed_keys = shared.save(mixed_keys, f"mixed-{turn}")
+        open_rows = shared.save(labelled.join(shared.save(mixed_keys, f"mixed-{turn}"), "key"), f"open-{turn}")
+        sets = shared.save(small_sets(docs, open_rows.select("node").distinct()), f"sets-{turn}")
+        shared.release()
         known = tried.groupBy("a").agg(F.collect_set("b").alias("tried")).withColumnRenamed("a", "node")
-        open_rows = labelled.join(mixed_keys, "key").join(sig, "node").join(known, "node", "left").select("key", "node", "label", "signature", "tried")
-        pairs = shared.save(likely_pairs(open_rows), f"pairs-{turn}")
-        pairs = shared.save(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), f"fresh-{turn}")
-        shared.drop(f"mixed-{turn}")
+        facts = shared.save(sig.join(sets, "node").join(known, "node", "left"), f"facts-{turn}")
+        pairs = shared.save(likely_pairs(open_rows.join(facts, "node")), f"pairs-{turn}")
+        for name in ("mixed", "open", "sets", "facts"):
+            shared.drop(f"{name}-{turn}")
+        shared.release()
         if not pairs.limit(1).count():
             break
         found = confirmed(pairs, docs, shared, f"more-{turn}")
+        refused = found.where("not linked").limit(1).count()
         tried = shared.save(tried.unionAll(found), f"tried-{turn}")
         # components of the components that the new links join
         linked = found.where("linked")
@@ -250,7 +296,9 @@ def near_duplicates(docs: DataFrame, shared: Shared) -> DataFrame:
         touched = labels.unionAll(joined.where("la is null").select(F.col("a").alias("node"), F.col("a").alias("label"))).unionAll(joined.where("lb is null").select(F.col("b").alias("node"), F.col("b").alias("label"))).distinct()
         renamed = touched.join(over.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
         labels = shared.save(renamed, f"labels-{turn}")
-    named = shared.save(sets.join(labels, "node", "left").select("set", F.coalesce("label", "node").alias("component_id")), "named")
+        if not refused:
+            break
+    named = shared.save(groups.join(labels, "node", "left").select("set", F.coalesce("label", "node").alias("component_id")), "named")
     out = signed.select("doc_id", "n_shingles", "set").join(named, "set", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.cast("long").alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
