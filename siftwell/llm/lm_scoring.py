@@ -12,9 +12,10 @@ with c, C, D the word's count, the class's tokens and its different words in tra
 The first factor is computed exactly by the scaled forward recursion.
 
 Training: expected counts of starts, turns and emissions (forward and backward over every
-training text) are summed over partitions by class; ``ROUNDS`` such rounds cover the whole
-training corpus.  They start from a model fitted by more rounds to ``SAMPLE`` texts of
-least hash; this bounds only the starting point.
+training text) are summed over partitions by class.  Every round covers the whole training
+corpus, and rounds go on until one gains at most ``SETTLED`` nats a token.  They start from
+the corpus's class counts times seeded noise, other in each state, with states that seldom
+change, so that the first round parts whole texts.
 
 The base score is the sum over tokens of log10((c + 0.5) / (N + 0.5 * (V + 1))).
 
@@ -44,7 +45,7 @@ from pyspark.sql import functions as F
 from .common import Shared, arrow_rows, crc_bucket, read, utf8
 
 HEAD, SHAPES, STATES = 4096, 1024, 8
-ROUNDS, SAMPLE, SAMPLE_ROUNDS, SEED = 2, 600, 25, 5
+SETTLED, SEED = 3e-4, 5
 #: Texts that take a step of the recursion together, and the most places (texts times longest text) of such a group.
 SLOTS, PLACES = 1024, 1 << 18
 END = 0
@@ -169,18 +170,12 @@ def empty(classes: int) -> Model:
     return Model(np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((classes, STATES)))
 
 
-def first_model(texts: list[np.ndarray], classes: int) -> Model:
-    """A model of the sample: texts start in random states as wholes, then Baum-Welch goes on."""
-    rng, counts = np.random.default_rng(SEED), empty(classes)
-    for text in texts:
-        share = rng.dirichlet(np.full(STATES, 0.3))
-        counts.emit += np.bincount(text, minlength=classes)[:, None] * share
-    counts.turn += np.eye(STATES) * 20
+def first_model(sizes: np.ndarray) -> Model:
+    """A seeded model without symmetry, from the training tokens of each class."""
+    counts = empty(len(sizes))
+    counts.emit += sizes[:, None] * np.random.default_rng(SEED).gamma(4, 1 / 4, (len(sizes), STATES))
     model = normalised(counts)
-    for _ in range(SAMPLE_ROUNDS):
-        counts = empty(classes)
-        expected(model, texts, counts)
-        model = normalised(counts)
+    model.turn = np.eye(STATES) * 0.999 + 0.001 / STATES
     return model
 
 
@@ -260,38 +255,44 @@ def rare_words(docs: DataFrame, head: list[bytes]) -> DataFrame:
     return arrow_rows(docs.select("doc_id", "key", "held_out", "text"), 256).mapInArrow(find, f"hash long, shape short, doc_id {kind}, key long, held_out boolean, times int")
 
 
-def baum_welch_round(coded: DataFrame, model: Model) -> Model:
-    """One round over all training texts: expected counts summed by class over partitions."""
+def baum_welch_round(coded: DataFrame, model: Model) -> tuple[Model, float]:
+    """One round over all training texts: expected counts summed by class over partitions; the new model and the old one's log-likelihood."""
     classes = len(model.emit)
     sent = coded.sparkSession.sparkContext.broadcast((model.start, model.turn, model.emit))
 
     def expect(batches):
-        now, counts = Model(*sent.value), empty(classes)
+        now, counts, gained = Model(*sent.value), empty(classes), 0.0
         for batch in batches:
-            expected(now, [np.frombuffer(c, np.uint16).astype(np.int64) for c in batch.column(0).to_pylist()], counts)
-        rows = np.concatenate([counts.emit, counts.turn, counts.start[None, :]])
-        hit = np.flatnonzero(rows.sum(1) > 0)
+            gained += expected(now, [np.frombuffer(c, np.uint16).astype(np.int64) for c in batch.column(0).to_pylist()], counts)
+        rows = np.concatenate([counts.emit, counts.turn, counts.start[None, :], np.full((1, STATES), gained)])
+        hit = np.flatnonzero(rows.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int64()), *[pa.array(rows[hit, s]) for s in range(STATES)]], names=["row", *[f"s{s}" for s in range(STATES)]])
 
     sums = arrow_rows(coded.where("not held_out").select("classes"), 2048).mapInArrow(expect, "row long, " + ", ".join(f"s{s} double" for s in range(STATES)))
-    total = np.zeros((classes + STATES + 1, STATES))
+    total = np.zeros((classes + STATES + 2, STATES))
     for r in sums.groupBy("row").agg(*[F.sum(f"s{s}").alias(f"s{s}") for s in range(STATES)]).collect():
         total[r.row] = r[1:]
-    return normalised(Model(total[-1], total[classes:-1], total[:classes]))
+    return normalised(Model(total[-2], total[classes:-2], total[:classes])), total[-1, 0]
 
 
-def score_texts(docs: DataFrame, shared: Shared, rounds: int = ROUNDS) -> DataFrame:
+def baum_welch(coded: DataFrame, model: Model, tokens: int, rounds: int | None = None) -> Model:
+    """Rounds over all training texts until the likelihood settles, or as many as given."""
+    last, k = -np.inf, 0
+    while rounds is None or k < rounds:
+        model, now = baum_welch_round(coded, model)
+        if now - last <= SETTLED * tokens:
+            break
+        last, k = now, k + 1
+    return model
+
+
+def score_texts(docs: DataFrame, shared: Shared, rounds: int | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of docs (doc_id, text)."""
     docs = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), (crc_bucket(F.col("doc_id"), 5) == 1).alias("held_out"), utf8("text").alias("text"))
     head = frequent_words(docs.where("not held_out"))
     words = [w for w, _ in head]
     coded = shared.save(encoded(docs, words), "coded")
-    sample = coded.where("not held_out").orderBy(F.xxhash64("doc_id", "key"), "doc_id", "key").limit(SAMPLE).collect()
-    sample.sort(key=lambda r: (str(r.doc_id), r.key))
     classes = len(words) + 1 + SHAPES
-    model = first_model([np.frombuffer(bytes(r.classes), np.uint16).astype(np.int64) for r in sample if r.tokens < 5000], classes)
-    for _ in range(rounds):
-        model = baum_welch_round(coded, model)
 
     # rare words: counted in training texts, then summed back to documents
     rare = rare_words(docs, words)
@@ -302,6 +303,8 @@ def score_texts(docs: DataFrame, shared: Shared, rounds: int = ROUNDS) -> DataFr
     c_head = np.array([ends, *[n for _, n in head]], np.float64)
     n_train = int(c_head.sum()) + sum(c for c, _ in by_shape.values())
     v_train = len(words) + (ends > 0) + sum(d for _, d in by_shape.values())
+    sizes = np.concatenate([c_head, [by_shape.get(k, (0, 0))[0] for k in range(SHAPES)]])
+    model = baum_welch(coded, first_model(sizes), n_train, rounds)
     floor = np.log10(n_train + 0.5 * (v_train + 1))
     # what a token of each class adds to either score beside its rare word's log10(c + 0.5)
     inside = np.zeros(classes)

@@ -137,3 +137,21 @@ def test_classifier_on_held_out(spark, shared):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
     held = [r for r in got if r.held_out and r.doc_id < 300]
     assert len(held) > 50 and all(r.predicted == r.doc_id % 2 for r in held)
+
+
+def test_states_are_fitted_to_long_texts(spark, shared, monkeypatch):
+    # long texts in two tongues: the states must part them, and the last round over all texts must gain next to nothing
+    rows = [(i, edge.prose(i, 5200) if i % 2 else " ".join(w + "on" for w in edge.prose(i, 5200).split())) for i in range(24)]
+    models, round_ = [], lm_scoring.baum_welch_round
+
+    def kept(*given):
+        models.append(round_(*given))
+        return models[-1]
+
+    monkeypatch.setattr(lm_scoring, "baum_welch_round", kept)
+    got = lm_scoring.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), shared).collect()
+    held = [r for r in got if r.held_out]
+    assert held and all(r.score > r.base_score + 0.2 * r.n_tokens for r in held)
+    (model, now), (_, before) = models[-1], models[-2]
+    assert 0 <= now - before <= lm_scoring.SETTLED * got[0].train_tokens
+    assert (model.emit[1:9].std(1) > 0.5 * model.emit[1:9].mean(1)).all()
