@@ -21,9 +21,9 @@ The base score is the sum over tokens of log10((c + 0.5) / (N + 0.5 * (V + 1))).
 
 Scale: rare words are too many to broadcast.  Texts become sequences of class numbers, two
 bytes a token, in a shared table; rare words travel once as (hash, document, times), join
-the word counts by hash, and come back as one sum a document and task.  Frequent words are
-found exactly: a word with a share of ``1 / (8 * HEAD)`` of all tokens has it in some task,
-so tasks report such words only, and the reported words are counted in full.  The model has
+the word counts by hash, and come back as one sum a document and task.  All words are
+counted, summed by task before the shuffle, and the frequent ones are the first by count,
+ties by the word, however the texts are partitioned.  The model has
 ``STATES * (HEAD + SHAPES)`` numbers, whatever the corpus.
 
 Defined cases: null or empty texts hold the end token only; repeated rows each get the same
@@ -179,44 +179,34 @@ def first_model(sizes: np.ndarray) -> Model:
     return model
 
 
-def frequent_words(train: DataFrame, most: int = HEAD) -> list[tuple[bytes, int]]:
-    """The most frequent words of the training texts with exact counts; at most ``most``."""
-    share = 1 / (8 * most)
+def word_counts(train: DataFrame) -> DataFrame:
+    """(word, hash, shape, c): each word of the training texts with its exact count."""
 
-    def often(batches):
+    def count(batches):
         from collections import Counter
 
+        import xxhash
+
+        def rows():
+            words = list(seen)
+            hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(hashes), pa.array([shape(w) for w in words], pa.int16()), pa.array(list(seen.values()), pa.int64())], names=["word", "hash", "shape", "n"])
+
         seen: Counter[bytes] = Counter()
-        total = 0
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                words = text.lower().split()
-                total += len(words)
-                seen.update(words)
-            if len(seen) > 300_000:  # lossy counting: what is rare so far is forgotten; it can't have lost the share in all tasks
-                least = total * share / 4
-                seen = Counter({w: c for w, c in seen.items() if c > least})
-        found = [w for w, c in seen.items() if c >= total * share / 2]
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["word"])
-
-    words = arrow_rows(train.select("text"), 256).mapInArrow(often, "word binary").groupBy("word").agg(F.count("*").alias("tasks"))
-    # at most 16 * HEAD words a task come here; those that most tasks report are counted in full
-    candidates = [bytes(r.word) for r in words.orderBy(F.desc("tasks"), "word").limit(4 * most).collect()]
-    sent = train.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(candidates)})
-
-    def full(batches):
-        at, counts = sent.value, np.zeros(len(sent.value), np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                got = [at[w] for w in text.lower().split() if w in at]
-                if got:
-                    counts += np.bincount(got, minlength=len(counts))
-        hit = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int64()), pa.array(counts[hit], pa.int64())], names=["word", "n"])
+                seen.update(text.lower().split())
+                if len(seen) > 300_000:
+                    yield rows()
+                    seen.clear()
+        yield rows()
 
-    rows = arrow_rows(train.select("text"), 256).mapInArrow(full, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    best = sorted(((candidates[r.word], r.n) for r in rows), key=lambda x: (-x[1], x[0]))
-    return best[:most]
+    return arrow_rows(train.select("text"), 256).mapInArrow(count, "word binary, hash long, shape short, n long").groupBy("word", "hash", "shape").agg(F.sum("n").alias("c"))
+
+
+def frequent_words(counts: DataFrame, most: int = HEAD) -> list[tuple[bytes, int]]:
+    """The most frequent words with their counts, ties by the word; at most ``most``."""
+    return [(bytes(r.word), r.c) for r in counts.orderBy(F.desc("c"), "word").limit(most).select("word", "c").collect()]
 
 
 def encoded(docs: DataFrame, head: list[bytes]) -> DataFrame:
@@ -289,15 +279,17 @@ def baum_welch(coded: DataFrame, model: Model, tokens: int, rounds: int | None =
 def score_texts(docs: DataFrame, shared: Shared, rounds: int | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of docs (doc_id, text)."""
     docs = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), (crc_bucket(F.col("doc_id"), 5) == 1).alias("held_out"), utf8("text").alias("text"))
-    head = frequent_words(docs.where("not held_out"))
+    counted = shared.save(word_counts(docs.where("not held_out")), "counts")
+    shared.release()
+    head = frequent_words(counted)
     words = [w for w, _ in head]
     coded = shared.save(encoded(docs, words), "coded")
     classes = len(words) + 1 + SHAPES
 
-    # rare words: counted in training texts, then summed back to documents
+    # rare words: their counts are summed back to documents
     rare = rare_words(docs, words)
-    counts = shared.save(rare.where("not held_out").groupBy("hash", "shape").agg(F.sum("times").alias("c")), "counts")
-    shared.release()
+    last = head[-1] if head else (b"", 0)
+    counts = counted.where((F.col("c") < last[1]) | (F.col("c") == last[1]) & (F.col("word") > F.lit(bytearray(last[0]))))
     by_shape = {r["shape"]: (r.c, r.d) for r in counts.groupBy("shape").agg(F.sum("c").alias("c"), F.count("*").alias("d")).collect()}
     ends = coded.agg(F.count_if(~F.col("held_out")).alias("n")).first().n
     c_head = np.array([ends, *[n for _, n in head]], np.float64)
@@ -334,7 +326,7 @@ def score_texts(docs: DataFrame, shared: Shared, rounds: int | None = None) -> D
     kind = dict(coded.dtypes)["doc_id"]
     parts = arrow_rows(coded.select("doc_id", "key", "held_out", "tokens", "classes"), 2048).mapInArrow(rate, f"doc_id {kind}, key long, held_out boolean, n_tokens long, n_head long, base_part double, score_part double")
     slim = rare.select("hash", "doc_id", "key", "times")
-    joined = slim.join(counts.select("hash", "c"), "hash", "left")
+    joined = slim.join(counts.groupBy("hash").agg(F.sum("c").alias("c")), "hash", "left")
     c = F.coalesce("c", F.lit(0))
     # a rare word's own part; repeated rows of one document repeat it, so it is taken per row
     sums = joined.groupBy("doc_id", "key").agg(F.sum(F.col("times") * F.log10(c + 0.5)).alias("rare_part"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("n_rare"))

@@ -155,3 +155,16 @@ def test_states_are_fitted_to_long_texts(spark, shared, monkeypatch):
     (model, now), (_, before) = models[-1], models[-2]
     assert 0 <= now - before <= lm_scoring.SETTLED * got[0].train_tokens
     assert (model.emit[1:9].std(1) > 0.5 * model.emit[1:9].mean(1)).all()
+
+
+def test_frequent_words_are_exact_however_texts_are_dealt(spark):
+    # most words stand in every task; 40 more, last by name, in one only, but oftener
+    common = [f"a{i}" for i in range(20_000)]
+    hot = [f"z{i}" for i in range(40)]
+    texts = [" ".join(common[i::2]) for i in (0, 1)] * 8 + [" ".join(hot * 20)]
+    docs = spark.createDataFrame([(t.encode(),) for t in texts], "text binary")
+    exact = Counter(w for t in texts for w in t.encode().split())
+    want = sorted(exact.items(), key=lambda x: (-x[1], x[0]))[: lm_scoring.HEAD]
+    for parts in (1, 3, len(texts)):
+        assert lm_scoring.frequent_words(lm_scoring.word_counts(docs.repartition(parts))) == want
+    assert {w.encode() for w in hot} <= {w for w, _ in want}
