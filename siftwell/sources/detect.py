@@ -205,17 +205,17 @@ def detect(name: str, data: bytes, whole: bool = True) -> Detection:
     return Detection("text", 0.55, "text")
 
 
-def detected(rows: DataFrame, name: Column, data: Column, sniff: int) -> DataFrame:
-    """rows with file_type, confidence, reason, details."""
+def detected(rows: DataFrame, name: Column, data: Column, sniff: int | None) -> DataFrame:
+    """rows with file_type, confidence, reason, details, from the first sniff bytes or, without a number, from all."""
 
     def look(batches):
         for batch in batches:
             n = batch.num_columns
             names, sizes, heads = (batch.column(n - k).to_pylist() for k in (3, 2, 1))
-            got = [detect(a, h, size <= sniff) for a, size, h in zip(names, sizes, heads, strict=True)]
+            got = [detect(a, h, sniff is None or size <= sniff) for a, size, h in zip(names, sizes, heads, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array([g.file_type for g in got], pa.string()), pa.array([g.confidence for g in got], pa.float64()), pa.array([g.reason for g in got], pa.string()), pa.array([list(g.details.items()) for g in got], pa.map_(pa.string(), pa.string()))], names=[*batch.schema.names[:-3], "file_type", "confidence", "reason", "details"])
 
-    sent = rows.withColumns({"_name": F.coalesce(name, F.lit("")), "_size": F.coalesce(F.octet_length(data), F.lit(0)).cast("long"), "_head": F.coalesce(F.substring(data, 1, sniff), F.lit(b""))})
+    sent = rows.withColumns({"_name": F.coalesce(name, F.lit("")), "_size": F.coalesce(F.octet_length(data), F.lit(0)).cast("long"), "_head": F.coalesce(data if sniff is None else F.substring(data, 1, sniff), F.lit(b""))})
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema], SCHEMA])
     return sent.mapInArrow(look, schema)
 
@@ -231,6 +231,6 @@ def detect_files(spark: SparkSession, path: str, recursive: bool = False, sniff:
     return detected(files, F.col("path"), F.col("content"), sniff).drop("content").orderBy("path")
 
 
-def detect_column(df: DataFrame, text: str, name: Column | None = None, sniff: int = 256 * 1024) -> DataFrame:
-    """df without the text, with the format that each text has by itself."""
+def detect_column(df: DataFrame, text: str, name: Column | None = None, sniff: int | None = None) -> DataFrame:
+    """df without the text, with the format that each whole text has by itself."""
     return detected(df, name if name is not None else F.lit(""), F.col(text).cast("binary"), sniff).drop(text)

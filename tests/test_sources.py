@@ -11,7 +11,7 @@ import pytest
 from siftwell.context import Options
 from siftwell.plans.inspect import inspect
 from siftwell.sources import readers, structure
-from siftwell.sources.detect import detect, detect_files
+from siftwell.sources.detect import detect, detect_column, detect_files
 
 ROWS = [{"id": i, "name": f"n{i}", "value": i / 2, "flag": i % 2 == 0} for i in range(30)]
 
@@ -84,6 +84,14 @@ def test_detect_edges(name, data, kind):
     assert detect(name, data).file_type == kind
 
 
+def test_detect_column_judges_whole_texts(spark):
+    long = json.dumps({"rows": ["words of a record " * 4] * 6000})
+    assert len(long) > 256 * 1024
+    rows = spark.createDataFrame([(1, long), (2, long[:-1]), (3, None)], "id long, text string")
+    got = {r.id: r.file_type for r in detect_column(rows, "text").collect()}
+    assert got[1] == "json" and got[2] != "json" and len(got) == 3
+
+
 def test_inspect_folder(spark, folder):
     reports = {r.display_name.rsplit("/", 1)[-1]: r for r in inspect(spark, str(folder), Options())}
     assert set(reports) == set(WANT)
