@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, read, utf8
+from .common import map_arrow, read, utf8
 
 WINDOW, BLOCK_WORDS = 10, 2_000_000
 OWN = ("n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated", "spans")
@@ -103,7 +103,7 @@ def scan(docs: DataFrame, windows: dict[bytes, tuple[int, set[str]]]) -> DataFra
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([n for n, _, _ in got], pa.int64()), pa.array(spans, pa.list_(pa.struct([(x, pa.int32()) for x in names]))), pa.array([sorted(i) for _, _, i in got], pa.list_(pa.string()))], names=[*batch.schema.names[:-1], "n_words", "spans", "items"])
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema], "n_words long", f"spans {SPAN}", "items array<string>"])
-    return arrow_rows(docs.withColumn("_bytes", utf8("text")), 256).mapInArrow(look, schema)
+    return map_arrow(docs.withColumn("_bytes", utf8("text")), look, schema)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:

@@ -6,6 +6,7 @@ bytes, because ``bytes.split`` and ``bytes.lower`` know ASCII only, as the rule
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
@@ -25,10 +26,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where none is set, the warehouse, or in local mode a temporary folder."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="siftwell-shared-")
+        here = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master)
+        path = "file://" + tempfile.mkdtemp(prefix="siftwell-shared-") if here else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/siftwell-shared"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
@@ -58,9 +60,12 @@ class Shared:
         self._fs().delete(self._path(f"{self.root}/{name}"), True)
 
     def release(self) -> None:
-        """Lets Spark remove the shuffle files of finished jobs."""
+        """Lets Spark's cleaner delete the shuffle files of finished jobs now; it does so when the driver's garbage is collected, else whenever that is."""
         self.spark._jvm.System.gc()
 
+    def drop_all(self) -> None:
+        self._fs().delete(self._path(self.root), True)
+
 
 def utf8(text: Column | str) -> Column:
     """The text as UTF-8 bytes, null as none."""
@@ -76,20 +81,14 @@ def py_crc_bucket(doc_id: int | None, buckets: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % buckets
 
 
-def by_batch(make: Callable[[], Callable[[pa.RecordBatch], dict[str, Any]]], names: list[str] | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A mapInArrow function from one that turns a batch into columns. ``make`` runs once per task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = make()
-        for batch in batches:
-            columns = work(batch)
-            if columns:
-                yield pa.RecordBatch.from_pydict(columns)
+def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = 256) -> DataFrame:
+    """mapInArrow whose function gets ``rows`` rows at most at a time.
 
-    return run
+    Spark bounds a batch by bytes (64 MB unless set otherwise) and by 10,000 rows; slicing it
+    in the task bounds the Python objects made of it, whatever other operators do.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return work(b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))
 
-def arrow_rows(df: DataFrame, rows: int) -> DataFrame:
-    """Marks nothing on the frame; sets the batch size by which texts reach Python."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    return df
+    return df.mapInArrow(run, schema)

@@ -33,3 +33,10 @@ def components(edges: DataFrame, shared: Shared, name: str) -> DataFrame:
         if not moved:
             shared.drop(f"{name}-edges")
             return labels
+
+
+def relabelled(labels: DataFrame, links: DataFrame, shared: Shared, name: str) -> DataFrame:
+    """labels (node, label) after the links (a, b) between their nodes: components of the components that links join."""
+    ends = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
+    joined = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")).where("a != b").distinct(), shared, f"{name}-of")
+    return shared.save(labels.join(joined.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label")), name)

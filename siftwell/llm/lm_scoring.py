@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Shared, arrow_rows, crc_bucket, read, utf8
+from .common import Shared, map_arrow, crc_bucket, read, utf8
 
 HEAD, SHAPES, STATES = 4096, 1024, 8
 SETTLED, SEED = 3e-4, 5
@@ -201,7 +201,7 @@ def word_counts(train: DataFrame) -> DataFrame:
                     seen.clear()
         yield rows()
 
-    return arrow_rows(train.select("text"), 256).mapInArrow(count, "word binary, hash long, shape short, n long").groupBy("word", "hash", "shape").agg(F.sum("n").alias("c"))
+    return map_arrow(train.select("text"), count, "word binary, hash long, shape short, n long").groupBy("word", "hash", "shape").agg(F.sum("n").alias("c"))
 
 
 def frequent_words(counts: DataFrame, most: int = HEAD) -> list[tuple[bytes, int]]:
@@ -220,7 +220,7 @@ def encoded(docs: DataFrame, head: list[bytes]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(m) // 2 for m in made], pa.int64()), pa.array(made, pa.binary())], names=["doc_id", "key", "held_out", "tokens", "classes"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return arrow_rows(docs.select("doc_id", "key", "held_out", "text"), 256).mapInArrow(encode, f"doc_id {kind}, key long, held_out boolean, tokens long, classes binary")
+    return map_arrow(docs.select("doc_id", "key", "held_out", "text"), encode, f"doc_id {kind}, key long, held_out boolean, tokens long, classes binary")
 
 
 def rare_words(docs: DataFrame, head: list[bytes]) -> DataFrame:
@@ -242,7 +242,7 @@ def rare_words(docs: DataFrame, head: list[bytes]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(shapes, pa.int16()), *[batch.column(k).take(at) for k in range(3)], pa.array(times, pa.int32())], names=["hash", "shape", "doc_id", "key", "held_out", "times"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return arrow_rows(docs.select("doc_id", "key", "held_out", "text"), 256).mapInArrow(find, f"hash long, shape short, doc_id {kind}, key long, held_out boolean, times int")
+    return map_arrow(docs.select("doc_id", "key", "held_out", "text"), find, f"hash long, shape short, doc_id {kind}, key long, held_out boolean, times int")
 
 
 def baum_welch_round(coded: DataFrame, model: Model) -> tuple[Model, float]:
@@ -258,7 +258,7 @@ def baum_welch_round(coded: DataFrame, model: Model) -> tuple[Model, float]:
         hit = np.flatnonzero(rows.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int64()), *[pa.array(rows[hit, s]) for s in range(STATES)]], names=["row", *[f"s{s}" for s in range(STATES)]])
 
-    sums = arrow_rows(coded.where("not held_out").select("classes"), 2048).mapInArrow(expect, "row long, " + ", ".join(f"s{s} double" for s in range(STATES)))
+    sums = map_arrow(coded.where("not held_out").select("classes"), expect, "row long, " + ", ".join(f"s{s} double" for s in range(STATES)), 2048)
     total = np.zeros((classes + STATES + 2, STATES))
     for r in sums.groupBy("row").agg(*[F.sum(f"s{s}").alias(f"s{s}") for s in range(STATES)]).collect():
         total[r.row] = r[1:]
@@ -324,7 +324,7 @@ def score_texts(docs: DataFrame, shared: Shared, rounds: int | None = None) -> D
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(got[:, 2].astype(np.int64)), pa.array(got[:, 1]), pa.array(got[:, 0])], names=["doc_id", "key", "held_out", "n_tokens", "n_head", "base_part", "score_part"])
 
     kind = dict(coded.dtypes)["doc_id"]
-    parts = arrow_rows(coded.select("doc_id", "key", "held_out", "tokens", "classes"), 2048).mapInArrow(rate, f"doc_id {kind}, key long, held_out boolean, n_tokens long, n_head long, base_part double, score_part double")
+    parts = map_arrow(coded.select("doc_id", "key", "held_out", "tokens", "classes"), rate, f"doc_id {kind}, key long, held_out boolean, n_tokens long, n_head long, base_part double, score_part double", 2048)
     slim = rare.select("hash", "doc_id", "key", "times")
     joined = slim.join(counts.groupBy("hash").agg(F.sum("c").alias("c")), "hash", "left")
     c = F.coalesce("c", F.lit(0))

@@ -8,26 +8,36 @@ J = (p - 1/4) / (1 - 1/4).  Estimates far below the threshold (``SLACK``) are dr
 others are confirmed on the full sets.  Links give components; the smallest doc_id names
 each.
 
-No group is expanded into all of its pairs.  (1) Documents with equal sets are one node.
-(2) Each band has a centre, its node of most company over all bands (the text that copies
-were made from meets more copies than they meet one another); each node is confirmed
-against the likeliest of its centres.  (3) Where nodes of one band still belong to
-different components, the band's members are compared, in blocks of at most ``BLOCK`` on
-either side: by size, by signature, and then by their sets of 32-bit shingle hashes, which
-miss no link; matrix products count what sets share.  Pairs between components that pass are confirmed on
-the full sets; pairs inside a component are skipped.  What leaves a group is at most one
-pair a member, and nothing is capped.  If a pair fails there (a hash collision), step 3
-repeats without it.
+No group is expanded into all of its pairs.  Documents with equal sets are one node.  Then:
+
+1. Each band has a centre, its node of most company over all bands (the text that copies
+   were made from meets more copies than they meet one another); each node is confirmed
+   against the likeliest of its bands' centres.
+2. Bands whose nodes still belong to different components are open.  Their signatures meet
+   in memory; what leaves a band is a forest over its components of the likeliest pairs, one
+   pair a component at most, and these are confirmed.
+3. In bands that are open even so, nodes with a likely partner in another component meet
+   with their texts, and sets are compared until no link between components is left.
+
+A band of more than ``BLOCK`` nodes that stays open is not compared as a whole.  Its nodes
+meet again by their rarest shingles: two sets of similarity s share one of the first
+n - ceil(s n) + 1 shingles in any common order, so this loses no link, and with frequent
+shingles last in the order few nodes meet.  Only if more than ``BLOCK`` nodes share a rare
+shingle, they are dealt into blocks, and blocks meet in pairs.  Nothing is capped.
 
 Chance of missing a pair of similarity s by banding: (1 - s^6)^64, 3.6e-6 at 0.75 and less
 above; by the estimate: five standard deviations.
 
-Scale: shuffles carry band keys, signatures and ids; texts move only for candidate pairs.
+Scale: shuffles carry band keys, signatures and ids.  The texts of candidates are joined out
+of the corpus once; then a text moves once for each pair to confirm, and a centre's text once
+for ``MEMBERS`` of its members.  The compared rows of a task are held one band at a time.
 
 Defined cases: texts without words are empty sets, link with nothing and are kept; texts of
-fewer than five words have one shingle, the whole sequence; rows that share a doc_id are one
-document and share a component; a row with a null doc_id links with nothing and is kept,
-its component_id null; an empty table gives an empty result.
+fewer than five words have one shingle, the whole sequence; very long texts are whole (a task
+holds the sets of the two texts it compares); rows that share a doc_id are one document and
+share a component, also if their texts differ; a row with a null doc_id links with nothing
+and is kept, its component_id null; an empty table gives an empty result; other columns are
+not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,8 +47,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Shared, arrow_rows, read, utf8
-from .components import components
+from .common import Shared, map_arrow, read, utf8
+from .components import components, relabelled
 from .shingles import alike, mixed, shingle_set
 
 ROWS, BANDS = 6, 64
@@ -48,7 +58,10 @@ PERCENT = 75
 LANES = HASHES * 2 // 64
 #: Five standard deviations of the estimate at the threshold.
 SLACK = 0.133
-BLOCK = 1024
+#: Nodes, and shingles of nodes, of a band that meet in memory; members that one copy of a centre serves.
+BLOCK, WEIGHT, MEMBERS = 2048, 1 << 20, 512
+#: Nodes of wide bands whose shingles are counted to order shingles by frequency, and the frequent shingles kept. Any order loses nothing.
+SAMPLE, FREQUENT = 2048, 1 << 16
 
 _rng = np.random.default_rng(11)
 TIMES = _rng.integers(0, 1 << 31, (HASHES, 1)).astype(np.uint32) * np.uint32(2) + np.uint32(1)
@@ -84,12 +97,9 @@ def packed(least: np.ndarray) -> np.ndarray:
 
 
 def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many minima agree in their low bits, of each row of a with each row of b (uint64 lanes)."""
-    differ = np.zeros((len(a), len(b)), np.int32)
-    for lane in range(a.shape[1]):
-        x = a[:, lane][:, None] ^ b[:, lane][None, :]
-        differ += np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555))
-    return HASHES - differ
+    """How many minima agree in their low bits, row by row (uint64 lanes)."""
+    x = a ^ b
+    return HASHES - np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(-1, dtype=np.int32)
 
 
 def estimate(agree):
@@ -102,12 +112,16 @@ def sql_estimate(a: Column, b: Column) -> Column:
     return estimate(F.lit(HASHES) - ones)
 
 
+def set_key(shingles: np.ndarray) -> bytes:
+    import xxhash
+
+    return xxhash.xxh3_128_digest(shingles.tobytes())
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, set, bands, signature); set, a 128-bit key of the set, is null for empty ones."""
 
     def sign(batches):
-        import xxhash
-
         for batch in batches:
             n, keys, bands, signed = [], [], [], []
             for text in batch.column(1).to_pylist():
@@ -115,46 +129,18 @@ def signatures(docs: DataFrame) -> DataFrame:
                 n.append(len(shingles))
                 if len(shingles):
                     least = minima(shingles)
-                    keys.append(xxhash.xxh3_128_digest(shingles.tobytes()))
+                    keys.append(set_key(shingles))
                     bands.append(band_keys(least))
                     signed.append(packed(least))
                 else:
                     keys.append(None), bands.append(None), signed.append(None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(signed, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set", "bands", "signature"])
 
-    return arrow_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text")), 256).mapInArrow(sign, "doc_id long, n_shingles long, set binary, bands array<long>, signature array<long>")
-
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text")), sign, "doc_id long, n_shingles long, set binary, bands array<long>, signature array<long>")
 
-def confirmed(pairs: DataFrame, docs: DataFrame, shared: Shared, name: str) -> DataFrame:
-    """pairs (a, b) with linked: whether their full sets are alike. Texts move for these pairs only."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), utf8("text").alias("text")).join(need, "node", "left_semi")
-    # rows that share a doc_id: the text of least hash stands for the document
-    texts = texts.groupBy("node").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    texts = shared.save(texts, f"{name}-texts")
 
-    def look(batches):
-        held, size = {}, 0
-        for batch in batches:
-            out = []
-            for a, b, ta, tb in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                for node, text in ((a, ta), (b, tb)):
-                    if node not in held:
-                        if size > 1 << 22:
-                            held, size = {k: v for k, v in held.items() if k in (a, b)}, 0
-                        held[node] = shingle_set(text)
-                        size += len(held[node])
-                out.append(alike(held[a], held[b], PERCENT))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], names=["a", "b", "linked"])
-
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    out = shared.save(arrow_rows(both.select("a", "b", "ta", "tb"), 64).mapInArrow(look, "a long, b long, linked boolean"), f"{name}-linked")
-    shared.drop(f"{name}-texts")
-    return out
-
-
-def common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, width: int = 4096) -> np.ndarray:
-    """How many elements each set of left shares with each of right: sums of products of 0/1 matrices, ``width`` elements at a time."""
+def common(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """How many elements each two of the sets share: sums of products of 0/1 matrices, ``width`` elements at a time."""
     who = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     _, element, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     # elements of one set only are shared by none
@@ -163,142 +149,272 @@ def common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, width: i
     who, element = who[many], number[element[many]]
     order = np.argsort(element, kind="stable")
     who, element = who[order], element[order]
-    out = np.zeros((len(left), len(right)), np.float32)
+    out = np.zeros((len(sets), len(sets)), np.float32)
     for start in range(0, int(element[-1]) + 1 if len(element) else 0, width):
         a, b = np.searchsorted(element, (start, start + width))
         held = np.zeros((len(sets), width), np.float32)
         held[who[a:b], element[a:b] - start] = 1.0
-        out += held[left] @ held[right].T
+        out += held @ held.T
     return out.astype(np.int64)
 
 
-def small_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, hashes): the sorted upper halves of the shingles of these nodes, four bytes each."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), utf8("text").alias("text")).join(nodes, "node", "left_semi")
+#: The estimate, as agreeing minima, from which a pair is likely.
+FLOOR = int(np.floor(HASHES * (0.25 + 0.75 * (PERCENT / 100 - SLACK))))
+
+
+def whole_groups(batches, rows: int = 8192):
+    """Tables of whole groups (columns key, lo, hi, sorted), several small ones together; with each the number of every row's group."""
+    held: list[pa.RecordBatch] = []
+    count = weight = 0
+
+    def grouped(table):
+        keys = [table.column(c).to_numpy() for c in ("key", "lo", "hi")]
+        fresh = np.zeros(table.num_rows, np.int64)
+        for k in keys:
+            fresh[1:] |= k[1:] != k[:-1]
+        return np.cumsum(fresh)
+
+    for batch in batches:
+        held.append(batch)
+        count, weight = count + batch.num_rows, weight + int(batch.column("size").to_numpy().sum())
+        if count >= rows or weight >= WEIGHT:
+            table = pa.Table.from_batches(held).combine_chunks()
+            number = grouped(table)
+            last = int(np.searchsorted(number, number[-1]))
+            if last:
+                yield table.slice(0, last), number[:last]
+            held = table.slice(last).to_batches()
+            # what stays is one open group; the next look at it waits for as much again
+            count, weight = 0, 0
+    if held and sum(b.num_rows for b in held):
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, grouped(table)
+
+
+def likely(table: pa.Table, number: np.ndarray) -> np.ndarray:
+    """(agreeing, i, j) of rows of one group with different labels whose estimate and sizes allow a link."""
+    label, size, block, lo, hi = (table.column(c).to_numpy() for c in ("label", "size", "block", "lo", "hi"))
+    lanes = table.column("signature").combine_chunks().flatten().to_numpy().reshape(-1, LANES).view(np.uint64)
+    found = [np.zeros((0, 3), np.int64)]
+    for d in range(1, len(number)):
+        i = np.flatnonzero(number[d:] == number[:-d])
+        if not len(i):
+            break
+        small, large = np.minimum(size[i], size[i + d]), np.maximum(size[i], size[i + d])
+        i = i[(label[i] != label[i + d]) & (100 * small >= PERCENT * large) & ((lo[i] == hi[i]) | (block[i] != block[i + d]))]
+        agree = agreeing(lanes[i], lanes[i + d])
+        fits = agree >= FLOOR
+        if fits.any():
+            found.append(np.stack([agree[fits], i[fits], i[fits] + d], 1))
+    return np.concatenate(found)
+
+
+class Forest:
+    """Union-find over the labels of one group."""
+
+    def __init__(self) -> None:
+        self.root: dict[int, int] = {}
+
+    def top(self, x: int) -> int:
+        while self.root.get(x, x) != x:
+            self.root[x] = x = self.root.get(self.root[x], self.root[x])
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        p, q = self.top(x), self.top(y)
+        if p != q:
+            self.root[max(p, q)] = min(p, q)
+        return p != q
+
+
+def in_groups(rows: DataFrame, work, schema: str) -> DataFrame:
+    """work on whole groups (key, lo, hi) of rows, in a stream over sorted partitions."""
+
+    def run(batches):
+        for table, number in whole_groups(batches):
+            made = work(table, number)
+            if made.num_rows:
+                yield from made.to_batches()
+
+    return map_arrow(rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi"), run, schema, 1024)
+
+
+PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def likeliest(table: pa.Table, number: np.ndarray) -> pa.Table:
+    """(a, b): of each group a forest over its labels, of the likeliest pairs."""
+    node, label = table.column("node").to_numpy(), table.column("label").to_numpy()
+    pairs, out, forests = likely(table, number), [], {}
+    for _, i, j in pairs[np.argsort(-pairs[:, 0], kind="stable")].tolist():
+        if forests.setdefault(number[i], Forest()).join(int(label[i]), int(label[j])):
+            out.append(sorted((int(node[i]), int(node[j]))))
+    a, b = zip(*out, strict=True) if out else ((), ())
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=PAIR)
+
+
+def with_partner(table: pa.Table, number: np.ndarray) -> pa.Table:
+    """(key, node) of rows that have a likely partner."""
+    pairs = likely(table, number)
+    return table.take(np.unique(pairs[:, 1:])).select(["key", "node"])
+
+
+def linked_pairs(table: pa.Table, number: np.ndarray) -> pa.Table:
+    """(a, b): of each group a forest over its labels, of pairs whose full sets (of the column text) are alike."""
+    node, label, text = table.column("node").to_numpy(), table.column("label").to_numpy(), table.column("text")
+    pairs, out = likely(table, number), []
+    for group in np.unique(number[pairs[:, 1]]):
+        own = pairs[number[pairs[:, 1]] == group]
+        rows = np.unique(own[:, 1:])
+        sets = {int(i): shingle_set(text[int(i)].as_py()) for i in rows}
+        if many := len(own) > 8 * len(rows):
+            shared, at = common(list(sets.values())), {int(i): k for k, i in enumerate(rows)}
+        forest = Forest()
+        for _, i, j in own[np.argsort(-own[:, 0], kind="stable")].tolist():
+            x, y = int(label[i]), int(label[j])
+            if forest.top(x) == forest.top(y):
+                continue
+            if many:
+                both = int(shared[at[i], at[j]])
+                same = 100 * both >= PERCENT * (len(sets[i]) + len(sets[j]) - both)
+            else:
+                same = alike(sets[i], sets[j], PERCENT)
+            if same:
+                forest.join(x, y)
+                out.append(sorted((int(node[i]), int(node[j]))))
+    a, b = zip(*out, strict=True) if out else ((), ())
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=PAIR)
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b) of pairs (member, centre) whose full sets are alike. A centre's text is sent once for some ``MEMBERS`` members."""
+    salts = pairs.groupBy("centre").agg(F.ceil(F.count("*") / MEMBERS).alias("salts"))
+    dealt = pairs.join(salts, "centre").select("member", "centre", F.pmod(F.xxhash64("member"), "salts").alias("salt"))
+    members = dealt.join(texts.select(F.col("node").alias("member"), "text"), "member").select("centre", "salt", F.col("member").alias("node"), "text")
+    centres = dealt.select("centre", "salt").distinct().join(texts.select(F.col("node").alias("centre"), "text"), "centre").select("centre", "salt", F.col("centre").alias("node"), "text")
+    rows = members.unionAll(centres).withColumn("other", F.col("node") != F.col("centre")).repartition("centre", "salt").sortWithinPartitions("centre", "salt", "other")
 
-    def shrink(batches):
+    def look(batches):
+        at, middle = None, None
         for batch in batches:
-            made = [np.unique((shingle_set(t) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["node", "hashes"])
-
-    rows = arrow_rows(texts, 256).mapInArrow(shrink, "node long, hashes binary")
-    return rows.groupBy("node").agg(F.max("hashes").alias("hashes"))
-
-
-def likely_pairs(members: DataFrame) -> DataFrame:
-    """(a, b): pairs of nodes with different labels in one band whose 32-bit sets are alike; a forest over labels a group.
-
-    members: (key, node, label, size, signature, hashes, tried) of bands that hold several labels; tried: greater
-    partners already confirmed or refused.  A band of n members is dealt into ceil(n / BLOCK) blocks, and each pair
-    of blocks is one group, so a group has at most about 2 * BLOCK members and is compared in memory.
-    """
-    counts = members.groupBy("key").agg(F.count("*").alias("n"))
-    dealt = members.join(counts, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "label", "size", "signature", "hashes", "tried")
-    floor = int(np.floor(HASHES * (0.25 + 0.75 * (PERCENT / 100 - SLACK))))
-
-    def compare(_, rows):
-        node, label, size = (rows.column(c).to_numpy() for c in ("node", "label", "size"))
-        lanes = np.array(rows.column("signature").to_pylist(), np.int64).view(np.uint64)
-        sets = [np.frombuffer(h, np.uint32) for h in rows.column("hashes").to_pylist()]
-        block, tried = rows.column("block").to_numpy(), [set(t or ()) for t in rows.column("tried").to_pylist()]
-        lo, hi = rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py()
-        left = np.arange(len(node)) if lo == hi else np.flatnonzero(block == lo)
-        right = left if lo == hi else np.flatnonzero(block == hi)
-        found = [np.zeros((0, 3), np.int64)]
-        shared = None
-        for k in range(0, len(left), 256):
-            part = left[k : k + 256]
-            agree = agreeing(lanes[part], lanes[right])
-            small, large = np.minimum(size[part][:, None], size[right][None, :]), np.maximum(size[part][:, None], size[right][None, :])
-            fits = (agree >= floor) & (label[part][:, None] != label[right][None, :]) & (100 * small >= PERCENT * large)
-            if lo == hi:
-                fits &= node[part][:, None] < node[right][None, :]
-            if fits.any():
-                if shared is None:
-                    shared, own = common(sets, left, right), np.array([len(s) for s in sets])
-                both = shared[k : k + 256]
-                # 32-bit sets shrink by collisions; one element in a thousand is more than they lose
-                fits &= 100 * both >= (PERCENT - 0.1) * (own[part][:, None] + own[right][None, :] - both)
-            x, y = np.nonzero(fits)
-            found.append(np.stack([agree[x, y], part[x], right[y]], 1))
-        pairs = np.concatenate(found)
-        root: dict[int, int] = {}
-
-        def top(x: int) -> int:
-            while root.get(x, x) != x:
-                root[x] = x = root.get(root[x], root[x])
-            return x
-
-        out = []
-        for _, i, j in pairs[np.argsort(-pairs[:, 0], kind="stable")].tolist():
-            p, q = top(int(label[i])), top(int(label[j]))
-            a, b = sorted((int(node[i]), int(node[j])))
-            if p != q and b not in tried[i] and b not in tried[j]:
-                root[max(p, q)] = min(p, q)
-                out.append((a, b))
-        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
-
-    return dealt.groupBy("key", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
+            found = []
+            for centre, node, text in zip(*[batch.column(c).to_pylist() for c in ("centre", "node", "text")], strict=True):
+                if node == centre:
+                    at, middle = centre, shingle_set(text)
+                elif at == centre and alike(shingle_set(text), middle, PERCENT):
+                    found.append(sorted((node, centre)))
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], schema=PAIR)
+
+    return map_arrow(rows.select("centre", "node", "text"), look, "a long, b long", 64)
+
+
+def mixed_keys(rows: DataFrame) -> DataFrame:
+    """(key, n) of the keys of rows (key, node, label) that hold several labels."""
+    return rows.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.count("*").alias("n")).where("_lo != _hi").select("key", "n")
+
+
+def rare_keys(wide: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, node, label): nodes (node, label) by their rarest shingles; nodes whose sets are alike share a key."""
+    some = wide.select("node").orderBy(F.xxhash64("node"), "node").limit(SAMPLE)
+
+    def every(batches):
+        for batch in batches:
+            made = [shingle_set(t) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *made]).view(np.int64))], names=["key"])
+
+    counts = map_arrow(texts.join(some, "node").select("text"), every, "key long", 64).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= SAMPLE // 64)
+    often = np.sort(np.array([r.key for r in counts.orderBy(F.desc("n"), "key").limit(FREQUENT).collect()], np.int64).view(np.uint64))
+
+    def rarest(batches):
+        for batch in batches:
+            keys, sizes = [np.zeros(0, np.uint64)], []
+            for text in batch.column(2).to_pylist():
+                own = shingle_set(text)
+                order = np.argsort(np.isin(own, often), kind="stable")
+                keys.append(own[order[: len(own) - -(-PERCENT * len(own) // 100) + 1]])
+                sizes.append(len(keys[-1]))
+            rows = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows)], names=["key", "node", "label"])
+
+    return map_arrow(texts.join(wide, "node").select("node", "label", "text"), rarest, "key long, node long, label long", 64)
+
+
+def dealt(rows: DataFrame, most: Column) -> DataFrame:
+    """rows (key, ...) with lo, hi and block: whole groups are one block; of ``most`` blocks each pair is a group."""
+    rows = rows.withColumn("_blocks", most.cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    return rows.withColumn("lo", F.least("block", "_other")).withColumn("hi", F.greatest("block", "_other")).drop("_blocks", "_other")
+
+
+def open_rows(members: DataFrame, labels: DataFrame, facts: DataFrame, texts: DataFrame, shared: Shared, name: str) -> DataFrame:
+    """(key, lo, hi, block, node, label, size, signature) of the nodes of open bands, wide ones by their rarest shingles."""
+    labelled = members.join(labels, "node").select("key", "node", "label")
+    found = shared.save(labelled.join(mixed_keys(labelled), "key"), f"{name}-open")
+    rows = found.where(F.col("n") <= BLOCK)
+    wide = found.where(F.col("n") > BLOCK).select("node", "label").distinct()
+    if wide.limit(1).count():
+        rare = shared.save(rare_keys(shared.save(wide, f"{name}-wide"), texts), f"{name}-rare")
+        rows = rows.unionAll(rare.join(mixed_keys(rare), "key").select("key", "node", "label", "n"))
+    return dealt(rows.join(facts, "node"), F.ceil(F.col("n") / BLOCK)).select("key", "lo", "hi", "block", "node", "label", "size", "signature")
 
 
 def near_duplicates(docs: DataFrame, shared: Shared) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of docs (doc_id, text)."""
     signed = shared.save(signatures(docs), "signed")
     full = signed.where("set is not null and doc_id is not null")
-    groups = shared.save(full.groupBy("set").agg(F.min("doc_id").alias("node")), "groups")
-    nodes = full.join(groups, "set").where("doc_id = node").groupBy("node").agg(F.min_by("bands", "set").alias("bands"), F.min_by("signature", "set").alias("signature"), F.min_by("n_shingles", "set").alias("size"))
-    nodes = shared.save(nodes, "nodes")
-    shared.release()
+    nodes = full.groupBy("set").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands"), F.first("signature").alias("signature"), F.first("n_shingles").alias("size"))
+    nodes = shared.save(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     rows = nodes.select("node", F.explode("bands").alias("key"))
     sizes = shared.save(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     members = shared.save(rows.join(sizes, "key").select("key", "node", "n"), "members")
-    shared.release()
+    company = shared.save(members.groupBy("node").agg(F.sum("n").alias("met")), "company")
+    facts = shared.save(nodes.join(company, "node", "left_semi").select("node", "set", "first", "size", "signature"), "facts")
+    sig = facts.select("node", "size", "signature")
+
+    # the texts of candidates; a doc_id may hold several texts, the set tells which is meant
+    wanted = docs.select(F.col("doc_id").cast("long").alias("first"), utf8("text").alias("text")).join(facts.select("node", "first", "set"), "first").select("node", "set", "text")
+
+    def meant(batches):
+        for batch in batches:
+            right = [set_key(shingle_set(t)) == s for s, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield batch.filter(pa.array(right, pa.bool_())).select(["node", "text"])
+
+    texts = shared.save(map_arrow(wanted, meant, "node long, text binary"), "texts")
+
+    # sets of one doc_id belong together
+    several = full.groupBy("doc_id").agg(F.min("set").alias("lo"), F.max("set").alias("hi")).where("lo != hi").select("doc_id")
+    several = shared.save(full.join(several, "doc_id").select("doc_id", "set").distinct().join(nodes.select("set", "node"), "set").select("doc_id", "node"), "several")
+    own = several.join(several.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").where("a != node").select("a", F.col("node").alias("b"))
 
     # each node with the likeliest of its bands' centres
-    sig = nodes.select("node", "signature", "size")
-    company = shared.save(members.groupBy("node").agg(F.sum("n").alias("met")), "company")
-    firsts = shared.save(members.join(company, "node").groupBy("key").agg(F.max_by("node", F.struct("met", -F.col("node"))).alias("first")), "firsts")
-    offers = members.join(firsts, "key").where("node != first").groupBy("node", "first").agg(F.count("*").alias("shared"))
-    offers = offers.join(sig, "node").join(sig.select(F.col("node").alias("first"), F.col("signature").alias("other")), "first")
-    offers = offers.select("node", "first", sql_estimate(F.col("signature"), F.col("other")).alias("estimate")).where(F.col("estimate") >= PERCENT / 100 - SLACK)
-    pairs = offers.groupBy("node").agg(F.max_by("first", F.struct("estimate", -F.col("first"))).alias("first")).select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b")).distinct()
-    pairs = shared.save(pairs, "pairs-0")
-    tried = confirmed(pairs, docs, shared, "first")
-    # a document whose rows differ holds several sets: those sets' nodes are one
-    labels = components(tried.where("linked").select("a", "b"), shared, "labels-0")
-    turn = 0
-    while True:
-        turn += 1
-        shared.release()
-        labelled = members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        mixed_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
-        open_rows = shared.save(labelled.join(shared.save(mixed_keys, f"mixed-{turn}"), "key"), f"open-{turn}")
-        sets = shared.save(small_sets(docs, open_rows.select("node").distinct()), f"sets-{turn}")
-        shared.release()
-        known = tried.groupBy("a").agg(F.collect_set("b").alias("tried")).withColumnRenamed("a", "node")
-        facts = shared.save(sig.join(sets, "node").join(known, "node", "left"), f"facts-{turn}")
-        pairs = shared.save(likely_pairs(open_rows.join(facts, "node")), f"pairs-{turn}")
-        for name in ("mixed", "open", "sets", "facts"):
-            shared.drop(f"{name}-{turn}")
-        shared.release()
-        if not pairs.limit(1).count():
-            break
-        found = confirmed(pairs, docs, shared, f"more-{turn}")
-        refused = found.where("not linked").limit(1).count()
-        tried = shared.save(tried.unionAll(found), f"tried-{turn}")
-        # components of the components that the new links join
-        linked = found.where("linked")
-        ends = labels.select("node", "label")
-        joined = linked.join(ends.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(ends.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
-        over = components(joined.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a != b"), shared, f"over-{turn}")
-        touched = labels.unionAll(joined.where("la is null").select(F.col("a").alias("node"), F.col("a").alias("label"))).unionAll(joined.where("lb is null").select(F.col("b").alias("node"), F.col("b").alias("label"))).distinct()
-        renamed = touched.join(over.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-        labels = shared.save(renamed, f"labels-{turn}")
-        if not refused:
-            break
-    named = shared.save(groups.join(labels, "node", "left").select("set", F.coalesce("label", "node").alias("component_id")), "named")
+    firsts = members.join(company, "node").groupBy("key").agg(F.max_by("node", F.struct("met", -F.col("node"))).alias("centre"))
+    offers = members.join(firsts, "key").where("node != centre").select("node", "centre").distinct()
+    offers = offers.join(sig, "node").join(sig.select(F.col("node").alias("centre"), F.col("signature").alias("other")), "centre")
+    offers = offers.select("node", "centre", sql_estimate(F.col("signature"), F.col("other")).alias("estimate")).where(F.col("estimate") >= PERCENT / 100 - SLACK)
+    pairs = shared.save(offers.groupBy("node").agg(F.max_by("centre", F.struct("estimate", -F.col("centre"))).alias("centre")).withColumnRenamed("node", "member"), "pairs")
+    links = shared.save(confirmed(pairs, texts).unionAll(own), "links")
+    singles = company.select("node").unionAll(several.select("node")).distinct().select("node", F.col("node").alias("label"))
+    labels = relabelled(singles, links, shared, "labels-1")
+
+    # the likeliest pairs between components
+    pairs = shared.save(in_groups(open_rows(members, labels, sig, texts, shared, "forest"), likeliest, "a long, b long").distinct(), "likeliest")
+    links = shared.save(confirmed(pairs.select(F.col("a").alias("member"), F.col("b").alias("centre")), texts), "links-2")
+    labels = relabelled(labels, links, shared, "labels-2")
+
+    # whatever is left, on full sets
+    rows = shared.save(open_rows(members, labels, sig, texts, shared, "rest"), "rest")
+    left = shared.save(in_groups(rows, with_partner, "key long, node long").distinct(), "left")
+    weights = left.join(sig.select("node", "size"), "node").groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("weight"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("weight") / WEIGHT))
+    rows = dealt(left.join(weights, "key").join(labels, "node").join(sig, "node"), blocks).join(texts, "node")
+    links = shared.save(in_groups(rows.select("key", "lo", "hi", "block", "node", "label", "size", "signature", "text"), linked_pairs, "a long, b long").distinct(), "links-3")
+    labels = relabelled(labels, links, shared, "labels-3")
+
+    named = nodes.select("set", "first", "node").join(labels, "node", "left").select("set", "first", F.coalesce("label", "node").alias("label"))
+    least = shared.save(named.groupBy("label").agg(F.min("first").alias("component_id"), F.count("*").alias("n")).where("n > 1").select("label", "component_id"), "least")
+    named = shared.save(named.join(least, "label", "left").select("set", F.coalesce("component_id", "first").alias("component_id")), "named")
+    for name in ("nodes", "sizes", "members", "company", "facts", "texts", "several", "pairs", "links", "likeliest", "links-2", "rest", "left", "links-3", "labels-3", "least", "forest-open", "rest-open"):
+        shared.drop(name)
     out = signed.select("doc_id", "n_shingles", "set").join(named, "set", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.cast("long").alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Shared, arrow_rows, crc_bucket, read, utf8
+from .common import Shared, map_arrow, crc_bucket, read, utf8
 from .text_stats import NOT_DIGIT, NOT_LETTER, NOT_UPPER, SYMBOLS, WHITE, base_counts, kept
 
 STATS = ("words", "word_length", "distinct", "symbols", "upper", "digits", "exclaims", "pipes", "beyond_ascii", "dup_lines", "repeats", "stutters", "line_words", "ends", "commas", "top_word", "entropy", "white")
@@ -59,7 +59,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.float64()))], names=["doc_id", "stats"])
 
     kind = dict(docs.select("doc_id").dtypes)["doc_id"]
-    return arrow_rows(docs.select("doc_id", utf8("text").alias("text")), 256).mapInArrow(count, f"doc_id {kind}, stats array<double>")
+    return map_arrow(docs.select("doc_id", utf8("text").alias("text")), count, f"doc_id {kind}, stats array<double>")
 
 
 @dataclass(frozen=True)
@@ -156,7 +156,7 @@ def score(stats: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64()), pa.array((got >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     kind = dict(stats.dtypes)["doc_id"]
-    return arrow_rows(stats.select("doc_id", "stats"), 256).mapInArrow(rate, f"doc_id {kind}, score double, predicted int")
+    return map_arrow(stats.select("doc_id", "stats"), rate, f"doc_id {kind}, score double, predicted int")
 
 
 def classify(docs: DataFrame, labels: DataFrame, shared: Shared) -> DataFrame:

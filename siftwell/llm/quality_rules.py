@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, read, utf8
+from .common import map_arrow, read, utf8
 from .text_stats import NOT_DIGIT, NOT_LETTER, NOT_UPPER, SYMBOLS, WHITE, base_counts, kept
 
 TRAIN_DOCS, TRAIN_LINES = 2000, 400
@@ -151,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Field:
             yield pa.RecordBatch.from_arrays([pa.array([made[i].astype(np.int8).tobytes() for i in good], pa.binary()), batch.column(1).take(pa.array(good, pa.int64())), batch.column(2).take(pa.array(good, pa.int64()))], names=["signs", "quality", "doc_id"])
 
     some = docs.select("doc_id", utf8("text").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", F.col("quality").cast("int").alias("quality"), F.col("doc_id").cast("string").alias("doc_id"))
-    rows = arrow_rows(some, 256).mapInArrow(signs, "signs binary, quality int, doc_id string").collect()
+    rows = map_arrow(some, signs, "signs binary, quality int, doc_id string").collect()
     rows.sort(key=lambda r: (r.doc_id, bytes(r.signs)))  # the same sums in any order of tasks
     return fit([(np.frombuffer(bytes(r.signs), np.int8).reshape(-1, len(SIGNS)).astype(np.float64), 1 - r.quality) for r in rows[: 2 * most]])
 
@@ -178,7 +178,7 @@ def judge(docs: DataFrame, field: Field) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(c, pa.int64()) for c in columns[:-1]], pa.array(columns[-1], pa.string())], names=[*batch.schema.names[:-1], *names])
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema], own])
-    out = arrow_rows(docs.withColumn("_bytes", utf8("text")), 256).mapInArrow(count, schema)
+    out = map_arrow(docs.withColumn("_bytes", utf8("text")), count, schema)
     n, share = F.col("n_words"), F.when(F.col("n_words") > 0, F.col("content_words") / F.col("n_words")).otherwise(0.0)
     out = out.withColumn("base_failed", (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * n)).withColumn("content_share", share)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("content_share") >= MIN_CONTENT))

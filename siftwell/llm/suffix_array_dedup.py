@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bwt
-from .common import Shared, arrow_rows, read, utf8
+from .common import Shared, map_arrow, read, utf8
 from .shingles import mixed, prefix_sums, stretch_hashes
 
 LENGTH, GRAM = 100, 32
@@ -100,7 +100,7 @@ def all_segments(docs: DataFrame) -> DataFrame:
                 key, code, start, size, again = (np.concatenate(x) for x in zip(*parts, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(code), pa.array(np.concatenate(ids)), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int16)), pa.array(again)], names=["key", "hash", "id", "start", "windows", "again"])
 
-    return arrow_rows(docs.select("id", "text"), 256).mapInArrow(cut, "key long, hash long, id long, start int, windows short, again boolean")
+    return map_arrow(docs.select("id", "text"), cut, "key long, hash long, id long, start int, windows short, again boolean")
 
 
 def cut_out(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -123,7 +123,7 @@ def cut_out(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array(parts, pa.binary()), pa.array(ids, pa.int64()), pa.array(starts, pa.int32())], names=["group", "bytes", "id", "start"])
 
     both = docs.select("id", "text").join(wanted, "id").select("id", "text", "cuts")
-    return arrow_rows(both, 256).mapInArrow(cut, "group long, bytes binary, id long, start int")
+    return map_arrow(both, cut, "group long, bytes binary, id long, start int")
 
 
 def later_windows(texts: list[tuple[bytes, int, int]]) -> list[tuple[int, int, int]]:
@@ -184,7 +184,7 @@ def merge_groups(rows: DataFrame) -> DataFrame:
         yield flush()
 
     dealt = rows.repartition("group").sortWithinPartitions("group")
-    return arrow_rows(dealt.select("group", "bytes", "id", "start"), 4096).mapInArrow(merge, "id long, start int, windows int")
+    return map_arrow(dealt.select("group", "bytes", "id", "start"), merge, "id long, start int, windows int", 4096)
 
 
 def repeated_windows(docs: DataFrame, shared: Shared) -> DataFrame:
@@ -246,7 +246,7 @@ def dedup_substrings(docs: DataFrame, shared: Shared) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))), pa.array(kept, pa.binary()), pa.array(digests, pa.string())], names=["doc_id", "n_bytes", "n_removed", "spans", "kept_bytes", "kept_sha256"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return arrow_rows(both, 256).mapInArrow(remove, f"doc_id {kind}, n_bytes long, n_removed long, spans array<struct<`from`: int, `to`: int>>, kept_bytes binary, kept_sha256 string")
+    return map_arrow(both, remove, f"doc_id {kind}, n_bytes long, n_removed long, spans array<struct<`from`: int, `to`: int>>, kept_bytes binary, kept_sha256 string")
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, read, utf8
+from .common import map_arrow, read, utf8
 
 TOKENIZER = os.environ.get("SIFTWELL_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: The vocabulary's split rule, a fixed value: letters, digits, other signs and white space apart.
@@ -48,7 +48,7 @@ def encoded_lengths(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["doc_id", "n_tokens"])
 
     kind = dict(docs.select("doc_id").dtypes)["doc_id"]
-    return arrow_rows(docs.select("doc_id", utf8("text").alias("text")), 256).mapInArrow(count, f"doc_id {kind}, n_tokens long")
+    return map_arrow(docs.select("doc_id", utf8("text").alias("text")), count, f"doc_id {kind}, n_tokens long")
 
 
 def histogram(lengths: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from siftwell.llm import line_dedup, minhash_near_dedup, shingles
+from siftwell.llm.common import Shared
 
 
 def shingle_words(text):
@@ -29,7 +30,7 @@ def brute_components(rows):
     return {d: (len(sets[d]), top(d), top(d) == d) for d in sets}
 
 
-@pytest.mark.parametrize("block", [1024, 4])
+@pytest.mark.parametrize("block", [2048, 2])
 def test_components(spark, shared, monkeypatch, block):
     monkeypatch.setattr(minhash_near_dedup, "BLOCK", block)
     rows = [(d, t) for d, t, _ in edge.texts() if d is not None]
@@ -45,6 +46,25 @@ def test_components(spark, shared, monkeypatch, block):
     assert got == brute_components(dict(rows).items())
 
 
+def test_rows_of_one_id_with_other_texts_belong_together(spark, shared):
+    a, b = edge.prose(901, 80), edge.prose(902, 80)
+    rows = [(3, a), (3, b), (3, b), (5, a), (7, b), (8, edge.prose(903, 80))]
+    got = minhash_near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shared).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(3, 3, True)] * 3 + [(5, 3, False), (7, 3, False), (8, 8, True)]
+
+
+def test_links_without_a_common_centre(spark, shared, monkeypatch):
+    # no star is confirmed: bands with partners and full sets must find every link, in blocks and by rare shingles too
+    base = edge.prose(77, 150)
+    rows = [(100 + i, edge.edited(base, i, 0.03)) for i in range(40)] + [(i, edge.prose(500 + i, 60)) for i in range(10)]
+    confirmed = minhash_near_dedup.confirmed
+    monkeypatch.setattr(minhash_near_dedup, "confirmed", lambda pairs, texts: confirmed(pairs, texts).where("false"))
+    for block in (2048, 4):
+        monkeypatch.setattr(minhash_near_dedup, "BLOCK", block)
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash_near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), Shared(spark)).collect()}
+        assert got == brute_components(rows)
+
+
 def test_null_id_links_with_nothing(spark, shared):
     rows = [(None, edge.BASE), (5, edge.BASE), (6, edge.BASE)]
     got = minhash_near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shared).collect()
@@ -61,7 +81,7 @@ def test_estimates_and_sql_form(spark):
         a, b = (np.unique(np.concatenate([both, x])) for x in own)
         pa_, pb = (minhash_near_dedup.packed(minhash_near_dedup.minima(x)) for x in (a, b))
         j = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-        est = minhash_near_dedup.estimate(minhash_near_dedup.agreeing(pa_.view(np.uint64)[None], pb.view(np.uint64)[None])[0, 0])
+        est = minhash_near_dedup.estimate(minhash_near_dedup.agreeing(pa_.view(np.uint64), pb.view(np.uint64)))
         assert abs(est - j) < 0.14
         rows.append((pa_.tolist(), pb.tolist()))
         want.append(est)

@@ -9,8 +9,8 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     p = tmp_path_factory.mktemp("tables")
-    q = edge.prose(9, 30)
-    rows = [(i, edge.prose(i, 120), "en", f"s{i % 3}") for i in range(30)]
+    q = edge.prose(2000, 30)
+    rows = [(i, edge.prose(1000 + i, 120), "en", f"s{i % 3}") for i in range(30)]
     rows += [(40, edge.BASE, "en", "s0"), (41, edge.BASE, "en", "s0"), (42, edge.edited(edge.BASE, 2, 0.01).replace("\n", " "), "en", "s1"), (50, edge.prose(60, 80) + " " + q, "en", "s1"), (60, edge.prose(61, 100).upper().replace(" ", "!! "), "en", "s2"), (61, "", "en", "s2"), (62, None, None, None)]
     spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{p}/documents.parquet")
     spark.createDataFrame([(i, 1, 0) for i in range(20)] + [(60, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{p}/labels.parquet")
