@@ -12,29 +12,32 @@ with c, C, D the word's count, the class's tokens and its different words in tra
 The first factor is computed exactly by the scaled forward recursion.
 
 Training: expected counts of starts, turns and emissions (forward and backward over every
-training text) are summed over partitions by class.  Every round covers the whole training
-corpus, and rounds go on until one gains at most ``SETTLED`` nats a token.  They start from
-the corpus's class counts times seeded noise, other in each state, with states that seldom
-change, so that the first round parts whole texts.
+training text) are summed over partitions by class.  Rounds start from the corpus's class
+counts times seeded noise, other in each state, with states that seldom change, so that the
+first round parts whole texts.  Until they settle (one gains at most ``SETTLED`` nats a
+token), rounds take every ``SHARE``-th training text by hash; then they take the whole
+training corpus, again until one gains no more than that.
 
 The base score is the sum over tokens of log10((c + 0.5) / (N + 0.5 * (V + 1))).
 
 Scale: rare words are too many to broadcast.  Texts become sequences of class numbers, two
-bytes a token, in a shared table; rare words travel once as (hash, document, times), join
-the word counts by hash, and come back as one sum a document and task.  All words are
-counted, summed by task before the shuffle, and the frequent ones are the first by count,
-ties by the word, however the texts are partitioned.  The model has
+bytes a token, in a shared table; rare words lie beside them, travel once as (hash,
+document, times), join the word counts by hash, and come back as one sum a document and
+task.  All words are counted, summed by task before the shuffle, and the frequent ones are
+the first by count, ties by the word, however the texts are partitioned.  The model has
 ``STATES * (HEAD + SHAPES)`` numbers, whatever the corpus.
 
 Defined cases: null or empty texts hold the end token only; repeated rows each get the same
 score and each count in training; rows that share a doc_id but differ in text are told apart
-by a text hash; null doc_ids hash as the empty string; without training texts all counts are
+by a text hash; null doc_ids hash as the empty string; a very long text takes its steps in
+stretches of ``PLACES`` tokens, whole; other columns are not looked at; without training texts all counts are
 zero and the states uniform; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,12 +45,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Shared, map_arrow, crc_bucket, read, utf8
+from .common import Shared, crc_bucket, map_arrow, read, utf8
 
 HEAD, SHAPES, STATES = 4096, 1024, 8
 SETTLED, SEED = 3e-4, 5
-#: Texts that take a step of the recursion together, and the most places (texts times longest text) of such a group.
-SLOTS, PLACES = 1024, 1 << 18
+#: Training texts to one that the first rounds take.
+SHARE = 8
+#: Texts that take a step of the recursion together, the most places (texts times longest text) of such a group, and texts that are dealt into groups at once.
+SLOTS, PLACES, TOGETHER = 4096, 1 << 19, 8192
 END = 0
 LOG10 = float(np.log(10.0))
 
@@ -66,17 +71,15 @@ class Vocabulary:
         self.head = {w: i + 1 for i, w in enumerate(head)}
         self.known = dict(self.head)
 
-    def numbers(self, words: list[bytes]) -> list[int]:
-        known, out = self.known, []
+    def numbers(self, words: list[bytes], different: Iterable[bytes]) -> list[int]:
+        """The classes of the words and the end; different: each word once."""
+        known = self.known
         if len(known) > 400_000:
             known = self.known = dict(self.head)
-        for w in words:
-            k = known.get(w)
-            if k is None:
-                k = known[w] = self.first + shape(w)
-            out.append(k)
-        out.append(END)
-        return out
+        for w in different:
+            if w not in known:
+                known[w] = self.first + shape(w)
+        return [*map(known.__getitem__, words), END]
 
 
 @dataclass
@@ -102,62 +105,89 @@ def batches_of(texts: list[np.ndarray]) -> list[list[int]]:
 def padded(texts: list[np.ndarray], group: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """(time, text) class numbers of a group, longest first, and how many texts are alive at each time."""
     sizes = np.array([len(texts[i]) for i in group])
-    obs = np.zeros((sizes[0], len(group)), np.int64)
+    obs = np.zeros((sizes[0], len(group)), np.uint16)
     for j, i in enumerate(group):
         obs[: sizes[j], j] = texts[i]
     alive = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")
     return obs, alive
 
 
-def forward(model: Model, seen: np.ndarray, alive: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
-    """Natural log-likelihood of each text by the scaled forward recursion; the scaled alphas (with keep) and the scales.
+def forward(model: Model, seen: np.ndarray, alive: np.ndarray, keep: bool = False, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None, np.ndarray, np.ndarray]:
+    """Natural log-likelihood of each text by the scaled forward recursion; the scaled alphas (with keep), the scales and the last alphas.
 
-    seen: (time, text, state), the emission probability of each token.
+    seen: (time, text, state), the emission probability of each token; before: the last alphas of the time before, if texts began earlier.
     """
     time, count, states = seen.shape
-    scales = np.ones((time, count))
-    alphas = np.zeros(seen.shape) if keep else None
-    a = model.start * seen[0]
+    scales = np.ones((time, count), seen.dtype)
+    alphas = np.zeros(seen.shape, seen.dtype) if keep else None
+    turn, ones = model.turn.astype(seen.dtype), np.ones(states, seen.dtype)
+    a = model.start.astype(seen.dtype) * seen[0] if before is None else before
     for t in range(time):
         n = alive[t]
-        if t:
-            a = a[:n] @ model.turn
+        if t or before is not None:
+            a = a[:n] @ turn
             a *= seen[t, :n]
-        s = a.sum(1)
+        s = a @ ones
         a /= s[:, None]
         scales[t, :n] = s
         if keep:
             alphas[t, :n] = a
-    return np.log(scales).sum(0), alphas, scales
+    return np.log(scales).sum(0, dtype=np.float64), alphas, scales, a
+
+
+def likelihoods(model: Model, obs: np.ndarray, alive: np.ndarray) -> tuple[np.ndarray, list[np.ndarray | None]]:
+    """Natural log-likelihood of each text, and the alphas before each stretch of ``PLACES`` times."""
+    total, before = np.zeros(obs.shape[1]), [None]
+    for at in range(0, len(obs), PLACES):
+        part = slice(at, at + PLACES)
+        logs, _, _, last = forward(model, np.take(model.emit, obs[part], axis=0), alive[part], before=before[-1])
+        total += logs
+        before.append(last)
+    return total, before
 
 
 def expected(model: Model, texts: list[np.ndarray], counts: Model) -> float:
-    """Adds the expected counts of the texts to counts; returns their log-likelihood."""
+    """Adds the expected counts of the texts to counts; returns their log-likelihood.
+
+    A long text goes in stretches: the forward pass keeps the alphas between them, and the
+    backward pass takes them from the last to the first, so memory is bounded whatever its length.
+    """
     gained = 0.0
     classes, states = model.emit.shape
+    emit, turn = model.emit.astype(np.float32), model.turn.astype(np.float32)
+    narrow, back = Model(model.start, model.turn, emit), np.ascontiguousarray(turn.T)
     for group in batches_of(texts):
         obs, alive = padded(texts, group)
-        seen = model.emit[obs]
-        total, alphas, scales = forward(model, seen, alive, keep=True)
-        gained += total.sum()
         time, count = obs.shape
-        beta, betas, onward = np.ones((count, states)), np.zeros(seen.shape), np.zeros(seen.shape)
-        seen /= scales[:, :, None]
-        back = np.ascontiguousarray(model.turn.T)
-        betas[time - 1, : alive[-1]] = 1.0
-        for t in range(time - 2, -1, -1):
-            n, m = alive[t], alive[t + 1]
-            np.multiply(seen[t + 1, :m], beta[:m], out=onward[t + 1, :m])
-            np.matmul(onward[t + 1, :m], back, out=beta[:m])
-            betas[t, :n] = beta[:n]
-        counts.turn += (alphas[:-1].reshape(-1, states).T @ onward[1:].reshape(-1, states)) * model.turn
-        betas *= alphas
-        counts.start += betas[0].sum(0)
-        live = np.arange(count)[None, :] < alive[:, None]
-        where, what = obs[live], betas[live]
-        for s in range(states):
-            counts.emit[:, s] += np.bincount(where, what[:, s], classes)
-    return gained
+        before = likelihoods(narrow, obs, alive)[1] if time > PLACES else [None]
+        beta = np.ones((count, states), np.float32)
+        after = None  # (beta * seen) of the time after a stretch
+        for at in range((time - 1) // PLACES * PLACES, -1, -PLACES):
+            part, live = obs[at : at + PLACES], alive[at : at + PLACES]
+            seen, steps = np.take(emit, part, axis=0), len(part)
+            total, alphas, scales, _ = forward(narrow, seen, live, keep=True, before=before[at // PLACES])
+            gained += total.sum()
+            betas, onward = np.zeros(seen.shape, np.float32), np.zeros(seen.shape, np.float32)
+            seen /= scales[:, :, None]
+            if after is not None:
+                counts.turn += (alphas[-1, : len(after)].T @ after) * model.turn
+                np.matmul(after, back, out=beta[: len(after)])
+            betas[-1, : live[-1]] = beta[: live[-1]]
+            for t in range(steps - 2, -1, -1):
+                n, m = live[t], live[t + 1]
+                np.multiply(seen[t + 1, :m], beta[:m], out=onward[t + 1, :m])
+                np.matmul(onward[t + 1, :m], back, out=beta[:m])
+                betas[t, :n] = beta[:n]
+            after = seen[0, : live[0]] * beta[: live[0]]
+            counts.turn += (alphas[:-1].reshape(-1, states).T @ onward[1:].reshape(-1, states)) * model.turn
+            betas *= alphas
+            if not at:
+                counts.start += betas[0].sum(0)
+            there = np.arange(count)[None, :] < live[:, None]
+            where, what = part[there], betas[there]
+            for s in range(states):
+                counts.emit[:, s] += np.bincount(where, what[:, s], classes)
+    return float(gained)
 
 
 def normalised(counts: Model) -> Model:
@@ -210,39 +240,28 @@ def frequent_words(counts: DataFrame, most: int = HEAD) -> list[tuple[bytes, int
 
 
 def encoded(docs: DataFrame, head: list[bytes]) -> DataFrame:
-    """(doc_id, key, held_out, tokens, classes): classes holds two bytes a token."""
+    """(doc_id, key, held_out, tokens, classes, hashes, times): classes holds two bytes a token; hashes and times the rare words."""
     sent = docs.sparkSession.sparkContext.broadcast(head)
 
     def encode(batches):
-        names = Vocabulary(sent.value)
-        for batch in batches:
-            made = [np.array(names.numbers(t.lower().split()), np.uint16).tobytes() for t in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(m) // 2 for m in made], pa.int64()), pa.array(made, pa.binary())], names=["doc_id", "key", "held_out", "tokens", "classes"])
-
-    kind = dict(docs.dtypes)["doc_id"]
-    return map_arrow(docs.select("doc_id", "key", "held_out", "text"), encode, f"doc_id {kind}, key long, held_out boolean, tokens long, classes binary")
-
-
-def rare_words(docs: DataFrame, head: list[bytes]) -> DataFrame:
-    """(hash, shape, doc_id, key, learnt, times): a row for each rare word of each text."""
-    sent = docs.sparkSession.sparkContext.broadcast(frozenset(head))
-
-    def find(batches):
         from collections import Counter
 
         import xxhash
 
+        names = Vocabulary(sent.value)
         for batch in batches:
-            hashes, shapes, rows, times = [], [], [], []
-            for i, text in enumerate(batch.column(3).to_pylist()):
-                for w, n in Counter(text.lower().split()).items():
-                    if w not in sent.value:
-                        hashes.append(xxhash.xxh3_64_intdigest(w)), shapes.append(shape(w)), rows.append(i), times.append(n)
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(shapes, pa.int16()), *[batch.column(k).take(at) for k in range(3)], pa.array(times, pa.int32())], names=["hash", "shape", "doc_id", "key", "held_out", "times"])
+            made, hashes, times = [], [], []
+            for text in batch.column(3).to_pylist():
+                words = text.lower().split()
+                each = Counter(words)
+                made.append(np.array(names.numbers(words, each), np.uint16).tobytes())
+                rare = [w for w in each if w not in names.head]
+                hashes.append(np.array([xxhash.xxh3_64_intdigest(w) for w in rare], np.uint64).view(np.int64))
+                times.append(np.array([each[w] for w in rare], np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(m) // 2 for m in made], pa.int64()), pa.array(made, pa.binary()), pa.array(hashes, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32()))], names=["doc_id", "key", "held_out", "tokens", "classes", "hashes", "times"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return map_arrow(docs.select("doc_id", "key", "held_out", "text"), find, f"hash long, shape short, doc_id {kind}, key long, held_out boolean, times int")
+    return map_arrow(docs.select("doc_id", "key", "held_out", "text"), encode, f"doc_id {kind}, key long, held_out boolean, tokens long, classes binary, hashes array<long>, times array<int>")
 
 
 def baum_welch_round(coded: DataFrame, model: Model) -> tuple[Model, float]:
@@ -253,12 +272,12 @@ def baum_welch_round(coded: DataFrame, model: Model) -> tuple[Model, float]:
     def expect(batches):
         now, counts, gained = Model(*sent.value), empty(classes), 0.0
         for batch in batches:
-            gained += expected(now, [np.frombuffer(c, np.uint16).astype(np.int64) for c in batch.column(0).to_pylist()], counts)
+            gained += expected(now, [np.frombuffer(c, np.uint16) for c in batch.column(0).to_pylist()], counts)
         rows = np.concatenate([counts.emit, counts.turn, counts.start[None, :], np.full((1, STATES), gained)])
         hit = np.flatnonzero(rows.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int64()), *[pa.array(rows[hit, s]) for s in range(STATES)]], names=["row", *[f"s{s}" for s in range(STATES)]])
 
-    sums = map_arrow(coded.where("not held_out").select("classes"), expect, "row long, " + ", ".join(f"s{s} double" for s in range(STATES)), 2048)
+    sums = map_arrow(coded.where("not held_out").select("classes"), expect, "row long, " + ", ".join(f"s{s} double" for s in range(STATES)), TOGETHER)
     total = np.zeros((classes + STATES + 2, STATES))
     for r in sums.groupBy("row").agg(*[F.sum(f"s{s}").alias(f"s{s}") for s in range(STATES)]).collect():
         total[r.row] = r[1:]
@@ -266,7 +285,22 @@ def baum_welch_round(coded: DataFrame, model: Model) -> tuple[Model, float]:
 
 
 def baum_welch(coded: DataFrame, model: Model, tokens: int, rounds: int | None = None) -> Model:
-    """Rounds over all training texts until the likelihood settles, or as many as given."""
+    """Rounds over all training texts until the likelihood settles, or as many as given.
+
+    Unless their number is given, rounds over every ``SHARE``-th training text, until those settle, bring the
+    model near; they cost little and grow with the corpus too. What ends the training is the whole corpus.
+    """
+    if rounds is None:
+        some = coded.where(F.pmod("key", F.lit(SHARE)) == 0)
+        # as many texts to a task as in a whole round: texts share the steps of the recursions
+        some = some.coalesce(max(1, some.rdd.getNumPartitions() // SHARE))
+        held = some.where("not held_out").agg(F.sum("tokens").alias("n")).first().n
+        if held:
+            model = settled(some, model, held)
+    return settled(coded, model, tokens, rounds)
+
+
+def settled(coded: DataFrame, model: Model, tokens: int, rounds: int | None = None) -> Model:
     last, k = -np.inf, 0
     while rounds is None or k < rounds:
         model, now = baum_welch_round(coded, model)
@@ -287,7 +321,7 @@ def score_texts(docs: DataFrame, shared: Shared, rounds: int | None = None) -> D
     classes = len(words) + 1 + SHAPES
 
     # rare words: their counts are summed back to documents
-    rare = rare_words(docs, words)
+    rare = coded.select("doc_id", "key", F.inline(F.arrays_zip("hashes", "times"))).withColumnRenamed("hashes", "hash")
     last = head[-1] if head else (b"", 0)
     counts = counted.where((F.col("c") < last[1]) | (F.col("c") == last[1]) & (F.col("word") > F.lit(bytearray(last[0]))))
     by_shape = {r["shape"]: (r.c, r.d) for r in counts.groupBy("shape").agg(F.sum("c").alias("c"), F.count("*").alias("d")).collect()}
@@ -313,20 +347,19 @@ def score_texts(docs: DataFrame, shared: Shared, rounds: int | None = None) -> D
         start, turn, emit, each_base, each_inside, sure = sent.value
         now = Model(start, turn, emit)
         for batch in batches:
-            texts = [np.frombuffer(c, np.uint16).astype(np.int64) for c in batch.column(4).to_pylist()]
+            texts = [np.frombuffer(c, np.uint16) for c in batch.column(4).to_pylist()]
             got = np.zeros((len(texts), 3))
             for group in batches_of(texts):
                 obs, alive = padded(texts, group)
-                got[group, 0] = forward(now, now.emit[obs], alive)[0] / LOG10
+                got[group, 0] = likelihoods(now, obs, alive)[0] / LOG10
             for i, t in enumerate(texts):
                 got[i, 0] += each_inside[t].sum()
                 got[i, 1], got[i, 2] = each_base[t].sum(), sure[t].sum()
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(got[:, 2].astype(np.int64)), pa.array(got[:, 1]), pa.array(got[:, 0])], names=["doc_id", "key", "held_out", "n_tokens", "n_head", "base_part", "score_part"])
 
     kind = dict(coded.dtypes)["doc_id"]
-    parts = map_arrow(coded.select("doc_id", "key", "held_out", "tokens", "classes"), rate, f"doc_id {kind}, key long, held_out boolean, n_tokens long, n_head long, base_part double, score_part double", 2048)
-    slim = rare.select("hash", "doc_id", "key", "times")
-    joined = slim.join(counts.groupBy("hash").agg(F.sum("c").alias("c")), "hash", "left")
+    parts = map_arrow(coded.select("doc_id", "key", "held_out", "tokens", "classes"), rate, f"doc_id {kind}, key long, held_out boolean, n_tokens long, n_head long, base_part double, score_part double", TOGETHER)
+    joined = rare.join(counts.groupBy("hash").agg(F.sum("c").alias("c")), "hash", "left")
     c = F.coalesce("c", F.lit(0))
     # a rare word's own part; repeated rows of one document repeat it, so it is taken per row
     sums = joined.groupBy("doc_id", "key").agg(F.sum(F.col("times") * F.log10(c + 0.5)).alias("rare_part"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("n_rare"))
