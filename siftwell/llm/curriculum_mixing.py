@@ -13,13 +13,14 @@ closed form and needs no loop.
 
 Scale: a running sum over a source would put a hot source into one task.  Documents are
 dealt into hash buckets per source; windows run inside (source, bucket), and only the
-bucket totals, at most ``buckets`` rows a source, are summed along a source.
+bucket totals, at most ``buckets`` rows a source, are summed along a source.  Windows see
+ids and sizes; whole rows move twice, to their place in the plan and by range.
 
 Defined cases: null or empty texts have size 0, get nothing and no position; documents of
 one source are ordered by md5 of doc_id, then by doc_id and text hash, so reruns agree and
 repeated rows each count; null sources form one source, ranked last; an empty table gives
 an empty result; other columns pass through unless named like one of ours (those are
-replaced).
+replaced); a very long text is one entry of its size and is taken in part if need be.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, read
+from .common import WORD, Shared, read
 
 #: Weights by rank of the source, repeating.
 WEIGHTS = (5, 2, 1)
@@ -85,28 +86,34 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: fl
     return water.select("source", "weight", target.alias("target"), knots(F.col("rank"), schedules).alias("schedule"), F.col("source_size").cast("long").alias("source_size"))
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.5, max_epochs: int = 2, schedules: Sequence = SCHEDULES, own: Mapping[str, float] | None = None, buckets: int = 1024) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.5, max_epochs: int = 2, schedules: Sequence = SCHEDULES, own: Mapping[str, float] | None = None, buckets: int = 1024, shared: Shared | None = None) -> DataFrame:
     """docs (doc_id, source, text, ...) with size, source_size, target, taken, weight, passes, position, last_position.
 
     taken: words the mix takes of the document, repeats counted; passes: how often it starts;
     position and last_position: training time of its first and last start (null if not taken).
+    shared: keeps the entries of the plan, so that texts are read for their sizes once.
     """
     docs = docs.drop(*OWN)
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
-    sized = (
-        docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-        .withColumn("_at", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
-        .withColumn("_tie", key)
-        .withColumn("_bucket", (F.conv(F.substring("_at", 1, 8), 16, 10).cast("long") * F.lit(buckets) / F.lit(1 << 32)).cast("int"))
-    )
-    totals = sized.groupBy("source", "_bucket").agg(F.sum("size").alias("bucket_size"))
+    text_id = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    keyed = docs.withColumn("_at", F.md5(text_id.cast("binary"))).withColumn("_tie", F.xxhash64(text_id, F.coalesce("text", F.lit("")), F.col("source")))
+    # the plan is made of keys and sizes alone; repeated rows are one entry
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    entries = keyed.select("doc_id", "source", "_at", "_tie", size.alias("size")).groupBy("source", "_at", "_tie").agg(F.min("doc_id").alias("doc_id"), F.min("size").alias("size"), F.count("*").alias("_copies"))
+    entries = entries.withColumn("_words", F.col("size") * F.col("_copies")).withColumn("_bucket", (F.conv(F.substring("_at", 1, 8), 16, 10).cast("long") * F.lit(buckets) / F.lit(1 << 32)).cast("int"))
+    if shared is not None:
+        entries = shared.save(entries, "entries")
+    totals = entries.groupBy("source", "_bucket").agg(F.sum("_words").alias("bucket_size"))
     ahead = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.withColumn("_ahead", F.coalesce(F.sum("bucket_size").over(ahead), F.lit(0))).drop("bucket_size")
     targets = source_targets(totals.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, share, max_epochs, schedules, own)
     plan = starts.alias("b").join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source"))).select(F.col("b.source").alias("_s"), F.col("_bucket").alias("_b"), "_ahead", "source_size", "target", "weight", "schedule")
     inside = Window.partitionBy("source", "_bucket").orderBy("_at", "doc_id", "_tie").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    placed = placed.join(plan, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
+    entries = entries.withColumn("_inside", F.coalesce(F.sum("_words").over(inside), F.lit(0)))
+    entries = entries.join(plan, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b"))).select(F.col("_at").alias("_a"), F.col("_tie").alias("_t"), "size", "_ahead", "_inside", "source_size", "target", "weight", "schedule")
+    # rows come back to their entry once, its repeats one after the other
+    placed = keyed.join(entries, (F.col("_at") == F.col("_a")) & (F.col("_tie") == F.col("_t")))
+    repeat = F.row_number().over(Window.partitionBy("_at", "_tie").orderBy("_at", "_tie")) - 1
+    placed = placed.withColumn("_inside", F.col("_inside") + F.col("size") * repeat)
     goal, ahead_words = F.floor(F.col("target") + 0.5), F.col("_ahead") + F.col("_inside")
     takes = [F.greatest(F.least(goal - F.lit(i) * F.col("source_size") - ahead_words, F.col("size")), F.lit(0)) for i in range(max_epochs)]
     taken, passes = sum(takes[1:], takes[0]), sum([(x > 0).cast("int") for x in takes[1:]], (takes[0] > 0).cast("int"))
@@ -123,7 +130,7 @@ def by_position(mixed: DataFrame) -> DataFrame:
 
 def op8_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return by_position(mix(docs).select("doc_id", "size", "source_size", "target", "taken", "position"))
+    return by_position(mix(docs, shared=Shared(spark)).select("doc_id", "size", "source_size", "target", "taken", "position"))
 
 
 ORACLE = r"""
