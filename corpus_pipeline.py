@@ -52,7 +52,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return curriculum_mixing.by_position(curriculum_mixing.mix(docs))
+    return curriculum_mixing.by_position(curriculum_mixing.mix(docs, shared=Shared(spark)))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
