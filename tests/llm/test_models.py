@@ -29,25 +29,38 @@ def test_viterbi_equals_enumeration():
 def test_likelihood_and_gradient():
     rng = np.random.default_rng(3)
     k = len(quality_rules.SIGNS)
-    x = rng.integers(0, 2, (3, 4, k)).astype(float)
-    mask = np.array([[1, 1, 1, 1], [1, 1, 0, 0], [1, 0, 0, 0]], bool)
-    x[~mask] = 0
-    y, theta = np.array([1, 0, 1]), rng.normal(size=k + 5)
-    value, grad = quality_rules.likelihood(x, mask, y, theta, 0.01)
+    docs = [(rng.integers(0, 2, (n, k)).astype(float), rng.normal(size=n)) for n in (2, 4, 1)]
+    lines, theta = quality_rules.Lines.of(docs), rng.normal(size=k + 5)
+    value, grad = quality_rules.likelihood(lines, theta, 0.01, 0.02)
     field = quality_rules.Field(tuple(theta[:k]), (tuple(theta[k : k + 2]), tuple(theta[k + 2 : k + 4])), theta[k + 4])
     want = 0.0
-    for d in range(3):
-        scores = (x[d, mask[d]] @ theta[:k]).tolist()
-        z = np.logaddexp.reduce([path_score(p, scores, field) for p in itertools.product((0, 1), repeat=len(scores))])
-        want += (path_score([y[d]] * len(scores), scores, field) - z) / 3
-    assert value == pytest.approx(want - 0.01 * (theta**2).sum())
+    for x, e in docs:
+        scores, paths = (x @ theta[:k]).tolist(), list(itertools.product((0, 1), repeat=len(x)))
+        free = np.logaddexp.reduce([path_score(p, scores, field) for p in paths])
+        held = np.logaddexp.reduce([path_score(p, scores, field) + np.dot(p, e) for p in paths])
+        want += (held - free) / 3
+    assert value == pytest.approx(want - 0.01 * (theta**2).sum() - 0.01 * (theta[k : k + 4] ** 2).sum())
     for i in range(len(theta)):
         step = np.zeros_like(theta)
         step[i] = 1e-5
-        slope = (quality_rules.likelihood(x, mask, y, theta + step, 0.01)[0] - quality_rules.likelihood(x, mask, y, theta - step, 0.01)[0]) / 2e-5
+        slope = (quality_rules.likelihood(lines, theta + step, 0.01, 0.02)[0] - quality_rules.likelihood(lines, theta - step, 0.01, 0.02)[0]) / 2e-5
         assert grad[i] == pytest.approx(slope, abs=1e-6)
 
 
+def test_boilerplate_around_prose_is_labelled_line_by_line(spark):
+    junk = lambda i: edge.prose(i, 36).upper().replace(" ", "!! ")
+    notice = "Licensed under the Some License, see http://example.org"
+    good = [(i, edge.prose(i, 120) + ("\n" + notice if i % 3 == 0 else "")) for i in range(60)]
+    bad = [(100 + i, edge.prose(300 + i, 12) + "\n" + junk(i) + "\n" + junk(50 + i)) for i in range(40)]
+    around = (900, junk(800) + "\n" + edge.prose(801, 144) + "\n" + notice)
+    docs = spark.createDataFrame([*good, *bad, around], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, 1) for d, _ in good[:40]] + [(d, 0) for d, _ in bad[:30]], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality_rules.judge(docs, quality_rules.train(docs, labels)).collect()}
+    assert got[900].line_labels == "b" * 3 + "c" * 12 + "b" and got[900].kept
+    assert all(got[d].kept and got[d].line_labels.endswith("cb" if d % 3 == 0 else "cc") for d, _ in good)
+    assert not any(got[d].kept for d, _ in bad)
+
+
 def brute_counts(text):
     text = text or ""
     words = text.encode().split()
