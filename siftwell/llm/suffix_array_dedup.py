@@ -15,14 +15,19 @@ interval's earliest suffix stays.  What goes before decides which texts meet in
 3. Segments with equal key and bytes (by hash) are shards of one string: the earliest stands
    for all, and the others are repeats through and through.  This is done before any text
    moves, so a passage that a third of all documents share is one row a task.
-4. The remaining segments meet by key.  Where more than ``MANY`` different segments share a
-   key, their windows meet by window hash instead, so no merge grows with the corpus.
-   A merge takes whole groups up to about ``MERGE_BYTES``, in shards of ``SHARD_BYTES``.
+4. The remaining segments meet by key, and their windows are told apart by the merge alone.
+   It takes whole groups up to about ``MERGE_BYTES``, in shards of ``SHARD_BYTES``.
+5. Where more than ``MANY`` different segments share a key, their windows meet by two hashes of
+   64 bits in a partial aggregate instead, so no merge and no task grows with the corpus.
+
+Steps 3 and 5 decide by hashes; what they decide is no longer read by the merge.
 
 Scale: shuffles carry (key, hash, place) rows, about one for 35 bytes, then texts of
 documents that take part, once, and at the end the texts with their removed stretches.
 
-Defined cases: null text is empty; texts shorter than a window keep all bytes; null doc_ids
+Defined cases: null text is empty; a very long text is cut into pieces of ``PIECE`` windows that
+overlap, so that nothing is lost; texts shorter than a window keep all bytes; other columns are
+not looked at; null doc_ids
 come before all others; rows that repeat doc_id and text are one document and get the same
 result; of rows with one doc_id and different texts only the one of least text hash takes
 part, the others come back whole; an empty table gives an empty result.
@@ -39,7 +44,7 @@ from pyspark.sql import functions as F
 
 from . import bwt
 from .common import Shared, map_arrow, read, utf8
-from .shingles import mixed, prefix_sums, stretch_hashes
+from .shingles import prefix_sums, stretch_hashes
 
 LENGTH, GRAM = 100, 32
 #: Windows of a segment at most, and of a piece of a long text that is worked on at once.
@@ -104,21 +109,14 @@ def all_segments(docs: DataFrame) -> DataFrame:
 
 
 def cut_out(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(group, bytes, id, start) from wanted (id, cuts), cuts: (key, start, windows, many). Segments of full keys come window by window."""
+    """(group, bytes, id, start): the strings of wanted (id, cuts), cuts: (key, start, windows)."""
 
     def cut(batches):
         for batch in batches:
             groups, parts, ids, starts = [], [], [], []
             for i, text, cuts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 for c in cuts:
-                    if c["many"]:
-                        raw = np.frombuffer(text[c["start"] : c["start"] + c["windows"] - 1 + LENGTH], np.uint8)
-                        at = np.arange(c["windows"])
-                        codes = mixed(stretch_hashes(prefix_sums(raw), at, at + LENGTH) ^ np.uint64(c["key"] & 0xFFFFFFFFFFFFFFFF)).view(np.int64)
-                        for k in range(c["windows"]):
-                            groups.append(int(codes[k])), parts.append(text[c["start"] + k : c["start"] + k + LENGTH]), ids.append(i), starts.append(c["start"] + k)
-                    else:
-                        groups.append(c["key"]), parts.append(text[c["start"] : c["start"] + c["windows"] - 1 + LENGTH]), ids.append(i), starts.append(c["start"])
+                    groups.append(c["key"]), parts.append(text[c["start"] : c["start"] + c["windows"] - 1 + LENGTH]), ids.append(i), starts.append(c["start"])
             if groups:
                 yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array(parts, pa.binary()), pa.array(ids, pa.int64()), pa.array(starts, pa.int32())], names=["group", "bytes", "id", "start"])
 
@@ -126,7 +124,32 @@ def cut_out(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return map_arrow(both, cut, "group long, bytes binary, id long, start int")
 
 
-def later_windows(texts: list[tuple[bytes, int, int]]) -> list[tuple[int, int, int]]:
+def crowded(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, start, windows): windows of wanted (id, cuts) that start earlier elsewhere, by two hashes of 64 bits; firsts are summed before they are shuffled."""
+
+    def cut(batches):
+        import xxhash
+
+        for batch in batches:
+            codes, more, ids, starts = [], [], [], []
+            for i, text, cuts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                for c in cuts:
+                    raw = text[c["start"] : c["start"] + c["windows"] - 1 + LENGTH]
+                    at = np.arange(c["windows"])
+                    codes.append(stretch_hashes(prefix_sums(np.frombuffer(raw, np.uint8)), at, at + LENGTH))
+                    more.append(np.array([xxhash.xxh3_64_intdigest(raw[k : k + LENGTH]) for k in range(c["windows"])], np.uint64))
+                    ids.append(np.full(c["windows"], i)), starts.append(at + c["start"])
+            if codes:
+                columns = [pa.array(np.concatenate(x).view(np.int64)) for x in (codes, more, ids)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(starts).astype(np.int32))], names=["code", "more", "id", "start"])
+
+    both = docs.select("id", "text").join(wanted, "id").select("id", "text", "cuts")
+    rows, place = map_arrow(both, cut, "code long, more long, id long, start int", 64), F.struct("id", "start")
+    firsts = rows.groupBy("code", "more").agg(F.min(place).alias("place"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return rows.join(firsts, ["code", "more"]).where(place != F.col("place")).select("id", "start", F.lit(1).alias("windows"))
+
+
+def later_windows(texts: list[tuple[bytes, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs (id, start, windows) of windows of the texts (bytes, id, start) that start earlier elsewhere among them."""
     shards, numbers, size = [[]], [[]], 0
     for n, (data, _, _) in enumerate(texts):
@@ -135,26 +158,21 @@ def later_windows(texts: list[tuple[bytes, int, int]]) -> list[tuple[int, int, i
             size = 0
         shards[-1].append(data), numbers[-1].append(n)
         size += len(data) + 1
-    found: dict[int, set[int]] = {}
-    for block in bwt.repeats(shards, LENGTH):
-        places = []
-        for shard, text, offset in block:
-            _, i, start = texts[numbers[shard][text]]
-            places.append((i, start + offset))
-        first = min(places)
-        for place in places:
-            if place != first:
-                found.setdefault(place[0], set()).add(place[1])
-    runs = []
-    for i, starts in found.items():
-        at = np.sort(np.fromiter(starts, np.int64, len(starts)))
-        breaks = np.flatnonzero(np.concatenate([[True], np.diff(at) > 1, [True]]))
-        runs += [(i, int(at[a]), int(b - a)) for a, b in zip(breaks[:-1], breaks[1:], strict=True)]
-    return runs
+    block, shard, text, offset = bwt.repeats(shards, LENGTH)
+    which = np.array([n for own in numbers for n in own])[np.cumsum([0, *map(len, numbers[:-1])])[shard] + text]
+    ids, starts = np.array([t[1] for t in texts], np.int64)[which], np.array([t[2] for t in texts], np.int64)[which] + offset
+    # the earliest of each interval stays
+    order = np.lexsort((starts, ids, block))
+    later = order[1:][block[order[1:]] == block[order[:-1]]]
+    ids, starts = ids[later], starts[later]
+    order = np.lexsort((starts, ids))
+    ids, starts = ids[order], starts[order]
+    opens = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (starts[1:] > starts[:-1] + 1)])) if len(ids) else np.zeros(0, np.int64)
+    return ids[opens], starts[opens], np.diff(np.concatenate([opens, [len(ids)]]))
 
 
 def merge_groups(rows: DataFrame) -> DataFrame:
-    """(id, start, windows) that repeat, from rows (group, bytes, id, start). Groups are whole inside a task and never cut."""
+    """(id, start, windows) that repeat, from rows (group, bytes, id, start). Groups, of ``MANY`` strings at most, are whole inside a task."""
 
     def merge(batches):
         held: list[tuple[bytes, int, int]] = []
@@ -169,8 +187,8 @@ def merge_groups(rows: DataFrame) -> DataFrame:
 
         def flush():
             nonlocal held, size
-            runs, held, size = later_windows(held) if held else [], [], 0
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in runs], pa.int64()), pa.array([r[1] for r in runs], pa.int32()), pa.array([r[2] for r in runs], pa.int32())], names=["id", "start", "windows"])
+            (ids, starts, windows), held, size = later_windows(held) if held else [np.zeros(0, np.int64)] * 3, [], 0
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts.astype(np.int32)), pa.array(windows.astype(np.int32))], names=["id", "start", "windows"])
 
         for batch in batches:
             for key, data, i, start in zip(*[c.to_pylist() for c in batch.columns], strict=True):
@@ -203,10 +221,12 @@ def repeated_windows(docs: DataFrame, shared: Shared) -> DataFrame:
     same = shared.save(same, "same")
     differing = reps.groupBy("key").agg(F.count("*").alias("m"), F.max("again").alias("a")).where("m > 1 or a").select("key", (F.col("m") > MANY).alias("many"))
     differing = shared.save(differing, "differing")
-    cuts = reps.join(differing, "key").select(F.col("place.id").alias("id"), F.struct("key", F.col("place.start").alias("start"), F.col("windows").cast("int").alias("windows"), "many").alias("cut"))
-    wanted = shared.save(cuts.groupBy("id").agg(F.collect_list("cut").alias("cuts")), "wanted")
+    cuts = reps.join(differing, "key").select(F.col("place.id").alias("id"), "many", F.struct("key", F.col("place.start").alias("start"), F.col("windows").cast("int").alias("windows")).alias("cut"))
+    wanted = shared.save(cuts.groupBy("id", "many").agg(F.collect_list("cut").alias("cuts")), "wanted")
     shared.release()
-    merged = shared.save(merge_groups(cut_out(docs, wanted)), "merged")
+    merged = shared.save(merge_groups(cut_out(docs, wanted.where("not many").drop("many"))), "merged")
+    if wanted.where("many").limit(1).count():
+        merged = merged.unionAll(shared.save(crowded(docs, wanted.where("many").drop("many")), "crowded"))
     for name in ("keys", "segments", "strings", "differing", "wanted"):
         shared.drop(name)
     shared.release()

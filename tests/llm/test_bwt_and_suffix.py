@@ -25,7 +25,36 @@ def test_repeated_intervals(seed):
     groups = [[bytes(rng.choice(alphabet) for _ in range(rng.randint(1, 30))) for _ in range(rng.randint(1, 5))] for _ in range(rng.randint(1, 4))]
     groups[0].append(groups[-1][-1] + b"x")
     depth = rng.randint(1, 9)
-    assert sorted(sorted(b) for b in bwt.repeats(groups, depth)) == brute_blocks(groups, depth)
+    assert listed(groups, depth) == brute_blocks(groups, depth)
+
+
+def listed(groups, depth):
+    found = defaultdict(list)
+    for block, *place in zip(*[x.tolist() for x in bwt.repeats(groups, depth)], strict=True):
+        found[block].append(tuple(place))
+    return sorted(sorted(v) for v in found.values())
+
+
+def test_a_shard_out_of_order_is_not_merged(monkeypatch):
+    # suffixes follow from the interleave and their shard's order, so a wrong order must show
+    right = bwt.transform
+
+    def scrambled(texts, depth=None):
+        s, marks = right(texts, depth), len(texts)
+        p = np.concatenate([np.arange(marks), marks + np.random.default_rng(len(s.symbols)).permutation(len(s.symbols) - marks)])
+        to = np.argsort(p)
+        return bwt.Shard(s.symbols[p], np.where(s.longer[p] >= 0, to[s.longer[p]], -1), s.text[p], s.offset[p])
+
+    for seed in range(10):
+        rng = random.Random(seed)
+        groups = [[bytes(rng.choice(b"abc") for _ in range(20)) for _ in range(4)] for _ in range(3)]
+        monkeypatch.setattr(bwt, "transform", right)
+        assert listed(groups, 4) == brute_blocks(groups, 4)
+        monkeypatch.setattr(bwt, "transform", scrambled)
+        try:
+            assert listed(groups, 4) != brute_blocks(groups, 4)
+        except (ValueError, IndexError):
+            pass
 
 
 def test_merged_order_and_prefixes():
