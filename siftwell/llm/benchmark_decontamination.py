@@ -10,7 +10,7 @@ Scale: a test set has a fixed size, which is checked: items are dealt into block
 most ``BLOCK_WORDS`` words, each block is broadcast and scanned in turn, so any number of
 items works with bounded memory.  With one block (the usual case) there is no shuffle.
 
-Defined cases: null or empty texts have no words and no hits; null or wordless items have
+Defined cases: null or empty texts have no words and no hits; a very long text is scanned whole; null or wordless items have
 no windows; items that repeat an id count once; null item ids read as empty; repeated rows
 of one doc_id and text count as one document where blocks are merged and get the same
 verdict; an empty table of either kind gives clean documents or no rows; columns named
@@ -19,6 +19,8 @@ like ours are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, read, utf8
 
-WINDOW, BLOCK_WORDS = 10, 2_000_000
+#: Words of items to a block. An automaton takes about 3 KB a word in each Python worker.
+WINDOW, BLOCK_WORDS = 10, 100_000
 OWN = ("n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated", "spans")
 #: Bytes of words stay (A-Z lowered), all others become spaces.
 NORMAL = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -81,13 +84,14 @@ def hits(data: bytes, machine) -> tuple[int, list[tuple[int, int, int, int]], se
     return len(words), [(a, b, int(begins[a]), int(ends[b])) for a, b in merged], items
 
 
-def blocks(items: DataFrame, most: int = BLOCK_WORDS) -> list[list[tuple[str, bytes]]]:
-    """The items in blocks of about ``most`` words, each collected by itself."""
+def blocks(items: DataFrame, most: int = BLOCK_WORDS) -> Iterator[list[tuple[str, bytes]]]:
+    """The items in blocks of about ``most`` words, each collected when its turn comes."""
     rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), utf8("text").alias("text"))
-    words = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    count = max(1, -(-words // (4 * most)))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    count = max(1, -(-size // (6 * most)))
     deal = rows.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(count)))
-    return [[(r.item, bytes(r.text)) for r in deal.where(F.col("block") == b).collect()] for b in range(count)]
+    for b in range(count):
+        yield [(r.item, bytes(r.text)) for r in deal.where(F.col("block") == b).select("item", "text").collect()]
 
 
 def scan(docs: DataFrame, windows: dict[bytes, tuple[int, set[str]]]) -> DataFrame:
@@ -110,13 +114,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WINDOW, block_
     """docs with n_words, n_hit (words inside occurrences), n_items, items, items_sha256, contaminated and spans."""
     docs = docs.drop(*OWN)
     dealt = blocks(items, block_words)
-    out = scan(docs, item_windows(dealt[0], width))
-    if len(dealt) > 1:
-        key = [F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_key")]
-        more = None
-        for block in dealt[1:]:
-            part = scan(docs.select("doc_id", "text"), item_windows(block, width)).where("size(spans) > 0").select(*key, "spans", "items")
-            more = part if more is None else more.unionAll(part)
+    out = scan(docs, item_windows(next(dealt), width))
+    key, more = [F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_key")], None
+    for block in dealt:
+        part = scan(docs.select("doc_id", "text"), item_windows(block, width)).where("size(spans) > 0").select(*key, "spans", "items")
+        more = part if more is None else more.unionAll(part)
+    if more is not None:
         more = more.groupBy("doc_id", "_key").agg(F.flatten(F.collect_set("spans")).alias("_spans"), F.flatten(F.collect_set("items")).alias("_items")).withColumnRenamed("doc_id", "_id").withColumnRenamed("_key", "_k")
         out = out.join(more, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_k")), "left")
         out = out.withColumn("spans", F.array_sort(F.concat("spans", F.coalesce("_spans", F.array().cast(SPAN))))).withColumn("items", F.array_distinct(F.concat("items", F.coalesce("_items", F.array().cast("array<string>")))))

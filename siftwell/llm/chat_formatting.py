@@ -10,8 +10,8 @@ DataFrame functions only.  The steps:
 * ``ordered`` sorts topologically: a call comes after the results it depends on, a result
   after its call.  ``place`` is the least turn at which a message can stand so, ``depth``
   breaks ties; sorting by (conv_id, place, depth, turn, call_id) is a topological order that
-  moves nothing that stood well.  Calls resolve in rounds, as many as the longest chain of
-  dependencies; calls on a cycle never resolve and are marked.
+  moves nothing that stood well.  Calls resolve in rounds, in each of which chains of
+  dependencies halve; calls on a cycle never resolve and are marked.
 * ``validated`` checks arguments against a registry of schemas (types, required, enum,
   minimum, maximum, unexpected names).  The registry is code, hence small.
 * ``canonical`` writes one line of JSON a message: keys sorted at every level, no blanks.
@@ -23,8 +23,8 @@ conversation.
 Defined cases: null text gives null arguments (invalid, "arguments are missing"); malformed
 JSON is invalid; results without a call and calls without a result stay, linked false;
 repeated calls of one id are marked duplicates and link like the first; repeated results
-each link; null ids link with nothing; dependencies on unknown ids are errors and do not
-order; an empty table gives an empty result; columns named like ours are replaced.
+each link; null ids link with nothing; of calls of one id in one turn the first listed counts;
+dependencies on unknown ids do not order; a very long text is one string, whole; an empty table gives an empty result; columns named like ours are replaced.
 """
 
 from __future__ import annotations
@@ -53,14 +53,14 @@ def quoted(text: Column) -> Column:
 
 
 def implied_calls(messages: DataFrame) -> DataFrame:
-    """Plain chats: kind call (user turns), result (assistant turns that follow) or message."""
+    """Plain chats: kind call (user turns), result (assistant turns that follow) or message. A call depends on the call two turns before, if there is one."""
     here, size = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")), F.regexp_count("text", F.lit(WORD))
-    before = F.concat_ws(":", F.col("conv_id").cast("string"), (F.col("turn") - 1).cast("string"))
+    before, earlier = (F.concat_ws(":", F.col("conv_id").cast("string"), (F.col("turn") - k).cast("string")) for k in (1, 2))
     kind = F.when(F.col("role") == "user", "call").when(F.col("role") == "assistant", "result").otherwise("message")
     call = kind == "call"
     return messages.drop(*OWN).select(
         "*", kind.alias("kind"), F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), F.when(call, here).when(kind == "result", before)).alias("call_id"), F.when(call, F.lit("reply")).alias("tool"),
-        F.when(call & F.col("text").isNotNull(), F.to_json(F.struct(size.alias("words"), F.col("text").alias("prompt")))).alias("arguments"), F.array().cast("array<string>").alias("depends_on"),
+        F.when(call & F.col("text").isNotNull(), F.to_json(F.struct(size.alias("words"), F.col("text").alias("prompt")))).alias("arguments"), F.when(call, F.array(earlier)).otherwise(F.array().cast("array<string>")).alias("depends_on"), F.lit(0).alias("_pos"),
     )
 
 
@@ -69,7 +69,7 @@ def explicit_calls(messages: DataFrame) -> DataFrame:
     body = F.when(F.col("role").isin("assistant", "tool") & F.col("text").rlike(r"^\s*\{"), F.try_parse_json("text"))
     rows = messages.drop(*OWN).withColumn("_body", body)
     calls = F.when(F.col("role") == "assistant", F.try_variant_get("_body", "$.tool_calls", "array<struct<id: string, name: string, arguments: variant, depends_on: array<string>>>"))
-    rows = rows.withColumn("_call", F.explode_outer(calls))
+    rows = rows.select("*", F.posexplode_outer(calls).alias("_pos", "_call"))
     result = F.when(F.col("role") == "tool", F.try_variant_get("_body", "$.tool_call_id", "string"))
     kind = F.when(F.col("_call").isNotNull(), "call").when(F.col("role") == "tool", "result").otherwise("message")
     out = rows.withColumn("kind", kind).withColumn("call_id", F.coalesce(F.col("_call.id"), result)).withColumn("tool", F.col("_call.name"))
@@ -82,11 +82,12 @@ def explicit_calls(messages: DataFrame) -> DataFrame:
 def link(rows: DataFrame, shared: Shared) -> DataFrame:
     """rows with linked, duplicate and _first (turn of the id's first call); joins are on (conv_id, call_id)."""
     keyed = rows.where("kind in ('call', 'result') and call_id is not null and conv_id is not null")
-    ids = keyed.groupBy(F.col("conv_id").alias("_c"), F.col("call_id").alias("_i")).agg(F.min(F.when(F.col("kind") == "call", F.col("turn"))).alias("_first"), F.min(F.when(F.col("kind") == "result", F.col("turn"))).alias("_result"))
+    ids = keyed.groupBy(F.col("conv_id").alias("_c"), F.col("call_id").alias("_i")).agg(F.min(F.when(F.col("kind") == "call", F.struct("turn", F.coalesce("_pos", F.lit(0)).alias("_pos")))).alias("_earliest"), F.min(F.when(F.col("kind") == "result", F.col("turn"))).alias("_result"))
     ids = shared.save(ids, "ids")
     out = rows.join(ids.hint("shuffle_hash"), (F.col("conv_id") == F.col("_c")) & (F.col("call_id") == F.col("_i")), "left")
-    both = F.col("_first").isNotNull() & F.col("_result").isNotNull()
-    return out.withColumn("linked", F.coalesce(both, F.lit(False))).withColumn("duplicate", F.coalesce((F.col("kind") == "call") & (F.col("turn") > F.col("_first")), F.lit(False))).drop("_c", "_i")
+    both = F.col("_earliest").isNotNull() & F.col("_result").isNotNull()
+    out = out.withColumn("linked", F.coalesce(both, F.lit(False))).withColumn("duplicate", F.coalesce((F.col("kind") == "call") & (F.struct("turn", F.coalesce("_pos", F.lit(0)).alias("_pos")) > F.col("_earliest")), F.lit(False)))
+    return out.withColumn("_first", F.col("_earliest.turn")).drop("_c", "_i", "_pos", "_earliest")
 
 
 def ordered(rows: DataFrame, shared: Shared) -> DataFrame:
@@ -94,29 +95,32 @@ def ordered(rows: DataFrame, shared: Shared) -> DataFrame:
     calls = rows.where("kind = 'call' and not duplicate and call_id is not null").groupBy("conv_id", "call_id").agg(F.first("_first").alias("turn"), F.first("_result").alias("result"), F.array_distinct(F.flatten(F.collect_set("depends_on"))).alias("deps"))
     own = calls.select("conv_id", F.explode("deps").alias("dep"), "call_id", "turn", "result")
     known = calls.select("conv_id", F.col("call_id").alias("dep"))
-    edges = shared.save(own.join(known, ["conv_id", "dep"], "left_semi"), "order-0")
-    out = rows.withColumn("_place", F.col("turn"))
-    if not edges.limit(1).count():
-        place = F.when(F.col("kind") == "result", F.greatest("turn", "_first")).otherwise(F.col("turn"))
-        return out.withColumn("place", place).withColumn("depth", F.when((F.col("kind") == "result") & F.col("_first").isNotNull(), 1).otherwise(0)).withColumn("cyclic", F.lit(False)).drop("_first", "_result", "_place")
+    waits = own.join(known, ["conv_id", "dep"], "left_semi").select("conv_id", "call_id", "dep", "turn", "result", F.lit(None).cast("long").alias("over"), F.lit(1).alias("steps"))
+    edges = shared.save(waits, "order-0")
     end = F.greatest(F.col("turn"), F.col("result"))
     free = calls.join(edges.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti")
     done = shared.save(free.select("conv_id", "call_id", F.col("turn").alias("at"), end.alias("end"), F.lit(0).alias("level")), "done-0")
     turn = 0
-    while True:
+    while edges.limit(1).count():
         turn += 1
         seen = edges.join(done.select("conv_id", F.col("call_id").alias("dep"), F.col("end").alias("before"), "level"), ["conv_id", "dep"], "left")
-        ready = seen.groupBy("conv_id", "call_id").agg(F.first("turn").alias("turn"), F.first("result").alias("result"), F.max("before").alias("before"), F.max("level").alias("level"), F.count_if(F.col("before").isNull()).alias("open")).where("open = 0")
+        ready = seen.groupBy("conv_id", "call_id").agg(F.first("turn").alias("turn"), F.first("result").alias("result"), F.max(F.greatest("before", "over")).alias("before"), F.max(F.col("level") + F.col("steps")).alias("level"), F.count_if(F.col("level").isNull()).alias("open")).where("open = 0")
         at = F.greatest("turn", "before")
-        fresh = shared.save(ready.select("conv_id", "call_id", at.alias("at"), F.greatest(at, F.col("result")).alias("end"), (F.col("level") + 1).alias("level")), f"fresh-{turn}")
+        fresh = shared.save(ready.select("conv_id", "call_id", at.alias("at"), F.greatest(at, F.col("result")).alias("end"), "level"), f"fresh-{turn}")
         if not fresh.limit(1).count():
             break
         done = shared.save(done.unionAll(fresh), f"done-{turn}")
-        edges = shared.save(edges.join(fresh.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti"), f"order-{turn}")
+        left = edges.join(fresh.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti")
+        # whoever waits for a call that waits for one other call waits for that one: chains halve
+        single = left.groupBy("conv_id", F.col("call_id").alias("dep")).agg(F.count("*").alias("n"), F.first("dep").alias("to"), F.max(F.greatest("over", "turn", "result")).alias("past"), F.max("steps").alias("more")).where("n = 1").drop("n")
+        hops = left.join(single, ["conv_id", "dep"], "left").select("conv_id", "call_id", F.coalesce("to", "dep").alias("dep"), "turn", "result", F.greatest("over", "past").alias("over"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"))
+        edges = shared.save(hops, f"order-{turn}")
+        for name in (f"order-{turn - 1}", f"done-{turn - 1}"):
+            shared.drop(name)
     stuck = edges.select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_i")).distinct().withColumn("_stuck", F.lit(True))
-    out = out.join(done.select(F.col("conv_id").alias("_dc"), F.col("call_id").alias("_di"), "at", "level"), (F.col("conv_id") == F.col("_dc")) & (F.col("call_id") == F.col("_di")), "left")
+    out = rows.join(done.select(F.col("conv_id").alias("_dc"), F.col("call_id").alias("_di"), "at", "level"), (F.col("conv_id") == F.col("_dc")) & (F.col("call_id") == F.col("_di")), "left")
     out = out.join(stuck, (F.col("conv_id") == F.col("_c")) & (F.col("call_id") == F.col("_i")), "left")
-    return out.withColumn("place", F.greatest("turn", "at")).withColumn("depth", F.coalesce(2 * F.col("level") + F.when(F.col("kind") == "result", 1).otherwise(0), F.lit(0))).withColumn("cyclic", F.coalesce("_stuck", F.lit(False))).drop("_first", "_result", "_place", "_dc", "_di", "_c", "_i", "_stuck", "at", "level")
+    return out.withColumn("place", F.greatest("turn", "at")).withColumn("depth", F.coalesce(2 * F.col("level") + F.when(F.col("kind") == "result", 1).otherwise(0), F.lit(0))).withColumn("cyclic", F.coalesce("_stuck", F.lit(False))).drop("_first", "_result", "_dc", "_di", "_c", "_i", "_stuck", "at", "level")
 
 
 def parameter_errors(body: Column, name: str, rule: Mapping[str, Any]) -> list[Column]:
@@ -176,9 +180,10 @@ WITH rows AS (SELECT *, CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN
 ids AS (SELECT *, CASE kind WHEN 'call' THEN concat(conv_id, ':', turn) WHEN 'result' THEN concat(conv_id, ':', turn - 1) END AS call_id FROM rows),
 calls AS (SELECT conv_id, call_id, min(turn) AS first FROM ids WHERE kind = 'call' GROUP BY conv_id, call_id),
 results AS (SELECT conv_id, call_id, min(turn) AS result FROM ids WHERE kind = 'result' GROUP BY conv_id, call_id),
-joined AS (SELECT i.*, c.first, c.first IS NOT NULL AND r.result IS NOT NULL AS linked FROM ids i LEFT JOIN calls c ON i.conv_id = c.conv_id AND i.call_id = c.call_id LEFT JOIN results r ON i.conv_id = r.conv_id AND i.call_id = r.call_id)
+chains AS (SELECT *, row_number() OVER (PARTITION BY conv_id, first % 2, chain ORDER BY first) - 1 AS level FROM (SELECT *, first - 2 * row_number() OVER (PARTITION BY conv_id, first % 2 ORDER BY first) AS chain FROM calls)),
+joined AS (SELECT i.*, c.first, c.level, c.first IS NOT NULL AND r.result IS NOT NULL AS linked FROM ids i LEFT JOIN chains c ON i.conv_id = c.conv_id AND i.call_id = c.call_id LEFT JOIN results r ON i.conv_id = r.conv_id AND i.call_id = r.call_id)
 SELECT conv_id, turn, role, kind, call_id, linked, coalesce(kind = 'call' AND turn > first, false) AS duplicate,
-  CAST(CASE WHEN kind = 'result' AND first IS NOT NULL THEN greatest(turn, first) ELSE turn END AS BIGINT) AS place, CAST(CASE WHEN kind = 'result' AND first IS NOT NULL THEN 1 ELSE 0 END AS BIGINT) AS depth,
+  CAST(CASE WHEN kind = 'result' AND first IS NOT NULL THEN greatest(turn, first) ELSE turn END AS BIGINT) AS place, CAST(CASE WHEN first IS NULL THEN 0 ELSE 2 * level + CASE WHEN kind = 'result' THEN 1 ELSE 0 END END AS BIGINT) AS depth,
   kind <> 'call' OR words >= 3 AS valid, CASE WHEN kind = 'call' AND words < 3 THEN 'words is below 3' ELSE '' END AS errors,
   sha256(CASE kind WHEN 'call' THEN concat('{"arguments":{"prompt":', CAST(to_json(text) AS VARCHAR), ',"words":', words, '},"id":', CAST(to_json(call_id) AS VARCHAR), ',"name":"reply","role":"user","type":"call"}')
     WHEN 'result' THEN concat('{"content":', CAST(to_json(text) AS VARCHAR), ',"id":', CASE WHEN linked THEN CAST(to_json(call_id) AS VARCHAR) ELSE 'null' END, ',"role":"assistant","type":"result"}')

@@ -11,7 +11,8 @@ occurrences are a partial aggregate, so a window found in a third of all documen
 one row a task and goes to a shared table; the join back has plain exchanges on both sides,
 so adaptive execution can broadcast it or split hot windows.
 
-Defined cases: null text is an empty text with no lines; texts of fewer than three
+Defined cases: null text is an empty text with no lines; a very long text is one array of
+lines, whole; texts of fewer than three
 non-blank lines have no window and stay as they are; rows that repeat doc_id and text count
 as one document and get the same verdict; rows with the same doc_id and other texts are
 ordered by text hash; null doc_ids come before all others; an empty table gives an empty

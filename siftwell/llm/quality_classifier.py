@@ -11,11 +11,11 @@ from; labels, lang, source and doc_id are no inputs.  Random frequencies come fr
 seed.
 
 Scale: texts are read once; their statistics (a few numbers a document) go to a shared
-table that training and scoring read.  Partial sums have a fixed size and come from at
-most ``PARTS`` tasks.
+table that training and scoring read.  Partial sums have a fixed size, come from any number
+of tasks and are added up in ``PARTS`` before they reach the driver.
 
 Defined cases: null and empty texts have statistics of zeros and get a score like any
-other; without labels of both kinds every score is the share of label 1 (0.5 without
+other; a very long text is read whole; other columns are not looked at; without labels of both kinds every score is the share of label 1 (0.5 without
 labels); repeated rows each get the same score; several labels of a document: the largest
 counts; an empty table gives an empty result.
 """
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Shared, map_arrow, crc_bucket, read, utf8
+from .common import Shared, crc_bucket, map_arrow, read, utf8
 from .text_stats import NOT_DIGIT, NOT_LETTER, NOT_UPPER, SYMBOLS, WHITE, base_counts, kept
 
 STATS = ("words", "word_length", "distinct", "symbols", "upper", "digits", "exclaims", "pipes", "beyond_ascii", "dup_lines", "repeats", "stutters", "line_words", "ends", "commas", "top_word", "entropy", "white")
@@ -100,10 +100,23 @@ def isotonic(level: np.ndarray, ones: np.ndarray, count: np.ndarray) -> tuple[np
     return np.array([b[0] / b[2] for b in blocks]), values
 
 
+def added(sums: DataFrame, size: int) -> np.ndarray:
+    """The total of the tasks' sums (doubles as bytes), added in ``PARTS`` tasks and then on the driver."""
+
+    def add(batches):
+        total = np.zeros(size)
+        for batch in batches:
+            for part in batch.column(0).to_pylist():
+                total += np.frombuffer(part)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+    return sum((np.frombuffer(bytes(p.sums)) for p in sums.repartition(PARTS).mapInArrow(add, "sums binary").collect()), np.zeros(size))
+
+
 def train(labelled: DataFrame) -> Model:
     """labelled: stats, quality (0 or 1)."""
     width = len(STATS)
-    few = labelled.repartition(PARTS).cache()
+    few = labelled.cache()
     sums = few.select(F.count("*").alias("n"), F.sum("quality").alias("ones"), *[F.avg(F.col("stats")[i]).alias(f"m{i}") for i in range(width)], *[F.stddev_pop(F.col("stats")[i]).alias(f"s{i}") for i in range(width)]).first()
     n, ones = sums["n"] or 0, sums["ones"] or 0
     if not 0 < ones < n:
@@ -124,8 +137,8 @@ def train(labelled: DataFrame) -> Model:
             total[:, -1] += z.T @ (w * y)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
-    parts = few.select("stats", F.col("quality").cast("int").alias("quality")).mapInArrow(equations, "sums binary").collect()
-    total = sum(np.frombuffer(bytes(p.sums)) for p in parts).reshape(FEATURES + 1, FEATURES + 2)
+    rows = few.select("stats", F.col("quality").cast("int").alias("quality"))
+    total = added(rows.mapInArrow(equations, "sums binary"), (FEATURES + 1) * (FEATURES + 2)).reshape(FEATURES + 1, FEATURES + 2)
     weights = np.linalg.solve(total[:, :-1] + RIDGE * np.eye(FEATURES + 1), total[:, -1])
     model = Model(mean, scale, weights, -0.5, 2.0, np.array([0.0]), np.array([0.0]))
 
@@ -137,9 +150,8 @@ def train(labelled: DataFrame) -> Model:
             np.add.at(got, at, np.stack([np.ones(len(y)), y], 1))
         yield pa.RecordBatch.from_arrays([pa.array([got.tobytes()], pa.binary())], names=["sums"])
 
-    parts = few.select("stats", F.col("quality").cast("int").alias("quality")).mapInArrow(binned, "sums binary").collect()
+    got = added(rows.mapInArrow(binned, "sums binary"), BINS * 2).reshape(BINS, 2)
     few.unpersist()
-    got = sum(np.frombuffer(bytes(p.sums)) for p in parts).reshape(BINS, 2)
     full = got[:, 0] > 0
     levels = (model.low + (np.arange(BINS) + 0.5) / BINS * model.width)[full]
     knots, values = isotonic(levels, got[full, 1], got[full, 0])

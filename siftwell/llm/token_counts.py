@@ -9,8 +9,9 @@ and the tokens left after truncation to L.
 Scale: the histogram has one row per distinct length.  Suffix sums run inside blocks of
 ``block`` lengths and over the block totals, so no single task holds the histogram.
 
-Defined cases: null and empty texts have length 0 and are counted; repeated rows count
-each; an empty table gives an empty histogram; extra columns are ignored.
+Defined cases: null and empty texts have length 0 and are counted; a very long text is encoded
+whole; repeated rows count each; an empty table gives an empty histogram; extra columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, read, utf8
+from .common import Shared, map_arrow, read, utf8
 
 TOKENIZER = os.environ.get("SIFTWELL_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: The vocabulary's split rule, a fixed value: letters, digits, other signs and white space apart.
@@ -79,4 +80,5 @@ def context_report(sums: DataFrame, limits: tuple[int, ...] = CONTEXTS) -> DataF
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_sums(histogram(encoded_lengths(read(spark, sf_dir, "documents"))))
+    # the sums read the histogram twice; saved, texts are encoded once
+    return suffix_sums(Shared(spark).save(histogram(encoded_lengths(read(spark, sf_dir, "documents"))), "histogram"))

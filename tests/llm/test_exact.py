@@ -138,3 +138,29 @@ def test_explicit_calls(spark, shared):
     assert by[2, "call", "a", "sum"].cyclic and by[2, "call", "b", "sum"].cyclic
     assert by[2, "call", "a", "none"].errors == ["the tool is unknown"] and '"arguments":{"a":{"c":1,"d":2},"b":1}' in by[2, "call", "a", "none"].canonical_json
     assert by[3, "message", None, None].canonical_json == '{"content":null,"role":null,"type":"message"}'
+
+
+def test_chains_of_calls_are_ordered_in_few_rounds(spark, shared, monkeypatch):
+    say = lambda *calls: json.dumps({"tool_calls": list(calls)})
+    n = 40
+    # each call waits for the one before; results come late and in reverse; one call waits for the ends of two chains
+    rows = [(1, i, "assistant", say(call(f"a{i}", "sum", {"xs": []}, [f"a{i - 1}"] if i else None))) for i in range(n)] + [(1, 500 - i, "tool", json.dumps({"tool_call_id": f"a{i}"})) for i in range(n)]
+    rows += [(1, 600 + i, "assistant", say(call(f"b{i}", "sum", {"xs": []}, [f"b{i - 1}"] if i else None))) for i in range(n // 2)] + [(1, 50, "assistant", say(call("z", "sum", {"xs": []}, [f"a{n - 1}", f"b{n // 2 - 1}"])))]
+    saved, save = [], shared.save
+    monkeypatch.setattr(shared, "save", lambda df, name: saved.append(name) or save(df, name))
+    made = chat_formatting.explicit_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    out = {(r.kind, r.call_id): (r.place, r.depth) for r in chat_formatting.format_chats(made, shared, REGISTRY).collect()}
+    place = 0
+    for i in range(n):
+        place = max(i, place)
+        assert out["call", f"a{i}"] == (place, 2 * i)
+        place = max(place, 500 - i)
+        assert out["result", f"a{i}"] == (place, 2 * i + 1)
+    assert out["call", f"b{n // 2 - 1}"] == (600 + n // 2 - 1, n - 2) and out["call", "z"] == (619, 2 * n)
+    assert sum(x.startswith("fresh") for x in saved) <= 10
+
+
+def test_calls_of_one_id_in_one_turn(spark, shared):
+    text = json.dumps({"tool_calls": [call("c", "sum", {"xs": [1]}), call("c", "sum", {"xs": [2]})]})
+    made = chat_formatting.explicit_calls(spark.createDataFrame([(1, 0, "assistant", text)], "conv_id long, turn long, role string, text string"))
+    assert sorted((r.arguments, r.duplicate) for r in chat_formatting.format_chats(made, shared, REGISTRY).collect()) == [('{"xs":[1]}', False), ('{"xs":[2]}', True)]
