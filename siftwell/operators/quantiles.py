@@ -2,41 +2,72 @@
 
 Up to ``limit`` rows Spark's ``percentile`` does it in one pass; its state grows with the
 distinct values of a column and ends in one task, so beyond that ranks are selected: each
-pass counts a bounded number of buckets of the range that holds the rank, then narrows it.
+pass counts a bounded number of buckets of the ranges that hold the ranks, then narrows
+them.  A pass serves the ranks of all columns.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS, FEW = 4096, 65536
+#: Buckets of a range, the most values that are counted one by one, and ranges that a pass narrows.
+BUCKETS, FEW, RANGES = 4096, 4096, 64
+
+
+@dataclass
+class Sought:
+    """The value at ``rank`` among those of a column between lo and hi, of which there are n."""
+
+    column: int
+    rank: int
+    lo: float
+    hi: float
+    n: int
+
+
+def narrowed(rows: DataFrame, ranges: list[tuple[int, float, float, int]]) -> dict[int, list[tuple[float, float, int]]]:
+    """(lo, hi, n) of the non-empty buckets of each range (column, lo, hi, n), ascending, from one pass."""
+    cells = []
+    for g, (i, lo, hi, n) in enumerate(ranges):
+        x, width = F.col(f"x{i}"), (hi - lo) / BUCKETS
+        at = x if n <= FEW or width <= 0 else F.least(F.floor((x - lo) / width), F.lit(BUCKETS - 1)).cast("double")
+        cells.append(F.struct(F.lit(g).alias("g"), F.when(x.between(lo, hi), at).alias("b"), x.alias("x")))
+    long = rows.select(F.inline(F.array(*cells))).where("b is not null")
+    out: dict[int, list[tuple[float, float, int]]] = {}
+    for r in sorted(long.groupBy("g", "b").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n")).collect(), key=lambda r: r.lo):
+        out.setdefault(r.g, []).append((r.lo, r.hi, r.n))
+    return out
+
+
+def at_ranks(df: DataFrame, wanted: list[tuple[Column, list[int]]]) -> list[list[float]]:
+    """For each column its values (double) at 0-based ranks among the non-null ones."""
+    rows = df.select(*[c.cast("double").alias(f"x{i}") for i, (c, _) in enumerate(wanted)])
+    ends = rows.agg(*[F.struct(F.min(f"x{i}").alias("lo"), F.max(f"x{i}").alias("hi"), F.count(f"x{i}").alias("n")).alias(f"e{i}") for i in range(len(wanted))]).first()
+    sought = [[Sought(i, k, ends[i].lo, ends[i].hi, ends[i].n) for k in ranks] for i, (_, ranks) in enumerate(wanted)]
+    for s in (s for own in sought for s in own):
+        if not 0 <= s.rank < s.n:
+            raise IndexError(f"rank {s.rank} of {s.n} values")
+    while True:
+        live = [s for own in sought for s in own if s.lo < s.hi]
+        if not live:
+            return [[s.lo for s in own] for own in sought]
+        ranges = sorted({(s.column, s.lo, s.hi, s.n) for s in live})[:RANGES]
+        found = narrowed(rows, ranges)
+        for g, key in enumerate(ranges):
+            for s in (s for s in live if (s.column, s.lo, s.hi, s.n) == key):
+                for lo, hi, n in found[g]:
+                    if s.rank < n:
+                        s.lo, s.hi, s.n = lo, hi, n
+                        break
+                    s.rank -= n
 
 
 def nth_smallest(df: DataFrame, value: Column, rank: int) -> float:
     """The value (double) at 0-based rank among the non-null values."""
-    rows = df.select(value.cast("double").alias("x")).where("x is not null")
-    lo, hi, n = rows.agg(F.min("x"), F.max("x"), F.count("x")).first()
-    if not 0 <= rank < n:
-        raise IndexError(f"rank {rank} of {n} values")
-    while lo < hi and n > FEW:
-        width = (hi - lo) / BUCKETS
-        if width <= 0:
-            break
-        bucket = F.least(F.floor((F.col("x") - lo) / width), F.lit(BUCKETS - 1))
-        counts = rows.where(F.col("x").between(lo, hi)).groupBy(bucket.alias("b")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
-        for r in sorted(counts, key=lambda r: r.b):
-            if rank < r.n:
-                lo, hi, n = r.lo, r.hi, r.n
-                break
-            rank -= r.n
-    if lo == hi:
-        return lo
-    for r in sorted(rows.where(F.col("x").between(lo, hi)).groupBy("x").count().collect()):
-        if rank < r["count"]:
-            return r.x
-        rank -= r["count"]
-    raise AssertionError("ranks and counts disagree")
+    return at_ranks(df, [(value, [rank])])[0][0]
 
 
 def quantiles(df: DataFrame, columns: dict[str, Column], probs: list[float], limit: int) -> dict[str, list[float | None]]:
@@ -44,19 +75,16 @@ def quantiles(df: DataFrame, columns: dict[str, Column], probs: list[float], lim
     if not columns:
         return {}
     shares = F.array(*[F.lit(p) for p in probs])
-    counts = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns.values())]).first()
-    small = {k: c for i, (k, c) in enumerate(columns.items()) if counts[i] <= limit}
+    counts = dict(zip(columns, df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns.values())]).first(), strict=True))
+    small = {k: c for k, c in columns.items() if counts[k] <= limit}
     out: dict[str, list[float | None]] = {}
     if small:
         row = df.agg(*[F.percentile(c.cast("double"), shares).alias(f"q{i}") for i, c in enumerate(small.values())]).first()
         out = {k: list(row[i]) if row[i] is not None else [None] * len(probs) for i, k in enumerate(small)}
-    for i, (k, c) in enumerate(columns.items()):
-        if k not in small:
-            found = []
-            for p in probs:
-                at = p * (counts[i] - 1)
-                low = nth_smallest(df, c, int(at))
-                part = at - int(at)
-                found.append(low + part * (nth_smallest(df, c, int(at) + 1) - low) if part else low)
-            out[k] = found
+    large = [k for k in columns if k not in small]
+    if large:
+        places = {k: [p * (counts[k] - 1) for p in probs] for k in large}
+        values = at_ranks(df, [(columns[k], [r for at in places[k] for r in (int(at), min(int(at) + 1, counts[k] - 1))]) for k in large])
+        for k, own in zip(large, values, strict=True):
+            out[k] = [own[2 * i] + (at - int(at)) * (own[2 * i + 1] - own[2 * i]) for i, at in enumerate(places[k])]
     return out

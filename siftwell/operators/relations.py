@@ -122,24 +122,27 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 def duplicate_columns(df: DataFrame, columns: Sequence[str] | None = None, most: int = 120) -> DataFrame:
     """(a, b): pairs of a column and a later one whose values are equal as text in every row.
 
-    Columns are grouped by hashes that a single pass sums without order; a second pass
-    compares the few pairs with equal hashes row by row.
+    Columns are grouped by sums of row hashes that a single pass takes in any order; a second
+    pass compares the pairs of a group row by row. A column's pair is the first that equals it.
     """
     k = kinds(df)
     names = list(columns or df.columns)[:most]
     rows = F.xxhash64(*[text_of(c, k[c]) for c in names])
-    hashes = df.agg(*[F.bit_xor(F.xxhash64(rows, text_of(c, k[c]))).alias(c) for c in names]).first()
-    first: dict[int, str] = {}
-    pairs = []
+    # a sum, not a parity: equal rows must not cancel out
+    hashes = df.agg(*[F.sum(F.xxhash64(rows, text_of(c, k[c])).cast("decimal(20,0)")).alias(c) for c in names]).first()
+    groups: dict[object, list[str]] = {}
     for c, h in zip(names, hashes, strict=True):
-        if h in first:
-            pairs.append((first[h], c))
-        else:
-            first[h] = c
+        groups.setdefault(h, []).append(c)
+    pairs = [p for group in groups.values() for p in itertools.combinations(group, 2)]
     if not pairs:
         return df.sparkSession.createDataFrame([], "a string, b string")
-    same = df.agg(*[F.count_if(text_of(a, k[a]) != text_of(b, k[b])).alias(str(i)) for i, (a, b) in enumerate(pairs)]).first()
-    return df.sparkSession.createDataFrame([p for p, differ in zip(pairs, same, strict=True) if not differ], "a string, b string")
+    differ = df.agg(*[F.count_if(text_of(a, k[a]) != text_of(b, k[b])).alias(str(i)) for i, (a, b) in enumerate(pairs)]).first()
+    first: dict[str, str] = {}
+    for (a, b), n in zip(pairs, differ, strict=True):
+        if not n and a not in first:
+            first.setdefault(b, a)
+    at = {c: i for i, c in enumerate(names)}
+    return df.sparkSession.createDataFrame(sorted(((a, b) for b, a in first.items()), key=lambda p: at[p[1]]), "a string, b string")
 
 
 def conflict_rate(df: DataFrame, target: str, features: Sequence[str]) -> DataFrame:
@@ -210,7 +213,7 @@ def time_drift(df: DataFrame, time: str, tie: str | None = None, columns: Sequen
         return df.sparkSession.createDataFrame([], "column string, n_early long, n_late long, shift double")
     middle = nth_smallest(rows, F.col("_t"), n // 2)
     before = rows.where(F.col("_t") < middle).count()
-    order = F.col(f"`{tie}`").cast("double") if tie else F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("double")
+    order = F.col(f"`{tie}`").cast("double") if tie else F.shiftrightunsigned(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), 11).cast("double")
     early = F.col("_t") < middle
     if n // 2 > before:
         cut = nth_smallest(rows.where(F.col("_t") == middle), order, n // 2 - before)

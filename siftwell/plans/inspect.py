@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gzip
-import bz2
 import json
 from dataclasses import dataclass, field
 from typing import Any
@@ -34,57 +32,47 @@ class Report:
         return sum(f.status == "supported" for f in self.findings)
 
 
-def inner_table(spark: SparkSession, data: bytes, name: str, options: Options) -> DataFrame | None:
-    """The table inside a compressed file that Spark's readers don't open themselves."""
-    opened = gzip.decompress if data.startswith(b"\x1f\x8b") else bz2.decompress
-    inner = opened(data)
-    found = detect.detect(name, inner[: options.sniff_bytes], len(inner) <= options.sniff_bytes)
-    if found.file_type not in readers.PARSERS:
-        return None
-    rows = [json.dumps({str(k): readers.plain(v) for k, v in r.items()}, default=str) for r in readers.PARSERS[found.file_type](inner)]
-    return readers.from_json_rows(spark.createDataFrame([(r,) for r in rows], "value string")) if rows else None
-
-
-def table_of(spark: SparkSession, path: str, kind: str, details: dict[str, str], options: Options) -> tuple[DataFrame | None, list[str]]:
+def table_of(spark: SparkSession, path: str, kind: str, details: dict[str, str], options: Options, summary: dict[str, Any]) -> tuple[DataFrame | None, list[str]]:
     """The table of a file, and notes; of a container the table of its first member that has one."""
     if kind in TABULAR:
-        return readers.read_table(spark, path, kind, details), []
+        return readers.read_table(spark, path, kind, details | ({"encoding": summary["encoding"]} if summary.get("encoding") else {})), []
     if kind in ("gzip", "bzip2", "zip"):
-        data = bytes(readers_content(spark, path))
-        for name, content in readers.unpacked(path, data, options.load_bytes, options.archive_members):
-            found = detect.detect(name, content[: options.sniff_bytes], len(content) <= options.sniff_bytes)
-            note = [f"The table comes from '{name}'."]
-            if kind != "zip" and found.file_type in ("csv", "tsv", "delimited", "jsonl"):
-                # Spark opens these itself, whole and split as the codec allows
-                return readers.read_table(spark, path, found.file_type, found.details), note
-            if found.file_type in ("csv", "tsv", "delimited"):
-                lines = spark.sparkContext.parallelize(content.decode("utf-8", "replace").splitlines())
-                return spark.read.csv(lines, header=True, sep=found.details.get("delimiter", ","), inferSchema=True), note
-            if found.file_type == "jsonl":
-                return readers.from_json_rows(spark.createDataFrame([(x,) for x in content.decode("utf-8", "replace").splitlines()], "value string")), note
-            if found.file_type in readers.PARSERS:
-                rows = [(json.dumps({str(k): readers.plain(v) for k, v in r.items()}, default=str),) for r in readers.PARSERS[found.file_type](content)]
-                if rows:
-                    return readers.from_json_rows(spark.createDataFrame(rows, "value string")), note
+        inner = next(iter(summary.get("members") or []), {})
+        if path.lower().endswith((".gz", ".bz2")) and inner.get("file_type") in ("csv", "tsv", "delimited", "jsonl"):
+            # Spark opens these itself; compressed files are read whole anyway, so quotes may span lines
+            told = {k: str(inner["summary"][k]) for k in ("delimiter", "encoding") if inner["summary"].get(k)}
+            return readers.read_table(spark, path, inner["file_type"], told | {"quoted": "true"}), [f"The table comes from '{inner['name']}'."]
+        if found := readers.container_table(spark, path, options.sniff_bytes):
+            return found[1].persist(), [f"The table comes from '{found[0]}'."]
     return None, []
 
 
-def readers_content(spark: SparkSession, path: str) -> bytes:
-    return spark.read.format("binaryFile").load(path).first().content
+def rows_at_hand(spark: SparkSession, summary: dict[str, Any]) -> DataFrame | None:
+    """The rows that a summary shows, as a table; None if it shows none."""
+    rows = [r for r in summary.get("sample_rows") or summary.get("sample_items") or [] if isinstance(r, dict) and r]
+    return readers.from_json_rows(spark.createDataFrame([(json.dumps(r, default=str),) for r in rows], "value string")) if rows else None
 
 
 def report_of(spark: SparkSession, row: Any, options: Options) -> Report:
     summary, notes = json.loads(row.summary), list(row.warnings or [])
     out = Report(row.path, row.file_type, row.confidence, row.reason, summary, notes)
     try:
-        df, more = table_of(spark, row.path, row.file_type, dict(row.details or {}), options)
+        try:
+            df, more = table_of(spark, row.path, row.file_type, dict(row.details or {}), options, summary)
+            out.findings = diagnose(df, options)
+        except Exception as e:  # noqa: BLE001  a table that can't be read may still have rows in the summary
+            df = rows_at_hand(spark, summary)
+            if df is None:
+                raise
+            more = [f"The table can't be read whole ({type(e).__name__}); diagnostics use the rows of the summary."]
+            out.findings = diagnose(df, options)
         out.warnings += more
-        out.findings = diagnose(df, options)
         if df is not None:
             npz = summary.get("tabular_preview") if row.file_type == "npz" else None
             out.assumptions = assumptions(out.findings, options, npz)
             size = out.findings[3].evidence
             out.profile = {"rows_profiled": size.get("n_rows_sampled", 0), "columns_profiled": len(df.columns[: options.max_columns]), "columns": df.columns[: options.max_columns]}
+            df.unpersist()
     except Exception as e:  # noqa: BLE001  one bad file must not end the inspection of the others
         out.warnings.append(f"Diagnostics failed: {type(e).__name__}: {str(e)[:200]}")
         out.findings = [Finding(k, summary="Diagnostics failed.") for k in CHECKS]

@@ -7,8 +7,10 @@ file, into JSON rows, whose schema is inferred once.  Nothing is unpickled.
 from __future__ import annotations
 
 import bz2
+import csv
 import gzip
 import io
+import itertools
 import json
 import sqlite3
 import tempfile
@@ -269,11 +271,17 @@ def from_json_rows(rows: DataFrame) -> DataFrame | None:
     return rows.select(F.from_json("value", schema).alias("r")).select("r.*") if schema.fields else None
 
 
+def csv_options(details: dict[str, str], kind: str) -> dict[str, str]:
+    """How Spark must read a delimited file. Only files with quotes, or of wide characters, are read as a whole; the others stay splittable."""
+    encoding = {"utf-8-sig": "UTF-8", "utf-16": "UTF-16", "latin-1": "ISO-8859-1"}.get(details.get("encoding", ""), "UTF-8")
+    whole = details.get("quoted", "false") == "true" or details.get("encoding") in ("utf-8-sig", "utf-16")
+    return {"header": "true", "inferSchema": "true", "sep": details.get("delimiter") or {"tsv": "\t"}.get(kind, ","), "quote": '"', "escape": '"', "encoding": encoding, "multiLine": str(whole).lower()}
+
+
 def read_table(spark: SparkSession, path: str, kind: str, details: dict[str, str] | None = None) -> DataFrame | None:
-    """The table that a file of this format holds, or None."""
-    details = details or {}
+    """The table that a file of this format holds, or None. details: delimiter, encoding and whether quotes occur, as summaries find them."""
     if kind in ("csv", "tsv", "delimited"):
-        return spark.read.csv(path, header=True, sep=details.get("delimiter") or {"tsv": "\t"}.get(kind, ","), inferSchema=True)
+        return spark.read.options(**csv_options(details or {}, kind)).csv(path)
     if kind == "jsonl":
         df = spark.read.option("mode", "DROPMALFORMED").json(path)
         return df if df.columns else None
@@ -284,19 +292,82 @@ def read_table(spark: SparkSession, path: str, kind: str, details: dict[str, str
     return None
 
 
-def unpacked(name: str, data: bytes, most: int = 10 * 1024 * 1024, members: int = 20) -> list[tuple[str, bytes]]:
-    """The members of a zip, or the content of a gzip or bzip2 file, each up to ``most`` bytes; not containers: nothing."""
+def inner_name(name: str) -> str:
+    """The name of what a compressed file holds."""
+    stem = name.rsplit(".", 1)[0] if name.rsplit(".", 1)[-1].lower() in ("gz", "bz2", "bzip2") else name
+    return f"{name}::{stem.rsplit('/', 1)[-1]}"
+
+
+def members(name: str, data: bytes, most: int | None = None) -> Iterator[tuple[str, bytes]]:
+    """The members of a zip, or the content of a gzip or bzip2 file, one by one, whole or of at most ``most`` bytes; not containers: nothing."""
     if data.startswith(b"PK"):
-        out = []
         with zipfile.ZipFile(io.BytesIO(data)) as z:
-            for info in [i for i in z.infolist() if not i.is_dir()][:members]:
-                if info.file_size <= most:
-                    out.append((f"{name}::{info.filename}", z.read(info)))
-        return out
+            for info in z.infolist():
+                if not info.is_dir() and (most is None or info.file_size <= most):
+                    yield f"{name}::{info.filename}", z.read(info)
     for magic, opened in ((b"\x1f\x8b", gzip.open), (b"BZh", bz2.open)):
         if data.startswith(magic):
             with opened(io.BytesIO(data)) as f:
-                inner = f.read(most)
-            stem = name.rsplit(".", 1)[0] if name.rsplit(".", 1)[-1].lower() in ("gz", "bz2", "bzip2") else name
-            return [(f"{name}::{stem.rsplit('/', 1)[-1]}", inner)]
-    return []
+                yield inner_name(name), f.read() if most is None else f.read(most)
+
+
+def unpacked(name: str, data: bytes, most: int = 10 * 1024 * 1024, count: int = 20) -> list[tuple[str, bytes]]:
+    """The first ``count`` members of at most ``most`` bytes, for summaries."""
+    return list(itertools.islice(members(name, data, most), count))
+
+
+def delimited_rows(data: bytes, delimiter: str, encoding: str) -> Rows:
+    lines = csv.reader(io.StringIO(data.decode(encoding, "replace"), newline=""), delimiter=delimiter)
+    head = next(lines, [])
+    for row in lines:
+        if row:
+            yield {h: number_or_text(c) for h, c in zip(head, [*row, *[""] * (len(head) - len(row))], strict=False)}
+
+
+def line_rows(data: bytes) -> Rows:
+    for line in data.decode("utf-8", "replace").splitlines():
+        try:
+            value = json.loads(line)
+        except ValueError:
+            continue
+        if isinstance(value, dict):
+            yield value
+
+
+def member_rows(name: str, data: bytes, sniff: int, levels: int = 2) -> Iterator[tuple[str, dict[str, Any]]]:
+    """(member, row) of the first member of a container that holds a table; containers inside are opened too."""
+    from siftwell.sources.detect import detect
+    from siftwell.sources.structure import decode
+
+    for inner, content in members(name, data):
+        found = detect(inner, content[:sniff], len(content) <= sniff)
+        if found.file_type in ("zip", "gzip", "bzip2"):
+            rows = member_rows(inner, content, sniff, levels - 1) if levels > 1 else iter(())
+        elif found.file_type in ("csv", "tsv", "delimited"):
+            rows = ((inner, r) for r in delimited_rows(content, found.details.get("delimiter", ","), decode(content)[1]))
+        elif found.file_type == "jsonl":
+            rows = ((inner, r) for r in line_rows(content))
+        else:
+            rows = ((inner, r) for r in PARSERS.get(found.file_type, lambda _: iter(()))(content))
+        first = next(rows, None)
+        if first is not None:
+            yield first
+            yield from rows
+            return
+
+
+def container_table(spark: SparkSession, path: str, sniff: int) -> tuple[str, DataFrame] | None:
+    """The name of the first member with a table, and its rows, whatever their size; unpacked and parsed on executors."""
+
+    def parse(batches):
+        for batch in batches:
+            for name, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                rows = member_rows(name, data, sniff)
+                while held := list(itertools.islice(rows, 4096)):
+                    values = [json.dumps({str(k): plain(v) for k, v in r.items()}, ensure_ascii=False, default=str) for _, r in held]
+                    yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in held], pa.string()), pa.array(values, pa.string())], names=["member", "value"])
+
+    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(parse, "member string, value string")
+    first = rows.select("member").first()
+    df = from_json_rows(rows.select("value")) if first else None
+    return (first.member, df) if df is not None else None

@@ -239,10 +239,17 @@ def of_container(name: str, data: bytes, found: Detection, options: Options, lev
     if found.file_type == "zip":
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             entries = z.infolist()
-        out |= {"entry_count": len(entries), "entries": [{"name": e.filename, "size": e.file_size, "compressed": e.compress_size, "folder": e.is_dir()} for e in entries[: options.archive_members]]}
+        files = [e for e in entries if not e.is_dir()]
+        if len(members) < len(files):
+            return out | {"entry_count": len(entries), "entries": entry_list(entries, options)}, [f"{len(members)} of {len(files)} members are summarised, those of at most {options.load_bytes} bytes."]
+        out |= {"entry_count": len(entries), "entries": entry_list(entries, options)}
     return out, []
 
 
+def entry_list(entries: list[zipfile.ZipInfo], options: Options) -> list[dict[str, Any]]:
+    return [{"name": e.filename, "size": e.file_size, "compressed": e.compress_size, "folder": e.is_dir()} for e in entries[: options.archive_members]]
+
+
 MAKERS: dict[str, Callable[[bytes, Detection, Options], Summary]] = {
     **dict.fromkeys(("csv", "tsv", "delimited"), of_delimited), "json": of_json, "jsonl": of_jsonl, "yaml": of_yaml, "xml": of_xml, "ini": of_ini, "text_kv": of_pairs, "text": of_text,
     "html": of_html, "xlsx": of_xlsx, "sqlite": of_sqlite, "npz": of_npz, **dict.fromkeys(("parquet", "avro", "feather", "pickle", "binary"), of_binary),
@@ -277,6 +284,8 @@ def summarise_files(files, options: Options = Options()):
             for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = detect(path, data[: options.sniff_bytes], len(data) <= options.sniff_bytes)
                 summary, notes = summarise(path, data, found, options)
+                if found.file_type in ("csv", "tsv", "delimited"):
+                    found.details["quoted"] = str(b'"' in data).lower()
                 rows.append((path, found.file_type, found.confidence, found.reason, list(found.details.items()), json.dumps(summary, ensure_ascii=False, default=str), notes))
             kinds = (pa.string(), pa.string(), pa.float64(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.list_(pa.string()))
             names = ("path", "file_type", "confidence", "reason", "details", "summary", "warnings")

@@ -103,3 +103,23 @@ def test_shift_is_invariant_to_row_order(spark):
     rows = [("a", float(i)) for i in range(10)] + [("b", float(i) + 5) for i in range(8)]
     get = lambda r: [(x.other, round(x["shift"], 9)) for x in relations.split_shift(spark.createDataFrame(r, "s string, x double"), "s").collect()]
     assert get(rows) == get(rows[::-1])
+
+
+def test_selected_quantiles_of_many_columns_share_their_passes(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(6000, 3))
+    x[:, 1], x[:, 2] = np.round(x[:, 1], 1), np.exp(5 * x[:, 2])
+    df = spark.createDataFrame(pd.DataFrame(x, columns=list("abc")))
+    passes, narrowed = [], quantiles.narrowed
+    monkeypatch.setattr(quantiles, "narrowed", lambda rows, ranges: passes.append(len(ranges)) or narrowed(rows, ranges))
+    monkeypatch.setattr(quantiles, "FEW", 64)
+    got = quantiles.quantiles(df, {c: F.col(c) for c in "abc"}, [0.0, 0.25, 0.5, 0.99], 10)
+    for i, c in enumerate("abc"):
+        assert got[c] == pytest.approx(np.quantile(x[:, i], [0.0, 0.25, 0.5, 0.99]))
+    assert len(passes) <= 6
+
+
+def test_duplicate_columns_where_rows_repeat(spark):
+    rows = [(i, i % 3, i % 3, str(i % 3), i % 3 if i else 7, -i) for i in range(8)] * 2
+    df = spark.createDataFrame(rows, "a int, b int, c int, d string, e int, f int")
+    assert [tuple(r) for r in relations.duplicate_columns(df).collect()] == [("b", "c"), ("b", "d")]

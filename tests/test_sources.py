@@ -113,3 +113,54 @@ def test_depth_and_record_schema():
 
 def test_mixed_json_is_no_table():
     assert list(readers.json_rows(b"[1, {}]")) == [] and list(readers.json_rows(b"{")) == [] and list(readers.json_rows(b'[{"a": 1}]')) == [{"a": 1}]
+
+
+QUOTED = [(i, f'line one\nline "two" {i}', i / 2) for i in range(30)]
+
+
+def quoted_csv(head="id,note,value"):
+    return head + "\n" + "".join('{},"{}",{}\n'.format(i, t.replace('"', '""'), v) for i, t, v in QUOTED)
+
+
+def profile_of(spark, path):
+    (report,) = inspect(spark, str(path), Options())
+    return report
+
+
+def test_quoted_newlines_stay_in_their_record(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(quoted_csv())
+    (tmp_path / "b.csv.gz").write_bytes(gzip.compress(quoted_csv().encode()))
+    with zipfile.ZipFile(tmp_path / "c.zip", "w") as z:
+        z.writestr("a.csv", quoted_csv())
+    for name in ("a.csv", "b.csv.gz", "c.zip"):
+        assert profile_of(spark, tmp_path / name).profile["rows_profiled"] == 30, name
+    got = readers.read_table(spark, str(tmp_path / "a.csv"), "csv", {"quoted": "true"}).orderBy("id").collect()
+    assert [(r.id, r.note, r.value) for r in got] == QUOTED
+
+
+@pytest.mark.parametrize("encoding", ["latin-1", "utf-8-sig"])
+def test_encodings(spark, tmp_path, encoding):
+    (tmp_path / "a.csv").write_bytes("näme,v\nMüller,1\nGroß,2\nplain,3\n".encode(encoding))
+    report = profile_of(spark, tmp_path / "a.csv")
+    assert report.profile["columns"] == ["näme", "v"] and report.profile["rows_profiled"] == 3
+
+
+def test_large_members_and_archives_in_archives(spark, tmp_path):
+    big = json.dumps([{"k": i, "text": "x" * 200} for i in range(60_000)])
+    assert len(big) > 10 * 1024 * 1024
+    with zipfile.ZipFile(tmp_path / "big.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("rows.json", big)
+    (tmp_path / "big.json.gz").write_bytes(gzip.compress(big.encode()))
+    with zipfile.ZipFile(tmp_path / "outer.zip", "w") as z:
+        z.writestr("notes.txt", "plain words\nmore words\n")
+        z.writestr("in.csv.gz", gzip.compress(csv_text().encode()))
+    reports = {n: profile_of(spark, tmp_path / n) for n in ("big.zip", "big.json.gz", "outer.zip")}
+    assert [reports[n].profile["rows_profiled"] for n in ("big.zip", "big.json.gz", "outer.zip")] == [60_000, 60_000, 30]
+    assert any("members are summarised" in w for w in reports["big.zip"].warnings)
+
+
+def test_rows_of_the_summary_stand_in_for_a_table_that_cannot_be_read(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.csv").write_text(csv_text())
+    monkeypatch.setattr(readers, "read_table", lambda *a: 1 / 0)
+    report = profile_of(spark, tmp_path / "a.csv")
+    assert report.profile["rows_profiled"] == Options().preview_rows and any("rows of the summary" in w for w in report.warnings)
