@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,12 @@ from pyspark.sql import functions as F
 
 from siftwell.context import Options
 from siftwell.functions import probe_id
-from siftwell.operators import profile, relations, roles, texts
+from siftwell.operators import profile, registry, relations, roles, texts
 from siftwell.plans import decide
 from siftwell.plans.diagnose import diagnose
-from siftwell.sources.detect import detect_column
+from siftwell.plans.inspect import table_of
+from siftwell.sources import scratch, structure
+from siftwell.sources.detect import detect_column, list_files
 from siftwell.streaming import rollups
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -189,9 +192,14 @@ def dup_rows(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(relations.duplicate_rows(table(spark, sf, "documents").select("text", "lang", "source")))
 
 
-@query("SELECT 'o_custkey' AS a, 'again' AS b FROM (SELECT count(*) FILTER (o_custkey <> o_custkey) AS n FROM orders) WHERE n = 0")
+TWINS = ["l_quantity", "l_linenumber", "again", "nearly", "l_orderkey"]
+
+
+@query("WITH t AS (SELECT l_quantity, l_linenumber, CAST(CAST(l_quantity AS INTEGER) AS DOUBLE) AS again, CASE WHEN l_linenumber = 4 THEN 0 ELSE l_linenumber END AS nearly, l_orderkey FROM lineitem) " + unions([f"SELECT '{a}' AS a, '{b}' AS b FROM (SELECT count(*) FILTER (CAST({a} AS DOUBLE) IS DISTINCT FROM CAST({b} AS DOUBLE)) AS n FROM t) WHERE n = 0" for i, a in enumerate(TWINS) for b in TWINS[i + 1 :]]))
 def dup_columns(spark: SparkSession, sf: str) -> DataFrame:
-    return relations.duplicate_columns(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", F.col("o_custkey").alias("again")))
+    """Columns of lineitem, every row twice, with a copy of one and another that differs in some rows."""
+    rows = table(spark, sf, "lineitem").select("l_quantity", "l_linenumber", F.col("l_quantity").cast("int").cast("double").alias("again"), F.when(F.col("l_linenumber") == 4, 0).otherwise(F.col("l_linenumber")).alias("nearly"), "l_orderkey")
+    return relations.duplicate_columns(rows.unionAll(rows))
 
 
 @query(f"WITH {LABELLED}, g AS (SELECT lang, source, count(*) AS n, count(DISTINCT quality) AS m FROM labelled GROUP BY lang, source) SELECT count(*) FILTER (n > 1) AS repeated, count(*) FILTER (n > 1 AND m > 1) AS conflicting, round(count(*) FILTER (n > 1 AND m > 1) / greatest(count(*) FILTER (n > 1), 1), 6) AS conflict_rate FROM g")
@@ -272,6 +280,13 @@ def kv_lines(spark: SparkSession, sf: str) -> DataFrame:
     return texts.key_values(table(spark, sf, "documents"), "text", "doc_id")
 
 
+@query("SELECT p_partkey, u.name AS name, u.value AS value FROM part, unnest([{'name': 'brand', 'value': p_brand}, {'name': 'size.in_cm', 'value': p_size::VARCHAR}, {'name': 'note', 'value': 'x = ' || p_type}]) AS t(u)")
+def kv_lines_part(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs in lines of both kinds, with blanks, a repeated name and lines that hold no pair."""
+    text = F.concat(F.lit("  brand: "), "p_brand", F.lit("  \nno pair here\nsize.in_cm="), F.col("p_size").cast("string"), F.lit("\nbrand = other\n: nor here\nnote : x = "), "p_type")
+    return texts.key_values(table(spark, sf, "part").select("p_partkey", text.alias("text")), "text", "p_partkey")
+
+
 @query(r"SELECT page_id, len(regexp_extract_all(lower(html), '<table[\s>]')) AS n_tables, octet_length(encode(html)) AS n_bytes FROM pages")
 def html_table_count(spark: SparkSession, sf: str) -> DataFrame:
     return texts.html_table_count(table(spark, sf, "pages"), "html", "page_id")
@@ -295,6 +310,47 @@ def detect_text_types(spark: SparkSession, sf: str) -> DataFrame:
     return docs.unionAll(pages).groupBy("table", "file_type", "confidence").agg(F.count("*").alias("n"))
 
 
+#: Texts of known formats.
+KNOWN = (
+    ("json", '{"id": 5, "list": [1, 2]}'), ("jsonl", '{"id": 5}\n{"id": 6}\n'), ("csv", "a,b,c\n1,2,3\n4,5,6\n"), ("tsv", "a\tb\n1\t2\n3\t4\n"), ("delimited", "a|b|c\n1|2|3\n4|5|6\n"), ("ini", "[main]\nkey = 1\n[other]\nk = 2\n"), ("xml", '<?xml version="1.0"?><r><a>1</a></r>'),
+    ("html", "<html><body><table><tr><td>1</td></tr></table></body></html>"), ("text_kv", "one: 1\ntwo = 2\nthree: x y\none: 9\n"), ("yaml", "app:\n  name: x\nitems:\n  - 1\n  - 2\n"), ("text", "just some words here\nand some more of them\n"),
+)
+
+
+@query(unions([f"SELECT '{kind}' AS expected, '{kind}' AS file_type, count(*) AS n FROM orders WHERE o_orderkey % {len(KNOWN)} = {i} GROUP BY 1" for i, (kind, _) in enumerate(KNOWN)]))
+def detect_known_types(spark: SparkSession, sf: str) -> DataFrame:
+    """The detector on a column whose formats are known."""
+    at = (F.col("o_orderkey") % len(KNOWN)).cast("int") + 1
+    rows = table(spark, sf, "orders").select(F.element_at(F.array(*[F.lit(k) for k, _ in KNOWN]), at).alias("expected"), F.element_at(F.array(*[F.lit(t) for _, t in KNOWN]), at).alias("text"))
+    return detect_column(rows, "text").groupBy("expected", "file_type").agg(F.count("*").alias("n"))
+
+
+#: How part is written, and what the detector calls it.
+WRITTEN = (("csv", "csv"), ("tsv", "tsv"), ("jsonl", "jsonl"), ("parquet", "parquet"), ("csv_gz", "gzip"), ("json_bz2", "bzip2"))
+
+
+@query(unions([f"SELECT '{name}' AS written, '{kind}' AS file_type, count(*) AS n_rows, CAST(sum(p_partkey) AS BIGINT) AS keys, CAST(sum(p_size) AS BIGINT) AS sizes, round(sum(p_retailprice), 2) AS prices, count(DISTINCT p_brand) AS brands, CAST(sum(length(p_name) + length(p_brand) + 8) AS BIGINT) AS note_chars FROM part" for name, kind in WRITTEN]))
+def read_formats(spark: SparkSession, sf: str) -> DataFrame:
+    """part written in several formats (with quotes and line breaks inside of cells), detected, and read again by what the detector said."""
+    part = table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice", "p_brand", F.concat("p_name", F.lit('\nsays "'), "p_brand", F.lit('"')).alias("note"))
+    root, out = scratch.new_folder(spark), None
+    csv = {"header": "true", "quote": '"', "escape": '"', "quoteAll": "true"}
+    for name, kind in WRITTEN:
+        path = f"{root}/{name}"
+        if name == "parquet":
+            part.write.parquet(path)
+        elif name.startswith("json"):
+            part.write.option("compression", "bzip2" if name == "json_bz2" else "none").json(path)
+        else:
+            part.write.options(**csv, sep="\t" if name == "tsv" else ",", compression="gzip" if name == "csv_gz" else "none").csv(path)
+        found = structure.summarise_files(list_files(spark, path)).select("file_type", "details", "summary").orderBy("summary").first()
+        files = f"{path}/*{dict(gzip='.gz', bzip2='.bz2').get(kind, '')}"
+        df, _ = table_of(spark, files, found.file_type, dict(found.details or {}), Options(), json.loads(found.summary))
+        row = df.agg(F.lit(name).alias("written"), F.lit(found.file_type).alias("file_type"), F.count("*").alias("n_rows"), F.sum("p_partkey").cast("long").alias("keys"), F.sum("p_size").cast("long").alias("sizes"), F.round(F.sum("p_retailprice"), 2).alias("prices"), F.countDistinct("p_brand").alias("brands"), F.sum(F.length("note")).cast("long").alias("note_chars"))
+        out = row if out is None else out.unionAll(row)
+    return out
+
+
 @query("SELECT 'html' AS file_type, count(*) AS n FROM pages WHERE contains(lower(left(ltrim(html), 2048)), '<html') OR contains(lower(left(ltrim(html), 2048)), '<table')")
 def detect_pages_html(spark: SparkSession, sf: str) -> DataFrame:
     found = detect_column(table(spark, sf, "pages").select("page_id", "html"), "html")
@@ -317,6 +373,19 @@ def column_facts(spark: SparkSession, sf: str) -> DataFrame:
     return profile.column_facts(table(spark, sf, "part")).select("column", "n_present", "n_distinct", "kind", "whole")
 
 
+TYPED = (
+    ("flag", "CASE WHEN o_orderkey % 3 = 0 THEN 'Yes' WHEN o_orderkey % 3 = 1 THEN 'no' END", "string"), ("nearly_flag", "CASE WHEN o_orderkey % 50 = 0 THEN 'maybe' ELSE 'true' END", "string"), ("day", "CASE WHEN o_orderkey % 4 = 0 THEN 'soon' ELSE '2020-01-0' || (1 + o_orderkey % 9) END", "string"),
+    ("tags", "CASE WHEN o_orderkey % 5 = 0 THEN 'a' ELSE 'a,b' END", "string"), ("one", "CAST(o_orderkey % 2 AS INTEGER)", "number"), ("status", "o_orderstatus", "string"),
+)
+
+
+@query(unions([f"SELECT '{c}' AS \"column\", '{kind}' AS kind, coalesce(bool_and(lower({x}::VARCHAR) IN ('0', '1', 'true', 'false', 'yes', 'no')), false) AS bool_like, round(coalesce(avg((try_cast({x} AS TIMESTAMP) IS NOT NULL)::INT) FILTER (({x}) IS NOT NULL), 0), 6) AS date_rate, round(coalesce(avg(regexp_matches({x}, '[,|;]')::INT), 0), 6) AS label_like, round(coalesce(avg(length({x})), 0), 6) AS mean_length FROM orders" if kind == "string" else f"SELECT '{c}', '{kind}', bool_and({x} IN (0, 1)), 0.0, 0.0, round(avg(length(({x})::VARCHAR)), 6) FROM orders" for c, x, kind in TYPED]))
+def column_signs(spark: SparkSession, sf: str) -> DataFrame:
+    """Signs of truth values, dates and lists of labels, in columns that have them in part."""
+    made = table(spark, sf, "orders").select(*[F.expr(x.replace("VARCHAR", "STRING")).alias(c) for c, x, _ in TYPED])
+    return rounded(profile.column_facts(made).select("column", "kind", "bool_like", "date_rate", "label_like", "mean_length"))
+
+
 @query(f"{PART_FACTS} SELECT c AS \"column\", CASE WHEN kind = 'number' THEN 1.0 + CASE WHEN u <= 2 THEN 2.5 WHEN u <= greatest(10, floor(0.02 * n)) THEN 1.2 WHEN u >= floor(0.6 * n) THEN -2.0 ELSE 0 END ELSE CASE WHEN u <= greatest(20, floor(0.08 * n)) THEN 1.8 WHEN u >= floor(0.8 * n) THEN -2.0 ELSE 0 END END + CASE WHEN u <= 1 THEN -5 ELSE 0 END AS score FROM facts")
 def target_scores(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(roles.target_scores(profile.column_facts(table(spark, sf, "part"))))
@@ -343,6 +412,19 @@ def snippet_prefix(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").where(F.col("p_name").startswith("small")).select("p_partkey", "p_name").orderBy("p_name")
 
 
+@query("WITH r AS (SELECT user_id, event_id, event_type, round(value, 6) AS value, event_id % 3 = 0 AS fresh FROM events) SELECT user_id, arg_max(event_id, fresh::INT * 1000000000000 + event_id) AS event_id, arg_max(event_type, fresh::INT * 1000000000000 + event_id) AS event_type, arg_max(value, fresh::INT * 1000000000000 + event_id) AS value FROM r GROUP BY user_id")
+def registry_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """A registry of each user's event, brought up to date by every third event."""
+    rows = table(spark, sf, "events").select("user_id", "event_id", "event_type", F.round("value", 6).alias("value"))
+    return registry.upsert(rows.where("event_id % 3 <> 0"), rows.where("event_id % 3 = 0"), ["user_id"], ["event_id"])
+
+
+@query("WITH h AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY substr(md5('42:' || o_orderkey), 1, 13)) - 1 AS r, count(*) OVER () AS n FROM orders) SELECT CASE WHEN r < floor(0.8 * n) THEN 'train' WHEN r < floor(0.8 * n) + floor(0.1 * n) THEN 'val' ELSE 'test' END AS split, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM h GROUP BY 1")
+def seeded_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders split 80/10/10 by a seeded hash, in exact sizes."""
+    return registry.seeded_split(table(spark, sf, "orders"), "o_orderkey").groupBy("split").agg(F.count("*").alias("n"), F.sum("o_orderkey").cast("long").alias("keys"))
+
+
 # decisions ------------------------------------------------------------------
 
 
@@ -441,8 +523,6 @@ def probe_plan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def finding_rows(spark: SparkSession, df: DataFrame, options: Options) -> DataFrame:
-    import json
-
     rows = [(f.key, f.status, round(f.confidence, 3), json.dumps(f.evidence, sort_keys=True, default=str)) for f in diagnose(df, options)]
     return spark.createDataFrame(rows, "key string, status string, confidence double, evidence string")
 
@@ -459,6 +539,78 @@ def diagnose_labelled(spark: SparkSession, sf: str) -> DataFrame:
     return finding_rows(spark, labelled(spark, sf), Options(target_column="quality", split_column="lang"))
 
 
+def leaves(value: object, path: str = "") -> list[tuple[str, object]]:
+    """The leaves of a finding's evidence by dotted path; a list is one leaf, its items joined by commas."""
+    if isinstance(value, dict):
+        return [x for k, v in value.items() for x in leaves(v, f"{path}.{k}" if path else str(k))]
+    return [(path, ",".join(map(str, value)) if isinstance(value, list) else value)]
+
+
+def evidence_rows(spark: SparkSession, df: DataFrame, options: Options, wanted: dict[tuple[str, str], str]) -> DataFrame:
+    """(check, path, value, text): the wanted evidence of the findings; numbers and truth values are values, all else is text."""
+    rows = []
+    for f in diagnose(df, options):
+        for path, x in leaves(f.evidence):
+            if (f.key, path) in wanted:
+                rows.append((f.key, path, None if x is None or isinstance(x, str) else round(float(x), 6) + 0.0, x if isinstance(x, str) else None))
+    return spark.createDataFrame(rows, "check string, path string, value double, text string")
+
+
+def facts(numbers: list[str], others: dict[tuple[str, str], str]) -> dict[tuple[str, str], str]:
+    """SQL of evidence by (check, path), over a table ``t`` and its class counts ``c``; texts are told by how their SQL begins."""
+    size, label, noise, scale = "sample_size_vs_feature_dimension", "label_distribution", "noise_level", "feature_scale"
+    out = {(size, "n_rows_sampled"): "(SELECT count(*) FROM t)", (label, "classes"): "(SELECT count(*) FROM c)", (label, "minority_rate"): "(SELECT min(n) / sum(n) FROM c)", (label, "imbalance_ratio"): "(SELECT max(n) / min(n) FROM c)", (label, "rare_event"): "(SELECT min(n) / sum(n) < 0.05 FROM c)", (label, "long_tail"): "(SELECT count(*) >= 10 AND max(n) / sum(n) < 0.5 FROM c)"}
+    rates = []
+    for x in numbers:
+        rates.append(f"(SELECT avg((q3 > q1 AND ({x} < q1 - 1.5 * (q3 - q1) OR {x} > q3 + 1.5 * (q3 - q1)))::INT) FROM t, (SELECT quantile_cont({x}, 0.25) AS q1, quantile_cont({x}, 0.75) AS q3 FROM t))")
+        out[noise, f"outlier_rate_by_feature.{x}"] = rates[-1]
+        for name, f in (("min", "min({})"), ("max", "max({})"), ("std", "stddev_pop({})"), ("q05", "quantile_cont({}, 0.05)"), ("q95", "quantile_cont({}, 0.95)"), ("skew", "coalesce(skewness({}), 0)")):
+            out[scale, f"feature_stats.{x}.{name}"] = f"(SELECT {f.format(x)} FROM t)"
+    spread, ranges = (f"[{', '.join(f'(SELECT {f.format(x=x)} FROM t)::DOUBLE' for x in numbers)}]" for f in ("stddev_pop({x})", "max({x}) - min({x})"))
+    out |= {(noise, "max_numeric_outlier_rate"): f"greatest({', '.join(rates)})", (scale, "numeric_feature_count"): str(len(numbers)), (scale, "std_scale_ratio"): f"list_max({spread}) / list_min({spread})", (scale, "range_scale_ratio"): f"list_max({ranges}) / list_min({ranges})", (scale, "orders_of_magnitude_span"): f"log10(list_max({ranges}) / list_min({ranges}))"}
+    return out | others
+
+
+def facts_oracle(source: str, target: str, wanted: dict[tuple[str, str], str]) -> str:
+    rows = [f"SELECT '{check}' AS \"check\", '{path}' AS path, " + (f"CAST(NULL AS DOUBLE) AS value, CAST({x} AS VARCHAR) AS text" if x.startswith(("'", "concat", "array_to_string", "CASE")) else f"round(CAST({x} AS DOUBLE), 6) + 0.0 AS value, CAST(NULL AS VARCHAR) AS text") for (check, path), x in wanted.items()]
+    return f"WITH t AS ({source}), c AS (SELECT {target}::VARCHAR AS label, count(*) AS n FROM t WHERE {target} IS NOT NULL GROUP BY 1) " + " UNION ALL ".join(rows)
+
+
+def classes_of(labels: list[str]) -> dict[tuple[str, str], str]:
+    return {("label_distribution", f"counts.{x}"): f"(SELECT sum(n) FROM c WHERE label = '{x}')" for x in labels}
+
+
+ORDER_FACTS = facts(["o_orderkey", "o_custkey", "o_totalprice"], classes_of(["F", "O", "P"]) | {
+    ("problem_type", "task_type"): "CASE WHEN (SELECT count(*) FROM c) <= 2 THEN 'binary_classification' ELSE 'multiclass_classification' END", ("problem_type", "target_column"): "'o_orderstatus'", ("data_splitting_structure", "structure"): "'temporal_order_detected'", ("data_splitting_structure", "time_column"): "'o_orderdate'",
+    ("data_splitting_structure", "duplicate_row_rate"): "(SELECT count(*) - count(DISTINCT o_orderkey) FROM t) / (SELECT count(*) FROM t)", ("sample_size_vs_feature_dimension", "d_features"): "5", ("sample_size_vs_feature_dimension", "n_over_d"): "(SELECT count(*) / 5 FROM t)", ("missingness", "overall_missing_rate"): "(SELECT avg((o_orderpriority IS NULL OR o_totalprice IS NULL)::INT) FROM t)",
+    ("noise_level", "label_conflict_proxy"): "(SELECT count(*) FILTER (n > 1 AND m > 1) / greatest(count(*) FILTER (n > 1), 1) FROM (SELECT count(*) AS n, count(DISTINCT o_orderstatus) AS m FROM t GROUP BY o_orderkey, o_custkey, o_totalprice, o_orderdate, o_orderpriority))",
+    ("correlation_structure", "high_corr_pair_count"): "(SELECT (abs(corr(o_orderkey, o_custkey)) >= 0.9)::INT + (abs(corr(o_orderkey, o_totalprice)) >= 0.9)::INT + (abs(corr(o_custkey, o_totalprice)) >= 0.9)::INT FROM t)",
+    ("evaluation_metric", "recommended_metrics"): "CASE WHEN (SELECT min(n) / sum(n) FROM c) < 0.1 THEN 'pr_auc,f1_macro,balanced_accuracy' ELSE 'roc_auc,f1_macro,accuracy' END",
+})
+
+
+@query(facts_oracle("SELECT * FROM orders", "o_orderstatus", ORDER_FACTS))
+def findings_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """The evidence of the findings of orders, a row for each value."""
+    return evidence_rows(spark, table(spark, sf, "orders"), Options(target_column="o_orderstatus", time_column="o_orderdate"), ORDER_FACTS)
+
+
+LABEL_FACTS = facts(["doc_id", "n_chars", "toxic"], classes_of(["0", "1"]) | {
+    ("problem_type", "task_type"): "'binary_classification'", ("problem_type", "target_column"): "'quality'", ("data_splitting_structure", "structure"): "'explicit_split_column'", ("data_splitting_structure", "split_values_sample"): "array_to_string(list_sort((SELECT list(DISTINCT lang) FROM t)), ',')",
+    ("sample_size_vs_feature_dimension", "d_features"): "5", ("sample_size_vs_feature_dimension", "n_over_d"): "(SELECT count(*) / 5 FROM t)", ("missingness", "overall_missing_rate"): "(SELECT (count(*) FILTER (quality IS NULL) + count(*) FILTER (toxic IS NULL)) / (6 * count(*)) FROM t)",
+    ("missingness", "missing_columns"): "'quality,toxic'", ("missingness", "missing_rate_by_column.quality"): "(SELECT avg((quality IS NULL)::INT) FROM t)", ("missingness", "missing_rate_by_column.lang"): "(SELECT avg((lang IS NULL)::INT) FROM t)", ("missingness", "max_missing_indicator_corr"): "(SELECT abs(corr((quality IS NULL)::INT, (toxic IS NULL)::INT)) FROM t)",
+    ("missingness", "target_missingness_signal"): "(SELECT 0.5 * sum(abs(gone / sum_gone - there / sum_there)) FROM (SELECT quality, count(*) FILTER (toxic IS NULL) AS gone, count(*) FILTER (toxic IS NOT NULL) AS there, sum(count(*) FILTER (toxic IS NULL)) OVER () AS sum_gone, sum(count(*) FILTER (toxic IS NOT NULL)) OVER () AS sum_there FROM t GROUP BY quality))",
+    ("missingness", "missingness_kind"): "'possibly_informative_missingness'", ("distribution_shift_risk", "base_split"): "concat((SELECT lang FROM t GROUP BY lang ORDER BY count(*) DESC, lang LIMIT 1))", ("distribution_shift_risk", "split_values"): "array_to_string((SELECT list(lang ORDER BY n DESC, lang) FROM (SELECT lang, count(*) AS n FROM t GROUP BY lang)), ',')",
+    ("evaluation_metric", "recommended_metrics"): "CASE WHEN (SELECT min(n) / sum(n) FROM (SELECT count(*) AS n FROM t GROUP BY quality)) < 0.1 THEN 'pr_auc,f1_macro,balanced_accuracy' ELSE 'roc_auc,f1_macro,accuracy' END",
+})
+
+
+@query(f"WITH {LABELLED}, " + facts_oracle("SELECT * FROM labelled", "quality", LABEL_FACTS).removeprefix("WITH "))
+def findings_labelled(spark: SparkSession, sf: str) -> DataFrame:
+    """The evidence of the findings of documents with their labels, a row for each value."""
+    return evidence_rows(spark, labelled(spark, sf), Options(target_column="quality", split_column="lang"), LABEL_FACTS)
+
+
 @query()
 def event_windows(spark: SparkSession, sf: str) -> DataFrame:
     """The streaming rollup over events, run as a batch: the same plan without a watermark."""

@@ -106,3 +106,24 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {(r.window_start, r.label): r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     want = {(r.window_start, r.label): r.n for r in rollups.by_window(events, "ts", "event_type", "value", "1 day").collect()}
     assert got and set(got.items()) <= set(want.items())
+
+
+def test_snippets_upsert_and_split(spark, tmp_path):
+    from siftwell.operators import registry
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "one.txt").write_text("LIMIT: int = 3\nx = y = 1\n\ndef work():\n    return LIMIT\n")
+    (tmp_path / "two.txt").write_text("class A:\n    pass\n")
+    (tmp_path / "bad.txt").write_text("def (:\n")
+    (tmp_path / "many.txt").write_text("def f(): pass\ndef g(): pass\n")
+    (tmp_path / "other.md").write_text("no snippet")
+    got = {r.name: (r.relpath, r.kind, r.exports, r.error) for r in registry.snippets(spark, str(tmp_path)).collect()}
+    assert got["a.one"] == ("a/one.txt", "function", "LIMIT,x,y,work", None) and got["two"] == ("two.txt", "class", "A", None)
+    assert got["bad"][3].startswith("SyntaxError") and got["many"][3] == "several functions" and len(got) == 4
+
+    now = spark.createDataFrame([("a", 1, "old"), ("b", 9, "old")], "k string, v long, t string")
+    more = spark.createDataFrame([("a", 0, "new"), ("c", 1, "x"), ("c", 2, "y")], "k string, v long, t string")
+    assert sorted(tuple(r) for r in registry.upsert(now, more, ["k"], ["v"]).collect()) == [("a", 0, "new"), ("b", 9, "old"), ("c", 2, "y")]
+
+    sizes = lambda n: {r.split: r["count"] for r in registry.seeded_split(spark.range(n), "id").groupBy("split").count().collect()}
+    assert sizes(1000) == {"train": 800, "val": 100, "test": 100} and sizes(7) == {"train": 5, "test": 2} and sizes(0) == {}
