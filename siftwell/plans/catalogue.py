@@ -513,7 +513,14 @@ def recommendation(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("dataset_id", "decision_state", "validation", F.size("candidates").alias("n_candidates"), first["fit_score"].alias("fit_score"), first["max_trials"].alias("max_trials"))
 
 
-@query()
+PLANNED = f"""WITH {MADE}, w AS (SELECT dataset_id, s[1] = 2 OR s[2] = 2 AS blocked, list_max(s) > 0 OR supported / 12 < 0.6 AS open, s[3] > 0 OR s[4] > 0 OR s[5] > 0 AS divided, s[2] > 0 AS unsure FROM d),
+p AS (SELECT dataset_id, list_slice(list_filter([CASE WHEN NOT blocked THEN 1 END, CASE WHEN divided THEN 2 END, CASE WHEN unsure OR blocked THEN 3 END], lambda x: x IS NOT NULL), 1, 2) AS k FROM w WHERE blocked OR open),
+o AS (SELECT dataset_id, u.i - 1 AS plan_order, k[u.i] AS k FROM p, unnest(range(1, len(k) + 1)) AS u(i)),
+n AS (SELECT dataset_id, CAST(plan_order AS INTEGER) AS plan_order, {{0}} AS probe_kind, {{1}} AS priority, {{2}} AS reason FROM o)
+SELECT dataset_id, plan_order, concat('probe_', substr(h, 1, 12), '5', substr(h, 14, 3)) AS request_id, probe_kind, priority FROM (SELECT *, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(concat_ws(':', dataset_id, probe_kind, reason))) AS h FROM n)""".format(*["(['" + "', '".join(p[i] for p in decide.PROBES[:3]) + "'])[k]" for i in range(3)])
+
+
+@query(PLANNED)
 def probe_plan(spark: SparkSession, sf: str) -> DataFrame:
     """Probes planned for every dataset that isn't ready."""
     return decide.planned_probes(decide.recommendation(decide.readiness(made_datasets(spark, sf)))).select("dataset_id", "plan_order", "request_id", "probe_kind", "priority")
