@@ -6,9 +6,6 @@ bytes, because ``bytes.split`` and ``bytes.lower`` know ASCII only, as the rule
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -17,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwell.sources import scratch
+
 #: A word, as a Java regular expression.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -25,16 +24,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where none is set, the warehouse, or in local mode a temporary folder."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        here = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master)
-        path = "file://" + tempfile.mkdtemp(prefix="siftwell-shared-") if here else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/siftwell-shared"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 class Shared:
     """Tables written to the shared folder, so that lost executors cost no lineage.
 
@@ -42,8 +31,7 @@ class Shared:
     """
 
     def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.root = spark, f"{shared_folder(spark)}/siftwell-{uuid.uuid4().hex}"
-        self._fs().deleteOnExit(self._path(self.root))
+        self.spark, self.root = spark, scratch.new_folder(spark)
 
     def _path(self, name: str) -> Any:
         return self.spark._jvm.org.apache.hadoop.fs.Path(name)

@@ -129,5 +129,5 @@ def test_lines_sql(spark, duck):
 
     from siftwell.llm import queries
 
-    for name in ("op5_line_dedup", "op8_curriculum_mixing", "op6_benchmark_decontamination", "op1_chat_formatting"):
+    for name in ("op5_line_dedup", "op8_curriculum_mixing", "op6_benchmark_decontamination", "op1_chat_formatting", "quality_base", "length_sums"):
         same(queries.QUERIES[name](spark, SMALL), duck, queries.ORACLES[name])
