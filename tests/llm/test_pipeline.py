@@ -38,3 +38,32 @@ def test_run(spark, folder):
     rows = corpus_pipeline.run(spark, folder).collect()
     assert {r.doc_id for r in rows} == set(range(30)) | {40}
     assert {"taken", "position", "target"} <= set(rows[0].asDict())
+
+
+def tables(spark, p, docs, schema, labels=(), items=()):
+    spark.createDataFrame(docs, schema).write.parquet(f"{p}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{p}/labels.parquet")
+    spark.createDataFrame(list(items), "item_id long, text string").write.parquet(f"{p}/benchmark.parquet")
+    return str(p)
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, kept int, n_words string, n_removed string, spans string, n_hit int, node int, component_id int, _gone int"
+
+
+def test_empty_tables(spark, tmp_path):
+    assert corpus_pipeline.run(spark, tables(spark, tmp_path, [], CLASHING)).count() == 0
+
+
+def test_nulls_and_clashing_names(spark, tmp_path):
+    good = [(i, edge.prose(3000 + i, 100)) for i in range(8)]
+    rows = [*good, (None, edge.prose(3100, 100)), (20, None), (21, ""), (22, edge.prose(3200, 9000))]
+    docs = [(d, t, None, None if (d or 0) % 2 else "s", None, 0, "w", "r", "p", 7, 8, 9, 10) for d, t in rows]
+    folder = tables(spark, tmp_path, docs, CLASHING, [(None, None, None), (1, None, 1)], [(None, None), (1, "")])
+    frame, names = spark.read.parquet(f"{folder}/documents.parquet"), CLASHING.split(", ")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        frame = stage(spark, frame, folder).persist()
+        assert frame.columns == [x.split()[0] for x in names]
+        assert {tuple(r)[5:] for r in frame.collect()} == {(0, "w", "r", "p", 7, 8, 9, 10)}
+        assert sorted(str(r.doc_id) for r in frame.collect()) == sorted(str(d) for d, t in rows if t)
+    out = corpus_pipeline.run(spark, folder).collect()
+    assert len(out) == 10 and {"taken", "position", "lang", "n_hit"} <= set(out[0].asDict())
