@@ -11,6 +11,12 @@ shared folder and reads it again, so a lost executor never reaches back beyond o
 4. benchmark decontamination: documents that hold a test window go.
 5. source mixing: words taken and training position of each remaining document.
 
+Defined cases, in every stage: null or empty texts fail the quality rules and go; rows with
+a null doc_id are linked with nothing and stay if their text is good; repeated rows of one
+doc_id and text share every verdict; very long texts are read whole; an empty table, of
+labels or benchmark items too, gives an empty result or leaves documents alone; further
+columns stay as they are, whatever their names (the mix's own names replace them at the end).
+
 ORACLE_SQL is None: Viterbi decoding with a trained field and MinHash components are no
 SQL; tests/llm holds the stages against plain Python.
 """
@@ -26,18 +32,31 @@ from siftwell.llm import benchmark_decontamination, curriculum_mixing, line_dedu
 from siftwell.llm.common import WORD, Shared, read
 
 
+NEEDED = ("doc_id", "text", "n_chars")
+
+
+def apart(docs: DataFrame) -> DataFrame:
+    """docs with other columns out of the way of names that operators use."""
+    return docs.toDF(*[c if c in NEEDED else f"_own_{i}" for i, c in enumerate(docs.columns)])
+
+
+def back(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs, from rows that descend from apart(docs)."""
+    return out.select(*[F.col(c if c in NEEDED else f"_own_{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     field = quality_rules.train(docs, read(spark, sf_dir, "labels"))
-    return quality_rules.judge(docs, field).where("kept").select(*docs.columns)
+    return back(quality_rules.judge(apart(docs), field).where("kept"), docs)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(docs, Shared(spark))
+    out = line_dedup.dedup_lines(apart(docs), Shared(spark))
     emptied = (F.col("n_removed") > 0) & ~F.col("kept_text").rlike(WORD)
     out = out.where(~emptied).withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return back(out, docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +66,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = benchmark_decontamination.decontaminate(docs, read(spark, sf_dir, "benchmark"))
-    return out.where("not contaminated").select(*docs.columns)
+    out = benchmark_decontamination.decontaminate(apart(docs), read(spark, sf_dir, "benchmark"))
+    return back(out.where("not contaminated"), docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
