@@ -61,8 +61,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     verdicts = minhash_near_dedup.near_duplicates(docs.select("doc_id", "text"), Shared(spark))
-    gone = verdicts.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs.doc_id == F.col("_gone"), "left_anti").select(*docs.columns)
+    gone = verdicts.where("not kept").select("doc_id").distinct()
+    return back(apart(docs).join(gone, "doc_id", "left_anti"), docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
