@@ -61,6 +61,7 @@ class Table:
         self.inputs = [c for c in self.features if c not in self.roles.ids]
         self.numbers = [c for c in self.features if is_numeric(self.kinds[c])]
         self._conflict: dict[str, Any] | None = None
+        self._drift: tuple[dict[str, Any] | None] | None = None
 
     def _task(self) -> Task:
         temporal = bool(self.roles.time)
@@ -80,6 +81,13 @@ class Table:
 
 
 def drift(t: Table) -> dict[str, Any] | None:
+    """The drift between earlier and later rows, computed once for the checks that need it."""
+    if t._drift is None:
+        t._drift = (measured_drift(t),)
+    return t._drift[0]
+
+
+def measured_drift(t: Table) -> dict[str, Any] | None:
     rows = relations.time_drift(t.df, t.roles.time).collect() if t.n >= 20 else None
     if rows is None:
         return None

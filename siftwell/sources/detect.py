@@ -15,6 +15,7 @@ import re
 import zipfile
 from collections import Counter
 from dataclasses import dataclass, field
+from typing import Any
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -92,14 +93,21 @@ def json_lines(text: str) -> bool:
     return sum(map(parses, lines)) >= max(2, int(0.8 * len(lines)))
 
 
+def yaml_value(text: str) -> Any:
+    """The value of a YAML text, by the parser in C where there is one; plain values only."""
+    import yaml
+
+    return yaml.load(text, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader))  # noqa: S506  a safe loader
+
+
 def yaml_loads(text: str) -> bool:
     try:
         import yaml
     except ImportError:
         return False
     try:
-        return yaml.safe_load(text) is not None
-    except yaml.YAMLError:
+        return yaml_value(text) is not None
+    except (yaml.YAMLError, ValueError):
         return False
 
 

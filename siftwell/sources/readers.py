@@ -56,8 +56,10 @@ def json_rows(data: bytes) -> Rows:
 def yaml_rows(data: bytes) -> Rows:
     import yaml
 
+    from siftwell.sources.detect import yaml_value
+
     try:
-        yield from table_of(yaml.safe_load(data.decode("utf-8", "replace")))
+        yield from table_of(yaml_value(data.decode("utf-8", "replace")))
     except yaml.YAMLError:
         return
 

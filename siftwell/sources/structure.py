@@ -21,7 +21,7 @@ import numpy as np
 
 from siftwell.context import Options
 from siftwell.sources import readers
-from siftwell.sources.detect import Detection, detect
+from siftwell.sources.detect import Detection, detect, yaml_value
 
 PAIR = re.compile(r"^\s*([A-Za-z0-9_.\-]+)\s*[:=]\s*(.+?)\s*$")
 LEVELS = 2
@@ -101,9 +101,7 @@ def of_json(data: bytes, found: Detection, options: Options) -> Summary:
 
 
 def of_yaml(data: bytes, found: Detection, options: Options) -> Summary:
-    import yaml
-
-    return of_value(yaml.safe_load(data.decode("utf-8", "replace")), "yaml", options, False)
+    return of_value(yaml_value(data.decode("utf-8", "replace")), "yaml", options, False)
 
 
 def of_jsonl(data: bytes, found: Detection, options: Options) -> Summary:
