@@ -201,3 +201,62 @@ def test_frequent_words_are_exact_however_texts_are_dealt(spark):
     for parts in (1, 3, len(texts)):
         assert lm_scoring.frequent_words(lm_scoring.word_counts(docs.repartition(parts))) == want
     assert {w.encode() for w in hot} <= {w for w, _ in want}
+
+
+def test_scores_equal_enumeration_over_states(spark, shared, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "HEAD", 3)
+    monkeypatch.setattr(lm_scoring, "frequent_words", lambda counts, most=3, f=lm_scoring.frequent_words: f(counts, most))
+    rng, held = np.random.default_rng(6), {}
+
+    def random_model(coded, model, tokens, rounds=None):
+        held["m"] = lm_scoring.Model(rng.dirichlet(np.ones(8)), rng.dirichlet(np.ones(8), 8), rng.dirichlet(np.ones(len(model.emit)), 8).T)
+        return held["m"]
+
+    monkeypatch.setattr(lm_scoring, "baum_welch", random_model)
+    rows = [(i, t) for i, t in enumerate(["a b", "a b c", "A c", "rare a", "b rare", "other b", "a", "", None, "never seen", "a rare other"] * 2)]
+    got = {r.doc_id: r for r in lm_scoring.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), shared).collect()}
+    tokens = {d: (t or "").encode().lower().split() for d, t in rows}
+    counts = Counter(w for d, ws in tokens.items() if py_crc_bucket(d, 5) != 1 for w in ws)
+    head = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:3]]
+    rest = {w: c for w, c in counts.items() if w not in head}
+    number = lambda w: head.index(w) + 1 if w in head else len(head) + 1 + lm_scoring.shape(w)
+    m = held["m"]
+    for d, ws in tokens.items():
+        obs, inside = [*map(number, ws), lm_scoring.END], 0.0
+        for w in ws:
+            if w not in head:
+                own = [c for v, c in rest.items() if lm_scoring.shape(v) == lm_scoring.shape(w)]
+                inside += math.log10((rest.get(w, 0) + 0.5) / (sum(own) + 0.5 * (len(own) + 1)))
+        p = sum(m.start[s[0]] * math.prod(m.turn[a, b] for a, b in zip(s, s[1:], strict=False)) * math.prod(m.emit[o, x] for o, x in zip(obs, s, strict=True)) for s in itertools.product(range(8), repeat=len(obs)))
+        assert got[d].score == pytest.approx(math.log10(p) + inside), d
+
+
+def test_scores_do_not_depend_on_partitions(spark, shared):
+    from siftwell.llm.common import Shared
+
+    rows = [(i, edge.prose(i, 60 + i % 50) if i % 2 else " ".join(w + "on" for w in edge.prose(i, 60).split())) for i in range(120)]
+    docs, got = spark.createDataFrame(rows, "doc_id long, text string"), []
+    for parts in (1, 8, 64):
+        got.append({r.doc_id: (r.score, r.base_score, r.n_known) for r in lm_scoring.score_texts(docs.repartition(parts), Shared(spark), rounds=2).collect()})
+    for other in got[1:]:
+        assert all(other[d][2] == n and other[d][1] == pytest.approx(b) and other[d][0] == pytest.approx(s, rel=1e-4) for d, (s, b, n) in got[0].items())
+
+
+def test_fourier_features_approximate_the_kernel():
+    x = np.random.default_rng(7).normal(size=(60, len(quality_classifier.STATS))) * 0.7
+    z = quality_classifier.features(x)[:, :-1]
+    exact = np.exp(-quality_classifier.SPREAD * ((x[:, None] - x[None]) ** 2).sum(-1))
+    error = z @ z.T - exact
+    assert np.abs(error).mean() < 1.5 / np.sqrt(quality_classifier.FEATURES) and np.abs(error).max() < 0.4
+
+
+def test_normal_equations_equal_the_whole_solution(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, len(quality_classifier.STATS))) * rng.uniform(0.5, 3, len(quality_classifier.STATS))
+    y = (x[:, 0] + 0.3 * rng.normal(size=400) > 0.5).astype(int)
+    rows = spark.createDataFrame([(a.tolist(), int(b)) for a, b in zip(x, y, strict=True)], "stats array<double>, quality int").repartition(7)
+    model = quality_classifier.train(rows)
+    z = quality_classifier.features((x - x.mean(0)) / x.std(0))
+    w = np.where(y == 1, 400 / (2 * y.sum()), 400 / (2 * (400 - y.sum())))
+    want = np.linalg.solve((z * w[:, None]).T @ z + quality_classifier.RIDGE * np.eye(z.shape[1]), z.T @ (w * y))
+    assert np.allclose(model.weights, want, atol=1e-6)
