@@ -122,6 +122,9 @@ def from_assumptions_file(spark: SparkSession, old: Bundle) -> Bundle:
 TASK_FIELDS = {"binary_classification": ("binary", "bce_with_logits", 1), "multiclass_classification": ("multiclass", "cross_entropy", "$infer_class_count"), "multilabel_classification": ("multiclass", "bce_with_logits", "$infer_label_count"), "regression": ("regression", "mse", 1)}
 
 
+# The configuration fields, names and defaults in intent() and search_space() are those of the bundle format.
+
+
 def intent(family: str, task: str, classes: int, regime: int) -> Bundle:
     """The pipeline that a candidate asks for; what is open is named."""
     kind, loss, outputs = TASK_FIELDS.get(task, ("regression", "mse", "$infer_target_dim"))
@@ -177,19 +180,26 @@ def recommended_rows(spark: SparkSession, recommendation: Bundle) -> DataFrame:
     return spark.createDataFrame(rows, "dataset_id string, decision_state string, required_user_actions array<string>, candidates array<struct<family: string>>")
 
 
+# What each probe runs.
+PROBE_MODES: dict[str, Bundle] = {
+    "split_sensitivity_probe": {"mode": "cross_validation_probe", "strategies": ["kfold", "stratified_kfold", "group_kfold", "time_series_split"]},
+    "unsupervised_structure_probe": {"mode": "unsupervised_probe", "algorithms": ["pca", "kmeans", "isolation_forest"]},
+    "missingness_impact_probe": {"mode": "ablation_probe", "imputation_strategies": ["median", "most_frequent", "none_with_indicator"]},
+}
+
+
 def probe_request_bundle(spark: SparkSession, diagnosis: Bundle, recommendation: Bundle, results: Bundle | None = None, loop_id: str | None = None, round_index: int = 1, max_rounds: int = 3, max_probes: int = 12, min_gain: float = 0.02, per_dataset: int = 2) -> Bundle:
     old = spark.createDataFrame([(str(r.get("request_id")),) for r in results["results"]], "request_id string") if results and results.get("results") else None
     planned = decide.planned_probes(recommended_rows(spark, recommendation), old, per_dataset)
     rows, totals = planned.orderBy("dataset_id", "plan_order").collect(), {r.priority: r for r in decide.probe_totals(planned).collect()}
     best = {d["dataset_id"]: d["candidates"][0] for d in recommendation["datasets"] if d["candidates"]}
-    modes = {"split_sensitivity_probe": {"mode": "cross_validation_probe", "strategies": ["kfold", "stratified_kfold", "group_kfold", "time_series_split"]}, "unsupervised_structure_probe": {"mode": "unsupervised_probe", "algorithms": ["pca", "kmeans", "isolation_forest"]}, "missingness_impact_probe": {"mode": "ablation_probe", "imputation_strategies": ["median", "most_frequent", "none_with_indicator"]}}
     requests = []
     for r in rows[:max_probes]:
         hpo: Bundle = {"max_trials": r.max_trials}
         if r.probe_kind == "supervised_baseline_probe":
             space = best[r.dataset_id]["hpo_space"]
             hpo = {"sampler": space["sampler"], "pruner": space["pruner"], "max_trials": min(20, space["max_trials"])}
-        what = modes.get(r.probe_kind) or best[r.dataset_id]["collator_intent"]
+        what = PROBE_MODES.get(r.probe_kind) or best[r.dataset_id]["collator_intent"]
         requests.append({"request_id": r.request_id, "dataset_id": r.dataset_id, "priority": r.priority, "reason": r.reason, "probe_kind": r.probe_kind, "expected_signals": r.signals, "collator_request": {"candidate_family": r.candidate_family, "intent": what, "hpo": hpo}, "budget": {"max_trials": r.max_trials, "max_runtime_minutes": r.max_runtime_minutes}})
     # totals are those before the global limit
     count = lambda f: sum(f(t) for t in totals.values())

@@ -18,6 +18,8 @@ ASSUMPTION = "struct<key: string, value: string, confidence: double, status: str
 FINDING = "struct<key: string, title: string, status: string, confidence: double, summary: string, evidence: string, warnings: array<string>>"
 DATASET = f"dataset_id string, display_name string, detected_type string, detection_confidence double, supported int, total int, assumptions array<{ASSUMPTION}>, vital_findings array<{FINDING}>, warnings array<string>"
 
+# The messages of readiness() and decision(), whose words probe planning reads and whose texts bundles exchange.
+
 # Assumptions that a decision needs, and those that it can do without.
 CORE, OPTIONAL = ("task_type", "target_column"), ("split_column", "time_column", "group_column", "objective_metric")
 NEEDED_CHECKS, WANTED_CHECKS = ("problem_type", "target_definition"), ("data_splitting_structure", "evaluation_metric")

@@ -35,6 +35,7 @@ EXCEL = (".xlsx", ".xlsm", ".xltx", ".xltm")
 BINARY_SUFFIXES = {".pkl": "pickle", ".pickle": "pickle", ".feather": "feather", ".avro": "avro"}
 DELIMITERS = (",", "\t", ";", "|")
 PREFERRED = {".csv": ",", ".tsv": "\t", ".tab": "\t", ".psv": "|"}
+# The forms of a key with its value and of a number.
 KEY_VALUE = re.compile(r"^\s*[A-Za-z0-9_.\-]+\s*[:=]\s*.+$")
 CELL = re.compile(r"^[+\-]?(\d+(\.\d+)?|\.\d+)$")
 PRINTABLE = bytes([*range(9, 14), *range(32, 127)])
