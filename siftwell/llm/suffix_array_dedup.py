@@ -17,10 +17,12 @@ interval's earliest suffix stays.  What goes before decides which texts meet in
    moves, so a passage that a third of all documents share is one row a task.
 4. The remaining segments meet by key, and their windows are told apart by the merge alone.
    It takes whole groups up to about ``MERGE_BYTES``, in shards of ``SHARD_BYTES``.
-5. Where more than ``MANY`` different segments share a key, their windows meet by two hashes of
-   64 bits in a partial aggregate instead, so no merge and no task grows with the corpus.
+5. Where more than ``MANY`` different segments share a key, a frequent gram stands in different
+   surroundings.  These segments are cut anew, with grams ordered in another way, and take the
+   same steps.  Keys that are crowded even so let their windows meet by two hashes of 64 bits in
+   a partial aggregate, so no merge and no task grows with the corpus.
 
-Steps 3 and 5 decide by hashes; what they decide is no longer read by the merge.
+Step 3 and the end of step 5 decide by hashes; what they decide is no longer read by the merge.
 
 Scale: shuffles carry (key, hash, place) rows, about one for 35 bytes, then texts of
 documents that take part, once, and at the end the texts with their removed stretches.
@@ -44,12 +46,12 @@ from pyspark.sql import functions as F
 
 from . import bwt
 from .common import Shared, map_arrow, read, utf8
-from .shingles import prefix_sums, stretch_hashes
+from .shingles import mixed, prefix_sums, stretch_hashes
 
 LENGTH, GRAM = 100, 32
 #: Windows of a segment at most, and of a piece of a long text that is worked on at once.
 RUN, PIECE = 128, 1 << 20
-MANY, MERGE_BYTES, SHARD_BYTES = 1024, 1 << 17, 1 << 15
+MANY, LEVELS, MERGE_BYTES, SHARD_BYTES = 1024, 1, 1 << 17, 1 << 15
 NULL_ID = -(1 << 63)
 
 
@@ -63,8 +65,8 @@ def sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
     return pick(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def segments(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(key, hash, start, windows, again) of the segments; again: the key's gram occurs twice or more."""
+def segments(data: bytes, level: int = 0, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """(key, hash, start, windows, again) of the segments; again: the key's gram occurs twice or more. Each level orders grams in another way."""
     none = np.zeros(0, np.int64)
     if len(data) < length:
         return none, none, none, none, np.zeros(0, bool)
@@ -72,6 +74,8 @@ def segments(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nd
     sums = prefix_sums(raw)
     at = np.arange(len(raw) - gram + 1)
     grams = stretch_hashes(sums, at, at + gram)
+    if level:
+        grams = mixed(grams ^ np.uint64(level * 0x5851F42D4C957F2D & 0xFFFFFFFFFFFFFFFF))
     span = length - gram + 1
     key = sliding(grams, span, True)
     begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -88,63 +92,64 @@ def segments(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nd
     return own.view(np.int64), stretch_hashes(sums, begins, begins + sizes - 1 + length).view(np.int64), begins, sizes, np.isin(own, twice)
 
 
-def all_segments(docs: DataFrame) -> DataFrame:
-    """(key, hash, id, start, windows, again) of docs (id, text)."""
+def all_segments(pieces: DataFrame, level: int) -> DataFrame:
+    """(key, hash, id, start, windows, again) of pieces (id, text), at further levels also piece of pieces (id, text, base, piece)."""
+    more = ["base", "piece"] if level else []
 
     def cut(batches):
         for batch in batches:
-            parts, ids = [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            parts, rows = [], []
+            bases = batch.column(2).to_pylist() if level else [0] * batch.num_rows
+            for n, (text, base) in enumerate(zip(batch.column(1).to_pylist(), bases, strict=True)):
                 # keys depend on a window's bytes alone, so a long text may be cut anywhere between windows
                 for at in range(0, max(1, len(text) - LENGTH + 1), PIECE):
-                    key, code, start, size, again = segments(text[at : at + PIECE + LENGTH - 1])
+                    key, code, start, size, again = segments(text[at : at + PIECE + LENGTH - 1], level)
                     if len(key):
-                        parts.append((key, code, start + at, size, again))
-                        ids.append(np.full(len(key), i, np.int64))
+                        parts.append((key, code, start + at + base, size, again))
+                        rows.append(np.full(len(key), n, np.int64))
             if parts:
                 key, code, start, size, again = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(code), pa.array(np.concatenate(ids)), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int16)), pa.array(again)], names=["key", "hash", "id", "start", "windows", "again"])
+                own = pa.array(np.concatenate(rows))
+                columns = [pa.array(key), pa.array(code), batch.column(0).take(own), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int16)), pa.array(again), *([batch.column(3).take(own)] if level else [])]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "hash", "id", "start", "windows", "again", *more[1:]])
 
-    return map_arrow(docs.select("id", "text"), cut, "key long, hash long, id long, start int, windows short, again boolean")
+    return map_arrow(pieces.select("id", "text", *more), cut, "key long, hash long, id long, start int, windows short, again boolean" + ", piece long" * bool(level))
 
 
-def cut_out(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(group, bytes, id, start): the strings of wanted (id, cuts), cuts: (key, start, windows)."""
+def cut_out(pieces: DataFrame, wanted: DataFrame, by: str) -> DataFrame:
+    """(group, bytes, id, start): the strings of wanted (by, cuts), cuts: (key, start, windows)."""
 
     def cut(batches):
         for batch in batches:
             groups, parts, ids, starts = [], [], [], []
-            for i, text, cuts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for i, text, base, cuts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 for c in cuts:
-                    groups.append(c["key"]), parts.append(text[c["start"] : c["start"] + c["windows"] - 1 + LENGTH]), ids.append(i), starts.append(c["start"])
+                    at = c["start"] - base
+                    groups.append(c["key"]), parts.append(text[at : at + c["windows"] - 1 + LENGTH]), ids.append(i), starts.append(c["start"])
             if groups:
                 yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array(parts, pa.binary()), pa.array(ids, pa.int64()), pa.array(starts, pa.int32())], names=["group", "bytes", "id", "start"])
 
-    both = docs.select("id", "text").join(wanted, "id").select("id", "text", "cuts")
-    return map_arrow(both, cut, "group long, bytes binary, id long, start int")
+    base = F.col("base") if "base" in pieces.columns else F.lit(0)
+    return map_arrow(pieces.join(wanted, by).select("id", "text", base.alias("base"), "cuts"), cut, "group long, bytes binary, id long, start int")
 
 
-def crowded(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, start, windows): windows of wanted (id, cuts) that start earlier elsewhere, by two hashes of 64 bits; firsts are summed before they are shuffled."""
+def window_repeats(strings: DataFrame) -> DataFrame:
+    """(id, start, windows): windows of strings (bytes, id, start) that start earlier elsewhere, by two hashes of 64 bits; firsts are summed before they are shuffled."""
 
     def cut(batches):
         import xxhash
 
         for batch in batches:
             codes, more, ids, starts = [], [], [], []
-            for i, text, cuts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                for c in cuts:
-                    raw = text[c["start"] : c["start"] + c["windows"] - 1 + LENGTH]
-                    at = np.arange(c["windows"])
-                    codes.append(stretch_hashes(prefix_sums(np.frombuffer(raw, np.uint8)), at, at + LENGTH))
-                    more.append(np.array([xxhash.xxh3_64_intdigest(raw[k : k + LENGTH]) for k in range(c["windows"])], np.uint64))
-                    ids.append(np.full(c["windows"], i)), starts.append(at + c["start"])
-            if codes:
-                columns = [pa.array(np.concatenate(x).view(np.int64)) for x in (codes, more, ids)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(starts).astype(np.int32))], names=["code", "more", "id", "start"])
-
-    both = docs.select("id", "text").join(wanted, "id").select("id", "text", "cuts")
-    rows, place = map_arrow(both, cut, "code long, more long, id long, start int", 64), F.struct("id", "start")
+            for raw, i, start in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                at = np.arange(len(raw) - LENGTH + 1)
+                codes.append(stretch_hashes(prefix_sums(np.frombuffer(raw, np.uint8)), at, at + LENGTH))
+                more.append(np.array([xxhash.xxh3_64_intdigest(raw[k : k + LENGTH]) for k in range(len(at))], np.uint64))
+                ids.append(np.full(len(at), i)), starts.append(at + start)
+            columns = [pa.array(np.concatenate(x).view(np.int64)) for x in (codes, more, ids)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(starts).astype(np.int32))], names=["code", "more", "id", "start"])
+
+    rows, place = map_arrow(strings.select("bytes", "id", "start"), cut, "code long, more long, id long, start int"), F.struct("id", "start")
     firsts = rows.groupBy("code", "more").agg(F.min(place).alias("place"), F.count("*").alias("n")).where("n > 1").drop("n")
     return rows.join(firsts, ["code", "more"]).where(place != F.col("place")).select("id", "start", F.lit(1).alias("windows"))
 
@@ -205,32 +210,38 @@ def merge_groups(rows: DataFrame) -> DataFrame:
     return map_arrow(dealt.select("group", "bytes", "id", "start"), merge, "id long, start int, windows int", 4096)
 
 
-def repeated_windows(docs: DataFrame, shared: Shared) -> DataFrame:
-    """(id, start, windows): runs of windows of docs (id, text) that also start earlier."""
-    rows = all_segments(docs)
+def repeated_windows(pieces: DataFrame, shared: Shared, level: int = 0) -> DataFrame:
+    """(id, start, windows): runs of windows of pieces (id, text) that also start earlier; at further levels of pieces (id, text, base, piece)."""
+    by, name = ("piece" if level else "id"), lambda x: f"{x}-{level}"
+    rows = all_segments(pieces, level)
     keys = rows.groupBy("key").agg(F.count("*").alias("n"), F.max("again").alias("again")).where("n > 1 or again").select("key")
-    keys = shared.save(keys, "keys")
+    keys = shared.save(keys, name("keys"))
     shared.release()
-    cand = shared.save(rows.join(keys, "key"), "segments")
+    cand = shared.save(rows.join(keys, "key"), name("segments"))
     shared.release()
-    place = F.struct("id", "start")
+    place = F.struct("id", "start", *[by] * bool(level))
     reps = cand.groupBy("key", "hash").agg(F.count("*").alias("n"), F.min(place).alias("place"), F.max("windows").alias("windows"), F.max("again").alias("again"))
-    reps = shared.save(reps, "strings")
+    reps = shared.save(reps, name("strings"))
     copies = reps.where("n > 1").select("key", "hash", "place")
     same = cand.join(copies, ["key", "hash"]).where(place != F.col("place")).select("id", "start", F.col("windows").cast("int").alias("windows"))
-    same = shared.save(same, "same")
+    found = shared.save(same, name("same"))
     differing = reps.groupBy("key").agg(F.count("*").alias("m"), F.max("again").alias("a")).where("m > 1 or a").select("key", (F.col("m") > MANY).alias("many"))
-    differing = shared.save(differing, "differing")
-    cuts = reps.join(differing, "key").select(F.col("place.id").alias("id"), "many", F.struct("key", F.col("place.start").alias("start"), F.col("windows").cast("int").alias("windows")).alias("cut"))
-    wanted = shared.save(cuts.groupBy("id", "many").agg(F.collect_list("cut").alias("cuts")), "wanted")
+    differing = shared.save(differing, name("differing"))
+    cuts = reps.join(differing, "key").select(F.col(f"place.{by}").alias(by), "many", F.struct("key", F.col("place.start").alias("start"), F.col("windows").cast("int").alias("windows")).alias("cut"))
+    wanted = shared.save(cuts.groupBy(by, "many").agg(F.collect_list("cut").alias("cuts")), name("wanted"))
     shared.release()
-    merged = shared.save(merge_groups(cut_out(docs, wanted.where("not many").drop("many"))), "merged")
+    found = found.unionAll(shared.save(merge_groups(cut_out(pieces, wanted.where("not many").drop("many"), by)), name("merged")))
     if wanted.where("many").limit(1).count():
-        merged = merged.unionAll(shared.save(crowded(docs, wanted.where("many").drop("many")), "crowded"))
-    for name in ("keys", "segments", "strings", "differing", "wanted"):
-        shared.drop(name)
+        strings = cut_out(pieces, wanted.where("many").drop("many"), by)
+        if level < LEVELS:
+            strings = shared.save(strings.select("id", F.col("bytes").alias("text"), F.col("start").alias("base")).withColumn("piece", F.monotonically_increasing_id()), name("crowded"))
+            found = found.unionAll(repeated_windows(strings, shared, level + 1))
+        else:
+            found = found.unionAll(shared.save(window_repeats(strings), name("windows")))
+    for x in ("keys", "segments", "strings", "differing", "wanted", "crowded"):
+        shared.drop(name(x))
     shared.release()
-    return same.unionAll(merged)
+    return found
 
 
 def dedup_substrings(docs: DataFrame, shared: Shared) -> DataFrame:

@@ -88,9 +88,10 @@ def brute(rows):
     return out
 
 
-@pytest.mark.parametrize(("many", "piece"), [(1024, 1 << 20), (1, 300)])
-def test_removed_bytes(spark, shared, monkeypatch, many, piece):
+@pytest.mark.parametrize(("many", "piece", "levels"), [(1024, 1 << 20, 1), (1, 300, 1), (3, 1 << 20, 2), (1, 1 << 20, 0)])
+def test_removed_bytes(spark, shared, monkeypatch, many, piece, levels):
     monkeypatch.setattr(suffix_array_dedup, "MANY", many)
+    monkeypatch.setattr(suffix_array_dedup, "LEVELS", levels)
     monkeypatch.setattr(suffix_array_dedup, "PIECE", piece)
     rows = [(d, t) for d, t, _ in edge.texts() if d is not None]
     rows += [(60 + i, edge.edited(edge.BASE, 40 + i, 0.03)) for i in range(12)] + [(80, "pre " + edge.BASE[:150] + " post"), (81, edge.BASE[:99]), (82, edge.BASE[:100])]
