@@ -28,10 +28,10 @@ the first by count, ties by the word, however the texts are partitioned.  The mo
 ``STATES * (HEAD + SHAPES)`` numbers, whatever the corpus.
 
 Defined cases: null or empty texts hold the end token only; repeated rows each get the same
-score and each count in training; rows that share a doc_id but differ in text are told apart
-by a text hash; null doc_ids hash as the empty string; a very long text takes its steps in
-stretches of ``PLACES`` tokens, whole; other columns are not looked at; without training texts all counts are
-zero and the states uniform; an empty table gives an empty result.
+score and each count in training; rows that share a doc_id but differ in text each get their
+own; null doc_ids hash as the empty string; a very long text takes its steps in stretches of
+``PLACES`` tokens, whole; other columns are not looked at; without training texts all counts
+are zero and the states uniform; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -215,12 +215,8 @@ def word_counts(train: DataFrame) -> DataFrame:
     def count(batches):
         from collections import Counter
 
-        import xxhash
-
         def rows():
-            words = list(seen)
-            hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(hashes), pa.array([shape(w) for w in words], pa.int16()), pa.array(list(seen.values()), pa.int64())], names=["word", "hash", "shape", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
         seen: Counter[bytes] = Counter()
         for batch in batches:
@@ -231,7 +227,9 @@ def word_counts(train: DataFrame) -> DataFrame:
                     seen.clear()
         yield rows()
 
-    return map_arrow(train.select("text"), count, "word binary, hash long, shape short, n long").groupBy("word", "hash", "shape").agg(F.sum("n").alias("c"))
+    counts = map_arrow(train.select("text"), count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
+    ending = F.concat(F.substring("word", -3, 3), F.when(F.length("word") > 8, F.lit(b"+")).otherwise(F.lit(b"")))
+    return counts.select("word", F.xxhash64("word").alias("hash"), (F.crc32(ending) % SHAPES).cast("short").alias("shape"), "c")
 
 
 def frequent_words(counts: DataFrame, most: int = HEAD) -> list[tuple[bytes, int]]:
@@ -240,7 +238,7 @@ def frequent_words(counts: DataFrame, most: int = HEAD) -> list[tuple[bytes, int
 
 
 def encoded(docs: DataFrame, head: list[bytes]) -> DataFrame:
-    """(doc_id, key, held_out, tokens, classes, hashes, times): classes holds two bytes a token; hashes and times the rare words."""
+    """(doc_id, key, held_out, tokens, classes, hashes, times, row): classes holds two bytes a token; hashes and times the rare words; row numbers the rows once they are saved."""
     sent = docs.sparkSession.sparkContext.broadcast(head)
 
     def encode(batches):
@@ -256,12 +254,12 @@ def encoded(docs: DataFrame, head: list[bytes]) -> DataFrame:
                 each = Counter(words)
                 made.append(np.array(names.numbers(words, each), np.uint16).tobytes())
                 rare = [w for w in each if w not in names.head]
-                hashes.append(np.array([xxhash.xxh3_64_intdigest(w) for w in rare], np.uint64).view(np.int64))
+                hashes.append(np.array([xxhash.xxh64_intdigest(w, 42) for w in rare], np.uint64).view(np.int64))
                 times.append(np.array([each[w] for w in rare], np.int32))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(m) // 2 for m in made], pa.int64()), pa.array(made, pa.binary()), pa.array(hashes, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32()))], names=["doc_id", "key", "held_out", "tokens", "classes", "hashes", "times"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return map_arrow(docs.select("doc_id", "key", "held_out", "text"), encode, f"doc_id {kind}, key long, held_out boolean, tokens long, classes binary, hashes array<long>, times array<int>")
+    return map_arrow(docs.select("doc_id", "key", "held_out", "text"), encode, f"doc_id {kind}, key long, held_out boolean, tokens long, classes binary, hashes array<long>, times array<int>").withColumn("row", F.monotonically_increasing_id())
 
 
 def baum_welch_round(coded: DataFrame, model: Model) -> tuple[Model, float]:
@@ -321,7 +319,7 @@ def score_texts(docs: DataFrame, shared: Shared, rounds: int | None = None) -> D
     classes = len(words) + 1 + SHAPES
 
     # rare words: their counts are summed back to documents
-    rare = coded.select("doc_id", "key", F.inline(F.arrays_zip("hashes", "times"))).withColumnRenamed("hashes", "hash")
+    rare = coded.select("row", F.inline(F.arrays_zip("hashes", "times"))).withColumnRenamed("hashes", "hash")
     last = head[-1] if head else (b"", 0)
     counts = counted.where((F.col("c") < last[1]) | (F.col("c") == last[1]) & (F.col("word") > F.lit(bytearray(last[0]))))
     by_shape = {r["shape"]: (r.c, r.d) for r in counts.groupBy("shape").agg(F.sum("c").alias("c"), F.count("*").alias("d")).collect()}
@@ -355,21 +353,19 @@ def score_texts(docs: DataFrame, shared: Shared, rounds: int | None = None) -> D
             for i, t in enumerate(texts):
                 got[i, 0] += each_inside[t].sum()
                 got[i, 1], got[i, 2] = each_base[t].sum(), sure[t].sum()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(got[:, 2].astype(np.int64)), pa.array(got[:, 1]), pa.array(got[:, 0])], names=["doc_id", "key", "held_out", "n_tokens", "n_head", "base_part", "score_part"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(got[:, 2].astype(np.int64)), pa.array(got[:, 1]), pa.array(got[:, 0])], names=["doc_id", "row", "held_out", "n_tokens", "n_head", "base_part", "score_part"])
 
     kind = dict(coded.dtypes)["doc_id"]
-    parts = map_arrow(coded.select("doc_id", "key", "held_out", "tokens", "classes"), rate, f"doc_id {kind}, key long, held_out boolean, n_tokens long, n_head long, base_part double, score_part double", TOGETHER)
+    parts = map_arrow(coded.select("doc_id", "row", "held_out", "tokens", "classes"), rate, f"doc_id {kind}, row long, held_out boolean, n_tokens long, n_head long, base_part double, score_part double", TOGETHER)
     joined = rare.join(counts.groupBy("hash").agg(F.sum("c").alias("c")), "hash", "left")
     c = F.coalesce("c", F.lit(0))
-    # a rare word's own part; repeated rows of one document repeat it, so it is taken per row
-    sums = joined.groupBy("doc_id", "key").agg(F.sum(F.col("times") * F.log10(c + 0.5)).alias("rare_part"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("n_rare"))
+    sums = joined.groupBy("row").agg(F.sum(F.col("times") * F.log10(c + 0.5)).alias("rare_part"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("n_rare"))
     sums = shared.save(sums, "sums")
+    shared.drop("counts")
     shared.release()
-    rows = shared.save(coded.groupBy("doc_id", "key").agg(F.count("*").alias("rows")).where("rows > 1"), "repeats")
-    sums = sums.alias("s").join(rows.alias("r"), F.col("s.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("s.key") == F.col("r.key")), "left").select(F.col("s.doc_id").alias("_id"), F.col("s.key").alias("_k"), (F.col("rare_part") / F.coalesce("rows", F.lit(1))).alias("rare_part"), (F.col("n_rare") / F.coalesce("rows", F.lit(1))).cast("long").alias("n_rare"))
-    out = parts.join(sums, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_k")), "left")
+    out = parts.join(sums, "row", "left")
     extra = F.coalesce("rare_part", F.lit(0.0))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_head") + F.coalesce("n_rare", F.lit(0))).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), (F.col("base_part") + extra).alias("base_score"), (F.col("score_part") + extra).alias("score"))
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_head") + F.coalesce("n_rare", F.lit(0))).cast("long").alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), (F.col("base_part") + extra).alias("base_score"), (F.col("score_part") + extra).alias("score"))
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
