@@ -51,9 +51,6 @@ class Shared:
         """Lets Spark's cleaner delete the shuffle files of finished jobs now; it does so when the driver's garbage is collected, else whenever that is."""
         self.spark._jvm.System.gc()
 
-    def drop_all(self) -> None:
-        self._fs().delete(self._path(self.root), True)
-
 
 def utf8(text: Column | str) -> Column:
     """The text as UTF-8 bytes, null as none."""

@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Shared, map_arrow, read, utf8
-from .components import components, relabelled
+from .components import relabelled
 from .shingles import alike, mixed, shingle_set
 
 ROWS, BANDS = 6, 64

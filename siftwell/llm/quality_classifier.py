@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Shared, crc_bucket, map_arrow, read, utf8
-from .text_stats import NOT_DIGIT, NOT_LETTER, NOT_UPPER, SYMBOLS, WHITE, base_counts, kept
+from .text_stats import NOT_DIGIT, NOT_LETTER, NOT_UPPER, WHITE, base_counts, kept
 
 STATS = ("words", "word_length", "distinct", "symbols", "upper", "digits", "exclaims", "pipes", "beyond_ascii", "dup_lines", "repeats", "stutters", "line_words", "ends", "commas", "top_word", "entropy", "white")
 FEATURES, SEED, RIDGE, SPREAD, BINS, PARTS = 192, 7, 1.0, 0.15, 1024, 32

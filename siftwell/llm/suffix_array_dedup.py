@@ -51,6 +51,7 @@ from .shingles import mixed, prefix_sums, stretch_hashes
 LENGTH, GRAM = 100, 32
 #: Windows of a segment at most, and of a piece of a long text that is worked on at once.
 RUN, PIECE = 128, 1 << 20
+#: Different strings of a key that a merge takes, times that crowded keys are cut anew, bytes of a merge and of a shard.
 MANY, LEVELS, MERGE_BYTES, SHARD_BYTES = 1024, 1, 1 << 17, 1 << 15
 NULL_ID = -(1 << 63)
 
