@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.functions import correlation, is_numeric, missing, number, present, text_of
+from siftwell.functions import correlation, missing, number, present, text_of
 from siftwell.operators.profile import kinds, numeric_columns, per_column
 from siftwell.operators.quantiles import nth_smallest
 

@@ -15,7 +15,6 @@ from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from siftwell.functions import payload_hash
 from siftwell.plans import decide
