@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import benchmark_decontamination, chat_formatting, curriculum_mixing, line_dedup, lm_scoring, minhash_near_dedup, quality_classifier, quality_rules, suffix_array_dedup, token_counts
+from . import benchmark_decontamination, chat_formatting, curriculum_mixing, hard_negatives, line_dedup, lm_scoring, merkle_manifest, minhash_near_dedup, quality_classifier, quality_rules, suffix_array_dedup, token_counts, token_output
 from .common import WORD, Shared, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,6 +21,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_curriculum_mixing": curriculum_mixing.op8_curriculum_mixing,
     "op9_minhash_near_dedup": minhash_near_dedup.op9_minhash_near_dedup,
     "op10_token_counts": token_counts.op10_token_counts,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_merkle_manifest": merkle_manifest.op12_merkle_manifest,
+    "op13_token_output": token_output.op13_token_output,
 }
 
 
@@ -56,4 +59,6 @@ SELECT CAST(x AS BIGINT) AS n_tokens, n AS n_docs, CAST(docs_from AS BIGINT) AS
     "op5_line_dedup": line_dedup.ORACLE,
     "op6_benchmark_decontamination": benchmark_decontamination.ORACLE,
     "op8_curriculum_mixing": curriculum_mixing.ORACLE,
+    "op11_hard_negatives": hard_negatives.ORACLE,
+    "op12_merkle_manifest": merkle_manifest.ORACLE,
 }
