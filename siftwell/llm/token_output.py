@@ -22,6 +22,7 @@ ignored, whatever their names.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import zlib
 from collections.abc import Callable
@@ -35,8 +36,8 @@ from pyspark.sql import functions as F
 from .common import Shared, map_arrow, read, utf8
 
 END = 0
-#: Words that a Python worker keeps encoded, about 100 MB.
-KEPT_WORDS = 1 << 18
+#: Pieces that a Python worker keeps encoded, about 120 MB.
+KEPT_WORDS = 1 << 19
 #: The split rule of byte-level tokenizers, a fixed value: letters, digits, other signs and white space apart.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes that four numbers take, by their control byte, and where each begins.
@@ -57,62 +58,86 @@ def vocabulary(path: str | None = None) -> str:
         return f.read()
 
 
+class Pieces(dict):
+    """Encoded pieces of texts, made when first asked for.
+
+    At most ``KEPT_WORDS`` are held: when half as many are new, the older half goes, but
+    pieces still in use are taken over when they are asked for again.
+    """
+
+    def __init__(self, make: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        if 2 * len(self) >= KEPT_WORDS:
+            self.older = dict(self)
+            self.clear()
+        found = self.older.get(piece)
+        if found is None:
+            found = self.make(piece)
+        self[piece] = found
+        return found
+
+
+def alphabet() -> dict[int, str]:
+    """The sign that byte-level tokenizers write for each byte: visible ones are themselves, the others follow from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 @functools.lru_cache(maxsize=1)
-def encoder(spec: str) -> Callable[[list[str]], list[np.ndarray]]:
-    """Texts to ids, made once in a Python worker.
+def encoder(spec: str, kind: str) -> Callable[[str], bytes]:
+    """From a text to its ids as bytes of an integer type, made once in a Python worker.
 
     Byte-level tokenizers split texts by a fixed pattern and encode each piece by itself, so
     pieces are encoded once and kept; texts that hold a special token, and all texts of other
     tokenizers, are encoded whole.
     """
-    import json
-
     import regex
     from tokenizers import Tokenizer
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     made, said = Tokenizer.from_str(spec), json.loads(spec)
     split = said.get("pre_tokenizer") or {}
     apart = said.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
-    whole = lambda texts: [np.array(e.ids, np.uint32) for e in made.encode_batch(texts, add_special_tokens=False)]
+    whole = lambda text: np.array(made.encode(text, add_special_tokens=False).ids, kind).tobytes()
     if not apart:
         return whole
-    pieces, special = regex.compile(PATTERN).findall, [t["content"] for t in said.get("added_tokens", [])]
-    kept: dict[str, bytes] = {}
+    signs, model = alphabet(), made.model
+    held = Pieces(lambda piece: np.array([t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(signs))], kind).tobytes())
+    pieces, ids, special = regex.compile(PATTERN).findall, held.__getitem__, [t["content"] for t in said.get("added_tokens", [])]
+    return lambda text: whole(text) if any(t in text for t in special) else b"".join(map(ids, pieces(text)))
 
-    def encode(texts: list[str]) -> list[np.ndarray]:
-        found = [None if any(t in text for t in special) else pieces(text) for text in texts]
-        new = list({w for words in found if words for w in words if w not in kept})
-        if len(kept) + len(new) > KEPT_WORDS:
-            kept.clear()
-            new = list({w for words in found if words for w in words})
-        kept.update(zip(new, (x.astype("<u4").tobytes() for x in whole(new)), strict=True))
-        return [np.frombuffer(b"".join([kept[w] for w in words]), "<u4") if words is not None else whole([text])[0] for text, words in zip(texts, found, strict=True)]
 
-    return encode
+def id_type(spec: str) -> str:
+    """The least integer type that holds every id."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if max(Tokenizer.from_str(spec).get_vocab().values()) < 1 << 16 else "<u4"
 
 
-def encoded(docs: DataFrame, spec: str) -> DataFrame:
-    """(doc_id, ids): the text's ids and the end id, as little-endian integers of 32 bits."""
-    sent = docs.sparkSession.sparkContext.broadcast(spec)
+def encoded(docs: DataFrame, spec: str, kind: str) -> DataFrame:
+    """(doc_id, ids): the text's ids and the end id, as integers of type ``kind``."""
+    sent, end = docs.sparkSession.sparkContext.broadcast(spec), np.array([END], kind).tobytes()
 
     def work(batches):
-        encode = encoder(sent.value)
+        encode = encoder(sent.value, kind)
         for batch in batches:
-            ids = encode([t.decode("utf-8", "replace") for t in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.append(x, np.uint32(END)).astype("<u4").tobytes() for x in ids], pa.binary())], names=["doc_id", "ids"])
+            ids = [encode(t.decode("utf-8", "replace")) + end for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
-    kind = dict(docs.select("doc_id").dtypes)["doc_id"]
-    return map_arrow(docs.select("doc_id", utf8("text").alias("text")), work, f"doc_id {kind}, ids binary")
+    doc = dict(docs.select("doc_id").dtypes)["doc_id"]
+    return map_arrow(docs.select("doc_id", utf8("text").alias("text")), work, f"doc_id {doc}, ids binary")
 
 
-def frequencies(coded: DataFrame) -> DataFrame:
+def frequencies(coded: DataFrame, kind: str) -> DataFrame:
     """(id, n): how often each id occurs."""
 
     def count(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            n = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4"))
+            n = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), kind))
             if len(n) > len(total):
                 total = np.concatenate([total, np.zeros(len(n) - len(total), np.int64)])
             total[: len(n)] += n
@@ -130,7 +155,8 @@ def pack(numbers: np.ndarray) -> tuple[bytes, bytes]:
     padded[: len(numbers)] = sizes - 1
     quads = padded.reshape(-1, 4)
     control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
-    held = numbers.view(np.uint8).reshape(-1, 4)[np.arange(4) < sizes[:, None]]
+    top = int(sizes.max(initial=1))
+    held = numbers.view(np.uint8).reshape(-1, 4)[:, :top][np.arange(top) < sizes[:, None]]
     return control.astype(np.uint8).tobytes(), held.tobytes()
 
 
@@ -139,10 +165,10 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
     c = np.frombuffer(control, np.uint8)
     at = (np.cumsum(TOTALS[c]) - TOTALS[c])[:, None] + STARTS[c]
     # padding numbers of the last control byte read zeros behind the data
-    held = np.frombuffer(data + b"\0" * 8, np.uint8)
+    held = np.frombuffer(data + b"\0" * 4, np.uint8)
     at, size = at.reshape(-1)[:count], SIZES[c].reshape(-1)[:count]
     words = held[at].astype(np.uint32)
-    for k in (1, 2, 3):
+    for k in range(1, size.max(initial=1)):
         words |= held[at + k].astype(np.uint32) << np.uint32(8 * k)
     return words & MASKS[size - 1]
 
@@ -150,9 +176,11 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
 def write_tokens(docs: DataFrame, shared: Shared, name: str = "tokens", tokenizer: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Writes documents' token files; gives them as tables: (files, ranks, parts)."""
     spark = docs.sparkSession
-    coded = shared.save(encoded(docs, vocabulary(tokenizer)), f"{name}-coded")
+    spec = vocabulary(tokenizer)
+    kind = id_type(spec)
+    coded = shared.save(encoded(docs, spec, kind), f"{name}-coded")
     # a row an id of the vocabulary
-    counts = frequencies(coded).collect()
+    counts = frequencies(coded, kind).collect()
     order = [r.id for r in sorted(counts, key=lambda r: (-r.n, r.id))]
     ranks = shared.save(spark.createDataFrame(list(enumerate(order)), "rank long, id long"), f"{name}-ranks")
     table = np.zeros(max(order, default=0) + 1, np.uint32)
@@ -162,7 +190,7 @@ def write_tokens(docs: DataFrame, shared: Shared, name: str = "tokens", tokenize
     def work(batches):
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
-            coded_ids = [np.frombuffer(x, "<u4") for x in batch.column(1).to_pylist()]
+            coded_ids = [np.frombuffer(x, kind) for x in batch.column(1).to_pylist()]
             streams = [pack(sent.value[ids]) for ids in coded_ids]
             sizes = np.array([len(x) for x in coded_ids], np.int64)
             places = at + np.cumsum(sizes) - sizes
@@ -172,8 +200,8 @@ def write_tokens(docs: DataFrame, shared: Shared, name: str = "tokens", tokenize
     keys = [F.col("doc_id").asc_nulls_first(), F.col("_hash"), F.col("_row")]
     rows = coded.withColumn("_hash", F.xxhash64("ids")).withColumn("_row", F.monotonically_increasing_id())
     rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "ids")
-    kind = dict(rows.dtypes)["doc_id"]
-    files = shared.save(map_arrow(rows, work, f"doc_id {kind}, part int, at long, n_tokens long, control binary, data binary"), name)
+    doc = dict(rows.dtypes)["doc_id"]
+    files = shared.save(map_arrow(rows, work, f"doc_id {doc}, part int, at long, n_tokens long, control binary, data binary"), name)
     shared.drop(f"{name}-coded")
     # a row a part of the files
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

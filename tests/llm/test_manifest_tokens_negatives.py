@@ -133,12 +133,17 @@ def test_files_hold_every_documents_ids(spark, shared, edges):
     assert [r.id for r in ranks.orderBy("rank").collect()] == sorted(counts, key=lambda i: (-counts[i], i))
 
 
-def test_words_kept_by_a_worker_are_bounded(monkeypatch):
-    monkeypatch.setattr(token_output, "KEPT_WORDS", 5)
+def test_pieces_kept_by_a_worker_are_bounded(monkeypatch):
+    monkeypatch.setattr(token_output, "KEPT_WORDS", 10)
     token_output.encoder.cache_clear()
-    encode, texts = token_output.encoder(token_output.vocabulary()), [edge.prose(i, 40) for i in range(8)]
-    assert [x.tolist() for t in texts for x in encode([t])] == [plain_ids(t)[:-1] for t in texts]
+    encode = token_output.encoder(token_output.vocabulary(), "<u4")
+    for text in [*(edge.prose(i, 40) for i in range(8)), "", "\x1c \x85\u3000x ²½ 'll'LL don't\r\n \t", "🙂漢字ß é", "<|endoftext|>a"]:
+        assert np.frombuffer(encode(text), "<u4").tolist() == plain_ids(text)[:-1]
     token_output.encoder.cache_clear()
+    held = token_output.Pieces(str.encode)
+    for i in range(100):
+        assert held[str(i % 17)] == str(i % 17).encode()
+        assert len(held) + len(held.older) <= 10
 
 
 def test_no_documents_no_tokens(spark, shared):
