@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwell.sources.ranges import Ranged, list_files
+
 SCHEMA = "file_type string, confidence double, reason string, details map<string,string>"
 
 # Signatures and suffixes of formats, with the confidence of each.
@@ -72,9 +74,10 @@ def parses(text: str) -> bool:
     return True
 
 
-def zip_kind(data: bytes, suffix: str) -> Detection:
+def zip_kind(file: io.IOBase, suffix: str) -> Detection:
+    """The format of an archive, from its directory alone."""
     try:
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
+        with zipfile.ZipFile(file) as z:
             names = [n for n in z.namelist() if not n.endswith("/")]
     except (zipfile.BadZipFile, OSError):
         names = []
@@ -87,8 +90,9 @@ def zip_kind(data: bytes, suffix: str) -> Detection:
     return Detection("zip", 0.9, "archive")
 
 
-def json_lines(text: str) -> bool:
-    lines = solid_lines(text, 20)
+def json_lines(text: str, whole: bool = True) -> bool:
+    """Whether at least four in five of the first lines are JSON; a line that is cut off doesn't count."""
+    lines = solid_lines(text if whole else text[: text.rfind("\n") + 1], 20)
     if len(lines) < 2:
         return False
     return sum(map(parses, lines)) >= max(2, int(0.8 * len(lines)))
@@ -166,14 +170,14 @@ def key_values(text: str) -> bool:
     return len(lines) >= 3 and sum(bool(KEY_VALUE.match(x)) for x in lines) >= 0.6 * len(lines)
 
 
-def detect(name: str, data: bytes, whole: bool = True) -> Detection:
-    """The format of data, the first bytes of the file ``name`` (all of them if whole)."""
+def detect(name: str, data: bytes, whole: bool = True, file: io.IOBase | None = None) -> Detection:
+    """The format of data, the first bytes of the file ``name`` (all of them if whole); file: where more can be read."""
     suffix = suffix_of(name)
     for kind, sure, magic, suffixes in MAGIC:
         if data.startswith(magic) or suffix in suffixes:
             return Detection(kind, sure, "signature" if data.startswith(magic) else "suffix")
     if data.startswith(b"PK") or suffix in (".zip", ".npz"):
-        return zip_kind(data, suffix)
+        return zip_kind(file or io.BytesIO(data), suffix)
     if suffix in EXCEL:
         return Detection("xlsx", 0.9, "suffix")
     if b"\x00" in data or data and len(data.translate(None, PRINTABLE)) > 0.3 * len(data):
@@ -182,14 +186,16 @@ def detect(name: str, data: bytes, whole: bool = True) -> Detection:
     text = data.decode("utf-8", "replace")
     head = text.lstrip()
     lowered = head[:2048].lower()
-    if suffix in (".jsonl", ".ndjson") and json_lines(text):
+    if suffix in (".jsonl", ".ndjson") and json_lines(text, whole):
         return Detection("jsonl", 0.95, "lines of JSON and suffix")
     if head[:1] in ("{", "[") or suffix == ".json":
-        # a cut file can't parse whole; it counts if it starts like JSON and has the suffix
-        if parses(text) or not whole and suffix == ".json" and head[:1] in ("{", "["):
+        if parses(text):
             return Detection("json", 0.95 if suffix == ".json" else 0.85, "parses as JSON")
-    if json_lines(text):
+    if json_lines(text, whole):
         return Detection("jsonl", 0.85, "lines of JSON")
+    if not whole and suffix == ".json" and head[:1] in ("{", "["):
+        # a cut value can't parse; it is no lines of JSON, starts like JSON and has the suffix
+        return Detection("json", 0.95, "starts as JSON")
     if suffix in (".yaml", ".yml") and yaml_loads(text):
         return Detection("yaml", 0.95, "parses as YAML, and suffix")
     if looks_like_yaml(text) and yaml_loads(text):
@@ -229,15 +235,20 @@ def detected(rows: DataFrame, name: Column, data: Column, sniff: int | None) ->
     return sent.mapInArrow(look, schema)
 
 
-def list_files(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """(path, length, content) of a file or of the files of a folder."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path).select("path", "length", "content")
-
-
 def detect_files(spark: SparkSession, path: str, recursive: bool = False, sniff: int = 256 * 1024) -> DataFrame:
-    """(path, length, file_type, confidence, reason, details), ordered by path."""
-    files = list_files(spark, path, recursive)
-    return detected(files, F.col("path"), F.col("content"), sniff).drop("content").orderBy("path")
+    """(path, length, file_type, confidence, reason, details, n_read), ordered by path; n_read: the bytes that were read to tell."""
+
+    def look(batches):
+        for batch in batches:
+            found, reads = [], []
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                with Ranged(name, data) as file:
+                    found.append(detect(name, file.range(0, sniff), file.size <= sniff, file))
+                    reads.append(file.n_read)
+            made = [pa.array([g.file_type for g in found], pa.string()), pa.array([g.confidence for g in found], pa.float64()), pa.array([g.reason for g in found], pa.string()), pa.array([list(g.details.items()) for g in found], pa.map_(pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made, pa.array(reads, pa.int64())], names=["path", "length", "file_type", "confidence", "reason", "details", "n_read"])
+
+    return list_files(spark, path, recursive).mapInArrow(look, f"path string, length long, {SCHEMA}, n_read long").orderBy("path")
 
 
 def detect_column(df: DataFrame, text: str, name: Column | None = None, sniff: int | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ and their members summarised the same way, down to two levels.
 from __future__ import annotations
 
 import configparser
+import contextlib
 import csv
 import io
 import json
@@ -22,10 +23,12 @@ import numpy as np
 from siftwell.context import Options
 from siftwell.sources import readers
 from siftwell.sources.detect import Detection, detect, yaml_value
+from siftwell.sources.ranges import Ranged
 
 PAIR = re.compile(r"^\s*([A-Za-z0-9_.\-]+)\s*[:=]\s*(.+?)\s*$")
 LEVELS = 2
 Summary = tuple[dict[str, Any], list[str]]
+Source = bytes | Ranged
 
 
 def clip(text: str, most: int) -> str:
@@ -162,7 +165,7 @@ def of_html(data: bytes, found: Detection, options: Options) -> Summary:
     return {"format": "html", "table_tag_count": starts, "tables": shown}, []
 
 
-def of_xlsx(data: bytes, found: Detection, options: Options) -> Summary:
+def of_xlsx(data: Source, found: Detection, options: Options) -> Summary:
     sheets = readers.xlsx_sheets(data)
     shown = []
     for name, rows in sheets[:20]:
@@ -172,9 +175,9 @@ def of_xlsx(data: bytes, found: Detection, options: Options) -> Summary:
     return {"format": "xlsx", "sheet_count": len(sheets), "sheets": shown}, []
 
 
-def of_sqlite(data: bytes, found: Detection, options: Options) -> Summary:
+def of_sqlite(data: Source, found: Detection, options: Options) -> Summary:
     con, held = readers.sqlite_open(data)
-    try:
+    with held, contextlib.closing(con):
         out = []
         for name, kind in con.execute("SELECT name, type FROM sqlite_master WHERE type IN ('table', 'view') ORDER BY type, name").fetchall():
             info = con.execute(f"PRAGMA table_info({readers.quoted(name)})").fetchall()
@@ -184,9 +187,6 @@ def of_sqlite(data: bytes, found: Detection, options: Options) -> Summary:
                 item["sample_rows"] = [dict(zip([c[1] for c in info], map(readers.plain, r), strict=False)) for r in con.execute(f"SELECT * FROM {readers.quoted(name)} LIMIT {int(options.preview_rows)}")]
             out.append(item)
         return {"format": "sqlite", "objects": out}, []
-    finally:
-        con.close()
-        held.close()
 
 
 def npy_head(data: bytes) -> dict[str, Any]:
@@ -198,9 +198,9 @@ def npy_head(data: bytes) -> dict[str, Any]:
     return {"dtype": dtype.str, "shape": list(shape), "fortran_order": fortran, "itemsize": dtype.itemsize, "estimated_nbytes": int(np.prod(shape, dtype=np.int64)) * dtype.itemsize, "version": f"{version[0]}.{version[1]}"}
 
 
-def of_npz(data: bytes, found: Detection, options: Options) -> Summary:
+def of_npz(data: Source, found: Detection, options: Options) -> Summary:
     arrays, notes = [], []
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
+    with zipfile.ZipFile(readers.as_file(data)) as z:
         for info in z.infolist():
             if info.filename.endswith(".npy"):
                 with z.open(info) as f:
@@ -227,7 +227,7 @@ def of_binary(data: bytes, found: Detection, options: Options) -> Summary:
     return {"format": found.file_type, "size": len(data), "hex_preview": data[:96].hex(" "), "ascii_preview": shown}, ["Pickles are never opened."] if found.file_type == "pickle" else []
 
 
-def of_container(name: str, data: bytes, found: Detection, options: Options, level: int) -> Summary:
+def of_container(name: str, data: Source, found: Detection, options: Options, level: int) -> Summary:
     members = []
     for inner, content in readers.unpacked(name, data, options.load_bytes, options.archive_members):
         kind = detect(inner, content[: options.sniff_bytes], len(content) <= options.sniff_bytes)
@@ -235,7 +235,7 @@ def of_container(name: str, data: bytes, found: Detection, options: Options, lev
         members.append({"name": inner, "file_type": kind.file_type, "confidence": kind.confidence, "summary": summary, "warnings": notes})
     out: dict[str, Any] = {"format": found.file_type, "members": members}
     if found.file_type == "zip":
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
+        with zipfile.ZipFile(readers.as_file(data)) as z:
             entries = z.infolist()
         files = [e for e in entries if not e.is_dir()]
         if len(members) < len(files):
@@ -256,34 +256,49 @@ MAKERS: dict[str, Callable[[bytes, Detection, Options], Summary]] = {
 CONTAINERS = ("zip", "gzip", "bzip2")
 
 
-def summarise(name: str, data: bytes, found: Detection, options: Options, level: int = 0) -> Summary:
-    """(summary, warnings); a file that can't be read gives a warning, never an error."""
-    notes = []
-    if len(data) > options.load_bytes and found.file_type not in ("sqlite", "npz", "xlsx", *CONTAINERS):
-        data = data[: options.load_bytes]
-        notes.append(f"The first {options.load_bytes} bytes were read.")
+#: Formats whose inspectors read ranges of their own.
+RANGED = ("sqlite", "npz", "xlsx", *CONTAINERS)
+DELIMITED = ("csv", "tsv", "delimited")
+
+
+def summarise(name: str, data: Source, found: Detection, options: Options, level: int = 0) -> Summary:
+    """(summary, warnings) from bytes, or from ranges of a file; a file that can't be read gives a warning, never an error."""
+    notes, size = [], len(data) if isinstance(data, bytes) else data.size
     try:
         if found.file_type in CONTAINERS:
             summary, more = of_container(name, data, found, options, level) if level < LEVELS else ({"format": found.file_type}, ["Nested too deeply."])
+        elif found.file_type in RANGED:
+            summary, more = MAKERS[found.file_type](data, found, options)
         else:
-            summary, more = MAKERS.get(found.file_type, of_binary)(data, found, options)
+            most = options.sniff_bytes if found.file_type in DELIMITED else options.load_bytes
+            held = data[:most] if isinstance(data, bytes) else data.range(0, most)
+            if size > len(held):
+                notes.append(f"The first {len(held)} bytes were read.")
+                if found.file_type in DELIMITED:
+                    held = held[: held.rfind(b"\n") + 1]
+            summary, more = MAKERS.get(found.file_type, of_binary)(held, found, options)
+            if found.file_type in DELIMITED and held:
+                summary["approx_rows"] = round(summary["approx_rows"] * size / len(held))
+            summary |= {"size": size} if "size" in summary else {}
     except Exception as e:  # noqa: BLE001  files are untrusted; any parser may fail in any way
         return {"format": found.file_type}, [*notes, f"Inspection failed: {type(e).__name__}: {e}"]
     return summary, [*notes, *more]
 
 
 def summarise_files(files, options: Options = Options()):
-    """(path, file_type, confidence, reason, details, summary, warnings) of files (path, length, content); summary is JSON."""
+    """(path, file_type, confidence, reason, details, summary, warnings) of files (path, length, content); summary is JSON. Only ranges of files are read."""
     import pyarrow as pa
 
     def look(batches):
         for batch in batches:
             rows = []
-            for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = detect(path, data[: options.sniff_bytes], len(data) <= options.sniff_bytes)
-                summary, notes = summarise(path, data, found, options)
-                if found.file_type in ("csv", "tsv", "delimited"):
-                    found.details["quoted"] = str(b'"' in data).lower()
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with Ranged(path, content) as file:
+                    head = file.range(0, options.sniff_bytes)
+                    found = detect(path, head, file.size <= len(head), file)
+                    summary, notes = summarise(path, file, found, options)
+                if found.file_type in DELIMITED:
+                    found.details["quoted"] = str(b'"' in head).lower()
                 rows.append((path, found.file_type, found.confidence, found.reason, list(found.details.items()), json.dumps(summary, ensure_ascii=False, default=str), notes))
             kinds = (pa.string(), pa.string(), pa.float64(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.list_(pa.string()))
             names = ("path", "file_type", "confidence", "reason", "details", "summary", "warnings")
