@@ -346,6 +346,8 @@ def read_formats(spark: SparkSession, sf: str) -> DataFrame:
         found = structure.summarise_files(list_files(spark, path)).select("file_type", "details", "summary").orderBy("summary").first()
         files = f"{path}/*{dict(gzip='.gz', bzip2='.bz2').get(kind, '')}"
         df, _ = table_of(spark, files, found.file_type, dict(found.details or {}), Options(), json.loads(found.summary))
+        if df is None:
+            raise ValueError(f"{name}: files of type {found.file_type} hold no table")
         row = df.agg(F.lit(name).alias("written"), F.lit(found.file_type).alias("file_type"), F.count("*").alias("n_rows"), F.sum("p_partkey").cast("long").alias("keys"), F.sum("p_size").cast("long").alias("sizes"), F.round(F.sum("p_retailprice"), 2).alias("prices"), F.countDistinct("p_brand").alias("brands"), F.sum(F.length("note")).cast("long").alias("note_chars"))
         out = row if out is None else out.unionAll(row)
     return out
@@ -625,3 +627,6 @@ def event_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 ORACLES["event_windows"] = "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, event_type AS label, count(*) AS n, count(*) FILTER (value IS NULL OR isnan(value)) AS n_missing, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM events GROUP BY 1, 2, 3"
+
+
+from siftwell.plans import file_queries  # noqa: E402, F401  adds its queries to the tables above

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwell.sources import scratch
 from siftwell.sources.ranges import Ranged, by_range
 
 STEP = 16 * 1024 * 1024
@@ -37,6 +38,13 @@ def states_at_cuts(ends: DataFrame, first: int = 0) -> DataFrame:
     return listed.select("path", F.explode(F.aggregate("of", zero, step, lambda at: at["found"])).alias("f")).select("path", "f.start", "f.state")
 
 
+def kept(states: DataFrame) -> DataFrame:
+    """The states as a table in the shared folder, so that ranges are scanned once whatever reads the records."""
+    path = f"{scratch.new_folder(states.sparkSession)}/states"
+    states.write.parquet(path)
+    return states.sparkSession.read.schema(states.schema).parquet(path)
+
+
 # --- CSV
 
 #: States at a byte: a record begins, a field begins, in a bare field, in quotes, behind a quote that ends them or is the first of two.
@@ -185,7 +193,7 @@ def csv_records(files: DataFrame, delimiter: str, encoding: str = "utf-8", step:
             for at, record in made.records(file, start, stop, state):
                 yield 0 if at == head and (at == 0 or file.range(0, 3) == b"\xef\xbb\xbf") else at, record.removesuffix(b"\r")
 
-    return given(cuts.join(states_at_cuts(scanned(cuts, ends)), ["path", "start"]), work, encoding)
+    return given(cuts.join(kept(states_at_cuts(scanned(cuts, ends))), ["path", "start"]), work, encoding)
 
 
 def read_csv(spark: SparkSession, files: DataFrame, options: dict[str, str], encoding: str = "utf-8", step: int = STEP) -> DataFrame:
@@ -193,11 +201,16 @@ def read_csv(spark: SparkSession, files: DataFrame, options: dict[str, str], enc
 
     Spark infers the types and parses the records; only where records begin is found here."""
     options = options | {"header": "false", "multiLine": "true"}
-    records = csv_records(files, options["sep"], encoding, step)
-    heads = [r.value for r in records.where("at = 0").orderBy("path").limit(1).collect()]
-    if not heads or not heads[0]:
+    first = files.where("length > 0").orderBy("path").limit(1).collect()
+    head = ""
+    if first:
+        with Ranged(first[0].path) as file:
+            start, stop = without_mark(file, 0, file.size)
+            head = next((r for _, r in Csv(options["sep"]).records(file, start, min(stop, 65536), RECORD)), b"").removesuffix(b"\r").decode(encoding, "replace")
+    if not head:
         return spark.createDataFrame([], "value string").drop("value")
-    names = header(spark, heads[0], options)
+    records = csv_records(files, options["sep"], encoding, step)
+    names = header(spark, head, options)
     body = records.where("at > 0 and value <> ''").select("value")
     blank = spark.createDataFrame([(options["sep"] * (len(names) - 1),)], "value string")
     given_types = spark.read.options(**options)._jreader.csv(strings(blank.unionAll(body)))
@@ -302,7 +315,7 @@ def json_records(files: DataFrame, step: int = STEP) -> DataFrame:
     """(path, at, value): the objects in the outermost lists of JSON files (path, length); a row with ``at`` -1 says that something else is in one."""
     cuts = by_range(files, step)
     ends = scanned(cuts, lambda file, start, stop: json_ends(file.range(start, stop)))
-    return given(cuts.join(depths_at_cuts(ends), ["path", "start"]), json_objects)
+    return given(cuts.join(kept(depths_at_cuts(ends)), ["path", "start"]), json_objects)
 
 
 def read_json(spark: SparkSession, files: DataFrame, step: int = STEP) -> DataFrame | None:
