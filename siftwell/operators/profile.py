@@ -117,13 +117,17 @@ def value_distribution(df: DataFrame, target: str, limit: int = LIMIT) -> DataFr
     return df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.coalesce(F.stddev_pop(x), F.lit(0.0)).alias("std"), *[p.alias(n) for p, n in zip(parts, ("q01", "q50", "q99"), strict=True)], skewness(x).alias("skew"))
 
 
-def sample_size(df: DataFrame, target: str | None) -> DataFrame:
-    """(n_rows, d_features, n_over_d, regime, regularization)"""
-    d = len([c for c in df.columns if c != target])
-    ratio = F.count(F.lit(1)) / F.lit(max(1, d))
+def size_columns(rows: Column, features: int) -> list[Column]:
+    """n_rows, d_features, n_over_d, regime and regularization of so many rows."""
+    ratio = rows / F.lit(max(1, features))
     regime = F.when(ratio < 5, "low_data_high_d").when(ratio < 20, "moderate_data_medium_d").otherwise("data_adequate_for_many_models")
     weight = F.when(ratio < 5, "mandatory").when(ratio < 20, "recommended").otherwise("task_dependent")
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(d).cast("long").alias("d_features"), ratio.alias("n_over_d"), regime.alias("regime"), weight.alias("regularization"))
+    return [rows.alias("n_rows"), F.lit(features).cast("long").alias("d_features"), ratio.alias("n_over_d"), regime.alias("regime"), weight.alias("regularization")]
+
+
+def sample_size(df: DataFrame, target: str | None) -> DataFrame:
+    """(n_rows, d_features, n_over_d, regime, regularization)"""
+    return df.agg(*size_columns(F.count(F.lit(1)), len([c for c in df.columns if c != target])))
 
 
 def metric_imbalance(df: DataFrame, target: str) -> DataFrame:
@@ -132,29 +136,45 @@ def metric_imbalance(df: DataFrame, target: str) -> DataFrame:
     return class_counts(df, target, nulls=True).agg(F.count("*").alias("classes"), F.when(F.count("*") >= 2, F.min(n) / F.sum(n)).alias("imbalance"))
 
 
-def column_facts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column, kind, n_present, n_distinct, bool_like, whole, date_rate, label_like, mean_length): what typing and target choice need.
+def fact_columns(df: DataFrame, names: Sequence[str], texts: dict[str, Column] | None = None) -> dict[str, dict[str, Column]]:
+    """The aggregates behind column_facts, but for distinct counts. texts: where the columns' texts (text_of) stand ready.
 
-    Distinct counts are exact; one aggregate expands the rows once a column, with a partial
-    aggregate before the shuffle.
-    """
-    k = kinds(df)
-    names = list(columns or df.columns)
-    plain, distinct = {}, {}
+    Of numbers only whole ones can look like truth values, and none like lists of labels."""
+    k, plain = kinds(df), {}
     for c in names:
-        kind, value, text = k[c], present(c, k[c]), text_of(c, k[c])
-        nested = isinstance(kind, (T.ArrayType, T.StructType, T.MapType))
+        kind, value, text = k[c], present(c, k[c]), texts[c] if texts else text_of(c, k[c])
+        nested, dated = isinstance(kind, (T.ArrayType, T.StructType, T.MapType)), isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType))
         shown = F.when(value.isNotNull(), text)
-        x = number(c, kind) if is_numeric(kind) or isinstance(kind, T.StringType) else F.lit(None).cast("double")
-        date = F.lit(1.0) if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)) else F.avg(F.try_to_timestamp(value).isNotNull().cast("int")) if isinstance(kind, T.StringType) else F.lit(0.0)
+        if isinstance(kind, T.BooleanType):
+            truth = F.lit(True)
+        elif is_numeric(kind):
+            integral = isinstance(kind, T.IntegralType) or isinstance(kind, T.DecimalType) and not kind.scale
+            truth = F.coalesce(F.bool_and(value.isin(0, 1)), F.lit(False)) if integral else F.lit(False)
+        else:
+            truth = F.coalesce(F.bool_and(F.lower(shown).isin("0", "1", "true", "false", "yes", "no")), F.lit(False))
+        x = number(c, kind) if is_numeric(kind) else F.lit(None).cast("double")
         plain[c] = {
-            "kind": F.first(F.lit("boolean" if isinstance(kind, T.BooleanType) else "number" if is_numeric(kind) else "sequence" if isinstance(kind, T.ArrayType) else "object" if nested else "datetime" if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)) else "string")),
-            "n_rows": F.count(F.lit(1)), "n_present": F.count(shown), "bool_like": F.lit(True) if isinstance(kind, T.BooleanType) else (F.count(shown) > 0) & F.coalesce(F.bool_and(F.when(shown.isNotNull(), F.lower(shown).isin("0", "1", "true", "false", "yes", "no"))), F.lit(False)),
-            "whole": F.coalesce(F.bool_and(x % 1 == 0), F.lit(False)) if is_numeric(kind) else F.lit(False), "date_rate": F.coalesce(date, F.lit(0.0)), "label_like": F.coalesce(F.avg(shown.rlike("[,|;]").cast("int")), F.lit(0.0)), "mean_length": F.coalesce(F.avg(F.length(shown)), F.lit(0.0)),
+            "kind": F.first(F.lit("boolean" if isinstance(kind, T.BooleanType) else "number" if is_numeric(kind) else "sequence" if isinstance(kind, T.ArrayType) else "object" if nested else "datetime" if dated else "string")),
+            "n_rows": F.count(F.lit(1)), "n_present": F.count(value), "bool_like": truth,
+            "whole": F.coalesce(F.bool_and(x % 1 == 0), F.lit(False)) if is_numeric(kind) else F.lit(False),
+            "date_rate": F.lit(1.0) if dated else F.coalesce(F.avg(F.try_to_timestamp(value).isNotNull().cast("int")), F.lit(0.0)) if isinstance(kind, T.StringType) else F.lit(0.0),
+            "label_like": F.lit(0.0) if is_numeric(kind) else F.coalesce(F.avg(shown.rlike("[,|;]").cast("int")), F.lit(0.0)),
+            "mean_length": F.coalesce(F.avg(F.length(shown)), F.lit(0.0)),
         }
-        distinct[c] = F.to_json(F.col(f"`{c}`")) if nested else value
-    facts = per_column(df, plain)
+    return plain
+
+
+def distinct_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(column, n_distinct): exact, nulls and NaN apart. Rows expand once a column, with a partial aggregate before the shuffle."""
+    k = kinds(df)
+    values = {c: F.to_json(F.col(f"`{c}`")) if isinstance(k[c], (T.ArrayType, T.StructType, T.MapType)) else present(c, k[c]) for c in names}
     # one row for each column and value, then counts: no task holds a whole column
-    cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), v.cast("string").alias("v")) for c, v in distinct.items()])).alias("cell")).select("cell.*").where("v is not null")
-    counted = cells.groupBy("column", "v").agg(F.lit(1).alias("one")).groupBy("column").agg(F.count("*").alias("n_distinct"))
-    return facts.join(counted, "column", "left").withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0)))
+    cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), v.cast("string").alias("v")) for c, v in values.items()])).alias("cell")).select("cell.*").where("v is not null")
+    return cells.groupBy("column", "v").agg(F.lit(1).alias("one")).groupBy("column").agg(F.count("*").alias("n_distinct"))
+
+
+def column_facts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """(column, kind, n_present, n_distinct, bool_like, whole, date_rate, label_like, mean_length): what typing and target choice need."""
+    names = list(columns or df.columns)
+    facts = per_column(df, fact_columns(df, names))
+    return facts.join(distinct_counts(df, names), "column", "left").withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0)))

@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from siftwell.functions import correlation, missing, number, present, text_of
-from siftwell.operators.profile import kinds, numeric_columns, per_column
+from siftwell.operators.profile import LIMIT, kinds, numeric_columns, per_column
 from siftwell.operators.quantiles import nth_smallest
 
 #: Up to so many columns pairs are SQL aggregates; more go through moment matrices.
-FEW_COLUMNS = 24
+FEW_COLUMNS = 6
 
 
 def pair_frame(df: DataFrame, pairs: list[tuple[str, str]], made: dict[tuple[str, str], Column], field: str) -> DataFrame:
@@ -198,25 +199,53 @@ def split_shift(df: DataFrame, split: str, columns: Sequence[str] | None = None,
     return both.where(std > 0).select(F.lit(base).alias("base"), "other", "column", (F.abs(gap) / std).alias("shift"))
 
 
-def time_drift(df: DataFrame, time: str, tie: str | None = None, columns: Sequence[str] | None = None) -> DataFrame:
+def split_shift_of(moments: Sequence[Row], base: str, others: Sequence[str]) -> list[Row]:
+    """Rows (base, other, column, shift) from rows of split_moments."""
+    by, out = {(m.split, m["column"]): m for m in moments}, []
+    for other in others:
+        for column in dict.fromkeys(m["column"] for m in moments):
+            a, b = by.get((base, column)), by.get((other, column))
+            if a is None or b is None or a.n < 5 or b.n < 5:
+                continue
+            n, gap = a.n + b.n, a.mean - b.mean
+            std = math.sqrt((a.m2 + b.m2 + gap * gap * a.n * b.n / n) / n)
+            if std > 0:
+                out.append(Row(base=base, other=other, column=column, shift=abs(gap) / std))
+    return out
+
+
+def time_of(time: str, k: dict) -> Column:
+    """A time column as microseconds (double); what is no time is null."""
+    at = F.try_to_timestamp(F.col(f"`{time}`").cast("string")) if k[time].typeName() == "string" else F.col(f"`{time}`").cast("timestamp")
+    return F.unix_micros(at).cast("double")
+
+
+def at_rank(rows: DataFrame, value: str, rank: int, n: int, limit: int) -> float:
+    """The value (double) at a 0-based rank among n non-null ones: up to ``limit`` rows by one aggregate, beyond by counting passes."""
+    if n > limit:
+        return nth_smallest(rows, F.col(value), rank)
+    return rows.agg(F.expr(f"percentile_disc({(rank + 0.5) / n!r}D) WITHIN GROUP (ORDER BY {value})")).first()[0]
+
+
+def time_drift(df: DataFrame, time: str, tie: str | None = None, columns: Sequence[str] | None = None, n: int | None = None, limit: int = LIMIT) -> DataFrame:
     """(column, n_early, n_late, shift): standardised difference of means between the earlier and the later half.
 
     The halves are told apart by the exact middle time; rows of that very time are divided
     by ``tie`` (a numeric column, row hash if none).  No global sort or window is needed.
+    n: the number of times, if it is known.
     """
     k = kinds(df)
-    at = F.try_to_timestamp(F.col(f"`{time}`").cast("string")) if k[time].typeName() == "string" else F.col(f"`{time}`").cast("timestamp")
-    rows = df.withColumn("_t", F.unix_micros(at).cast("double")).where("_t is not null")
+    rows = df.withColumn("_t", time_of(time, k)).where("_t is not null")
     names = list(columns or [c for c in numeric_columns(df) if c != time])
-    n = rows.count()
+    n = rows.count() if n is None else n
     if n < 20:
         return df.sparkSession.createDataFrame([], "column string, n_early long, n_late long, shift double")
-    middle = nth_smallest(rows, F.col("_t"), n // 2)
-    before = rows.where(F.col("_t") < middle).count()
+    middle = at_rank(rows, "_t", n // 2, n, limit)
+    before, among = rows.agg(F.count_if(F.col("_t") < middle), F.count_if(F.col("_t") == middle)).first()
     order = F.col(f"`{tie}`").cast("double") if tie else F.shiftrightunsigned(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), 11).cast("double")
     early = F.col("_t") < middle
     if n // 2 > before:
-        cut = nth_smallest(rows.where(F.col("_t") == middle), order, n // 2 - before)
+        cut = at_rank(rows.where(F.col("_t") == middle).select(order.alias("_o")), "_o", n // 2 - before, among, limit)
         early = early | ((F.col("_t") == middle) & (order < cut))
     made = {}
     for c in names:

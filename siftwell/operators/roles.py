@@ -51,8 +51,8 @@ def leak_suspects(target: str, features: Iterable[str]) -> list[str]:
     return sorted({c for c in features if (n := plain_name(c)) and (t and t in n and n != t or any(w in n for w in LEAK_WORDS))})
 
 
-def target_scores(facts: DataFrame) -> DataFrame:
-    """(column, score): how much a column looks like the target; facts are column_facts of the candidates."""
+def score_of() -> Column:
+    """How much a column of column_facts looks like the target; null for columns without values."""
     name, n, u = normalised_name(F.col("column")), F.col("n_present"), F.col("n_distinct")
     part = lambda share, least: F.greatest(F.lit(least), F.floor(n * share))
     rules: list[Column] = [
@@ -66,34 +66,47 @@ def target_scores(facts: DataFrame) -> DataFrame:
         .otherwise(F.when(u <= part(0.08, 20), 1.8).when(u >= F.floor(n * 0.8), -2.0).otherwise(0.0)),
         F.when(u <= 1, -5.0),
     ]
-    return facts.where(n > 0).select("column", sum([F.coalesce(r, F.lit(0.0)) for r in rules], F.lit(0.0)).alias("score"))
+    return F.when(n > 0, sum([F.coalesce(r, F.lit(0.0)) for r in rules], F.lit(0.0)))
 
 
-def feature_types(facts: DataFrame, compat: bool = True) -> DataFrame:
-    """(column, feature_type). With compat, five or more numbers count as dates, because they parse as such."""
+def target_scores(facts: DataFrame) -> DataFrame:
+    """(column, score) of the columns with values; facts are column_facts of the candidates."""
+    return facts.where("n_present > 0").select("column", score_of().alias("score"))
+
+
+def feature_type_of(compat: bool = True) -> Column:
+    """The type of a column of column_facts. With compat, five or more numbers count as dates, because they parse as such."""
     n, u = F.col("n_present"), F.col("n_distinct")
     number = F.col("kind") == "number"
     dated = (F.col("kind") == "datetime") | (n >= 5) & ((F.col("date_rate") >= 0.8) | number & F.lit(compat))
     discrete = F.col("whole") & (u <= F.greatest(F.lit(30), F.floor(F.greatest(n, F.lit(1)) * 0.05)))
     wordy = (F.col("mean_length") > 40) | (F.col("mean_length") > 16) & (u / F.greatest(n, F.lit(1)) > 0.6)
-    kind = (
+    return (
         F.when(F.col("bool_like"), "boolean").when(dated, "datetime").when(number & (n == 0), "numeric_unknown").when(number & discrete, "numeric_discrete").when(number, "numeric_continuous")
         .when(n == 0, "unknown").when(F.col("kind") == "sequence", "sequence").when(F.col("kind") == "object", "object").when(wordy, "text").otherwise("categorical_nominal")
     )
-    return facts.select("column", kind.alias("feature_type"))
 
 
-def tasks(facts: DataFrame) -> DataFrame:
-    """(column, task_type, confidence) if the column were the target."""
+def feature_types(facts: DataFrame, compat: bool = True) -> DataFrame:
+    """(column, feature_type)"""
+    return facts.select("column", feature_type_of(compat).alias("feature_type"))
+
+
+def task_of() -> Column:
+    """Task and confidence (col1, col2) if a column of column_facts were the target."""
     n, u = F.col("n_present"), F.col("n_distinct")
     number, many = F.col("kind") == "number", F.col("label_like") >= 0.6
     few = F.col("whole") & (u <= F.greatest(F.lit(20), F.floor(n * 0.1)))
-    task = (
+    return (
         F.when(n == 0, F.struct(F.lit("unknown"), F.lit(0.0))).when(many, F.struct(F.lit("multilabel_classification"), F.lit(0.65)))
         .when(number & (u <= 2), F.struct(F.lit("binary_classification"), F.lit(0.9))).when(number & few, F.struct(F.lit("multiclass_classification"), F.lit(0.7))).when(number, F.struct(F.lit("regression"), F.lit(0.75)))
         .when(u <= 2, F.struct(F.lit("binary_classification"), F.lit(0.85))).otherwise(F.struct(F.lit("multiclass_classification"), F.lit(0.8)))
     )
-    return facts.select("column", task["col1"].alias("task_type"), task["col2"].alias("confidence"))
+
+
+def tasks(facts: DataFrame) -> DataFrame:
+    """(column, task_type, confidence) if the column were the target."""
+    return facts.select("column", task_of()["col1"].alias("task_type"), task_of()["col2"].alias("confidence"))
 
 
 @dataclass(frozen=True)

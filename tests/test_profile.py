@@ -123,3 +123,23 @@ def test_duplicate_columns_where_rows_repeat(spark):
     rows = [(i, i % 3, i % 3, str(i % 3), i % 3 if i else 7, -i) for i in range(8)] * 2
     df = spark.createDataFrame(rows, "a int, b int, c int, d string, e int, f int")
     assert [tuple(r) for r in relations.duplicate_columns(df).collect()] == [("b", "c"), ("b", "d")]
+
+
+def jobs_of(spark, work):
+    """How many Spark SQL executions work takes."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    work()
+    return store.executionsCount() - before
+
+
+@pytest.mark.parametrize("columns", [3, 20])
+def test_a_diagnosis_scans_a_few_times_whatever_the_columns(spark, columns):
+    from siftwell.context import Options
+    from siftwell.plans.diagnose import diagnose
+
+    rows = spark.range(400).select(*[((F.col("id") * (i + 3)) % (i + 11)).cast("double").alias(f"c{i}") for i in range(columns)], F.when(F.col("id") % 3 > 0, F.col("id") % 7).alias("holes"), (F.col("id") % 2).alias("label"), F.concat(F.lit("s"), F.col("id") % 3).alias("split"), F.timestamp_seconds(F.col("id") * 60).alias("ts"), (F.col("id") % 50).alias("user_id"))
+    findings = []
+    count = jobs_of(spark, lambda: findings.extend(diagnose(rows, Options())))
+    assert all(f.status == "supported" for f in findings)
+    assert count <= 20, count
