@@ -7,13 +7,14 @@ shared folder and reads it again, so a lost executor never reaches back beyond o
 1. quality rules: documents whose verdict is rejection go.
 2. line dedup: later occurrences of repeated three-line windows go; a document that this
    leaves without words goes too.
-3. MinHash near-dedup: one document of each component stays, the one of least doc_id.
+3. MinHash near-dedup: one row of each component stays, the one of least doc_id.
 4. benchmark decontamination: documents that hold a test window go.
 5. source mixing: words taken and training position of each remaining document.
 
 Defined cases, in every stage: null or empty texts fail the quality rules and go; rows with
-a null doc_id are linked with nothing and stay if their text is good; repeated rows of one
-doc_id and text share every verdict; very long texts are read whole; an empty table, of
+a null doc_id are judged by their text like all others; near-dedup judges each row by its own
+text, so several texts of one doc_id have verdicts of their own and of repeated rows one stays;
+very long texts are read whole; an empty table, of
 labels or benchmark items too, gives an empty result or leaves documents alone; further
 columns stay as they are, whatever their names (the mix's own names replace them at the end).
 
@@ -60,9 +61,13 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    verdicts = minhash_near_dedup.near_duplicates(docs.select("doc_id", "text"), Shared(spark))
-    gone = verdicts.where("not kept").select("doc_id").distinct()
-    return back(apart(docs).join(gone, "doc_id", "left_anti"), docs)
+    shared = Shared(spark)
+    # rows are told apart by a number, as several may share a doc_id, or have none
+    rows = shared.save(apart(docs).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    verdicts = minhash_near_dedup.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), shared)
+    members = verdicts.select(F.col("doc_id").alias("_row"), "component_id").join(rows.select("_row", "doc_id"), "_row")
+    least = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("least"))
+    return back(rows.join(least.select("least._row"), "_row", "left_semi"), docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
