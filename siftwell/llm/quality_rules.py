@@ -185,10 +185,12 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Field:
             good = [i for i, x in enumerate(made) if 0 < len(x) <= TRAIN_LINES]
             yield pa.RecordBatch.from_arrays([pa.array([made[i].astype(np.int8).tobytes() for i in good], pa.binary()), batch.column(1).take(pa.array(good, pa.int64())), batch.column(2).take(pa.array(good, pa.int64()))], names=["signs", "quality", "doc_id"])
 
-    some = docs.select("doc_id", utf8("text").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", F.col("quality").cast("int").alias("quality"), F.col("doc_id").cast("string").alias("doc_id"))
+    # one text an id, so that as many rows come to the driver as ids were chosen
+    some = docs.select("doc_id", utf8("text").alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.max("quality").alias("quality"))
+    some = some.select("text", F.col("quality").cast("int").alias("quality"), F.col("doc_id").cast("string").alias("doc_id"))
     rows = map_arrow(some, signs, "signs binary, quality int, doc_id string").collect()
     rows.sort(key=lambda r: (r.doc_id, bytes(r.signs)))  # the same sums in any order of tasks
-    return fit([(np.frombuffer(bytes(r.signs), np.int8).reshape(-1, len(SIGNS)).astype(np.float64), 1 - r.quality) for r in rows[: 2 * most]])
+    return fit([(np.frombuffer(bytes(r.signs), np.int8).reshape(-1, len(SIGNS)).astype(np.float64), 1 - r.quality) for r in rows])
 
 
 def judge(docs: DataFrame, field: Field) -> DataFrame:

@@ -260,3 +260,12 @@ def test_normal_equations_equal_the_whole_solution(spark):
     w = np.where(y == 1, 400 / (2 * y.sum()), 400 / (2 * (400 - y.sum())))
     want = np.linalg.solve((z * w[:, None]).T @ z + quality_classifier.RIDGE * np.eye(z.shape[1]), z.T @ (w * y))
     assert np.allclose(model.weights, want, atol=1e-6)
+
+
+def test_training_of_the_field_takes_one_text_an_id(spark):
+    docs = [(1, edge.prose(i, 60)) for i in range(50)] + [(2, "x $$$ " * 60), (3, edge.prose(99, 80))]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    field = quality_rules.train(frame(docs), labels)
+    assert field == quality_rules.train(frame(docs[::-1] * 2), labels)
+    assert field in [quality_rules.train(frame([d, *docs[50:]]), labels) for d in docs[:50]]

@@ -67,3 +67,12 @@ def test_nulls_and_clashing_names(spark, tmp_path):
         assert sorted(str(r.doc_id) for r in frame.collect()) == sorted(str(d) for d, t in rows if t)
     out = corpus_pipeline.run(spark, folder).collect()
     assert len(out) == 10 and {"taken", "position", "lang", "n_hit"} <= set(out[0].asDict())
+
+
+def test_near_stage_judges_rows_by_their_own_texts(spark, tmp_path):
+    one, two = edge.prose(4000, 120), edge.prose(4001, 120)
+    rows = [(5, one), (5, two), (5, two), (3, one), (None, two), (None, edge.prose(4002, 120)), (None, edge.prose(4003, 120)), (None, ""), (None, ""), (7, None), (8, edge.edited(two, 3, 0.01))]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_stage(spark, docs, "").collect()]
+    want = [(3, one), (5, two), (None, edge.prose(4002, 120)), (None, edge.prose(4003, 120)), (None, ""), (None, ""), (7, None)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
