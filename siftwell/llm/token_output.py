@@ -36,15 +36,14 @@ from pyspark.sql import functions as F
 from .common import Shared, map_arrow, read, utf8
 
 END = 0
-#: Pieces that a Python worker keeps encoded, about 120 MB.
-KEPT_WORDS = 1 << 19
+#: Pieces that a Python worker keeps encoded, about 200 MB.
+KEPT_WORDS = 1 << 20
 #: The split rule of byte-level tokenizers, a fixed value: letters, digits, other signs and white space apart.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes that four numbers take, by their control byte, and where each begins.
-SIZES = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.int64)
-TOTALS = SIZES.sum(axis=1)
-STARTS = np.concatenate([np.zeros((256, 1), np.int64), SIZES.cumsum(axis=1)[:, :3]], axis=1)
-MASKS = np.array([0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
+SIZES = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
+TOTALS = SIZES.sum(axis=1, dtype=np.int32)
+STARTS = np.concatenate([np.zeros((256, 1), np.int32), SIZES.cumsum(axis=1, dtype=np.int32)[:, :3]], axis=1)
 
 
 def vocabulary(path: str | None = None) -> str:
@@ -147,30 +146,35 @@ def frequencies(coded: DataFrame, kind: str) -> DataFrame:
     return map_arrow(coded.select("ids"), count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def pack(numbers: np.ndarray) -> tuple[bytes, bytes]:
-    """Control bytes (two bits a number: its bytes less one) and data bytes of 32-bit numbers."""
-    numbers = numbers.astype("<u4")
-    sizes = 1 + (numbers > 0xFF).astype(np.uint8) + (numbers > 0xFFFF) + (numbers > 0xFFFFFF)
-    padded = np.zeros(-(-len(numbers) // 4) * 4, np.uint8)
-    padded[: len(numbers)] = sizes - 1
-    quads = padded.reshape(-1, 4)
-    control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
-    top = int(sizes.max(initial=1))
-    held = numbers.view(np.uint8).reshape(-1, 4)[:, :top][np.arange(top) < sizes[:, None]]
-    return control.astype(np.uint8).tobytes(), held.tobytes()
+def pack(numbers: np.ndarray, counts: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """Control bytes (two bits a number: its bytes less one) and data bytes of each of several runs of 32-bit numbers, of so many numbers each.
+
+    A run's last control byte is filled up with zeros, which take a data byte each."""
+    quads = -(-counts // 4)
+    ends = np.cumsum(quads)
+    padded = np.zeros(4 * int(quads.sum()), np.uint32)
+    padded[np.arange(len(numbers)) + np.repeat(4 * (ends - quads) - (np.cumsum(counts) - counts), counts)] = numbers
+    extra = (padded > 0xFF).astype(np.uint8) + (padded > 0xFFFF) + (padded > 0xFFFFFF)
+    by_four = extra.reshape(-1, 4)
+    control = (by_four[:, 0] | by_four[:, 1] << 2 | by_four[:, 2] << 4 | by_four[:, 3] << 6).tobytes()
+    top = int(extra.max(initial=0)) + 1
+    data = padded.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :top][np.arange(top) <= extra[:, None]].tobytes()
+    bytes_to = np.concatenate([[0], np.cumsum(by_four.sum(axis=1, dtype=np.int64) + 4)])
+    cuts = np.concatenate([[0], ends])
+    return [control[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)], [data[bytes_to[i] : bytes_to[j]] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
     """The ``count`` numbers of both streams."""
     c = np.frombuffer(control, np.uint8)
-    at = (np.cumsum(TOTALS[c]) - TOTALS[c])[:, None] + STARTS[c]
-    # padding numbers of the last control byte read zeros behind the data
+    totals = TOTALS[c]
+    at = (np.cumsum(totals, dtype=np.int64) - totals)[:, None] + STARTS[c]
     held = np.frombuffer(data + b"\0" * 4, np.uint8)
     at, size = at.reshape(-1)[:count], SIZES[c].reshape(-1)[:count]
     words = held[at].astype(np.uint32)
     for k in range(1, size.max(initial=1)):
-        words |= held[at + k].astype(np.uint32) << np.uint32(8 * k)
-    return words & MASKS[size - 1]
+        words |= np.where(size > k, held[at + k], 0).astype(np.uint32) << np.uint32(8 * k)
+    return words
 
 
 def write_tokens(docs: DataFrame, shared: Shared, name: str = "tokens", tokenizer: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -190,12 +194,12 @@ def write_tokens(docs: DataFrame, shared: Shared, name: str = "tokens", tokenize
     def work(batches):
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
-            coded_ids = [np.frombuffer(x, kind) for x in batch.column(1).to_pylist()]
-            streams = [pack(sent.value[ids]) for ids in coded_ids]
-            sizes = np.array([len(x) for x in coded_ids], np.int64)
+            coded_ids = batch.column(1).to_pylist()
+            sizes = np.array([len(x) for x in coded_ids], np.int64) // np.dtype(kind).itemsize
+            controls, data = pack(sent.value[np.frombuffer(b"".join(coded_ids), kind)], sizes)
             places = at + np.cumsum(sizes) - sizes
             at += int(sizes.sum())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([part] * len(sizes), pa.int32()), pa.array(places), pa.array(sizes), pa.array([c for c, _ in streams], pa.binary()), pa.array([d for _, d in streams], pa.binary())], names=["doc_id", "part", "at", "n_tokens", "control", "data"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([part] * len(sizes), pa.int32()), pa.array(places), pa.array(sizes), pa.array(controls, pa.binary()), pa.array(data, pa.binary())], names=["doc_id", "part", "at", "n_tokens", "control", "data"])
 
     keys = [F.col("doc_id").asc_nulls_first(), F.col("_hash"), F.col("_row")]
     rows = coded.withColumn("_hash", F.xxhash64("ids")).withColumn("_row", F.monotonically_increasing_id())

@@ -105,10 +105,13 @@ def test_equal_rows_each_have_a_proof(spark, shared):
 
 @pytest.mark.parametrize("numbers", [[], [0], [255, 256, 65535, 65536, 2**24 - 1, 2**24, 2**32 - 1], list(range(1001)), [2**31] * 5])
 def test_streams_round_trip(numbers):
-    control, data = token_output.pack(np.array(numbers, np.uint32))
-    assert len(control) == math.ceil(len(numbers) / 4)
-    assert len(data) == sum(1 + (n > 0xFF) + (n > 0xFFFF) + (n > 0xFFFFFF) for n in numbers)
-    assert token_output.unpack(control, data, len(numbers)).tolist() == numbers
+    runs = [[], numbers, [7], numbers[::-1], numbers[:2]]
+    counts = np.array([len(r) for r in runs])
+    controls, data = token_output.pack(np.array([n for r in runs for n in r], np.uint32), counts)
+    for r, c, d in zip(runs, controls, data, strict=True):
+        assert len(c) == math.ceil(len(r) / 4)
+        assert len(d) == sum(1 + (n > 0xFF) + (n > 0xFFFF) + (n > 0xFFFFFF) for n in r) + -len(r) % 4
+        assert token_output.unpack(c, d, len(r)).tolist() == r
 
 
 def plain_ids(text):
@@ -137,7 +140,8 @@ def test_pieces_kept_by_a_worker_are_bounded(monkeypatch):
     monkeypatch.setattr(token_output, "KEPT_WORDS", 10)
     token_output.encoder.cache_clear()
     encode = token_output.encoder(token_output.vocabulary(), "<u4")
-    for text in [*(edge.prose(i, 40) for i in range(8)), "", "\x1c \x85\u3000x ²½ 'll'LL don't\r\n \t", "🙂漢字ß é", "<|endoftext|>a"]:
+    texts = [*(edge.prose(i, 40) for i in range(8)), "", "\x1c \x85\u3000x ²½ 'll'LL don't\r\n \t", "🙂漢字ß é", "<|endoftext|>a", " \n\n  it's\t\x0b \x1c\x1f 12a_ !?'re  ", "   "]
+    for text in texts:
         assert np.frombuffer(encode(text), "<u4").tolist() == plain_ids(text)[:-1]
     token_output.encoder.cache_clear()
     held = token_output.Pieces(str.encode)
