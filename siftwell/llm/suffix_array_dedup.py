@@ -31,8 +31,8 @@ Defined cases: null text is empty; a very long text is cut into pieces of ``PIEC
 overlap, so that nothing is lost; texts shorter than a window keep all bytes; other columns are
 not looked at; null doc_ids
 come before all others; rows that repeat doc_id and text are one document and get the same
-result; of rows with one doc_id and different texts only the one of least text hash takes
-part, the others come back whole; an empty table gives an empty result.
+result; different texts of one doc_id, or without one, are documents of their own, in the order
+of their hashes; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -245,21 +245,26 @@ def repeated_windows(pieces: DataFrame, shared: Shared, level: int = 0) -> DataF
     return found
 
 
+def numbered(rows: DataFrame, shared: Shared) -> DataFrame:
+    """rows (doc_id, text, id) with new ids: equal for rows of equal id and text alone, and ascending by id, then by text hash.
+
+    Range partitions follow each other in that order, and so do numbers given inside them; texts of one id may lie in several partitions."""
+    code = F.xxhash64("text")
+    texts = shared.save(rows.select("id", code.alias("code")).distinct(), "texts")
+    order = texts.repartitionByRange("id", "code").sortWithinPartitions("id", "code").select("id", "code", F.monotonically_increasing_id().alias("number"))
+    order = shared.save(order, "order")
+    return rows.withColumn("code", code).join(order, ["id", "code"]).select("doc_id", "text", F.col("number").alias("id"))
+
+
 def dedup_substrings(docs: DataFrame, shared: Shared) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept_bytes, kept_sha256) of docs (doc_id, text); spans: removed (from, to) stretches."""
     all_rows = docs.select("doc_id", utf8("text").alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"))
-    again = shared.save(all_rows.groupBy("id").agg(F.count("*").alias("n"), F.min(F.xxhash64("text")).alias("least")).where("n > 1").select("id", "least"), "again")
     part = all_rows.select("id", "text")
-    if again.limit(1).count():
-        part = part.join(again, "id", "left").where(F.col("least").isNull() | (F.col("least") == F.xxhash64("text"))).groupBy("id").agg(F.first("text").alias("text"))
-        stays = all_rows.join(again, "id", "left").where(F.col("least").isNotNull() & (F.col("least") != F.xxhash64("text"))).withColumn("runs", F.lit(None).cast("array<struct<start: int, windows: int>>"))
-        all_rows = all_rows.join(again, "id", "left").where(F.col("least").isNull() | (F.col("least") == F.xxhash64("text"))).select("doc_id", "text", "id")
-    else:
-        stays = None
+    if all_rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        all_rows = numbered(all_rows, shared)
+        part = shared.save(all_rows.groupBy("id").agg(F.first("text").alias("text")), "part")
     runs = repeated_windows(part, shared).groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
     both = all_rows.join(runs, F.col("id") == F.col("_id"), "left").select("doc_id", "text", "runs")
-    if stays is not None:
-        both = both.unionAll(stays.select("doc_id", "text", "runs"))
 
     def remove(batches):
         for batch in batches:

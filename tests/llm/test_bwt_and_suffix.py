@@ -102,9 +102,20 @@ def test_removed_bytes(spark, shared, monkeypatch, many, piece, levels):
     assert got == want
 
 
-def test_rows_of_one_id_with_other_texts_come_back_whole(spark, shared):
-    rows = [(1, edge.BASE), (2, edge.BASE), (2, edge.BASE + "!"), (None, edge.BASE)]
-    out = suffix_array_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), shared).collect()
-    assert len(out) == 4
-    gone = sorted((r.doc_id is not None, r.doc_id or 0, r.n_removed > 0) for r in out)
-    assert gone[0] == (False, 0, False) and gone[1] == (True, 1, True) and sorted(x[2] for x in gone[2:]) == [False, True]
+def test_different_texts_of_one_id_all_take_part(spark, shared):
+    other = edge.edited(edge.BASE, 7, 0.02)
+    rows = [(1, edge.BASE), (2, edge.BASE), (2, edge.BASE + "!"), (2, other), (2, other), (None, "x" + edge.BASE), (None, other + "?"), (None, None), (None, ""), (3, edge.BASE[50:400] + other), (-(1 << 62), other)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    code = {r.text: r.code for r in frame.selectExpr("coalesce(text, '') text", "xxhash64(cast(coalesce(text, '') as binary)) code").collect()}
+    order = sorted({(d is not None, d or 0, code[t or ""], t or "") for d, t in rows})
+    want = brute([((known, d, t), t.encode()) for known, d, _, t in order])
+    out = suffix_array_dedup.dedup_substrings(frame, shared).collect()
+    expected = sorted((d is not None, d or 0, *want[d is not None, d or 0, t or ""]) for d, t in rows)
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in out) == expected
+    assert sum(x[3] > 0 for x in expected) >= 6
+
+
+def test_numbers_follow_ids_and_hashes(spark, shared):
+    rows = spark.createDataFrame([(i % 7, f"text {i % 90}") for i in range(600)], "id long, text string").selectExpr("id doc_id", "cast(text as binary) text", "id")
+    got = suffix_array_dedup.numbered(rows, shared).selectExpr("doc_id", "xxhash64(text) code", "id").distinct().orderBy("id").collect()
+    assert [(r.doc_id, r.code) for r in got] == sorted({(r.doc_id, r.code) for r in got}) and len({r.id for r in got}) == len(got)
