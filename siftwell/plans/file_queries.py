@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from siftwell.context import Options
 from siftwell.plans.catalogue import query, table, unions
+from siftwell.plans import states
 from siftwell.plans.inspect import table_of
-from siftwell.sources import ranges, readers, scratch, split, structure
+from siftwell.sources import footers, ranges, readers, scratch, split, structure
 from siftwell.sources.detect import detect_files
 
 NAMES = ("p_partkey", "p_size", "p_retailprice", "p_brand")
@@ -191,3 +192,44 @@ def json_lines_by_range(spark: SparkSession, sf: str) -> DataFrame:
     reads = detect_files(spark, f"{root}/lines").agg(F.bool_and((F.col("n_read") <= 262144) & (F.col("n_read") <= F.col("length"))).alias("read_in_part")).first()[0]
     df, _ = table_of(spark, f"{root}/lines", found.file_type, dict(found.details or {}), Options(), json.loads(found.summary))
     return df.agg(F.lit(found.file_type).alias("file_type"), F.count("*").alias("n_rows"), F.sum("l_orderkey").cast("long").alias("keys"), F.lit(reads).alias("read_in_part"))
+
+
+# profiles that read no table, or no table twice -----------------------------
+
+#: Columns by the bounds they have: integers, times, floats, strings.
+PROFILED = {
+    "lineitem": {"l_orderkey": "whole", "l_linenumber": "whole", "l_quantity": "real", "l_extendedprice": "real", "l_returnflag": "text", "l_shipdate": "time"},
+    "orders": {"o_orderkey": "whole", "o_custkey": "whole", "o_totalprice": "real", "o_orderstatus": "text", "o_orderpriority": "text", "o_orderdate": "time"},
+    "events": {"event_id": "whole", "ts": "time", "user_id": "whole", "event_type": "text", "value": "real", "props": "text"},
+    "documents": {"doc_id": "whole", "text": "text", "lang": "text", "source": "text", "n_chars": "whole"},
+}
+
+
+def bounds_sql(name: str, kind: str) -> str:
+    held = {"whole": name, "time": f"epoch_us({name})", "real": f"CASE WHEN NOT isnan({name}) THEN {name} END", "text": name}[kind]
+    types = {"whole": "BIGINT", "real": "DOUBLE", "text": "VARCHAR"}
+    return ", ".join(f"CAST({f'{fn}({held})' if b == kind.replace('time', 'whole') else 'NULL'} AS {t}) AS {side}_{b}" for b, t in types.items() for side, fn in (("low", "min"), ("high", "max")))
+
+
+@query(unions([f"SELECT '{t}' AS of, '{c}' AS \"column\", count(*) AS n_rows, count(*) - count({c}) AS n_nulls, {bounds_sql(c, kind)} FROM {t}" for t, columns in PROFILED.items() for c, kind in columns.items()]))
+def profile_from_footers(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows, nulls and bounds of columns of four tables from their footers; columns without whole statistics (long texts) are scanned."""
+    out = None
+    for name, columns in PROFILED.items():
+        one = footers.footer_profile(spark, f"{sf}/{name}.parquet").where(F.col("column").isin(*columns)).drop("from_footers").withColumn("of", F.lit(name))
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+def moments_sql(name: str, kind: str) -> str:
+    return f"round(avg({name}), 4) AS mean, round(stddev_pop({name}), 4) AS std" if kind in ("whole", "real") else "CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS std"
+
+
+@query(unions([f"SELECT '{c}' AS \"column\", count(*) AS n_rows, count(*) - count({c}) AS n_missing, {bounds_sql(c, kind)}, {moments_sql(c, kind)} FROM orders" for c, kind in PROFILED["orders"].items()]))
+def profile_of_grown_folder(spark: SparkSession, sf: str) -> DataFrame:
+    """The profile of orders as it comes in three lots: each lot's files are scanned once, when they are new, and their states are merged."""
+    root, rows = scratch.new_folder(spark), table(spark, sf, "orders")
+    for lot in range(3):
+        rows.where(F.col("o_orderkey") % 3 == lot).write.mode("append").parquet(f"{root}/orders")
+        found = states.refresh(spark, f"{root}/orders", f"{root}/states")
+    return found.select("column", "n_rows", "n_missing", *[f"{side}_{b}" for b in footers.BOUNDS for side in ("low", "high")], F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"))
