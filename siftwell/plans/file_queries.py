@@ -20,7 +20,7 @@ from siftwell.context import Options
 from siftwell.plans.catalogue import query, table, unions
 from siftwell.plans import states
 from siftwell.plans.inspect import table_of
-from siftwell.sources import footers, ranges, readers, scratch, split, structure
+from siftwell.sources import footers, keyed, ranges, readers, scratch, split, structure
 from siftwell.sources.detect import detect_files
 
 NAMES = ("p_partkey", "p_size", "p_retailprice", "p_brand")
@@ -120,11 +120,11 @@ def as_zip(rows: list[dict[str, Any]]) -> bytes:
     return out.getvalue()
 
 
-def written(rows: DataFrame, folder: str, make: Callable[[list[dict[str, Any]]], bytes]) -> int:
+def written(rows: DataFrame, folder: str, make: Callable[[list[dict[str, Any]]], bytes], names: tuple[str, ...] = NAMES) -> int:
     """Files of rows by ``file``, written by the tasks that hold them; how many. A task that runs again writes the same file again."""
 
     def write(data: pa.Table) -> pa.Table:
-        held = make(data.select(list(NAMES)).sort_by(NAMES[0]).to_pylist())
+        held = make(data.select(list(names)).sort_by(names[0]).to_pylist())
         store, inner = pyarrow.fs.FileSystem.from_uri(folder)
         store.create_dir(inner, recursive=True)
         with store.open_output_stream(f"{inner}/{data['file'][0].as_py()}.bin") as f:
@@ -194,6 +194,47 @@ def json_lines_by_range(spark: SparkSession, sf: str) -> DataFrame:
     return df.agg(F.lit(found.file_type).alias("file_type"), F.count("*").alias("n_rows"), F.sum("l_orderkey").cast("long").alias("keys"), F.lit(reads).alias("read_in_part"))
 
 
+# sqlite files by ranges of row keys -----------------------------------------
+
+ORDER = ("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
+
+
+def as_orders(rows: list[dict[str, Any]]) -> bytes:
+    """orders under keys with wide gaps between clusters, prices as text for one priority, and a table of prices without row keys."""
+    con = sqlite3.connect(":memory:")
+    con.execute("CREATE TABLE orders (o_orderkey INTEGER PRIMARY KEY, o_custkey INTEGER, o_totalprice, o_orderpriority TEXT)")
+    con.execute("CREATE TABLE prices (o_orderkey INTEGER PRIMARY KEY, o_totalprice REAL) WITHOUT ROWID")
+    spread = lambda k: k % 1000 + k // 1000 * 10**12
+    con.executemany("INSERT INTO orders VALUES (?, ?, ?, ?)", [(spread(r["o_orderkey"]), r["o_custkey"], str(r["o_totalprice"]) if r["o_orderpriority"] == "5-LOW" else r["o_totalprice"], r["o_orderpriority"]) for r in rows])
+    con.executemany("INSERT INTO prices VALUES (?, ?)", [(r["o_orderkey"], r["o_totalprice"]) for r in rows])
+    con.commit()
+    return con.serialize()
+
+
+def order_files(spark: SparkSession, sf: str) -> DataFrame:
+    """orders in sqlite files of 5,000 keys each."""
+    root = scratch.new_folder(spark)
+    root = root if "://" in root else root.replace("file:", "file://", 1)
+    rows = table(spark, sf, "orders").select(*ORDER, (F.col("o_orderkey") / 5000).cast("int").alias("file"))
+    written(rows, f"{root}/orders", as_orders, ORDER)
+    return ranges.list_files(spark, f"{root}/orders")
+
+
+@query("SELECT o_custkey, o_orderpriority, count(*) AS n_orders, CAST(sum(o_orderkey % 1000) AS BIGINT) AS keys, CAST(max(o_orderkey // 1000) AS BIGINT) AS last_cluster, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey, o_orderpriority")
+def sqlite_by_range(spark: SparkSession, sf: str) -> DataFrame:
+    """orders read from sqlite files in pieces of 400 rows, whose keys are far from even."""
+    df = keyed.read_sqlite(spark, order_files(spark, sf), "orders", rows=400, step=65536)
+    cluster = F.floor(F.col("o_orderkey") / F.lit(10**12))
+    return df.groupBy("o_custkey", "o_orderpriority").agg(F.count("*").alias("n_orders"), F.sum(F.col("o_orderkey") % F.lit(10**12)).alias("keys"), F.max(cluster).alias("last_cluster"), F.round(F.sum(F.col("o_totalprice").cast("double")), 2).alias("total"))
+
+
+@query("SELECT CAST(o_orderkey // 5000 AS BIGINT) AS file, name, count(*) AS n_rows, count(*) > 400 AND name = 'orders' AS in_parts FROM orders, (VALUES ('orders'), ('prices')) t(name) GROUP BY o_orderkey // 5000, name")
+def sqlite_table_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of every table of sqlite files, counted in pieces of 400 rows where the table has row keys."""
+    found = keyed.table_counts(spark, order_files(spark, sf), rows=400)
+    return found.select(F.regexp_extract("path", r"(\d+)\.bin$", 1).cast("long").alias("file"), "name", "n_rows", (F.col("n_pieces") > 1).alias("in_parts"))
+
+
 # profiles that read no table, or no table twice -----------------------------
 
 #: Columns by the bounds they have: integers, times, floats, strings.

@@ -213,10 +213,15 @@ def sqlite_open(data: bytes | Ranged) -> tuple[sqlite3.Connection, Any]:
     return sqlite3.connect(f"file:{held.name}?mode=ro", uri=True), held
 
 
+def sqlite_tables(con: sqlite3.Connection) -> list[str]:
+    """Tables by name, without those that sqlite keeps for itself."""
+    return [r[0] for r in con.execute("SELECT name FROM sqlite_master WHERE type = 'table' AND name NOT LIKE 'sqlite^_%' ESCAPE '^' ORDER BY name")]
+
+
 def sqlite_rows(data: bytes | Ranged, table: str | None = None) -> Rows:
     con, held = sqlite_open(data)
     with held, contextlib.closing(con):
-        names = [r[0] for r in con.execute("SELECT name FROM sqlite_master WHERE type = 'table' AND name <> 'sqlite_sequence' ORDER BY name")]
+        names = sqlite_tables(con)
         if names:
             found = con.execute(f"SELECT * FROM {quoted(table or names[0])}")
             columns = [d[0] for d in found.description]
@@ -329,6 +334,12 @@ def read_table(spark: SparkSession, path: str, kind: str, details: dict[str, str
         files = list_files(spark, path)
         if not files.where("content IS NOT NULL").limit(1).count():
             return split.read_json(spark, files)
+    if kind == "sqlite":
+        from siftwell.sources import keyed
+
+        files = list_files(spark, path)
+        if not files.where("content IS NOT NULL OR NOT (path LIKE 'file:/%' OR path LIKE '/%')").limit(1).count():
+            return keyed.read_sqlite(spark, files)
     if kind in PARSERS:
         return parsed(spark, path, kind)
     return None
