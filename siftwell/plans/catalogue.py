@@ -629,4 +629,4 @@ def event_windows(spark: SparkSession, sf: str) -> DataFrame:
 ORACLES["event_windows"] = "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, event_type AS label, count(*) AS n, count(*) FILTER (value IS NULL OR isnan(value)) AS n_missing, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM events GROUP BY 1, 2, 3"
 
 
-from siftwell.plans import file_queries  # noqa: E402, F401  adds its queries to the tables above
+from siftwell.plans import file_queries, record_queries  # noqa: E402, F401  add their queries to the tables above
