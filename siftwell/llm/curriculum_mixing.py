@@ -14,7 +14,11 @@ closed form and needs no loop.
 Scale: a running sum over a source would put a hot source into one task.  Documents are
 dealt into hash buckets per source; windows run inside (source, bucket), and only the
 bucket totals, at most ``buckets`` rows a source, are summed along a source.  Windows see
-ids and sizes; whole rows move twice, to their place in the plan and by range.
+ids and sizes; whole rows move twice, to their place in the plan and by range.  Exact copies
+of a row are dealt into ``salts`` groups by where they lie in their Parquet files, each group
+an entry of the plan, so copies are numbered in parts.  A DataFrame that no longer knows its
+files, such as one behind a join, should be written first: the copies of one row meet in one
+task otherwise.
 
 Defined cases: null or empty texts have size 0, get nothing and no position; documents of
 one source are ordered by md5 of doc_id, then by doc_id and text hash, so reruns agree and
@@ -27,6 +31,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -86,7 +91,16 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: fl
     return water.select("source", "weight", target.alias("target"), knots(F.col("rank"), schedules).alias("schedule"), F.col("source_size").cast("long").alias("source_size"))
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.5, max_epochs: int = 2, schedules: Sequence = SCHEDULES, own: Mapping[str, float] | None = None, buckets: int = 1024, shared: Shared | None = None) -> DataFrame:
+def salt(docs: DataFrame, salts: int) -> Column:
+    """A number below ``salts`` that differs among copies of a row and is the same at each reading: from a row's file and place there; 0 where docs are no files with such places."""
+    try:
+        docs.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:
+        return F.lit(0).cast("long")
+    return F.pmod(F.xxhash64("_metadata.file_path", "_metadata.row_index"), F.lit(salts))
+
+
+def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.5, max_epochs: int = 2, schedules: Sequence = SCHEDULES, own: Mapping[str, float] | None = None, buckets: int = 1024, salts: int = 4096, shared: Shared | None = None) -> DataFrame:
     """docs (doc_id, source, text, ...) with size, source_size, target, taken, weight, passes, position, last_position.
 
     taken: words the mix takes of the document, repeats counted; passes: how often it starts;
@@ -95,10 +109,10 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.5, m
     """
     docs = docs.drop(*OWN)
     text_id = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    keyed = docs.withColumn("_at", F.md5(text_id.cast("binary"))).withColumn("_tie", F.xxhash64(text_id, F.coalesce("text", F.lit("")), F.col("source")))
-    # the plan is made of keys and sizes alone; repeated rows are one entry
+    keyed = docs.withColumn("_salt", salt(docs, salts)).withColumn("_at", F.md5(text_id.cast("binary"))).withColumn("_tie", F.xxhash64(text_id, F.coalesce("text", F.lit("")), F.col("source")))
+    # the plan is made of keys and sizes alone; repeated rows of one salt are one entry
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    entries = keyed.select("doc_id", "source", "_at", "_tie", size.alias("size")).groupBy("source", "_at", "_tie").agg(F.min("doc_id").alias("doc_id"), F.min("size").alias("size"), F.count("*").alias("_copies"))
+    entries = keyed.select("doc_id", "source", "_at", "_tie", "_salt", size.alias("size")).groupBy("source", "_at", "_tie", "_salt").agg(F.min("doc_id").alias("doc_id"), F.min("size").alias("size"), F.count("*").alias("_copies"))
     entries = entries.withColumn("_words", F.col("size") * F.col("_copies")).withColumn("_bucket", (F.conv(F.substring("_at", 1, 8), 16, 10).cast("long") * F.lit(buckets) / F.lit(1 << 32)).cast("int"))
     if shared is not None:
         entries = shared.save(entries, "entries")
@@ -107,12 +121,12 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.5, m
     starts = totals.withColumn("_ahead", F.coalesce(F.sum("bucket_size").over(ahead), F.lit(0))).drop("bucket_size")
     targets = source_targets(totals.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, share, max_epochs, schedules, own)
     plan = starts.alias("b").join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source"))).select(F.col("b.source").alias("_s"), F.col("_bucket").alias("_b"), "_ahead", "source_size", "target", "weight", "schedule")
-    inside = Window.partitionBy("source", "_bucket").orderBy("_at", "doc_id", "_tie").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "_bucket").orderBy("_at", "doc_id", "_tie", "_salt").rowsBetween(Window.unboundedPreceding, -1)
     entries = entries.withColumn("_inside", F.coalesce(F.sum("_words").over(inside), F.lit(0)))
-    entries = entries.join(plan, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b"))).select(F.col("_at").alias("_a"), F.col("_tie").alias("_t"), "size", "_ahead", "_inside", "source_size", "target", "weight", "schedule")
+    entries = entries.join(plan, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b"))).select(F.col("_at").alias("_a"), F.col("_tie").alias("_t"), F.col("_salt").alias("_r"), "size", "_ahead", "_inside", "source_size", "target", "weight", "schedule")
     # rows come back to their entry once, its repeats one after the other
-    placed = keyed.join(entries, (F.col("_at") == F.col("_a")) & (F.col("_tie") == F.col("_t")))
-    repeat = F.row_number().over(Window.partitionBy("_at", "_tie").orderBy("_at", "_tie")) - 1
+    placed = keyed.join(entries, (F.col("_at") == F.col("_a")) & (F.col("_tie") == F.col("_t")) & (F.col("_salt") == F.col("_r")))
+    repeat = F.row_number().over(Window.partitionBy("_at", "_tie", "_salt").orderBy("_at", "_tie")) - 1
     placed = placed.withColumn("_inside", F.col("_inside") + F.col("size") * repeat)
     goal, ahead_words = F.floor(F.col("target") + 0.5), F.col("_ahead") + F.col("_inside")
     takes = [F.greatest(F.least(goal - F.lit(i) * F.col("source_size") - ahead_words, F.col("size")), F.lit(0)) for i in range(max_epochs)]

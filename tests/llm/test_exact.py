@@ -164,3 +164,19 @@ def test_calls_of_one_id_in_one_turn(spark, shared):
     text = json.dumps({"tool_calls": [call("c", "sum", {"xs": [1]}), call("c", "sum", {"xs": [2]})]})
     made = chat_formatting.explicit_calls(spark.createDataFrame([(1, 0, "assistant", text)], "conv_id long, turn long, role string, text string"))
     assert sorted((r.arguments, r.duplicate) for r in chat_formatting.format_chats(made, shared, REGISTRY).collect()) == [('{"xs":[1]}', False), ('{"xs":[2]}', True)]
+
+
+def test_mixing_numbers_copies_of_a_hot_row_in_parts(spark, tmp_path):
+    rows = [(None, "", "a", i) for i in range(400)] + [(7, "w w w", "a", i) for i in range(700)] + [(i, "w " * (i % 5), "ab"[i % 2], i) for i in range(300)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, source string, extra long")
+    plain.repartition(3).write.parquet(str(tmp_path / "docs"))
+    stored = spark.read.parquet(str(tmp_path / "docs"))
+    per_salt = stored.where("doc_id = 7 and text = 'w w w'").select(curriculum_mixing.salt(stored, 16).alias("salt")).groupBy("salt").count().collect()
+    assert len(per_salt) > 10 and max(r["count"] for r in per_salt) < 150
+    columns = ["doc_id", "text", "source", "size", "taken", "passes", "position", "last_position"]
+    told = lambda docs, **more: sorted(map(str, curriculum_mixing.mix(docs, buckets=8, **more).select(columns).collect()))
+    got = told(stored, salts=16)
+    assert len(got) == len(rows) and got == told(plain) == told(stored, salts=4096)
+    mixed = curriculum_mixing.mix(stored, buckets=8)
+    assert mixed.where("doc_id = 7 and text = 'w w w' and position is not null").select("position").distinct().count() == mixed.where("doc_id = 7 and text = 'w w w' and position is not null").count() > 100
+    assert sorted(r.extra for r in mixed.select("extra").collect()) == sorted(r[3] for r in rows)
