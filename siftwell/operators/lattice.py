@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siftwell.sources import scratch
+
 SIZES = ("low_size", "high_size", "sum_size")
 STATE = "path string, parent string, name string, kind string, n long, low_size long, high_size long, sum_size long"
 PLAIN = re.compile(r"[A-Za-z_][A-Za-z0-9_]*\Z")
@@ -77,7 +79,7 @@ def walk(text: str | None) -> list[tuple[str, str | None, str | None, str, int]]
 
 
 def states(df: DataFrame, text: str, by: Sequence[str] = ()) -> DataFrame:
-    """State rows of JSON texts, one set for each value of the string columns ``by`` (such as a file's path)."""
+    """State rows of JSON texts, one set for each value of the string columns ``by`` (such as a file's path), kept in the shared folder."""
     keys = [f"_by_{i}" for i in range(len(by))]
     given = df.select(*[F.col(c).cast("string").alias(k) for c, k in zip(by, keys, strict=True)], F.col(text).cast("string").alias("_text"))
     ddl = ", ".join([*[f"{k} string" for k in keys], STATE])
@@ -106,7 +108,11 @@ def states(df: DataFrame, text: str, by: Sequence[str] = ()) -> DataFrame:
             yield handed(found)
 
     parts = given.mapInArrow(count, ddl)
-    return merged(parts.select(*[F.col(k).alias(c) for c, k in zip(by, keys, strict=True)], "path", "parent", "name", "kind", "n", *SIZES), by)
+    # kept as a table, as several steps read them: the records are scanned once
+    at = f"{scratch.new_folder(df.sparkSession)}/states"
+    out = merged(parts.select(*[F.col(k).alias(c) for c, k in zip(by, keys, strict=True)], "path", "parent", "name", "kind", "n", *SIZES), by)
+    out.write.parquet(at)
+    return df.sparkSession.read.schema(out.schema).parquet(at)
 
 
 def merged(found: DataFrame, by: Sequence[str] = ()) -> DataFrame:

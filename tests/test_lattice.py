@@ -37,6 +37,8 @@ def test_states_equal_a_walk_and_add_up(spark):
     assert told(lattice.merged(parts)) == brute(TEXTS)
     assert told(parts.where("file = '1'")) == brute(TEXTS[1::2])
     assert lattice.states(df.limit(0), "text").count() == 0
+    # what follows from states reads them, not the records
+    assert "MapInArrow" not in lattice.nodes(parts, ["file"])._jdf.queryExecution().toString()
 
 
 def test_fixed_expectations(spark):
