@@ -84,6 +84,13 @@ def test_detect_edges(name, data, kind):
     assert detect(name, data).file_type == kind
 
 
+def test_pages_of_letters_beyond_ascii_are_html():
+    page = "<!DOCTYPE html><html><body>" + "çéê Привет 漢字 " * 100 + "</body></html>"
+    assert detect("", page.encode()).file_type == "html"
+    assert detect("", page.encode()[:-40][:901], False).file_type == "html"  # cut inside of a character
+    assert detect("", b"<html>" + bytes(range(128, 256)) * 4).file_type == "binary"
+
+
 def test_detect_column_judges_whole_texts(spark):
     long = json.dumps({"rows": ["words of a record " * 4] * 6000})
     assert len(long) > 256 * 1024
