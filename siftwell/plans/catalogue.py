@@ -489,7 +489,10 @@ def made_datasets(spark: SparkSession, sf: str) -> DataFrame:
     status = lambda n: F.element_at(F.array(F.lit("auto_accept"), F.lit("needs_user_verification"), F.lit("unresolved")), (F.floor(c / n) % 3 + 1).cast("int"))
     part = lambda k, n: F.struct(F.lit(k).alias("key"), F.when(status(n) != "unresolved", F.lit("x")).alias("value"), F.lit(0.5).alias("confidence"), status(n).alias("status"), F.lit("").alias("source"), F.array().cast("array<string>").alias("evidence"), F.lit("").alias("risk_if_wrong"))
     found = lambda k: F.struct(F.lit(k).alias("key"), F.lit("").alias("title"), F.lit("supported").alias("status"), F.lit(0.8).alias("confidence"), F.lit("").alias("summary"), F.lit('{"n_over_d": 12.0, "d_features": 6}').alias("evidence"), F.array().cast("array<string>").alias("warnings"))
-    return table(spark, sf, "customer").select(
+    # few bytes, but much work a row: dealt by rows, about 5,000 a task
+    rows = table(spark, sf, "customer").select("c_custkey")
+    rows = rows.repartition(max(1, rows.count() // 5000), "c_custkey")
+    return rows.select(
         F.concat(F.lit("ds_"), c.cast("string")).alias("dataset_id"), F.lit("d").alias("display_name"), F.lit("csv").alias("detected_type"), F.lit(0.9).alias("detection_confidence"), (c % 13).cast("int").alias("supported"), F.lit(12).alias("total"),
         F.array(*[part(k, n) for k, n in (("task_type", 1), ("target_column", 3), ("split_column", 9), ("time_column", 27), ("group_column", 81), ("objective_metric", 243))]).alias("assumptions"), F.array(*[found(k) for k in ("problem_type", "target_definition", "data_splitting_structure", "evaluation_metric", "sample_size_vs_feature_dimension")]).alias("vital_findings"), F.array().cast("array<string>").alias("warnings"),
     )

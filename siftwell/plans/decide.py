@@ -204,8 +204,9 @@ def planned_probes(recommended: DataFrame, results: DataFrame | None = None, per
     family = F.try_element_at("candidates", F.lit(1))["family"]
     wanted = (family.isNotNull(), says("split|time|group"), says("target") | family.isNull(), says("missing"))
     specs = [F.when(w, F.struct(F.lit(kind).alias("probe_kind"), F.lit(priority).alias("priority"), F.lit(reason).alias("reason"), F.array(*map(F.lit, signals)).alias("signals"), F.lit(trials).alias("max_trials"), F.lit(minutes).alias("max_runtime_minutes"))) for w, (kind, priority, reason, signals, trials, minutes) in zip(wanted, PROBES, strict=True)]
-    rows = recommended.where("decision_state != 'ready'").withColumn("_f", F.coalesce(family, F.lit("mlp")))
-    rows = rows.select("dataset_id", "_f", F.posexplode(F.slice(F.array_compact(F.array(*specs)), 1, max(1, per_dataset))).alias("plan_order", "p"))
+    # Spark would push a filter by state, or the one that it infers for a plain explode, below the projections and repeat in it all that they work out
+    planned = F.when(F.col("decision_state") != "ready", F.slice(F.array_compact(F.array(*specs)), 1, max(1, per_dataset)))
+    rows = recommended.withColumn("_f", F.coalesce(family, F.lit("mlp"))).select("dataset_id", "_f", F.posexplode_outer(planned).alias("plan_order", "p")).where("plan_order IS NOT NULL")
     out = rows.select("dataset_id", "plan_order", probe_id(F.col("dataset_id"), F.col("p.probe_kind"), F.col("p.reason")).alias("request_id"), "p.probe_kind", "p.priority", "p.reason", F.when(F.col("p.probe_kind") == "unsupervised_structure_probe", F.lit("mlp")).otherwise(F.col("_f")).alias("candidate_family"), "p.signals", "p.max_trials", "p.max_runtime_minutes")
     return out.join(results.select("request_id").distinct(), "request_id", "left_anti").select(*out.columns) if results is not None else out
 

@@ -127,3 +127,10 @@ def test_snippets_upsert_and_split(spark, tmp_path):
 
     sizes = lambda n: {r.split: r["count"] for r in registry.seeded_split(spark.range(n), "id").groupBy("split").count().collect()}
     assert sizes(1000) == {"train": 800, "val": 100, "test": 100} and sizes(7) == {"train": 5, "test": 2} and sizes(0) == {}
+
+
+def test_planned_probes_keep_their_work_out_of_filters(spark):
+    from siftwell.plans import catalogue
+
+    plan = catalogue.probe_plan(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("lambda" in line for line in plan.splitlines() if "Filter" in line)
