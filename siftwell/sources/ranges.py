@@ -77,6 +77,22 @@ class Ranged(io.RawIOBase):
         super().close()
 
 
+class Ahead(Ranged):
+    """A file whose small ranges are served from what was read ahead; larger ones are read as they are asked."""
+
+    def __init__(self, path: str, ahead: int = 1 << 21) -> None:
+        super().__init__(path)
+        self.path, self.ahead, self.base, self.held = path, ahead, 0, b""
+
+    def range(self, start: int, stop: int) -> bytes:
+        stop = min(stop, self.size)
+        if stop - start >= self.ahead:
+            return super().range(start, stop)
+        if start < self.base or stop > self.base + len(self.held):
+            self.base, self.held = start, super().range(start, start + self.ahead)
+        return self.held[start - self.base : stop - self.base] if start < stop else b""
+
+
 def opens(path: str) -> bool:
     """Whether Python can open a file's path."""
     try:
@@ -100,8 +116,25 @@ def tasks(pieces: int, size: int, each: int = 1 << 20) -> int:
     return max(1, min(pieces, max(32, size // each)))
 
 
+def block_size(files: DataFrame, step: int) -> tuple[int, int]:
+    """Bytes of the blocks that ranges of ``step`` bytes are dealt out in, and how many tasks take them: whole ranges, up to about 1 MB, less if all files are small."""
+    total = files.agg(F.sum("length")).first()[0] or 0
+    each = step * max(1, min((1 << 20) // step, total // (32 * step)))
+    pieces = files.where("length > 0").agg(F.sum(F.ceil(F.col("length") / each))).first()[0] or 0
+    return each, tasks(pieces, total)
+
+
 def by_range(files: DataFrame, step: int) -> DataFrame:
-    """A row (path, start, stop) for each ``step`` bytes of files (path, length), dealt out evenly."""
-    cuts = files.where("length > 0").select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(step).cast("long"))).alias("start"))
-    size = cuts.agg(F.count("*").alias("n"), F.sum(F.least(F.col("length") - F.col("start"), F.lit(step))).alias("total")).first()
-    return cuts.select("path", "start", F.least(F.col("start") + step, "length").alias("stop")).repartition(tasks(size.n, size.total or 0), "path", "start")
+    """A row (path, start, stop) for each ``step`` bytes of files (path, length), dealt out evenly; ranges of a block go to one task, in order.
+
+    Blocks are shuffled, not ranges, of which there may be very many."""
+    each, n = block_size(files, step)
+    blocks = files.where("length > 0").select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(each).cast("long"))).alias("block")).repartition(n, "path", "block")
+    cuts = blocks.select("path", "length", F.explode(F.sequence("block", F.least(F.col("block") + each, "length") - 1, F.lit(step).cast("long"))).alias("start"))
+    return cuts.select("path", "start", F.least(F.col("start") + step, "length").alias("stop"))
+
+
+def dealt(cuts: DataFrame, files: DataFrame, step: int) -> DataFrame:
+    """Ranges (path, start, …) of files, dealt out as by_range does it."""
+    each, n = block_size(files, step)
+    return cuts.repartition(n, "path", F.floor(F.col("start") / each)).sortWithinPartitions("path", "start")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.sources import scratch
-from siftwell.sources.ranges import Ranged, by_range
+from siftwell.sources.ranges import Ahead, Ranged, by_range, dealt
 
 STEP = 16 * 1024 * 1024
 
@@ -31,15 +31,15 @@ def strings(df: DataFrame):
 
 
 def states_at_cuts(ends: DataFrame, first: int = 0) -> DataFrame:
-    """(path, start, state) from (path, start, ends), where ends[s] is the state after the range if it begins in state s; a row a range."""
-    listed = ends.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("start", "ends"))).alias("of"))
-    zero = F.struct(F.lit(first).alias("state"), F.array().cast("array<struct<start:bigint,state:int>>").alias("found"))
-    step = lambda at, x: F.struct(F.element_at(x["ends"], at["state"] + 1).alias("state"), F.concat(at["found"], F.array(F.struct(x["start"].alias("start"), at["state"].alias("state")))).alias("found"))
-    return listed.select("path", F.explode(F.aggregate("of", zero, step, lambda at: at["found"])).alias("f")).select("path", "f.start", "f.state")
+    """(path, start, stop, state) from (path, start, stop, ends), where ends[s] is the state after the range if it begins in state s; a row a range."""
+    listed = ends.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("start", "ends", "stop"))).alias("of"))
+    zero = F.struct(F.lit(first).alias("state"), F.array().cast("array<struct<start:bigint,stop:bigint,state:int>>").alias("found"))
+    step = lambda at, x: F.struct(F.element_at(x["ends"], at["state"] + 1).alias("state"), F.concat(at["found"], F.array(F.struct(x["start"].alias("start"), x["stop"].alias("stop"), at["state"].alias("state")))).alias("found"))
+    return listed.select("path", F.explode(F.aggregate("of", zero, step, lambda at: at["found"])).alias("f")).select("path", "f.start", "f.stop", "f.state")
 
 
 def kept(states: DataFrame) -> DataFrame:
-    """The states as a table in the shared folder, so that ranges are scanned once whatever reads the records."""
+    """The states, or records, as a table in the shared folder, so that ranges are scanned once whatever reads them."""
     path = f"{scratch.new_folder(states.sparkSession)}/states"
     states.write.parquet(path)
     return states.sparkSession.read.schema(states.schema).parquet(path)
@@ -116,7 +116,7 @@ class Csv:
             out.append(after if at is None else known[at])
         return out
 
-    def records(self, file: Ranged, start: int, stop: int, state: int, more: int = 1 << 20) -> Iterator[tuple[int, bytes]]:
+    def records(self, file: Ranged, start: int, stop: int, state: int, more: int = 1 << 12) -> Iterator[tuple[int, bytes]]:
         """(place, record) of the records that begin in the range."""
         data = file.range(start, stop)
         at, _ = self.first_record(data, state)
@@ -134,39 +134,49 @@ class Csv:
             data, start, at, more = data[at:] + extra, start + at, 0, 2 * more
 
 
+def opened(ranges: Iterator[tuple]) -> Iterator[tuple]:
+    """(file, start, …) of ranges (path, start, …): a file stays open, and about 2 MB of it at hand, while ranges of it follow each other."""
+    file = None
+    try:
+        for path, *rest in ranges:
+            if file is None or file.path != path:
+                if file is not None:
+                    file.close()
+                file = Ahead(path)
+            yield file, *rest
+    finally:
+        if file is not None:
+            file.close()
+
+
 def scanned(cuts: DataFrame, work: Callable[[Ranged, int, int], list[int]]) -> DataFrame:
-    """(path, start, ends) of ranges."""
+    """(path, start, stop, ends) of ranges."""
 
     def look(batches):
         for batch in batches:
-            ends = []
-            for path, start, stop in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                with Ranged(path) as file:
-                    ends.append(work(file, start, stop))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ends, pa.list_(pa.int32()))], names=["path", "start", "ends"])
+            ends = [work(file, start, stop) for file, start, stop in opened(zip(*[c.to_pylist() for c in batch.columns], strict=True))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends, pa.list_(pa.int32()))], names=["path", "start", "stop", "ends"])
 
-    return cuts.mapInArrow(look, "path string, start long, ends array<int>")
+    return cuts.mapInArrow(look, "path string, start long, stop long, ends array<int>")
 
 
 def given(cuts: DataFrame, work: Callable[[Ranged, int, int, int], Iterator[tuple[int, bytes]]], encoding: str = "utf-8") -> DataFrame:
     """(path, at, value) of the records that begin in ranges (path, start, stop, state), in batches of about 4 MB."""
 
+    def sent(held: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in held], pa.string()), pa.array([a for _, a, _ in held], pa.int64()), pa.array([v.decode(encoding, "replace") for _, _, v in held], pa.string())], names=["path", "at", "value"])
+
     def look(batches):
         for batch in batches:
-            for path, start, stop, state in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                with Ranged(path) as file:
-                    held, size = [], 0
-
-                    def sent():
-                        return pa.RecordBatch.from_arrays([pa.array([path] * len(held), pa.string()), pa.array([a for a, _ in held], pa.int64()), pa.array([v.decode(encoding, "replace") for _, v in held], pa.string())], names=["path", "at", "value"])  # noqa: B023  used at once
-
-                    for row in work(file, start, stop, state):
-                        held.append(row)
-                        size += len(row[1])
-                        if size > 4 << 20:
-                            yield sent()
-                            held, size = [], 0
-                    yield sent()
+            held, size = [], 0
+            for file, start, stop, state in opened(zip(*[c.to_pylist() for c in batch.columns], strict=True)):
+                for at, value in work(file, start, stop, state):
+                    held.append((file.path, at, value))
+                    size += len(value)
+                    if size > 4 << 20:
+                        yield sent(held)
+                        held, size = [], 0
+            yield sent(held)
 
     return cuts.select("path", "start", "stop", "state").mapInArrow(look, "path string, at long, value string")
 
@@ -193,7 +203,7 @@ def csv_records(files: DataFrame, delimiter: str, encoding: str = "utf-8", step:
             for at, record in made.records(file, start, stop, state):
                 yield 0 if at == head and (at == 0 or file.range(0, 3) == b"\xef\xbb\xbf") else at, record.removesuffix(b"\r")
 
-    return given(cuts.join(kept(states_at_cuts(scanned(cuts, ends))), ["path", "start"]), work, encoding)
+    return given(dealt(kept(states_at_cuts(scanned(cuts, ends))), files, step), work, encoding)
 
 
 def read_csv(spark: SparkSession, files: DataFrame, options: dict[str, str], encoding: str = "utf-8", step: int = STEP) -> DataFrame:
@@ -232,8 +242,8 @@ OUT, IN, ESCAPED = range(3)
 SPACE = np.isin(np.arange(256), list(b" \t\r\n,"))
 
 
-def signs(data: bytes, state: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Places of brackets outside of strings and what they add to the depth, places of quotes, and the state at the end."""
+def signs(data: bytes, state: int, every: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Places of brackets outside of strings (every: of all) and what they add to the depth, places of quotes, and the state at the end."""
     raw = np.frombuffer(data, np.uint8)
     first = 1 if state == ESCAPED else 0
     quotes = np.flatnonzero(raw == 0x22)
@@ -250,7 +260,8 @@ def signs(data: bytes, state: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     quotes = quotes[run(quotes) % 2 == 0] if len(quotes) else quotes
     inside = int(state != OUT)
     brackets = np.flatnonzero((raw == 0x7B) | (raw == 0x5B) | (raw == 0x7D) | (raw == 0x5D))
-    brackets = brackets[(np.searchsorted(quotes, brackets) + inside) % 2 == 0]
+    if not every:
+        brackets = brackets[(np.searchsorted(quotes, brackets) + inside) % 2 == 0]
     add = np.where((raw[brackets] == 0x7B) | (raw[brackets] == 0x5B), 1, -1)
     end = (len(quotes) + inside) % 2
     if end and run(np.array([len(raw)]))[0] % 2:
@@ -260,23 +271,32 @@ def signs(data: bytes, state: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 def json_ends(data: bytes) -> list[int]:
     """For each state of a string: three times the change of depth, plus the state of a string, at the end."""
-    out = []
-    for state in (OUT, IN, ESCAPED):
-        _, add, _, end = signs(data, state)
-        out.append(3 * int(add.sum()) + end)
-    return out
+    brackets, _, quotes, end = signs(data, OUT, True)
+    raw = np.frombuffer(data, np.uint8)[brackets]
+    add = np.where((raw == 0x7B) | (raw == 0x5B), 1, -1)
+    odd = np.searchsorted(quotes, brackets) % 2 == 1
+    inner, outer = int(add[odd].sum()), int(add.sum())
+    # the quotes are the same in and out of a string; so they are behind a backslash, unless the first byte is a quote or one
+    slashes = len(data) - len(data.rstrip(b"\\"))
+    inside = len(quotes) % 2 == 0
+    last = (ESCAPED if slashes % 2 else IN) if inside else OUT
+    out = [3 * (outer - inner) + end, 3 * inner + last]
+    if data[:1] in (b'"', b"\\"):
+        _, more, _, last = signs(data, ESCAPED)
+        return [*out, 3 * int(more.sum()) + last]
+    return [*out, out[1]]
 
 
 def depths_at_cuts(ends: DataFrame) -> DataFrame:
-    """(path, start, state): as states_at_cuts, but depths add up."""
-    listed = ends.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("start", "ends"))).alias("of"))
-    zero = F.struct(F.lit(0).alias("state"), F.array().cast("array<struct<start:bigint,state:int>>").alias("found"))
+    """(path, start, stop, state): as states_at_cuts, but depths add up."""
+    listed = ends.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("start", "ends", "stop"))).alias("of"))
+    zero = F.struct(F.lit(0).alias("state"), F.array().cast("array<struct<start:bigint,stop:bigint,state:int>>").alias("found"))
     after = lambda at, x: at["state"] - F.pmod(at["state"], F.lit(3)) + F.element_at(x["ends"], F.pmod(at["state"], F.lit(3)) + 1)
-    step = lambda at, x: F.struct(after(at, x).cast("int").alias("state"), F.concat(at["found"], F.array(F.struct(x["start"].alias("start"), at["state"].alias("state")))).alias("found"))
-    return listed.select("path", F.explode(F.aggregate("of", zero, step, lambda at: at["found"])).alias("f")).select("path", "f.start", "f.state")
+    step = lambda at, x: F.struct(after(at, x).cast("int").alias("state"), F.concat(at["found"], F.array(F.struct(x["start"].alias("start"), x["stop"].alias("stop"), at["state"].alias("state")))).alias("found"))
+    return listed.select("path", F.explode(F.aggregate("of", zero, step, lambda at: at["found"])).alias("f")).select("path", "f.start", "f.stop", "f.state")
 
 
-def json_objects(file: Ranged, start: int, stop: int, state: int, more: int = 1 << 20) -> Iterator[tuple[int, bytes]]:
+def json_objects(file: Ranged, start: int, stop: int, state: int, more: int = 1 << 12) -> Iterator[tuple[int, bytes]]:
     """(place, text) of the objects that begin in the range and are items of the outermost list; (-1, text) for an item that is none."""
     data = file.range(start, stop)
     brackets, add, quotes, _ = signs(data, state % 3)
@@ -315,12 +335,13 @@ def json_records(files: DataFrame, step: int = STEP) -> DataFrame:
     """(path, at, value): the objects in the outermost lists of JSON files (path, length); a row with ``at`` -1 says that something else is in one."""
     cuts = by_range(files, step)
     ends = scanned(cuts, lambda file, start, stop: json_ends(file.range(start, stop)))
-    return given(cuts.join(kept(depths_at_cuts(ends)), ["path", "start"]), json_objects)
+    return given(dealt(kept(depths_at_cuts(ends)), files, step), json_objects)
 
 
 def read_json(spark: SparkSession, files: DataFrame, step: int = STEP) -> DataFrame | None:
     """The table of JSON files that are lists of objects; None if anything else is in a list."""
-    records = json_records(files, step)
+    # three steps need the records: whether they are objects, their types, and the table
+    records = kept(json_records(files, step))
     odd = records.select((F.col("at") < 0).alias("odd")).agg(F.max("odd")).first()[0]
     if odd is not False:
         return None

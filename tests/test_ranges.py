@@ -202,3 +202,20 @@ def test_a_broken_member_gives_a_row_without_value(spark, tmp_path):
     (tmp_path / "a.zip").write_bytes(data)
     got = readers.entry_rows(readers.zip_entries(spark, str(tmp_path / "a.zip"))).collect()
     assert sum(r.value is None for r in got) == 1 and sum(r.member == "good.csv" for r in got) == 2
+
+
+def test_small_ranges_share_tasks_and_read_little(spark, tmp_path):
+    path = tmp_path / "rows.json"
+    path.write_text("[" + ", ".join(json.dumps({"id": i, "note": 'a "]\\ b'}) for i in range(40000)) + "]")
+    size = path.stat().st_size
+    files = spark.createDataFrame([(str(path), size)], "path string, length long")
+    held = by_range(files, 1009).select("start", "stop", F.spark_partition_id().alias("task")).collect()
+    assert sorted((r.start, r.stop) for r in held) == [(a, min(a + 1009, size)) for a in range(0, size, 1009)]
+    tasks = [r.task for r in sorted(held)]
+    assert len(set(tasks)) > 8 and sum(a != b for a, b in zip(tasks, tasks[1:], strict=False)) < len(tasks) / 10
+    with Ranged(str(path)) as file:
+        rows = list(split.json_objects(file, 0, 1009, split.OUT))
+        assert len(rows) > 20 and file.n_read < 10_000
+    for data in (b'"', b'\\"]', b'a"{\\', b'"\\\\"[', b"]}"):
+        wants = [split.signs(data, s) for s in range(3)]
+        assert split.json_ends(data) == [3 * int(add.sum()) + end for _, add, _, end in wants]
