@@ -187,7 +187,8 @@ def split_json_lists(spark: SparkSession, sf: str) -> DataFrame:
 def json_lines_by_range(spark: SparkSession, sf: str) -> DataFrame:
     """lineitem as JSON lines in .json files, told from their heads alone whatever their size, and read by Spark."""
     root = scratch.new_folder(spark)
-    table(spark, sf, "lineitem").coalesce(2).write.json(f"{root}/lines")
+    # a file for each part that Spark cuts the table into, however large the table is
+    table(spark, sf, "lineitem").write.json(f"{root}/lines")
     found = structure.summarise_files(ranges.list_files(spark, f"{root}/lines")).select("file_type", "details", "summary").first()
     reads = detect_files(spark, f"{root}/lines").agg(F.bool_and((F.col("n_read") <= 262144) & (F.col("n_read") <= F.col("length"))).alias("read_in_part")).first()[0]
     df, _ = table_of(spark, f"{root}/lines", found.file_type, dict(found.details or {}), Options(), json.loads(found.summary))

@@ -219,3 +219,19 @@ def test_small_ranges_share_tasks_and_read_little(spark, tmp_path):
     for data in (b'"', b'\\"]', b'a"{\\', b'"\\\\"[', b"]}"):
         wants = [split.signs(data, s) for s in range(3)]
         assert split.json_ends(data) == [3 * int(add.sum()) + end for _, add, _, end in wants]
+
+
+def test_lines_are_written_by_every_part_of_the_table(spark, tmp_path, monkeypatch):
+    from siftwell.plans import file_queries
+
+    for i in range(4):
+        spark.range(5 * i, 5 * i + 5).selectExpr("id AS l_orderkey").coalesce(1).write.mode("append").parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(file_queries.scratch, "new_folder", lambda s: f"file://{tmp_path}/out")
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 27))
+    try:
+        row = file_queries.json_lines_by_range(spark, str(tmp_path)).first()
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+    assert (row.n_rows, row["keys"], row.read_in_part) == (20, 190, True)
+    assert len(list((tmp_path / "out" / "lines").glob("*.json"))) == 4
