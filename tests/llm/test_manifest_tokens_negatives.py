@@ -150,6 +150,43 @@ def test_pieces_kept_by_a_worker_are_bounded(monkeypatch):
         assert len(held) + len(held.older) <= 10
 
 
+def test_stretches_between_spaces_are_split_once(monkeypatch):
+    """The pattern runs over each different stretch once, not over every text; white space behind a space is split with its text."""
+    runs = []
+
+    class Counted:
+        def __init__(self, found):
+            self.found = found
+
+        def findall(self, text):
+            runs.append(text)
+            return self.found.findall(text)
+
+    import regex
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_output, "ASCII", Counted(token_output.ASCII))
+    made = regex.compile
+    monkeypatch.setattr(regex, "compile", lambda pattern: Counted(made(pattern)))
+    token_output.encoder.cache_clear()
+    encode = token_output.encoder(token_output.vocabulary(), "<u2")
+    texts = [f"über {i} isn't über, isn't\nso.\n\nover isn't über," for i in range(12)]
+    for text in texts:
+        assert np.frombuffer(encode(text), "<u2").tolist() == plain_ids(text)[:-1]
+    assert sum(map(len, runs)) < len("".join(texts)) / 2
+    signs, seed = " \t\n\r\x0b\x0c\x1c\x1f\x85\xa0\u2003\u3000\u200b'stre,.1\u00b2\u0663\u00e9\u00dfab\u4e2d\x00-\u0301    ", 7
+    plain = Tokenizer.from_str(token_output.vocabulary())
+    for _ in range(2000):
+        text = ""
+        for _ in range(seed % 13):
+            seed = (seed * 6364136223846793005 + 1442695040888963407) % 2**64
+            text += signs[(seed >> 33) % len(signs)]
+        seed = (seed * 6364136223846793005 + 1442695040888963407) % 2**64
+        seed ^= seed >> 29
+        assert np.frombuffer(encode(text), "<u2").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+    token_output.encoder.cache_clear()
+
+
 def test_no_documents_no_tokens(spark, shared):
     assert token_output.read_tokens(*token_output.write_tokens(edge.table(spark, []), shared)).count() == 0
 
