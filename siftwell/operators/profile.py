@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftwell.functions import is_numeric, missing, number, present, skewness, text_of
-from siftwell.operators.quantiles import quantiles
+from siftwell.operators.quantiles import held_at_once, quantiles
 
 LIMIT = 20_000_000
 
@@ -48,7 +48,7 @@ def feature_scale(df: DataFrame, columns: Sequence[str] | None = None, limit: in
     names = list(columns or numeric_columns(df))
     values = {c: number(c, k[c]) for c in names}
     made = {c: {"n": F.count(x), "min": F.min(x), "max": F.max(x), "std": F.coalesce(F.stddev_pop(x), F.lit(0.0)), "skew": skewness(x)} for c, x in values.items()}
-    if few_rows(df, limit):
+    if few_rows(df, limit, len(values)):
         for c, x in values.items():
             both = F.percentile(x, F.array(F.lit(0.05), F.lit(0.95)))
             made[c] |= {"q05": both[0], "q95": both[1]}
@@ -61,9 +61,9 @@ def feature_scale(df: DataFrame, columns: Sequence[str] | None = None, limit: in
     return rows.select("column", "n", "min", "max", "std", "q05", "q95", "skew", (F.abs("skew") > 2).alias("heavy_tail"), F.coalesce(log, F.lit(False)).alias("log_candidate"))
 
 
-def few_rows(df: DataFrame, limit: int) -> bool:
-    """Whether df has at most ``limit`` rows; parquet answers from its footers."""
-    return df.count() <= limit
+def few_rows(df: DataFrame, limit: int, columns: int = 1) -> bool:
+    """Whether df is small enough for the percentiles of so many columns; parquet answers from its footers."""
+    return held_at_once(df.count(), columns, limit)
 
 
 def scale_ratios(scale: DataFrame) -> DataFrame:
@@ -139,7 +139,7 @@ def metric_imbalance(df: DataFrame, target: str) -> DataFrame:
 def fact_columns(df: DataFrame, names: Sequence[str], texts: dict[str, Column] | None = None) -> dict[str, dict[str, Column]]:
     """The aggregates behind column_facts, but for distinct counts. texts: where the columns' texts (text_of) stand ready.
 
-    Of numbers only whole ones can look like truth values, and none like lists of labels."""
+    Of numbers only whole ones can look like truth values, and none like lists of labels; dates and times like neither."""
     k, plain = kinds(df), {}
     for c in names:
         kind, value, text = k[c], present(c, k[c]), texts[c] if texts else text_of(c, k[c])
@@ -150,15 +150,17 @@ def fact_columns(df: DataFrame, names: Sequence[str], texts: dict[str, Column] |
         elif is_numeric(kind):
             integral = isinstance(kind, T.IntegralType) or isinstance(kind, T.DecimalType) and not kind.scale
             truth = F.coalesce(F.bool_and(value.isin(0, 1)), F.lit(False)) if integral else F.lit(False)
+        elif dated:
+            truth = F.lit(False)
         else:
             truth = F.coalesce(F.bool_and(F.lower(shown).isin("0", "1", "true", "false", "yes", "no")), F.lit(False))
         x = number(c, kind) if is_numeric(kind) else F.lit(None).cast("double")
         plain[c] = {
-            "kind": F.first(F.lit("boolean" if isinstance(kind, T.BooleanType) else "number" if is_numeric(kind) else "sequence" if isinstance(kind, T.ArrayType) else "object" if nested else "datetime" if dated else "string")),
+            "kind": F.lit("boolean" if isinstance(kind, T.BooleanType) else "number" if is_numeric(kind) else "sequence" if isinstance(kind, T.ArrayType) else "object" if nested else "datetime" if dated else "string"),
             "n_rows": F.count(F.lit(1)), "n_present": F.count(value), "bool_like": truth,
             "whole": F.coalesce(F.bool_and(x % 1 == 0), F.lit(False)) if is_numeric(kind) else F.lit(False),
             "date_rate": F.lit(1.0) if dated else F.coalesce(F.avg(F.try_to_timestamp(value).isNotNull().cast("int")), F.lit(0.0)) if isinstance(kind, T.StringType) else F.lit(0.0),
-            "label_like": F.lit(0.0) if is_numeric(kind) else F.coalesce(F.avg(shown.rlike("[,|;]").cast("int")), F.lit(0.0)),
+            "label_like": F.lit(0.0) if is_numeric(kind) or dated else F.coalesce(F.avg(shown.rlike("[,|;]").cast("int")), F.lit(0.0)),
             "mean_length": F.coalesce(F.avg(F.length(shown)), F.lit(0.0)),
         }
     return plain

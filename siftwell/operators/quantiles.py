@@ -1,9 +1,10 @@
 """Exact quantiles by linear interpolation, at any size.
 
 Up to ``limit`` rows Spark's ``percentile`` does it in one pass; its state grows with the
-distinct values of a column and ends in one task, so beyond that ranks are selected: each
-pass counts a bounded number of buckets of the ranges that hold the ranks, then narrows
-them.  A pass serves the ranks of all columns.
+distinct values of a column and ends in one task, so beyond that, and wherever all columns
+together may have more than ``HELD`` values, ranks are selected: each pass counts a bounded
+number of buckets of the ranges that hold the ranks, then narrows them.  A pass serves the
+ranks of all columns.
 """
 
 from __future__ import annotations
@@ -15,6 +16,13 @@ from pyspark.sql import functions as F
 
 #: Buckets of a range, the most values that are counted one by one, and ranges that a pass narrows.
 BUCKETS, FEW, RANGES = 4096, 4096, 64
+#: Values of all columns together that one task may have to hold for ``percentile``.
+HELD = 1 << 23
+
+
+def held_at_once(rows: int, columns: int, limit: int) -> bool:
+    """Whether ``percentile`` may answer for so many rows and columns."""
+    return rows <= limit and rows * columns <= HELD
 
 
 @dataclass
@@ -30,12 +38,14 @@ class Sought:
 
 def narrowed(rows: DataFrame, ranges: list[tuple[int, float, float, int]]) -> dict[int, list[tuple[float, float, int]]]:
     """(lo, hi, n) of the non-empty buckets of each range (column, lo, hi, n), ascending, from one pass."""
-    cells = []
+    # the ranges of a column don't overlap, so that a row is in one of them at most
+    of: dict[int, tuple[Column, Column]] = {}
     for g, (i, lo, hi, n) in enumerate(ranges):
         x, width = F.col(f"x{i}"), (hi - lo) / BUCKETS
         at = x if n <= FEW or width <= 0 else F.least(F.floor((x - lo) / width), F.lit(BUCKETS - 1)).cast("double")
-        cells.append(F.struct(F.lit(g).alias("g"), F.when(x.between(lo, hi), at).alias("b"), x.alias("x")))
-    long = rows.select(F.inline(F.array(*cells))).where("b is not null")
+        here = x.between(lo, hi)
+        of[i] = (of[i][0].when(here, g), of[i][1].when(here, at)) if i in of else (F.when(here, g), F.when(here, at))
+    long = rows.select(F.inline(F.array(*[F.struct(g.alias("g"), b.alias("b"), F.col(f"x{i}").alias("x")) for i, (g, b) in of.items()]))).where("b is not null")
     out: dict[int, list[tuple[float, float, int]]] = {}
     for r in sorted(long.groupBy("g", "b").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n")).collect(), key=lambda r: r.lo):
         out.setdefault(r.g, []).append((r.lo, r.hi, r.n))
@@ -77,6 +87,8 @@ def quantiles(df: DataFrame, columns: dict[str, Column], probs: list[float], lim
     shares = F.array(*[F.lit(p) for p in probs])
     counts = dict(zip(columns, df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns.values())]).first(), strict=True))
     small = {k: c for k, c in columns.items() if counts[k] <= limit}
+    if sum(counts[k] for k in small) > HELD:
+        small = {}
     out: dict[str, list[float | None]] = {}
     if small:
         row = df.agg(*[F.percentile(c.cast("double"), shares).alias(f"q{i}") for i, c in enumerate(small.values())]).first()

@@ -17,6 +17,8 @@ from siftwell.operators.quantiles import nth_smallest
 
 #: Up to so many columns pairs are SQL aggregates; more go through moment matrices.
 FEW_COLUMNS = 6
+#: Features that make a row's signature.
+SIGNED_COLUMNS = 20
 
 
 def pair_frame(df: DataFrame, pairs: list[tuple[str, str]], made: dict[tuple[str, str], Column], field: str) -> DataFrame:
@@ -153,7 +155,7 @@ def conflict_rate(df: DataFrame, target: str, features: Sequence[str]) -> DataFr
     aggregates before the shuffle.
     """
     k = kinds(df)
-    sig = [text_of(c, k[c]).alias(f"_s{i}") for i, c in enumerate(list(features)[:20])]
+    sig = [text_of(c, k[c]).alias(f"_s{i}") for i, c in enumerate(list(features)[:SIGNED_COLUMNS])]
     y = present(target, k[target])
     code = F.when(y.isNotNull(), F.xxhash64(y))
     groups = df.select(*sig, code.alias("_y")).groupBy(*[f"_s{i}" for i in range(len(sig))]).agg(F.count("*").alias("n"), (F.min("_y") != F.max("_y")).alias("several"))

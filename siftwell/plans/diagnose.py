@@ -14,11 +14,12 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftwell.context import Options
 from siftwell.functions import correlation, is_numeric, missing, number, present, skewness, text_of
 from siftwell.operators import profile, relations, roles
-from siftwell.operators.quantiles import quantiles
+from siftwell.operators.quantiles import held_at_once, quantiles
 from siftwell.operators.roles import Roles, Task
 from siftwell.plans.scan import Asked
 
@@ -94,8 +95,10 @@ class Table:
         for c in (c for c in self.columns if is_numeric(k[c])):
             x = self.value(c)
             asked.add({("scale", c): F.struct(F.count(x).alias("n"), F.avg(x).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"), F.coalesce(F.stddev_pop(x), F.lit(0.0)).alias("std"), skewness(x).alias("skew"))})
-        # a sum, not a parity: equal rows must not cancel out
-        asked.add({("hash", c): F.sum(F.xxhash64("_row", texts[c]).cast("decimal(20,0)")) for c in self.columns[: TWIN_COLUMNS + 1]})
+        # sums, not a parity: equal rows must not cancel out; of parts of a hash, so that they fit whole numbers
+        for c in self.columns[: TWIN_COLUMNS + 1]:
+            h = F.xxhash64("_row", texts[c])
+            asked.add({("hash", c): F.struct(*[F.sum(F.shiftrightunsigned(h, 22 * k).bitwiseAND(F.lit((1 << 22) - 1))).alias(f"h{k}") for k in range(3)])})
         return asked.answers()
 
     def _facts(self) -> dict[str, Any]:
@@ -110,7 +113,7 @@ class Table:
         y = self.roles.target
         if y and not self.task.classes:
             some[y] = self.value(y)
-        if self.n > self.options.exact_quantile_rows:
+        if not held_at_once(self.n, len(some), self.options.exact_quantile_rows):
             return quantiles(self.df, some, list(SHARES), self.options.exact_quantile_rows)
         asked = Asked(self.df)
         asked.add({c: F.percentile(x, F.array(*[F.lit(p) for p in SHARES])) for c, x in some.items()})
@@ -171,10 +174,22 @@ class Table:
             self.held[name] = make()
         return self.held[name]
 
+    def is_key(self, c: str) -> bool:
+        """Whether every row has a value of its own in a column, as its exact count of distinct values tells. Reals are left out, whose zeros have two texts."""
+        kind = self.kinds[c]
+        exact = isinstance(kind, (T.IntegralType, T.DecimalType, T.DateType, T.TimestampType)) or kind == T.StringType()
+        return exact and self.facts[c].n_distinct == self.n
+
+    def duplicate_rate(self) -> float:
+        """The share of rows that equal others; with a key there are none."""
+        return 0.0 if any(self.is_key(c) for c in self.columns) else relations.duplicate_rows(self.df).first().duplicate_rate
+
     def conflict(self) -> dict[str, Any] | None:
-        """Conflicts of equal inputs."""
+        """Conflicts of equal inputs; with a key among those that are compared no inputs are equal."""
         if not self.roles.target or not self.inputs:
             return None
+        if any(self.is_key(c) for c in self.inputs[: relations.SIGNED_COLUMNS]):
+            return {"repeated": 0, "conflicting": 0, "conflict_rate": 0.0}
         return self.once("conflict", lambda: relations.conflict_rate(self.df, self.roles.target, self.inputs).first().asDict())
 
     def drift(self) -> dict[str, Any] | None:
@@ -253,7 +268,7 @@ def target_definition(t: Table) -> Finding:
 
 def data_splitting_structure(t: Table) -> Finding:
     r = t.roles
-    duplicates = relations.duplicate_rows(t.df).first().duplicate_rate
+    duplicates = t.duplicate_rate()
     values = sorted(t.splits()[0]) if r.split else []
     leak = relations.group_leakage(t.df, r.split, r.group).first().leakage_fraction if r.split and r.group else None
     structure = "explicit_split_column" if r.split else "temporal_order_detected" if r.time else "iid_assumed"

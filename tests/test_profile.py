@@ -143,3 +143,47 @@ def test_a_diagnosis_scans_a_few_times_whatever_the_columns(spark, columns):
     count = jobs_of(spark, lambda: findings.extend(diagnose(rows, Options())))
     assert all(f.status == "supported" for f in findings)
     assert count <= 20, count
+
+
+@pytest.mark.parametrize("held", [10, 1 << 23])
+def test_no_task_holds_more_values_than_allowed_for_percentiles(spark, monkeypatch, held):
+    """Few rows of many values are too much for one task too; then ranks are selected, a row giving a cell a column whatever the ranges."""
+    rng = np.random.default_rng(11)
+    x = pd.DataFrame({"a": rng.normal(size=900), "b": rng.integers(0, 40, 900).astype(float), "c": 10.0 ** rng.integers(-8, 9, 900)})
+    monkeypatch.setattr(quantiles, "HELD", held)
+    monkeypatch.setattr(quantiles, "FEW", 16)
+    monkeypatch.setattr(quantiles, "BUCKETS", 32)
+    if held < len(x):
+        monkeypatch.setattr(quantiles.F, "percentile", lambda *_: pytest.fail("one task would hold all values"))
+    cells, array = [], F.array
+    monkeypatch.setattr(quantiles.F, "array", lambda *c: cells.append(len(c)) or array(*c))
+    shares = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
+    df = spark.createDataFrame(x)
+    got = quantiles.quantiles(df, {c: F.col(c) for c in x}, shares, 20_000_000)
+    assert all(np.allclose(got[c], x[c].quantile(shares).tolist()) for c in x)
+    assert max(cells[1:], default=0) <= 3
+    stats = {r["column"]: r for r in profile.feature_scale(df).collect()}
+    assert all(math.isclose(stats[c].q95, x[c].quantile(0.95)) for c in x)
+
+
+def test_a_key_settles_repeated_rows_and_conflicts(spark, monkeypatch):
+    from siftwell.context import Options
+    from siftwell.plans.diagnose import diagnose
+
+    df = spark.range(60).selectExpr("id AS width", "id % 3 AS x", "CAST(id % 2 AS STRING) AS y")
+    options = Options(target_column="y")
+    whole = {f.key: f.evidence for f in diagnose(df, options)}
+    rows = {f.key: f.evidence for f in diagnose(df.drop("width"), options)}
+    assert whole["data_splitting_structure"]["duplicate_row_rate"] == 0.0 and whole["noise_level"]["label_conflict_proxy"] == 0.0
+    assert rows["data_splitting_structure"]["duplicate_row_rate"] == 0.9 and rows["noise_level"]["label_conflict_proxy"] == 1.0
+    # one null, or one repeated value, makes no key
+    for holes in (df.selectExpr("nullif(width, 5) AS width", "x", "y"), df.selectExpr("greatest(width, 1) AS width", "x", "y")):
+        seen = []
+        with monkeypatch.context() as m:
+            for name in ("duplicate_rows", "conflict_rate"):
+                m.setattr(relations, name, lambda *a, f=getattr(relations, name), name=name: seen.append(name) or f(*a))
+            diagnose(holes, options)
+        assert sorted(seen) == ["conflict_rate", "duplicate_rows"]
+    for name in ("duplicate_rows", "conflict_rate"):
+        monkeypatch.setattr(relations, name, lambda *_: pytest.fail("a key settles this"))
+    assert {f.key: f.evidence for f in diagnose(df, options)} == whole
