@@ -171,3 +171,21 @@ def test_rows_of_the_summary_stand_in_for_a_table_that_cannot_be_read(spark, tmp
     monkeypatch.setattr(readers, "read_table", lambda *a: 1 / 0)
     report = profile_of(spark, tmp_path / "a.csv")
     assert report.profile["rows_profiled"] == Options().preview_rows and any("rows of the summary" in w for w in report.warnings)
+
+
+def test_files_of_other_formats_are_parsed_once(spark, tmp_path, monkeypatch):
+    seen, make = str(tmp_path / "seen"), readers.PARSERS["yaml"]
+
+    def counted(data):
+        with open(seen, "a") as f:
+            f.write("x")
+        yield from make(data)
+
+    monkeypatch.setitem(readers.PARSERS, "yaml", counted)
+    (tmp_path / "in").mkdir()
+    for i in range(3):
+        (tmp_path / "in" / f"{i}.yaml").write_text(f"- a: {i}\n  b: x\n- a: {i}.5\n")
+    df = readers.read_table(spark, str(tmp_path / "in"), "yaml")
+    assert sorted((r.a, r.b) for r in df.collect()) == [(0.0, "x"), (0.5, None), (1.0, "x"), (1.5, None), (2.0, "x"), (2.5, None)]
+    assert df.count() == 6 and df.where("a > 1").count() == 3
+    assert len(open(seen).read()) == 3
