@@ -22,16 +22,18 @@ ignored, whatever their names.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import operator
 import os
 import re
 import struct
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,6 +43,8 @@ from .common import Shared, map_arrow, read, utf8
 END = 0
 #: Pieces, and stretches between spaces, that a Python worker keeps encoded: half as many of each, about 400 MB in all.
 KEPT_WORDS = 1 << 21
+#: Bytes of texts that are encoded at once, new stretches that the tokenizer takes at once, and bytes of the longest that is kept.
+AT_ONCE, NEW, LONGEST = 8 << 20, 256, 256
 FIRST_SIGN = operator.itemgetter(0)
 #: The split rule of byte-level tokenizers, a fixed value: letters, digits, other signs and white space apart.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -92,6 +96,12 @@ def alphabet() -> dict[int, str]:
     return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+def splits_bytes(said: dict) -> bool:
+    """Whether a tokenizer splits texts as they are by the fixed pattern and then encodes each piece's bytes by itself."""
+    split = said.get("pre_tokenizer") or {}
+    return said.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
+
+
 @functools.lru_cache(maxsize=1)
 def encoder(spec: str, kind: str) -> Callable[[str], bytes]:
     """From a text to its ids as bytes of an integer type, made once in a Python worker.
@@ -106,10 +116,8 @@ def encoder(spec: str, kind: str) -> Callable[[str], bytes]:
     from tokenizers import Tokenizer
 
     made, said = Tokenizer.from_str(spec), json.loads(spec)
-    split = said.get("pre_tokenizer") or {}
-    apart = said.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
     whole = lambda text: np.array(made.encode(text, add_special_tokens=False).ids, kind).tobytes()
-    if not apart:
+    if not splits_bytes(said):
         return whole
     signs, model, letter = alphabet(), made.model, np.dtype(kind).char
     space = signs[ord(" ")]
@@ -141,6 +149,103 @@ def encoder(spec: str, kind: str) -> Callable[[str], bytes]:
     return encode
 
 
+class Kept:
+    """Values of byte strings, made many at once for those that are new, and kept like ``Pieces``: ``most`` at most, if they are short."""
+
+    def __init__(self, make: Callable[[list[bytes]], list[bytes]], most: int) -> None:
+        self.make, self.most, self.newer, self.older = make, most, {}, {}
+
+    def of(self, asked: list[bytes]) -> list[bytes]:
+        """The values of different strings, in their order."""
+        out = list(map(self.newer.get, asked))
+        gone = [i for i, x in enumerate(out) if x is None]
+        for i in gone:
+            out[i] = self.older.get(asked[i])
+        new = [i for i in gone if out[i] is None]
+        for at in range(0, len(new), NEW):
+            some = new[at : at + NEW]
+            for i, x in zip(some, self.make([asked[i] for i in some]), strict=True):
+                out[i] = x
+        for i in gone:
+            if len(asked[i]) <= LONGEST:
+                if 2 * len(self.newer) >= self.most:
+                    self.older, self.newer = self.newer, {}
+                self.newer[asked[i]] = out[i]
+        return out
+
+
+def blank(stretch: bytes) -> bool:
+    """Whether a stretch between spaces is empty or begins with white space."""
+    return not stretch or (stretch[0] <= 32 or stretch[0] >= 128) and stretch[:4].decode("utf-8", "replace")[0].isspace()
+
+
+@functools.lru_cache(maxsize=1)
+def batch_encoder(spec: str, kind: str) -> Callable[[pa.Array], pa.Array]:
+    """From texts as bytes to their ids as bytes, as ``encoder`` makes them, made once in a Python worker.
+
+    Arrow splits all texts at spaces and joins their ids again, so that Python asks once for each
+    different stretch of the texts.  New stretches are encoded many at once: each begins with a
+    space and holds no other, so its first id, and no other of its ids, begins with one.
+    """
+    from tokenizers import Tokenizer
+
+    made, said, encode = Tokenizer.from_str(spec), json.loads(spec), encoder(spec, kind)
+    text_of = lambda held: held.decode("utf-8", "replace")
+    special = [t["content"] for t in said.get("added_tokens", [])]
+    if not splits_bytes(said) or any(" " in t for t in special):
+        return lambda texts: pa.array([encode(text_of(t)) for t in texts.to_pylist()], pa.binary())
+    vocabulary, space = made.get_vocab(), alphabet()[ord(" ")]
+    begins = np.zeros(max(vocabulary.values()) + 1, bool)
+    begins[[i for t, i in vocabulary.items() if t.startswith(space)]] = True
+
+    def of_new(stretches: list[bytes]) -> list[bytes]:
+        texts = [" " + text_of(s) for s in stretches]
+        ids = np.array(made.encode("".join(texts), add_special_tokens=False).ids, kind)
+        cuts = np.flatnonzero(begins[ids])
+        if len(cuts) != len(texts) or cuts[0]:
+            return list(map(encode, texts))
+        held, size = ids.tobytes(), ids.itemsize
+        return [held[i:j] for i, j in itertools.pairwise([*(size * cuts).tolist(), len(held)])]
+
+    # with what ``encoder`` keeps of other texts, not much more than that keeps at most
+    kept = Kept(of_new, KEPT_WORDS * 3 // 4)
+
+    def run(texts: pa.Array) -> pa.Array:
+        if not len(texts):
+            return pa.array([], pa.binary())
+        split = pc.split_pattern(texts, pattern=" ")
+        ends = split.offsets.to_numpy()
+        firsts, flat = ends[:-1], split.flatten().dictionary_encode()
+        at, stretches = flat.indices.to_numpy(), flat.dictionary.to_numpy(zero_copy_only=False)
+        # texts that hold a special token, or white space behind a space, are encoded by themselves
+        apart = np.fromiter(map(blank, stretches), bool, len(stretches))[at]
+        apart[firsts] = False
+        odd = np.logical_or.reduceat(apart, firsts)
+        for t in special:
+            odd |= pc.match_substring(texts, t).to_numpy(zero_copy_only=False)
+        plain = np.repeat(~odd, np.diff(ends))
+        plain[firsts] = False
+        used = np.zeros(len(stretches), bool)
+        used[at[plain]] = True
+        own = [encode(text_of(texts[i].as_py() if x else stretches[at[j]])) for i, (j, x) in enumerate(zip(firsts.tolist(), odd.tolist(), strict=True))]
+        codes = pa.array([b"", *kept.of(stretches[used].tolist()), *own], pa.binary())
+        places = np.where(plain, np.cumsum(used)[at], 0)
+        places[firsts] = np.arange(len(codes) - len(own), len(codes))
+        return pc.binary_join(pa.ListArray.from_arrays(split.offsets, codes.take(pa.array(places))), b"")
+
+    return run
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most so many bytes of a column of byte strings, but of a row at least."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, most + (ends[at - 1] if at else 0), "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def id_type(spec: str) -> str:
     """The least integer type that holds every id."""
     from tokenizers import Tokenizer
@@ -153,13 +258,14 @@ def encoded(docs: DataFrame, spec: str, kind: str) -> DataFrame:
     sent, end = docs.sparkSession.sparkContext.broadcast(spec), np.array([END], kind).tobytes()
 
     def work(batches):
-        encode = encoder(sent.value, kind)
-        for batch in batches:
-            ids = [encode(t.decode("utf-8", "replace")) + end for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+        encode = batch_encoder(sent.value, kind)
+        for batch in (b for whole in batches for b in slices(whole, 1, AT_ONCE)):
+            ids = pc.binary_join_element_wise(encode(batch.column(1)), pa.scalar(end), pa.scalar(b""))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
 
     doc = dict(docs.select("doc_id").dtypes)["doc_id"]
-    return map_arrow(docs.select("doc_id", utf8("text").alias("text")), work, f"doc_id {doc}, ids binary")
+    # the more texts at once, the fewer stretches to ask for; slices are by bytes
+    return map_arrow(docs.select("doc_id", utf8("text").alias("text")), work, f"doc_id {doc}, ids binary", rows=1 << 16)
 
 
 def frequencies(coded: DataFrame, kind: str) -> DataFrame:

@@ -6,6 +6,7 @@ import zlib
 
 import edge
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import SMALL, same
 from pyspark.sql import functions as F
@@ -187,6 +188,28 @@ def test_stretches_between_spaces_are_split_once(monkeypatch):
     token_output.encoder.cache_clear()
 
 
+def test_a_batch_asks_once_for_each_stretch(monkeypatch):
+    """Texts are encoded many at once: a stretch that all of them hold is asked for once, new ones go to the tokenizer together, and ids are those of plain encoding."""
+    asked = []
+    monkeypatch.setattr(token_output, "NEW", 7)
+    monkeypatch.setattr(token_output, "KEPT_WORDS", 40)
+    monkeypatch.setattr(token_output, "LONGEST", 9)
+    monkeypatch.setattr(token_output.Kept, "of", lambda self, some, of=token_output.Kept.of: asked.append(some) or of(self, some))
+    token_output.encoder.cache_clear()
+    token_output.batch_encoder.cache_clear()
+    encode = token_output.batch_encoder(token_output.vocabulary(), "<u2")
+    odd = ["", " ", "a", " a", "a ", "a  b", "  a b", "a \n b", "a \u3000b c", "a \x85b", "a\n b\n\n c", "12 ab12, it's 🙂 ²½ ß", "x<|endoftext|> y z", "\x1cq \x1fw e", "longer-than-nine-bytes d"]
+    texts = [*(edge.prose(i % 5, 60) for i in range(20)), *odd]
+    ids = [np.frombuffer(x, "<u2").tolist() for _ in range(2) for x in encode(pa.array([t.encode() for t in texts], pa.binary())).to_pylist()]
+    assert ids == 2 * [plain_ids(t)[:-1] for t in texts]
+    assert len(asked) == 2 and all(len(some) == len(set(some)) for some in asked)
+    assert encode(pa.array([b"a \xff\xc3 b\xe2\x82 c"], pa.binary())).to_pylist() == [np.array(plain_ids(b"a \xff\xc3 b\xe2\x82 c".decode("utf-8", "replace"))[:-1], "<u2").tobytes()]
+    token_output.batch_encoder.cache_clear()
+    token_output.encoder.cache_clear()
+    batch = pa.RecordBatch.from_arrays([pa.array([b"abc", b"", b"defgh" * 9, b"i", b"jk"])], names=["t"])
+    assert [x.num_rows for x in token_output.slices(batch, 0, 4)] == [2, 1, 2]
+
+
 def test_no_documents_no_tokens(spark, shared):
     assert token_output.read_tokens(*token_output.write_tokens(edge.table(spark, []), shared)).count() == 0
 
