@@ -167,12 +167,30 @@ def fact_columns(df: DataFrame, names: Sequence[str], texts: dict[str, Column] |
 
 
 def distinct_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """(column, n_distinct): exact, nulls and NaN apart. Rows expand once a column, with a partial aggregate before the shuffle."""
-    k = kinds(df)
-    values = {c: F.to_json(F.col(f"`{c}`")) if isinstance(k[c], (T.ArrayType, T.StructType, T.MapType)) else present(c, k[c]) for c in names}
+    """(column, n_distinct): exact, nulls and NaN apart. Rows expand once a column, with a partial aggregate before the shuffle.
+
+    Whole numbers, dates and times are compared as long, reals as double, all else as text, so that few values are written out."""
+    k, cells = kinds(df), []
+    for i, c in enumerate(names):
+        kind, value = k[c], present(c, k[c])
+        whole, real, text = F.lit(None).cast("long"), F.lit(None).cast("double"), F.lit(None).cast("string")
+        if isinstance(kind, T.IntegralType):
+            whole = value.cast("long")
+        elif isinstance(kind, T.TimestampType):
+            whole = F.unix_micros(value)
+        elif isinstance(kind, T.DateType):
+            whole = F.unix_date(value).cast("long")
+        elif isinstance(kind, (T.FloatType, T.DoubleType)):
+            # zeros of both signs are one double, but two texts
+            real, text = value.cast("double"), F.when(value == 0, value.cast("string"))
+        else:
+            text = F.to_json(F.col(f"`{c}`")) if isinstance(kind, (T.ArrayType, T.StructType, T.MapType)) else value.cast("string")
+        cells.append(F.struct(F.lit(i).alias("i"), whole.alias("whole"), real.alias("real"), text.alias("text")))
+    if not cells:
+        return df.sparkSession.createDataFrame([], "column string, n_distinct long")
     # one row for each column and value, then counts: no task holds a whole column
-    cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), v.cast("string").alias("v")) for c, v in values.items()])).alias("cell")).select("cell.*").where("v is not null")
-    return cells.groupBy("column", "v").agg(F.lit(1).alias("one")).groupBy("column").agg(F.count("*").alias("n_distinct"))
+    values = df.select(F.inline(F.array(*cells))).where("whole is not null or real is not null or text is not null").groupBy("i", "whole", "real", "text").agg(F.lit(1).alias("one"))
+    return values.groupBy("i").agg(F.count("*").alias("n_distinct")).select(F.element_at(F.array(*[F.lit(c) for c in names]), F.col("i") + 1).alias("column"), "n_distinct")
 
 
 def column_facts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

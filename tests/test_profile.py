@@ -187,3 +187,18 @@ def test_a_key_settles_repeated_rows_and_conflicts(spark, monkeypatch):
     for name in ("duplicate_rows", "conflict_rate"):
         monkeypatch.setattr(relations, name, lambda *_: pytest.fail("a key settles this"))
     assert {f.key: f.evidence for f in diagnose(df, options)} == whole
+
+
+def test_distinct_values_are_told_apart_by_type(spark):
+    """Values are compared as what they are: two instants of one local time are two, nulls and NaN are none."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        # the hour from 2:00 to 3:00 that clocks ran through twice
+        df = spark.sql("SELECT timestamp_micros(1603584000000000 + 1800000000 * cast(id % 4 AS BIGINT)) AS at, IF(id < 5, double('NaN'), id % 3) AS x, cast(IF(id = 9, NULL, id) AS SMALLINT) AS n, cast(id % 4 AS STRING) AS s, date_add(DATE'2020-01-01', int(id % 2)) AS d, id % 2 = 0 AS b, cast(id % 3 AS DECIMAL(5, 2)) AS dec, cast(id % 5 AS FLOAT) AS f, array(id % 2) AS arr, cast(NULL AS INT) AS gone FROM range(10)")
+        counts = {r["column"]: r.n_distinct for r in profile.distinct_counts(df, df.columns).collect()}
+        assert len({r[0] for r in df.select(F.col("at").cast("string")).collect()}) < 4
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert counts == {"at": 4, "x": 3, "n": 9, "s": 4, "d": 2, "b": 2, "dec": 3, "f": 5, "arr": 2}
+    assert profile.distinct_counts(df, []).count() == 0
