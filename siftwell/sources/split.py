@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from siftwell.sources import scratch
 from siftwell.sources.ranges import Ahead, Ranged, by_range, dealt
 
-STEP = 16 * 1024 * 1024
+STEP = 4 * 1024 * 1024
 
 
 def strings(df: DataFrame):

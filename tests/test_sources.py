@@ -11,7 +11,7 @@ import pytest
 from siftwell.context import Options
 from siftwell.plans.inspect import inspect
 from siftwell.sources import readers, structure
-from siftwell.sources.detect import detect, detect_column, detect_files
+from siftwell.sources.detect import Detection, detect, detect_column, detect_files
 
 ROWS = [{"id": i, "name": f"n{i}", "value": i / 2, "flag": i % 2 == 0} for i in range(30)]
 
@@ -189,3 +189,19 @@ def test_files_of_other_formats_are_parsed_once(spark, tmp_path, monkeypatch):
     assert sorted((r.a, r.b) for r in df.collect()) == [(0.0, "x"), (0.5, None), (1.0, "x"), (1.5, None), (2.0, "x"), (2.5, None)]
     assert df.count() == 6 and df.where("a > 1").count() == 3
     assert len(open(seen).read()) == 3
+
+
+def test_summary_of_json_lines_decodes_the_lines_it_shows():
+    """A summary of JSON lines shows few of them, so it must not hold megabytes of lines; lines are those of splitlines, wherever pieces are cut."""
+    import tracemalloc
+
+    line = json.dumps({"k": 1, "note": "é" * 40}, ensure_ascii=False).encode() + b"\n"
+    data = line * (8_000_000 // len(line))
+    tracemalloc.start()
+    out, _ = structure.of_jsonl(data, Detection("jsonl", 0.95, "", {}), Options())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out["lines_sampled"] == out["parsed"] == 5 * Options().preview_rows and peak < 2_000_000
+    for odd in (b"", b"\n", b" \r\n\r\na\r\n\n b\rc\x0bd\xe2\x80\xa8e\xc3\xa9\xff\xc3", b"one", b"a\r", b"\xe2\x80\xa8" * 5 + b"x\r\n"):
+        for piece in (1, 2, 3, 7, 100):
+            assert list(structure.solid_lines(odd, piece)) == [x for x in odd.decode("utf-8", "replace").splitlines() if x.strip()]
